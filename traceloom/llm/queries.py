@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from traceloom.llm.simhash import op1_simhash
 from traceloom.llm.token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
 }
 
