@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from traceloom.llm.embedding_dedup import op8_embedding_dedup
 from traceloom.llm.simhash import op1_simhash
 from traceloom.llm.token_counts import op2_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op2_token_counts": op2_token_counts,
 }
 
