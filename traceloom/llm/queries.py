@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from traceloom.llm.ann import op6_ann
 from traceloom.llm.embedding_dedup import op8_embedding_dedup
+from traceloom.llm.language import op5_language
 from traceloom.llm.simhash import op1_simhash
 from traceloom.llm.token_counts import op2_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_language": op5_language,
     "op6_ann": op6_ann,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op2_token_counts": op2_token_counts,
