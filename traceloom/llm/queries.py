@@ -6,11 +6,13 @@ from traceloom.llm.ann import op6_ann
 from traceloom.llm.embedding_dedup import op8_embedding_dedup
 from traceloom.llm.html_text import op7_html
 from traceloom.llm.language import op5_language
+from traceloom.llm.mixture import op4_mixture
 from traceloom.llm.simhash import op1_simhash
 from traceloom.llm.token_counts import op2_token_counts
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_mixture": op4_mixture,
     "op5_language": op5_language,
     "op6_ann": op6_ann,
     "op7_html": op7_html,
