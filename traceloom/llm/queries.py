@@ -9,9 +9,11 @@ from traceloom.llm.language import op5_language
 from traceloom.llm.mixture import op4_mixture
 from traceloom.llm.simhash import op1_simhash
 from traceloom.llm.token_counts import op2_token_counts
+from traceloom.llm.token_files import op3_token_ids
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_token_ids": op3_token_ids,
     "op4_mixture": op4_mixture,
     "op5_language": op5_language,
     "op6_ann": op6_ann,
