@@ -8,6 +8,7 @@ from traceloom.llm.html_text import op7_html
 from traceloom.llm.language import op5_language
 from traceloom.llm.mixture import op4_mixture
 from traceloom.llm.packing import op9_packing
+from traceloom.llm.repeats import op10_suffix_dedup
 from traceloom.llm.simhash import op1_simhash
 from traceloom.llm.token_counts import op2_token_counts
 from traceloom.llm.token_files import op3_token_ids
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_html": op7_html,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_packing": op9_packing,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op2_token_counts": op2_token_counts,
 }
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +37,14 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def save_table(df: DataFrame, label: str) -> str:
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    """Spark drops the shuffle files of this write when it ends: later plans read the table instead."""
+    conf, path = df.sparkSession.conf, new_path(df.sparkSession, label)
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return path
 
 
