@@ -156,7 +156,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     character, so kept is binary; with as_text it is a string without the bytes of cut characters.
     """
     spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * parts  # of anchors; a bucket sends each part a few rows at most
     reach = window - gram
     slim = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"))
 
@@ -179,7 +180,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             d, lo, hi = merged(doc[known][by], np.maximum(at[known][by] - reach, 0), at[known][by] + window)
             rows = [r | {"bucket": r["part"]} for r in rows_of(COVERED, part_of(own[d], parts), own[d], th[d], lo, hi)]
             doc, at, h, around = doc[~known], at[~known], h[~known], around[~known]
-            bucket = (h >> U(1)) % U(parts)
+            bucket = (h >> U(1)) % U(buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -309,7 +310,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 start = some.column("at").to_numpy()[row] - lead[row] + skip
                 yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), some.column("doc").take(own), some.column("th").take(own), pa.array(start)], names=["w", "doc", "th", "x"])
 
-    bucket = F.pmod("h", F.lit(parts)).cast("int").alias("bucket")
+    bucket = F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")
     few = near.join(many, "h", "left_anti").select(bucket, "h", "doc", "th", "at", "lead", "ctx").groupBy("bucket").applyInArrow(compare, FOUND)
     wide = near.join(many, "h", "left_semi").select("h", "doc", "th", "at", "lead", "ctx").mapInArrow(expand, "w binary, doc long, th long, x long")
     wide = wide.join(wide.groupBy("w").agg(F.min("doc").alias("m")), "w").where("doc > m").withColumn("__id", F.col("doc"))
