@@ -4,7 +4,7 @@ import pytest
 from events import frame, payloads
 from pyspark.sql import functions as F
 
-from traceloom.functions.scalar import fnv1a64, hex_text, ipv4_text, is_private, ns_to_ms
+from traceloom.functions.scalar import fnv1a64, hex_text, ipv4_text, is_private, ns_to_ms, sanitize
 from traceloom.operators import process, project, security, viewer
 from traceloom.operators.filters import changed_credentials, http_filter, is_noise, keep, min_lifetime, ssl_filter
 from traceloom.operators.http import parse_http, remove_auth
@@ -166,6 +166,11 @@ def test_scalars(spark):
     assert tuple(r) == ("18768827c5b0b891", "HEX:610162", 0, "127.0.0.1", True)
 
 
+def test_sanitize(spark):
+    df = spark.createDataFrame([(bytearray(b"a\n\xc3\xa9\xff\x01"),), (None,)], "b binary")
+    assert [r[0] for r in df.select(sanitize("b")).collect()] == ["a\né\\u00ff\\u0001", None]
+
+
 def test_track(spark):
     ex = lambda pid, ppid, comm, ns: ("process", pid, comm, ns, {"event": "EXEC", "ppid": ppid, "filename": "/x"})
     rows = [ex(1, 0, "init", 1), ex(2, 1, "agent", 2), ex(3, 2, "sh", 3), ex(4, 3, "git", 4), ex(9, 1, "other", 5), ("process", 4, "git", 6, {"event": "FILE_OPEN", "filepath": "/a"}), ("process", 9, "other", 7, {"event": "FILE_OPEN", "filepath": "/a"})]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 
 import numpy as np
 import pandas as pd
@@ -62,6 +63,13 @@ def fnv1a64(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or x is pd.NA else f"{int(v):x}" for x, v in zip(s, h, strict=True)])
 
 
+@F.pandas_udf(T.StringType())
+def sanitize(raw: pd.Series) -> pd.Series:
+    """Bytes as text: valid UTF-8, tabs and line ends stay; any other byte becomes \\u00 and two digits."""
+    odd = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\udc80-\udcff]")
+    return raw.map(lambda b: None if b is None else odd.sub(lambda m: f"\\u00{ord(m[0]) & 0xFF:02x}", bytes(b).decode("utf-8", "surrogateescape")))
+
+
 #: Networks whose addresses count as private.
 PRIVATE = ["127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "::1/128", "fc00::/7"]
 
