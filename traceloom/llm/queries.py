@@ -26,4 +26,24 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS node, vec_id AS r FROM embeddings UNION SELECT reach.node, l.b FROM reach JOIN l ON l.a = reach.r)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, r.c AS component_id, r.c = e.vec_id AS kept FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id JOIN (SELECT node, min(r) AS c FROM reach GROUP BY node) r ON r.node = e.vec_id
+""",
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS j, unnest(list_transform(range(0, length(h) // 2), lambda i: substr(h, CAST(2 * i + 1 AS INTEGER), 100))) AS s FROM d),
+m AS (SELECT s, min(doc_id) AS first FROM w WHERE length(s) = 100 GROUP BY s),
+f AS (SELECT w.doc_id, w.j, substr(w.s, 1, 2) AS b, CASE WHEN m.first < w.doc_id THEN 1 ELSE 0 END AS hit FROM w LEFT JOIN m ON m.s = w.s),
+g AS (SELECT doc_id, j, b, max(hit) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), 0) = 0 THEN 1 ELSE 0 END AS span FROM g),
+r AS (SELECT doc_id, sum(gone) AS n_removed, sum(span) AS n_spans, string_agg(CASE WHEN gone = 0 THEN b ELSE '' END, '' ORDER BY j) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+""",
+}
