@@ -4,21 +4,32 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 GAP = re.compile(r"(?<=[^\s᠎])(?= [^\s᠎])")
 DOUBLE = re.compile(r"[\s᠎]{2}")
+#: Letters of which lower case, composition and class are the same in all versions of Unicode.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+#: Texts of these characters, and of no special token, split into the library's words by the patterns below.
+PLAIN = re.compile(rf"[\t-\r -~{LETTERS}]*")
+PARTS = re.compile(rf"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9{LETTERS}]+")
+SPACED = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
 
 
-def at_white_space(text: str) -> list[bytes]:
+def is_plain(text: str) -> bool:
+    return "<|" not in text and PLAIN.fullmatch(text) is not None
+
+
+def at_white_space(text: str) -> list[str]:
     """For a model that drops white space: no token reaches over it. ASCII white space is the same for all libraries."""
-    return text.encode().split()
+    return [x.decode() for x in text.encode().split()]
 
 
 def before_single_spaces(text: str) -> list[str]:
@@ -31,29 +42,51 @@ def before_single_spaces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers; at most `held` pieces are remembered."""
+    """Ids of texts as little-endian unsigned 32-bit integers; about `held` words are remembered.
+
+    A plain text is split into the words on which the library's model works, and the model encodes those that are
+    new. Of another text the plain pieces are; the library encodes the other pieces as they are.
+    """
 
-    def __init__(self, path: str, held: int = 600_000):
+    def __init__(self, path: str, held: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()
         self.model.no_padding()
         self.size = self.model.get_vocab_size(with_added_tokens=True)
-        self.split = at_white_space if path == WORDS else before_single_spaces
+        self.word = Tokenizer(self.model.model)
+        self.word.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lower = path == WORDS
+        self.split, self.parts = (at_white_space, PARTS.findall) if self.lower else (before_single_spaces, SPACED.findall)
         self.held, self.known = held, {}
 
+    def _words(self, text: str) -> list[str]:
+        return self.parts(text.lower() if self.lower else text)
+
+    def _learn(self, model: Tokenizer, texts: list[str], mark: str = "") -> None:
+        for lo in range(0, len(texts), 4096):
+            for t, e in zip(texts[lo : lo + 4096], model.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False), strict=True):
+                self.known[mark + t] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        pieces = set().union(*split)
-        new = pieces.difference(self.known)
-        if len(new) + len(self.known) > self.held:
-            self.known, new = {}, pieces
-        ordered = list(new)
-        for lo in range(0, len(ordered), 4096):
-            some = ordered[lo : lo + 4096]
-            encoded = self.model.encode_batch_fast([p.decode() if isinstance(p, bytes) else p for p in some], add_special_tokens=False)
-            for p, e in zip(some, encoded, strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+        split, odd = [], set()
+        for t in texts:
+            if is_plain(t):
+                split.append(self._words(t))
+                continue
+            own: list[str] = []
+            for piece in self.split(t):
+                if is_plain(piece):
+                    own += self._words(piece)
+                else:  # kept under a mark that no plain word has
+                    own.append("\0" + piece)
+                    odd.add(piece)
+            split.append(own)
+        if len(self.known) > self.held:
+            self.known = {}
+        new = set().union(*split).difference(self.known)
+        self._learn(self.model, [p for p in odd if "\0" + p in new], "\0")
+        self._learn(self.word, [w for w in new if w[0] != "\0"])
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
