@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traceloom.llm.batches import by_bytes
 from traceloom.llm.store import write_table
 
 U = np.uint64
@@ -138,7 +139,7 @@ def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(doc.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 8 << 20, cap: int = 50_000, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, cap: int = 50_000, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
@@ -189,11 +190,11 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 rows.append({"kind": 0, "bucket": int(bucket[some[0]]), "doc": own[doc[some[first]]], "th": th[doc[some[first]]], "n": np.diff(np.append(first, len(some))), "x": at[some], "y": h[some].view(np.int64), "z": around[some].view(np.int64)})
             return table(rows, SAMPLE_FIELDS).to_batches()
 
-        for batch in batches:
-            for d, t in zip(batch.column("id").to_pylist(), batch.column("t").cast(pa.binary()).to_pylist(), strict=True):
-                ids.append(d)
-                texts.append(t or b"")
-                held += len(t or b"")
+        for whole in batches:
+            for batch in by_bytes(whole, "t", batch_bytes // 8):
+                ids += batch.column("id").to_pylist()
+                texts += [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
+                held += sum(map(len, texts[len(texts) - batch.num_rows :]))
                 if held >= batch_bytes:
                     yield from made()
                     ids, texts, held = [], [], 0
