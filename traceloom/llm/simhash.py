@@ -19,7 +19,7 @@ from traceloom.llm.xxh import xxh64_ranges
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhashes(texts: list[bytes], words_each: int = 3, chunk: int = 400_000) -> np.ndarray:
+def simhashes(texts: list[bytes], words_each: int = 3, chunk: int = 20_000) -> np.ndarray:
     """Fingerprints (uint64) of texts: a bit is set where over half of the shingle hashes have it."""
     words, ends = [], [0]
     for t in texts:
@@ -41,7 +41,8 @@ def simhashes(texts: list[bytes], words_each: int = 3, chunk: int = 400_000) ->
         doc = np.searchsorted(offset, k, side="right") - 1
         word = first[doc] + k - offset[doc]
         last = np.minimum(word + words_each, first[doc] + n_words[doc]) - 1
-        h = xxh64_ranges(joined, begin[word], stop[last])
+        base = begin[word[0]]
+        h = xxh64_ranges(joined[base : stop[last[-1]]], begin[word] - base, stop[last] - base)
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at = np.flatnonzero(np.diff(doc, prepend=-1))
         ones[doc[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
