@@ -274,29 +274,37 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
     def compare(group: pa.Table) -> pa.Table:
+        """Windows that hold their anchor at the same place are compared at a time: one per row."""
         rows = []
         if group.num_rows:
             h, doc, th, at, lead = (group.column(c).to_numpy() for c in ("h", "doc", "th", "at", "lead"))
             raw = group.column("ctx").to_pylist()
-            size = np.array([len(r) for r in raw])
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            base = np.cumsum(size) - size
-            row, skip = windows_of(lead, size)
-            begin = base[row] + skip
-            value = Prefix(data, 0).of(begin, begin + window) ^ mixed(h[row].view(U) + (lead[row] - skip).astype(U))
-            order = np.lexsort((doc[row], value))
-            value, row, begin = value[order], row[order], begin[order]
-            new = np.append(True, np.diff(value) != 0)[: len(value)]
-            leader = np.maximum.accumulate(np.where(new, np.arange(len(value)), 0))
-            later = np.flatnonzero(doc[row] > doc[row[leader]]) if len(row) else np.zeros(0, np.int64)
-            span = np.arange(window)
-            same = np.concatenate([(data[begin[p][:, None] + span] == data[begin[leader[p]][:, None] + span]).all(axis=1) for p in np.array_split(later, len(later) // 50_000 + 1)]) if len(later) else later.astype(bool)
-            later = later[same]  # a collision is no copy
-            own = row[later]
-            lo = at[own] - lead[own] + begin[later] - base[own]
-            by = np.lexsort((lo, own))
-            own, lo, hi = merged(own[by], lo[by], lo[by] + window)
-            rows = list(rows_of(COVERED, part_of(doc[own], parts), doc[own], th[own], lo, hi))
+            tail = np.array([len(r) for r in raw]) - lead  # bytes from the anchor on
+            # one row each, with the anchors below each other
+            data = np.frombuffer(b"".join((bytes(reach - n) + r).ljust(reach + window, b"\0") for n, r in zip(lead.tolist(), raw, strict=True)), np.uint8).reshape(-1, reach + window)
+            base, top = BASES[0], U(pow(int(BASES[0]), window - 1, 2**64))
+            value, own = np.zeros(len(data), U), mixed(h.view(U))
+            for c in range(reach + window - 1, reach - 1, -1):
+                value = VALUES[0][data[:, c]] + base * value
+            most, least = np.full(len(data), -1), np.zeros(len(data), np.int64)
+            for before in range(reach + 1):  # bytes of the window before its anchor
+                c = reach - before
+                if before:
+                    value = VALUES[0][data[:, c]] + base * (value - VALUES[0][data[:, c + window]] * top)
+                whole = np.flatnonzero((lead >= before) & (tail + before >= window))
+                key = mixed(value[whole]) ^ own[whole]
+                by = np.lexsort((doc[whole], key))
+                key, whole = key[by], whole[by]
+                new = np.append(True, np.diff(key) != 0)[: len(key)]
+                leader = whole[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+                later = np.flatnonzero(doc[whole] > doc[leader])
+                hit = [x[(data[whole[x], c : c + window] == data[leader[x], c : c + window]).all(axis=1)] for x in np.array_split(later, len(later) // 50_000 + 1)]
+                hit = whole[np.concatenate(hit)]  # a collision is no copy
+                least[hit] = np.where(most[hit] < 0, before, least[hit])
+                most[hit] = before
+            # all windows of an anchor overlap, so what they cover is one range
+            hit = np.flatnonzero(most >= 0)
+            rows = list(rows_of(COVERED, part_of(doc[hit], parts), doc[hit], th[hit], at[hit] - most[hit], at[hit] - least[hit] + window))
         return table(rows, FOUND_FIELDS)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
