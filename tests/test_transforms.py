@@ -180,6 +180,18 @@ def test_track(spark):
     assert process.track(df).count() == len(rows)
 
 
+def test_long_chains(spark):
+    """A chain of 150 processes, and two that are each other's parent."""
+    ex = lambda pid, ppid: ("process", pid, "agent" if pid == 1 else "sh", pid, {"event": "EXEC", "ppid": ppid, "filename": "/x"})
+    df = frame(spark, [ex(i, i - 1) for i in range(1, 151)] + [ex(201, 202), ex(202, 201)], True)
+    tree = project.process_tree(project.typed(df, "events_process"))
+    assert {r["pid"]: r["depth"] for r in tree.collect()} == {i: i - 1 for i in range(1, 151)} | {201: None, 202: None}
+    nodes = tree.select("session_id", "pid", "ppid")
+    got = sorted((r["root"], r["pid"], r["depth"]) for r in project.descendants(nodes, nodes).collect())
+    assert got == [(i, j, j - i) for i in range(1, 151) for j in range(i + 1, 151)] + [(201, 201, 2), (201, 202, 1), (202, 201, 1), (202, 202, 2)]
+    assert process.track(df, comms=["agent"]).count() == 150
+
+
 def test_typed_tables(spark):
     rows = [
         ("process", 1, "a", 1_000_000, {"event": "EXEC", "ppid": 1, "filename": "/usr/bin/test"}), ("process", 1, "a", 2_000_000, {"event": "DIR_CREATE", "path": "/d", "mode": 493}), ("process", 1, "a", 3_000_000, {"event": "FILE_RENAME", "oldpath": "/o", "newpath": "/n"}),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +57,12 @@ def with_children(samples: DataFrame, processes: DataFrame) -> DataFrame:
     return own.unionByName(below).join(samples, ["session_id", "pid"]).groupBy("session_id", F.col("root").alias("pid")).agg(F.sum("mem_rss_kb").alias("mem_rss_kb"), F.count("*").alias("processes"))
 
 
-def track(events: DataFrame, mode: int = 0, comms: list[str] | None = None, pids: list[int] | None = None, most: int = 64) -> DataFrame:
+def track(events: DataFrame, mode: int = 0, comms: list[str] | None = None, pids: list[int] | None = None) -> DataFrame:
     """Process events by tracking mode: 0 all; 1 all processes, and the files, network and credentials of tracked ones;
     2 tracked ones only. Tracked: the given pids, processes with a given name, and all below them.
     Names or pids turn mode 0 into 2. `session_id` separates logs, if there is one."""
+    from traceloom.operators.project import walk
+
     comms, pids = comms or [], pids or []
     mode = 2 if mode == 0 and (comms or pids) else mode
     if mode == 0:
@@ -74,15 +74,8 @@ def track(events: DataFrame, mode: int = 0, comms: list[str] | None = None, pids
     hit = F.col("pid").isin(pids) if pids else F.lit(False)
     hit = hit | F.col("comm").isin(comms) if comms else hit
     seeds = e.where((F.col("source") == "process") & hit).select("session_id", "pid").distinct()
-    a, b = f"seed_{uuid4().hex}", f"node_{uuid4().hex}"
-    seeds.createOrReplaceTempView(a)
-    nodes.createOrReplaceTempView(b)
-    tracked = e.sparkSession.sql(f"""
-        WITH RECURSIVE t(session_id, pid, depth) MAX RECURSION LEVEL {most + 1} AS (
-          SELECT session_id, pid, 0 FROM {a}
-          UNION ALL
-          SELECT n.session_id, n.pid, t.depth + 1 FROM t JOIN {b} n ON n.session_id = t.session_id AND n.ppid = t.pid AND n.pid <> t.pid WHERE t.depth < {most}
-        ) SELECT DISTINCT session_id, pid FROM t""")
+    edges = nodes.select("session_id", F.col("ppid").alias("above"), "pid")
+    tracked = walk(seeds.withColumn("depth", F.lit(0)), edges, ["session_id"]).drop("depth")
     marked = e.join(tracked.withColumn("__tracked", F.lit(True)), ["session_id", "pid"], "left")
     free = (F.col("source") != "process") | (kind.isin("EXEC", "EXIT", "BASH_READLINE") if mode == 1 else F.lit(False))
     return marked.where(free | F.coalesce("__tracked", F.lit(False))).select(*events.columns)

@@ -83,35 +83,46 @@ def process_tree(process: DataFrame) -> DataFrame:
     return tree.join(depths(first), ["session_id", "pid"], "left").select("session_id", "pid", "ppid", "comm", "filename", "start_time", "end_time", "depth")
 
 
-def depths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(session_id, pid, depth) by a recursive query; a root is a process whose parent is not known or is itself."""
-    from uuid import uuid4
-
-    view = f"nodes_{uuid4().hex}"
-    nodes.select("session_id", "pid", "ppid").createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE below(session_id, pid, depth) MAX RECURSION LEVEL {most + 1} AS (
-          SELECT n.session_id, n.pid, 0 FROM {view} n LEFT ANTI JOIN {view} p ON n.session_id = p.session_id AND n.ppid = p.pid AND p.pid <> n.pid
-          UNION ALL
-          SELECT n.session_id, n.pid, b.depth + 1 FROM below b JOIN {view} n ON n.session_id = b.session_id AND n.ppid = b.pid AND n.pid <> b.pid WHERE b.depth < {most}
-        ) SELECT session_id, pid, min(depth) AS depth FROM below GROUP BY session_id, pid""")
-
-
-def descendants(nodes: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and cut from its lineage: in spark.checkpoint.dir if the session has one, else on the executors."""
+    reliable = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if reliable else df.localCheckpoint()
+
+
+def walk(start: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, pid, depth): all processes at and below those of start, each at its least depth.
+
+    start: (*by, pid, depth), all of one depth, by with session_id; edges: (session_id, above, pid). Each round
+    doubles the length of the edges and so the depth reached, until it finds no new process; cycles end too.
+    """
+    reached = kept(start.groupBy(*by, "pid").agg(F.min("depth").alias("depth")))
+    jump, step, n = kept(edges.where("above <> pid").distinct()), 1, reached.count()
+    while n:
+        far = reached.withColumnRenamed("pid", "above").join(jump, ["session_id", "above"]).select(*by, "pid", (F.col("depth") + step).alias("depth"))
+        reached = kept(reached.unionByName(far).groupBy(*by, "pid").agg(F.min("depth").alias("depth")))
+        before, n = n, reached.count()
+        if n == before:
+            break
+        next_ = jump.select("session_id", F.col("above").alias("pid"), F.col("pid").alias("__c"))
+        jump, step = kept(jump.join(next_, ["session_id", "pid"]).select("session_id", "above", F.col("__c").alias("pid")).distinct()), 2 * step
+    return reached
+
+
+def depths(nodes: DataFrame) -> DataFrame:
+    """(session_id, pid, depth); a root is a process whose parent is not known or is itself. Processes below no root have no row."""
+    edges = nodes.select("session_id", F.col("ppid").alias("above"), "pid")
+    known = nodes.select("session_id", F.col("pid").alias("above")).distinct()
+    below = edges.where("above <> pid").join(known, ["session_id", "above"], "left_semi").select("session_id", "pid")
+    roots = nodes.select("session_id", "pid").join(below, ["session_id", "pid"], "left_anti")
+    return walk(roots.withColumn("depth", F.lit(0)), edges, ["session_id"])
+
+
+def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(session_id, root, pid, depth): all processes below each root pid of `roots` (session_id, pid)."""
-    reached = roots.select("session_id", F.col("pid").alias("root"), F.col("pid"), F.lit(0).alias("depth"))
-    edge = nodes.select("session_id", F.col("ppid").alias("__p"), F.col("pid").alias("__c"))
-    from uuid import uuid4
-
-    a, b = f"reach_{uuid4().hex}", f"edge_{uuid4().hex}"
-    reached.createOrReplaceTempView(a)
-    edge.createOrReplaceTempView(b)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(session_id, root, pid, depth) MAX RECURSION LEVEL {most + 1} AS (
-          SELECT session_id, root, pid, depth FROM {a}
-          UNION ALL
-          SELECT w.session_id, w.root, e.__c, w.depth + 1 FROM walk w JOIN {b} e ON e.session_id = w.session_id AND e.__p = w.pid AND e.__c <> w.pid WHERE w.depth < {most}
-        ) SELECT session_id, root, pid, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY session_id, root, pid""")
+    edges = nodes.select("session_id", F.col("ppid").alias("above"), "pid")
+    first = roots.select("session_id", F.col("pid").alias("root")).distinct()
+    first = first.join(edges.where("above <> pid").withColumnRenamed("above", "root"), ["session_id", "root"]).withColumn("depth", F.lit(1))
+    return walk(first, edges, ["session_id", "root"])
 
 
 def links(security: DataFrame) -> DataFrame:
