@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from traceloom.llm import ann, embedding_dedup, html_text, huffman, language, mixture, packing, repeats, simhash, subwords, token_counts, token_files
+from traceloom.llm import ann, embedding_dedup, html_text, huffman, language, mixture, near_copies, packing, repeats, simhash, subwords, token_counts, token_files
 from traceloom.llm.components import star_components
 from traceloom.llm.xxh import xxh64_ranges
 
@@ -111,6 +111,28 @@ def test_simhash_of_hot_buckets(spark):
     assert rows(simhash.simhash_groups(df, cap=7)) == want == rows(simhash.simhash_groups(df))
 
 
+def test_near_copies(spark):
+    """Links of 0.8 of the five-word shingles; two texts of one often repeated line of their own are none."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(600)] for _ in range(8)]
+    texts = []
+    for b in base:
+        for edits in (0, 4, 8, 12, 16):
+            w = list(b)
+            for k in rng.sample(range(0, 600, 6), edits):
+                w[k] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+    line = "the same line stands here again and again "
+    texts += [line * 200 + " ".join(f"{c}{i}" for i in range(60)) for c in "ab"] + [texts[0].upper(), "", None, "one two", "One  two"]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    edges = [(i, j) for i, a in enumerate(shingles) for j in range(i) if len(a & shingles[j]) >= 0.8 * len(a | shingles[j])]
+    root = brute_components(edges)
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, "x")], "doc_id long, text string")
+    want = sorted([(i, root.get(i, i)) for i in range(len(texts))] + [(0, 0)])
+    assert len(root) >= 20 and rows(near_copies.near_copies(df)) == sorted(want, key=repr) == rows(near_copies.near_copies(df, room=2000))
+    assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
 # --- 2, 3, 9: tokens ----------------------------------------------------------------------------------------------
 
 

@@ -1,0 +1,129 @@
+"""Near copies by the Jaccard similarity of word shingles: candidates share minima of shingle hashes, and each link is verified."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from traceloom.llm.batches import by_bytes
+from traceloom.llm.components import star_components
+from traceloom.llm.simhash import LOWER, shingle_hashes
+from traceloom.llm.store import write_table
+
+U = np.uint64
+
+
+def shingle_sets(texts: list[bytes], words_each: int) -> list[np.ndarray]:
+    """The different shingle hashes (uint64, sorted) of each text."""
+    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    for doc, h in shingle_hashes(texts, words_each):
+        at = np.flatnonzero(np.diff(doc, prepend=-1))
+        for a, b in zip(at, np.append(at[1:], len(doc)), strict=True):
+            parts[doc[a]].append(h[a:b])
+    return [np.unique(np.concatenate(p)) if p else np.zeros(0, U) for p in parts]
+
+
+def band_keys(sets: list[np.ndarray], bands: int, each: int) -> np.ndarray:
+    """(texts, bands) of hashes over `each` minima of a band; sets are not empty."""
+    rng = np.random.default_rng(17)
+    flat, at = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    out = np.zeros((len(sets), bands), U)
+    for band in range(bands):
+        for _ in range(each):
+            x = (flat ^ rng.integers(1 << 63, dtype=U)) * (rng.integers(1 << 63, dtype=U) << U(1) | U(1))
+            low = np.minimum.reduceat(x ^ (x >> U(32)), at)
+            out[:, band] = (out[:, band] ^ low) * U(0x9E3779B97F4A7C15)
+            out[:, band] ^= out[:, band] >> U(29)
+    return out
+
+
+def links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, both: bool, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of similarity `least` that join the classes given by label; with both, only pairs of unlike sides are tried."""
+    size = np.array([len(s) for s in sets])
+    at = np.cumsum(size) - size
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.unique(label, return_inverse=True)[1]
+    for i in range(len(sets)):
+        apart = label != label[i]
+        apart[: i + 1] = False
+        if both:
+            apart &= side != side[i]
+        if not apart.any():
+            continue
+        own = np.zeros(len(known), bool)
+        own[flat[at[i] : at[i] + size[i]]] = True
+        shared = np.add.reduceat(own[flat].astype(np.int64), at)
+        for j in np.flatnonzero(apart & (shared >= least * (size + size[i] - shared) - 1e-9)):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield i, int(j)
+
+
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_each: int = 5, least: float = 0.8, bands: int = 16, each: int = 4, batch_bytes: int = 2 << 20, room: int = 200_000) -> DataFrame:
+    """(id, component_id), a row per row of docs with an id: the smallest id reachable over links of similarity `least`.
+
+    Similarity is that of the sets of word shingles; case of ASCII letters and kind of white space don't count.
+    Equal texts are one node. A pair of similarity s is a candidate with probability 1 - (1 - s ** each) ** bands,
+    0.9998 at 0.8, and links only if its sets say so. Members of a bucket meet its smallest first, then, where a
+    bucket still has several components, each other, in groups of about `room` shingles. Null and wordless
+    texts are copies of each other.
+    """
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"))
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        for whole in batches:
+            for batch in by_bytes(whole, "t", batch_bytes):
+                yield batch, [b" ".join((t or b"").translate(LOWER).split()) for t in batch.column("t").cast(pa.binary()).to_pylist()]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in texts_of(batches):
+            key = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            sets, keys = shingle_sets(texts, words_each), [None] * len(texts)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            if some:
+                for i, k in zip(some, band_keys([sets[i] for i in some], bands, each).view(np.int64).tolist(), strict=True):
+                    keys[i] = k
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "key", "keys"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in texts_of(batches):
+            key = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            sets = [s.view(np.int64) for s in shingle_sets(texts, words_each)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "key", "set"])
+
+    signed = write_table(rows.mapInArrow(sign, "id long, key binary, keys array<long>"), "near-keys")
+    nodes = write_table(signed.groupBy("key").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "near-nodes")
+    buckets = nodes.select("node", "key", F.posexplode("keys").alias("band", "h"))
+    shared = buckets.groupBy("band", "h").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
+    met = write_table(buckets.join(shared, ["band", "h"]), "near-buckets")
+    asked = met.select("node", "key").distinct()
+    some = rows.join(asked.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(spell, "node long, key binary, set array<long>")
+    sets = write_table(some.join(asked, ["node", "key"], "left_semi").dropDuplicates(["node", "key"]).drop("key"), "near-sets")
+
+    pairs = met.where("node <> first").select("node", "first").distinct()
+    pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("first"), F.col("set").alias("other")), "first")
+    n = F.size(F.array_intersect("set", "other"))
+    alike = pairs.where(n >= least * (F.size("set") + F.size("other") - n) - 1e-9).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    stars = write_table(alike, "near-stars")
+    label = star_components(stars)
+    left = met.join(label, "node", "left").select("band", "h", "node", F.coalesce("component", "node").alias("c"))
+    open_ = left.groupBy("band", "h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band", "h")
+    left = left.join(open_, ["band", "h"]).join(sets, "node")
+    chunks = left.groupBy("band", "h").agg(F.ceil(F.sum(F.size("set")) / room).cast("int").alias("chunks"))
+    left = left.join(chunks, ["band", "h"]).withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    left = left.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("i", F.least("o", "own")).withColumn("j", F.greatest("o", "own"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, c, side = (group.column(x).to_numpy() for x in ("node", "c", "own"))
+        found = list(links([np.asarray(s.values) for s in group.column("set")], c, side, group.column("i")[0] != group.column("j")[0], least))
+        return pa.table({"a": pa.array([int(node[a]) for a, _ in found], pa.int64()), "b": pa.array([int(node[b]) for _, b in found], pa.int64())})
+
+    more = left.select("band", "h", "i", "j", "node", "c", "own", "set").groupBy("band", "h", "i", "j").applyInArrow(compare, "a long, b long")
+    label = write_table(star_components(stars.unionByName(more)), "near-labels")
+    named = nodes.join(label, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    return signed.join(named, "key").select(F.col("id").alias(id_column), "component_id")

@@ -19,15 +19,14 @@ from traceloom.llm.xxh import xxh64_ranges
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhashes(texts: list[bytes], words_each: int = 3, chunk: int = 20_000) -> np.ndarray:
-    """Fingerprints (uint64) of texts: a bit is set where over half of the shingle hashes have it."""
+def shingle_hashes(texts: list[bytes], words_each: int, chunk: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, hash) of the shingles, in order, some at a time; a text of fewer words is one shingle."""
     words, ends = [], [0]
     for t in texts:
         words += t.translate(LOWER).split()  # ASCII white space
         ends.append(len(words))
-    out = np.zeros(len(texts), np.uint64)
     if not words:
-        return out
+        return
     joined = b" ".join(words)
     del words
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
@@ -35,17 +34,23 @@ def simhashes(texts: list[bytes], words_each: int = 3, chunk: int = 20_000) -> n
     first, n_words = np.array(ends[:-1]), np.diff(ends)
     n_shingles = np.where(n_words > 0, np.maximum(n_words - words_each + 1, 1), 0)
     offset = np.concatenate([[0], np.cumsum(n_shingles)])
-    ones = np.zeros((len(texts), 64), np.int64)
     for lo in range(0, int(offset[-1]), chunk):
         k = np.arange(lo, min(lo + chunk, int(offset[-1])))
         doc = np.searchsorted(offset, k, side="right") - 1
         word = first[doc] + k - offset[doc]
         last = np.minimum(word + words_each, first[doc] + n_words[doc]) - 1
         base = begin[word[0]]
-        h = xxh64_ranges(joined[base : stop[last[-1]]], begin[word] - base, stop[last] - base)
+        yield doc, xxh64_ranges(joined[base : stop[last[-1]]], begin[word] - base, stop[last] - base)
+
+
+def simhashes(texts: list[bytes], words_each: int = 3, chunk: int = 20_000) -> np.ndarray:
+    """Fingerprints (uint64) of texts: a bit is set where over half of the shingle hashes have it."""
+    ones, n_shingles = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    for doc, h in shingle_hashes(texts, words_each, chunk):
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at = np.flatnonzero(np.diff(doc, prepend=-1))
         ones[doc[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        n_shingles[doc[at]] += np.diff(np.append(at, len(doc)))
     over = (2 * ones > n_shingles[:, None]).astype(np.uint8)
     return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
