@@ -371,6 +371,22 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_class_words_of_wrappers():
+    """Class words of wrappers, states and headings cut no article; those of comments and asides still do."""
+    body = "<h1>Title</h1><p>A paragraph of the article, long enough to win.</p><p>And one more paragraph of it.</p>"
+    want = "Title\nA paragraph of the article, long enough to win.\nAnd one more paragraph of it."
+    rest = '<div class="sidebar"><p>Aside</p></div><div id="comments" class="comments-area"><p>A comment</p></div>'
+    pages = [
+        f'<div class="content-sidebar-wrap"><main>{body}</main>{rest}</div>', f'<div class="site no-sidebar"><div class="entry">{body}</div>{rest}</div>', f'<article class="post comments-open">{body}</article>{rest}',
+        f'<article><div class="post-header"><h1>Title</h1></div>{body[14:]}</article>{rest}', f'<div class="form"><div>{body}</div></div>', f'<div class="sidebar-left side"><div><article>{body}</article></div></div>{rest}',
+    ]
+    for p in pages:
+        page = html_text.parse(f"<html><body>{p}</body></html>")
+        own = html_text.best_container(page)
+        assert own and html_text.text_by(page, [own[0]]) == want, p
+    assert html_text.kept_blocks(html_text.parse(f"<p>text</p>{rest}"))[0][0] == "text" and len(html_text.kept_blocks(html_text.parse(f"<p>text</p>{rest}"))) == 1
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 

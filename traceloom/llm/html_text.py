@@ -31,6 +31,11 @@ WORDS = frozenset(
     " recommended recommendations toolbar pagination pager skip".split()
 )
 CONTENT = frozenset("article main".split())
+#: Before or after such a word (no-sidebar, comments-open) a class name tells the layout or state of a page, not what its element is.
+BEFORE, AFTER = frozenset("no not has have with without hide show is".split()), frozenset("open closed enabled disabled".split())
+#: With such a word, a wrapper (content-sidebar-wrap) holds the article too, and a header (post-header) its heading.
+OWN = frozenset("article content entry main post story".split())
+WRAP = frozenset("wrap wrapper layout container".split())
 #: Class names of elements that hold an article with its heading.
 BODY = re.compile(r"\b(?:article|body|content|entry|main|post|story|text)\b")
 #: An open element of the key ends where one of the values begins.
@@ -50,11 +55,15 @@ class Node:
     link_chars: int = 0
     links: int = 0
     kept: int = 0
+    hard: bool = False  # out by its tag or role, or below such an element
+    soft: bool = False  # has a class or id word of WORDS
+    freed: bool = False  # holds the main element or most of the text, as an article
 
 
 @dataclass
 class Page:
     nodes: list[Node] = field(default_factory=list)
+    every: list[Node] = field(default_factory=list)
     blocks: list[tuple[str, Node]] = field(default_factory=list)
 
 
@@ -68,10 +77,40 @@ def names(attributes: str) -> tuple[list[str], set[str], str]:
             continue
         if name.lower() == "class":
             classes += [re.sub(r"\d+", "#", c) for c in value.lower().split()]
-        words |= set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+        for one in value.split():
+            words |= told(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()))
     return sorted(set(classes)), words, role
 
 
+def told(name: list[str]) -> set[str]:
+    """Words of one class or id name that tell what the element is."""
+    if BEFORE & set(name[:-1]) or (name and name[-1] in AFTER) or (OWN & set(name) and WRAP & set(name)):
+        return set()
+    return set(name) - {"header"} if OWN & set(name) else set(name)
+
+
+def settle(page: Page) -> None:
+    """Decides what is out: class words don't cut an element that holds main, or an article with most of the text;
+    if they would cut all text of the page, they cut none, and only lower the score."""
+    plain = sum(len(t) for t, n in page.blocks if not n.hard)
+    for n in page.every:
+        if n.tag == "main" or (n.tag == "article" and not n.soft and 2 * n.chars > plain):
+            up = None if n.hard else n
+            while up and not up.freed:
+                up.freed, up = True, up.parent
+    for n in page.every:
+        n.out = n.hard or n.parent.out or (n.soft and not n.freed)
+    if not kept_blocks(page):
+        for n in page.every:
+            n.soft = n.soft or n.parent.soft
+            n.out = n.hard
+    for t, n in kept_blocks(page):
+        up = n
+        while up:
+            up.kept += len(t)
+            up = up.parent
+
+
 def parse(html: str) -> Page:
     """Blocks of text in page order, each with the element that holds it; markup, scripts and comments are gone."""
     page = Page()
@@ -89,7 +128,6 @@ def parse(html: str) -> Page:
             while up:
                 up.chars += len(block)
                 up.link_chars += min(linked[0], len(block))
-                up.kept += 0 if node.out else len(block)
                 up = up.parent
         linked[0] = 0
 
@@ -141,13 +179,17 @@ def parse(html: str) -> Page:
         up = stack[-1]
         classes, words, role = names(m[3]) if "=" in m[3] else ([], set(), "")
         inside = up.inside or tag in CONTENT or role in ("main", "article")
-        out = up.out or tag in OUT or (tag == "header" and not up.inside) or (tag not in ("html", "body", "main") and bool(words & WORDS)) or role in ROLES
+        hard = up.hard or tag in OUT or (tag == "header" and not up.inside) or role in ROLES
+        soft = tag not in ("html", "body", "main") and bool(words & WORDS)
+        out = up.out or hard or soft
         if tag in BLOCK or out != up.out:
             holder = next(n for n in reversed(stack) if n.tag in BLOCK or not n.tag)
             node = Node(tag, f"{holder.path}>{'.'.join([tag, *classes])}" if holder.path else ".".join([tag, *classes]), up, out, inside)
             page.nodes.append(node)
         else:
             node = Node(tag, up.path, up, out, inside)
+        node.hard, node.soft = hard, soft
+        page.every.append(node)
         if tag == "a":
             links += 1
             for n in stack:
@@ -155,6 +197,7 @@ def parse(html: str) -> Page:
         if not m[3].endswith("/") or tag in BLOCK:
             stack.append(node)
     end_block()
+    settle(page)
     return page
 
 
@@ -172,7 +215,7 @@ def best_container(page: Page) -> tuple[str, float] | None:
         own = n
         while own.parent and own.tag in LEAVES:
             own = own.parent
-        plain = len(t) * (1 - n.link_chars / max(1, n.chars))
+        plain = len(t) * (1 - n.link_chars / max(1, n.chars)) * (0.1 if n.soft and not n.freed else 1)
         for share in (1.0, 0.5):
             own.score += plain * share
             if best is None or own.score > best.score:
