@@ -426,6 +426,22 @@ def test_repeats_of_odd_rows(odd, empty):
     assert repeats.drop_repeats(empty).count() == 0
 
 
+def test_repeats_deals_rows_out():
+    """Texts of one id go to many parts."""
+    th = np.array([zlib.crc32(f"text {i}".encode()) for i in range(400)], np.int64)
+    assert len(set(repeats.part_of(np.full(400, 7), th, 16).tolist())) == 16
+
+
+def test_repeats_of_rows_without_id(spark):
+    """Rows without an id meet no other rows: they are cut in the tasks that read them."""
+    df = spark.createDataFrame([(None, TEXT * 3 + str(i)) for i in range(40)] + [(1, TEXT), (2, TEXT)], "doc_id long, text string")
+    out = repeats.drop_repeats(df, part_bytes=50)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow alone" in plan
+    got = rows(out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+    assert got == brute_repeats([(r["doc_id"], r["text"].encode()) for r in df.collect()])
+
+
 def test_long_texts_in_pieces():
     rng = random.Random(8)
     big = "".join(rng.choice("abcdefgh ") for _ in range(5000)).encode()

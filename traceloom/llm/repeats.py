@@ -135,11 +135,12 @@ LONGS = pa.list_(pa.int64())
 FOUND_FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("x", LONGS), ("y", LONGS)]
 
 
-def part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (mixed(doc.astype(U)) % U(parts)).astype(np.int64)
+def part_of(doc: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
+    """By id and text hash, so that different texts of one id are dealt out too."""
+    return (mixed(mixed(doc.astype(U)) ^ th.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, cap: int = 50_000, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 16 << 20, cap: int = 50_000, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
@@ -157,10 +158,12 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     character, so kept is binary; with as_text it is a string without the bytes of cut characters.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts  # of anchors; a bucket sends each part a few rows at most
     reach = window - gram
     slim = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"))
+    if not parts:  # a part holds its texts whole
+        held = slim.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // part_bytes))
+    buckets = 2 * parts  # of anchors; a bucket sends each part a few rows at most
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -179,7 +182,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             known[order] = (own[doc[order]] > own[doc[leader]]) & (h[order] == h[leader]) & (around[order] == around[leader])
             by = np.lexsort((at[known], doc[known]))
             d, lo, hi = merged(doc[known][by], np.maximum(at[known][by] - reach, 0), at[known][by] + window)
-            rows = [r | {"bucket": r["part"]} for r in rows_of(COVERED, part_of(own[d], parts), own[d], th[d], lo, hi)]
+            rows = [r | {"bucket": r["part"]} for r in rows_of(COVERED, part_of(own[d], th[d], parts), own[d], th[d], lo, hi)]
             doc, at, h, around = doc[~known], at[~known], h[~known], around[~known]
             bucket = (h >> U(1)) % U(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -223,20 +226,23 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 first = np.append(True, (np.diff(h) != 0) | (np.diff(around) != 0))
                 leader = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
                 later = doc > doc[leader]
-                rows += rows_of(AROUND, part_of(doc[later], parts), doc[later], th[later], at[later], np.zeros(0, np.int64))
+                rows += rows_of(AROUND, part_of(doc[later], th[later], parts), doc[later], th[later], at[later], np.zeros(0, np.int64))
                 keep = ~later
                 doc, th, at, h = doc[keep], th[keep], at[keep], h[keep]
                 run = np.cumsum(np.diff(h, prepend=h[0] - 1) != 0) - 1
                 start = np.flatnonzero(np.diff(run, prepend=-1))
                 several = (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start))[run]
-                rows += rows_of(ASKED, part_of(doc[several], parts), doc[several], th[several], at[several], h[several])
+                rows += rows_of(ASKED, part_of(doc[several], th[several], parts), doc[several], th[several], at[several], h[several])
         return table(rows, FOUND_FIELDS)
 
     found = write_table(slim.mapInArrow(sample, sample_schema).groupBy("bucket").applyInArrow(meet, FOUND), "repeats")
     def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("__id")
-            own = part_of(ids.fill_null(0).to_numpy(), parts)
+            if "th" in batch.schema.names:
+                th = batch.column("th").to_numpy()
+            else:
+                th = np.array([zlib.crc32(t or b"") for t in batch.column("__t").cast(pa.binary()).to_pylist()], np.int64)
+            own = part_of(batch.column("__id").to_numpy(), th, parts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*batch.schema.names, "__part"])
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -250,7 +256,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             cuts = np.append(np.flatnonzero(np.append(True, (np.diff(doc[by]) != 0) | (np.diff(th[by]) != 0))), len(by))
             spans = {(int(doc[by[a]]), int(th[by[a]])): by[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
             done = set()
-            for d, t in zip(texts.column("__id").to_pylist(), texts.column("t").cast(pa.binary()).to_pylist(), strict=True):
+            for d, t in zip(texts.column("__id").to_pylist(), texts.column("__t").cast(pa.binary()).to_pylist(), strict=True):
                 if t is None or (key := (d, zlib.crc32(t))) in done or key not in spans:
                     continue
                 done.add(key)
@@ -263,7 +269,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
 
     asked = found.where(F.col("kind") == ASKED).select(F.col("part").alias("__part"), "doc", "th", "x", "y")
-    texts = dealt(slim.select(F.col("id").alias("__id"), "t"))
+    texts = dealt(slim.select(F.col("id").alias("__id"), F.col("t").alias("__t")))
     near = write_table(texts.groupBy("__part").cogroup(asked.groupBy("__part")).applyInArrow(look, "h long, doc long, th long, at long, lead int, ctx binary"), "surroundings")
     many = near.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > cap).select("h")
 
@@ -304,7 +310,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 most[hit] = before
             # all windows of an anchor overlap, so what they cover is one range
             hit = np.flatnonzero(most >= 0)
-            rows = list(rows_of(COVERED, part_of(doc[hit], parts), doc[hit], th[hit], at[hit] - most[hit], at[hit] - least[hit] + window))
+            rows = list(rows_of(COVERED, part_of(doc[hit], th[hit], parts), doc[hit], th[hit], at[hit] - most[hit], at[hit] - least[hit] + window))
         return table(rows, FOUND_FIELDS)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,8 +367,15 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         columns = {f.name: texts.column(f.name) for f in own_columns}
         return pa.table(columns | {n: pa.array(v, k) for (n, _, k), v in zip(fields, made, strict=True)})
 
-    whole = dealt(docs.select(*(f.name for f in own_columns), F.col(id_column).cast("long").alias("__id"), F.col(text).alias("__t")))
-    return whole.groupBy("__part").cogroup(marks.groupBy("__part")).applyInArrow(cut, T.StructType([*own_columns, *(T.StructField(n, t) for n, t, _ in fields)]))
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "__t", batch_bytes):
+                yield from cut(pa.Table.from_batches([batch]), pa.table({})).to_batches()
+
+    out = T.StructType([*own_columns, *(T.StructField(n, t) for n, t, _ in fields)])
+    whole = docs.select(*(f.name for f in own_columns), F.col(id_column).cast("long").alias("__id"), F.col(text).alias("__t"))
+    marked = dealt(whole.where("__id IS NOT NULL")).groupBy("__part").cogroup(marks.groupBy("__part")).applyInArrow(cut, out)
+    return marked.unionByName(whole.where("__id IS NULL").mapInArrow(alone, out))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
