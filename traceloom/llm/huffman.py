@@ -59,17 +59,24 @@ def tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return symbol, size, top
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, step: int) -> tuple[bytes, np.ndarray]:
-    """The bits of ids, and the bit at which every step-th id begins."""
+def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, step: int, counts: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+    """The bits of ids, and the bit at which every step-th id of a document begins; counts: the ids of each document
+    (default: all are one), each of which begins at a byte."""
     n = lengths[ids].astype(np.int64)
-    end = np.cumsum(n)
-    begin = end - n
+    begin = np.cumsum(n) - n
+    counts = np.array([len(ids)]) if counts is None else counts
+    first = np.cumsum(counts) - counts
+    last_bit = np.append(0, np.cumsum(n))
+    bits = last_bit[first + counts] - last_bit[first]
+    size = (bits + 7) >> 3
+    begin += np.repeat(8 * (np.cumsum(size) - size) - last_bit[first], counts)
+    word, words = begin >> 5, (8 * int(size.sum()) >> 5) + 2
     shifted = codes[ids] << (64 - n - (begin & 31)).astype(np.uint64)
-    word, words = begin >> 5, int(end[-1] >> 5) + 2 if len(ids) else 1
     high = np.bincount(word, weights=(shifted >> np.uint64(32)).astype(np.float64), minlength=words)
     low = np.bincount(word + 1, weights=(shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=words)
-    bits = (high + low[: len(high)]).astype(np.uint64).astype(">u4").tobytes()
-    return bits[: (int(end[-1]) + 7) // 8 if len(ids) else 0], begin[::step].astype(np.int32 if not len(ids) or end[-1] < 2**31 else np.int64)
+    packed = (high[:words] + low[:words]).astype(np.uint64).astype(">u4").tobytes()
+    marked = (np.arange(len(ids)) - np.repeat(first, counts)) % step == 0
+    return packed[: int(size.sum())], begin[marked]
 
 
 def unpack(bits: bytes, begin: np.ndarray, counts: np.ndarray, symbol: np.ndarray, size: np.ndarray, top: int) -> np.ndarray:

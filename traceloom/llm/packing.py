@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.batches import by_bytes
 from traceloom.llm.store import write_table
 from traceloom.llm.subwords import BYTES, encoder
+from traceloom.llm.token_files import binaries, with_end
 
 
 def best_two_fit(counts: np.ndarray) -> list[tuple[list[int], int]]:
@@ -80,27 +83,38 @@ def places(patterns: list[tuple[list[int], int]], room: int) -> dict[int, tuple[
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in runs.items()}
 
 
-def token_pieces(docs: DataFrame, room: int, id_column: str, text: str, model_path: str, end_id: int, with_ids: bool, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): a document's ids and the end id, cut into pieces of `room`
-    ids if there are more; the first piece has the rest of the division."""
+def token_pieces(docs: DataFrame, room: int, id_column: str, text: str, model_path: str, end_id: int, with_ids: bool, batch_bytes: int = 8 << 20, part_pieces: int = 1 << 16) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids], part): a document's ids and the end id, cut into pieces of `room`
+    ids if there are more; the first piece has the rest of the division. A part is a run of about `part_pieces`
+    pieces of a task."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, end = encoder(model_path), np.array([end_id], "<u4").tobytes()
+        model, part, held = encoder(model_path), TaskContext.get().partitionId() << 24, 0
         for whole in batches:
             for batch in by_bytes(whole, "t", batch_bytes):
-                rows = []
-                for d, raw in zip(batch.column("doc_id").to_pylist(), model.encode([t or "" for t in batch.column("t").to_pylist()]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    cuts = [0, *range(n % room or room, n, room), n] if n > room else [0, n]
-                    rows += [(d, i, a, b - a, zlib.crc32(own := raw[4 * a : 4 * b]), *([own] if with_ids else [])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)]
-                columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                ids, n = with_end(*model.encode(batch.column("t")), end_id)
+                raw = ids.astype("<u4", copy=False)
+                times = -(-n // room)
+                row = np.repeat(np.arange(len(n)), times)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                end = (n - (times - 1) * room)[row] + piece * room
+                start = np.maximum(end - room, 0)
+                at = (np.cumsum(n) - n)[row] + start
+                data = memoryview(raw.tobytes())
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + end - start).tolist(), strict=True)]
+                for lo in range(0, len(row), part_pieces):
+                    some = slice(lo, lo + part_pieces)
+                    made = [batch.column("doc_id").take(pa.array(row[some])), pa.array(piece[some].astype(np.int32)), pa.array(start[some]), pa.array((end - start)[some]), pa.array(crc[some], pa.int64())]
+                    if with_ids:
+                        made.append(binaries(raw[int(at[lo]) : int((at + end - start)[some][-1])], (end - start)[some]))
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(made)]
+                    if held and held + len(made[1]) > part_pieces:
+                        part, held = part + 1, 0
+                    held += len(made[1])
+                    yield pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(made[1]), part))], names=[*names, "part"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", part long")
 
 
 def pack_documents(docs: DataFrame, room: int = 2048, id_column: str = "doc_id", text: str = "text", model_path: str = BYTES, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -110,46 +124,38 @@ def pack_documents(docs: DataFrame, room: int = 2048, id_column: str = "doc_id",
     Only documents of over `room` ids (with the end id) are cut. Pieces of one length are alike, so the number
     of pieces of each length, at most `room` numbers, decides all sequences; a piece takes the place of its
     rank among those of its length, which is counted within the pieces of a written part and then over the
-    parts, so no length, however common, meets in one task. Null and empty texts hold the end id alone; rows
-    that repeat an id are packed each; an empty table gives an empty result.
+    parts, so no length, however common, meets in one task: each part, of a bounded number of pieces, is read
+    together with its own at most `room` first ranks. Null and empty texts hold the end id alone; rows that
+    repeat an id are packed each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    pieces = token_pieces(docs, room, id_column, text, model_path, end_id, with_ids)
-    pieces = write_table(pieces.withColumn("part", F.spark_partition_id()), "pieces")
-    per_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    per_part = write_table(per_part, "piece-counts")
+    pieces = write_table(token_pieces(docs, room, id_column, text, model_path, end_id, with_ids), "pieces")
+    per_part = write_table(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = np.zeros(room + 1, np.int64)
     for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row per length
         counts[r["length"]] = r["n"]
     held = spark.sparkContext.broadcast(places(best_two_fit(counts), room))  # bounded by the lengths, not by the pieces
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row per part
     first = per_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("first"))
-    keys = [c for c in pieces.columns if c != "ids"]
-    local = F.row_number().over(Window.partitionBy("part", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.select(*keys).withColumn("local", local).join(first, ["part", "length"])
-    ranked = ranked.select(*(c for c in keys if c != "part"), (F.col("first") + F.col("local")).alias("rank"))
-    names = [c for c in keys if c != "part"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for n in np.unique(length):
-                at = np.flatnonzero(length == n)
-                begin, base, off = held.value[int(n)]
-                run = np.searchsorted(begin, rank[at], side="right") - 1
-                sequence[at], offset[at] = base[run] + rank[at] - begin[run], off[run]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(*names).schema)
-    placed = ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
-    if not with_ids:
-        return placed
-    # rows alike in all four are copies, and each copy is as good as another
-    alike = ["doc_id", "piece", "length", "ids_crc32"]
-    copy = F.row_number().over(Window.partitionBy(*alike).orderBy("start"))
-    ids = pieces.withColumn("copy", copy).select(*alike, "copy", "ids")
-    return placed.withColumn("copy", copy).join(ids.withColumnsRenamed({c: f"i_{c}" for c in [*alike, "copy"]}), [F.col(c).eqNullSafe(F.col(f"i_{c}")) for c in [*alike, "copy"]]).drop("copy", *(f"i_{c}" for c in [*alike, "copy"]))
+    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def place(group: pa.Table, ranks: pa.Table) -> pa.Table:
+        length = group.column("length").to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        order = pc.sort_indices(group, [(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")]).to_numpy().astype(np.int64)
+        starts = dict(zip(ranks.column("length").to_pylist(), ranks.column("first").to_pylist(), strict=True))
+        cuts = np.append(np.flatnonzero(np.diff(length[order], prepend=-1)), len(order))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            at, n = order[a:b], int(length[order[a]])
+            begin, base, off = held.value[n]
+            rank = starts[n] + np.arange(b - a)
+            run = np.searchsorted(begin, rank, side="right") - 1
+            sequence[at], offset[at] = base[run] + rank - begin[run], off[run]
+        return group.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    names = [*keys, *(["ids"] if with_ids else [])]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*names).schema)
+    return pieces.select(*names, "part").groupBy("part").cogroup(first.groupBy("part")).applyInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
