@@ -1,4 +1,4 @@
-"""Passages that repeat across documents: suffixes at sampled places, compared by polynomial prefix hashes."""
+"""Passages that repeat across documents: a suffix sort, by polynomial prefix hashes, of the suffixes near sampled places."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from traceloom.llm.batches import by_bytes
 from traceloom.llm.store import write_table
+from traceloom.llm.suffixes import Suffixes
 
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
@@ -140,17 +141,18 @@ def part_of(doc: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(mixed(doc.astype(U)) ^ th.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 16 << 20, cap: int = 50_000, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 16 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
     has an anchor, the place of its smallest gram hash, so its copies meet at the hash of that gram:
-    anchors equal in gram and surroundings (two independent hashes, 128 bits) have all their windows in
-    common, and only the smallest document of each such class is compared further: its windows are sorted by
-    the hash of their `window`-byte prefix, which decides a common extension of that length in one
-    comparison, and equal hashes are verified on the bytes. Classes are formed in each batch before the
-    shuffle, so a passage in any share of the documents stays one record a batch; anchors with over `cap`
-    different surroundings are compared by Spark's own aggregation of the windows.
+    anchors equal in gram and surroundings (two independent hashes, 128 bits; verified on the bytes within a
+    batch) have all their windows in common, and only the smallest document of each such class goes on: the
+    suffixes that begin up to window - gram bytes before the anchors of a gram are merge sorted, each
+    comparison finding the common extension by binary search over polynomial prefix hashes, and neighbours
+    with `window` common bytes, verified on the bytes, are copies. Classes are formed in each batch before the
+    shuffle, so a passage in any share of the documents stays one record a batch; a hot gram, with over `cap`
+    different surroundings, is split by its windows and aggregated by Spark.
 
     Null texts count as empty; texts shorter than a window stay whole. Rows with a null id keep their text and
     take part in nothing; rows with one id are one document for "smaller" and each gets its own result; the
@@ -165,6 +167,20 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // part_bytes))
     buckets = 2 * parts  # of anchors; a bucket sends each part a few rows at most
 
+    def alike(raw: list[bytes], doc: np.ndarray, at: np.ndarray, doc2: np.ndarray, at2: np.ndarray) -> np.ndarray:
+        """Whether the surroundings of each pair of anchors are the same, on the bytes."""
+        data = np.frombuffer(b"".join(raw) + bytes(window), np.uint8)
+        size = np.array([len(t) for t in raw])
+        base, out = np.cumsum(size) - size, np.zeros(len(doc), bool)
+        for lo in range(0, len(doc), 50_000):
+            d, a, d2, a2 = (x[lo : lo + 50_000] for x in (doc, at, doc2, at2))
+            left, right = np.minimum(a, reach), np.minimum(size[d] - a, window)
+            span = np.arange(-reach, window)
+            outside = (span < -left[:, None]) | (span >= right[:, None])
+            same = data[np.maximum((base[d] + a)[:, None] + span, 0)] == data[np.maximum((base[d2] + a2)[:, None] + span, 0)]
+            out[lo : lo + 50_000] = (same | outside).all(axis=1) & (left == np.minimum(a2, reach)) & (right == np.minimum(size[d2] - a2, window))
+        return out
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
 
@@ -180,6 +196,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             leader = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             known = np.zeros(len(doc), bool)
             known[order] = (own[doc[order]] > own[doc[leader]]) & (h[order] == h[leader]) & (around[order] == around[leader])
+            some, of = order[known[order]], leader[known[order]]
+            known[some[~alike(raw, doc[some], at[some], doc[of], at[of])]] = False  # a collision is no copy
             by = np.lexsort((at[known], doc[known]))
             d, lo, hi = merged(doc[known][by], np.maximum(at[known][by] - reach, 0), at[known][by] + window)
             rows = [r | {"bucket": r["part"]} for r in rows_of(COVERED, part_of(own[d], th[d], parts), own[d], th[d], lo, hi)]
@@ -271,7 +289,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     asked = found.where(F.col("kind") == ASKED).select(F.col("part").alias("__part"), "doc", "th", "x", "y")
     texts = dealt(slim.select(F.col("id").alias("__id"), F.col("t").alias("__t")))
     near = write_table(texts.groupBy("__part").cogroup(asked.groupBy("__part")).applyInArrow(look, "h long, doc long, th long, at long, lead int, ctx binary"), "surroundings")
-    many = near.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > cap).select("h")
+    many = write_table(near.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > cap).select("h"), "many")
 
     def windows_of(lead: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, first byte in its surroundings) of each window that holds the anchor."""
@@ -280,7 +298,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
     def compare(group: pa.Table) -> pa.Table:
-        """Windows that hold their anchor at the same place are compared at a time: one per row."""
+        """The suffixes that begin at most `reach` bytes before each anchor are sorted; neighbours with `window` common bytes are copies."""
         rows = []
         if group.num_rows:
             h, doc, th, at, lead = (group.column(c).to_numpy() for c in ("h", "doc", "th", "at", "lead"))
@@ -288,26 +306,30 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             tail = np.array([len(r) for r in raw]) - lead  # bytes from the anchor on
             # one row each, with the anchors below each other
             data = np.frombuffer(b"".join((bytes(reach - n) + r).ljust(reach + window, b"\0") for n, r in zip(lead.tolist(), raw, strict=True)), np.uint8).reshape(-1, reach + window)
-            base, top = BASES[0], U(pow(int(BASES[0]), window - 1, 2**64))
-            value, own = np.zeros(len(data), U), mixed(h.view(U))
-            for c in range(reach + window - 1, reach - 1, -1):
-                value = VALUES[0][data[:, c]] + base * value
+            suffixes = Suffixes(data, window)
             most, least = np.full(len(data), -1), np.zeros(len(data), np.int64)
-            for before in range(reach + 1):  # bytes of the window before its anchor
-                c = reach - before
-                if before:
-                    value = VALUES[0][data[:, c]] + base * (value - VALUES[0][data[:, c + window]] * top)
-                whole = np.flatnonzero((lead >= before) & (tail + before >= window))
-                key = mixed(value[whole]) ^ own[whole]
-                by = np.lexsort((doc[whole], key))
-                key, whole = key[by], whole[by]
-                new = np.append(True, np.diff(key) != 0)[: len(key)]
-                leader = whole[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-                later = np.flatnonzero(doc[whole] > doc[leader])
-                hit = [x[(data[whole[x], c : c + window] == data[leader[x], c : c + window]).all(axis=1)] for x in np.array_split(later, len(later) // 50_000 + 1)]
-                hit = whole[np.concatenate(hit)]  # a collision is no copy
-                least[hit] = np.where(most[hit] < 0, before, least[hit])
-                most[hit] = before
+            by = np.lexsort((doc, h))
+            cuts = np.flatnonzero(np.diff(h[by], prepend=h[by[:1]] - 1))
+            stops, lo = np.append(cuts, len(by)), 0
+            while lo < len(by):  # whole grams, some thousand anchors at a time
+                hi = stops[max(np.searchsorted(stops, lo + block, side="right") - 1, np.searchsorted(stops, lo, side="right"))]
+                own = by[lo:hi]
+                n = np.maximum(np.minimum(lead[own], reach) - np.maximum(0, window - tail[own]) + 1, 0)
+                row = np.repeat(own, n)
+                shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.maximum(0, window - tail[own]), n)
+                # suffixes that begin `shift` bytes before the same gram can share a window; within these, documents in order
+                first = np.lexsort((doc[row], shift, h[row]))
+                row, shift = row[first], shift[first]
+                group = np.cumsum(np.append(True, (np.diff(h[row]) != 0) | (np.diff(shift) != 0))[: len(row)])
+                order, kind = suffixes.classes(row, reach - shift, group)
+                row, shift = row[order], shift[order]
+                leader = np.maximum.accumulate(np.where(np.diff(kind, prepend=0) != 0, np.arange(len(row)), 0))
+                hit = doc[row] > doc[row[leader]]
+                np.maximum.at(most, row[hit], shift[hit])
+                low = np.full(len(data), reach + 1)
+                np.minimum.at(low, row[hit], shift[hit])
+                least[own] = np.minimum(low, reach)[own]
+                lo = hi
             # all windows of an anchor overlap, so what they cover is one range
             hit = np.flatnonzero(most >= 0)
             rows = list(rows_of(COVERED, part_of(doc[hit], th[hit], parts), doc[hit], th[hit], at[hit] - most[hit], at[hit] - least[hit] + window))
