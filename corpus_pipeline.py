@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage works on what the one before it kept.
 
 language (op 5) drops documents whose language can't be told; simhash keeps one document of each group of
-near copies (five-word shingles, verified, where op 1 compares fingerprints); repeats (op 10) removes passages that stand in a document of smaller id; mixture (op 4) takes each
+near copies (op 1 over five-word shingles, verified); repeats (op 10) removes passages that stand in a document of smaller id; mixture (op 4) takes each
 document as often as its source's target wants; packing (op 9) puts what is left into sequences.
 """
 
@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from traceloom.llm.language import UNKNOWN, identify
 from traceloom.llm.mixture import mixture
-from traceloom.llm.near_copies import near_copies
 from traceloom.llm.packing import pack_documents
 from traceloom.llm.repeats import drop_repeats
+from traceloom.llm.simhash import simhash_groups
 from traceloom.llm.store import write_table
 
 
@@ -24,9 +24,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group over links of 0.8 of five-word shingles, once; rows without an id belong to no group and stay."""
-    first = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document of each group over links of 0.8 of five-word shingles, that of smallest id, once; texts that
+    share an id are documents of their own; rows without an id belong to no group and stay."""
+    marked = docs.withColumn("__h", F.xxhash64("text"))
+    groups = simhash_groups(marked, words_each=5, least=0.8, keep=["__h"]).where("kept")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc_id", "__h")).alias("x")).select("x.doc_id", "x.__h").distinct()
+    kept = marked.join(first, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

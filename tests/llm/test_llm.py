@@ -1,11 +1,15 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy; odd rows and empty tables."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
@@ -14,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from traceloom.llm import ann, embedding_dedup, html_text, huffman, language, mixture, near_copies, packing, repeats, simhash, subwords, token_counts, token_files
+from traceloom.llm import ann, embedding_dedup, html_text, huffman, language, mixture, packing, repeats, simhash, subwords, suffixes, token_counts, token_files
 from traceloom.llm.components import star_components
 from traceloom.llm.xxh import xxh64_ranges
 
@@ -111,6 +115,11 @@ def test_simhash_of_hot_buckets(spark):
     assert rows(simhash.simhash_groups(df, cap=7)) == want == rows(simhash.simhash_groups(df))
 
 
+def shingles_of(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+
 def test_near_copies(spark):
     """Links of 0.8 of the five-word shingles; two texts of one often repeated line of their own are none."""
     rng = random.Random(9)
@@ -124,13 +133,21 @@ def test_near_copies(spark):
             texts.append(" ".join(w))
     line = "the same line stands here again and again "
     texts += [line * 200 + " ".join(f"{c}{i}" for i in range(60)) for c in "ab"] + [texts[0].upper(), "", None, "one two", "One  two"]
-    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    shingles = [shingles_of(t) for t in texts]
     edges = [(i, j) for i, a in enumerate(shingles) for j in range(i) if len(a & shingles[j]) >= 0.8 * len(a | shingles[j])]
     root = brute_components(edges)
     df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, "x")], "doc_id long, text string")
     want = sorted([(i, root.get(i, i)) for i in range(len(texts))] + [(0, 0)])
-    assert len(root) >= 20 and rows(near_copies.near_copies(df)) == sorted(want, key=repr) == rows(near_copies.near_copies(df, room=2000))
-    assert near_copies.near_copies(df.limit(0)).count() == 0
+    groups = lambda df, **o: simhash.simhash_groups(df, words_each=5, least=0.8, **o)
+    assert len(root) >= 20
+    for room in (200_000, 2000):
+        got = groups(df, room=room).select("doc_id", "component_id", "kept").collect()
+        assert sorted(((r[0], r[1]) for r in got), key=repr) == sorted(want, key=repr)
+        assert sorted(r[0] for r in got if r[2]) == sorted([0, *(i for i in range(len(texts)) if i not in root)])
+    assert groups(df.limit(0)).count() == 0
+    # texts that share an id are nodes of their own
+    same = groups(spark.createDataFrame([(1, texts[0]), (1, texts[10]), (2, texts[0])], "doc_id long, text string"), keep=["text"])
+    assert sorted(((r["doc_id"], r["text"] == texts[0], r["kept"]) for r in same.collect())) == [(1, False, True), (1, True, True), (2, True, False)]
 
 
 # --- 2, 3, 9: tokens ----------------------------------------------------------------------------------------------
@@ -157,7 +174,31 @@ def test_cuts_keep_counts(text, limit):
 def test_pieces_keep_ids(texts):
     for path in (subwords.WORDS, subwords.BYTES):
         e = subwords.encoder(path)
-        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [e.model.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, n = e.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == [e.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_real_texts_keep_ids(sf):
+    """Whole documents, one of them very long, and ones with white space beyond ASCII, in one batch and in small memory."""
+    texts = [t or "" for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()] + [LONG, "日本語 の　文 " * 50, "a\u2003 b \u180e c  d\n\n e\x85 f" * 40, "x" * 5000]
+    for path in (subwords.WORDS, subwords.BYTES):
+        for held in (1000, 1 << 26):
+            e = subwords.Encoder(path, held)
+            assert e.cutting
+            for some in (texts[:100], texts[100:]):
+                ids, n = e.encode(pa.array(some))
+                assert all(x.tolist() == e.model.encode(t, add_special_tokens=False).ids for x, t in zip(np.split(ids, np.cumsum(n)[:-1]), some, strict=True))
+
+
+def test_unknown_model_keeps_texts_whole(tmp_path):
+    """A model whose splitting isn't recognised gets whole texts."""
+    d = json.loads(Path(subwords.BYTES).read_text())
+    d["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    (tmp_path / "m.json").write_text(json.dumps(d))
+    e = subwords.Encoder(str(tmp_path / "m.json"))
+    texts = ["the cat  sat", "", "on the mat"]
+    ids, n = e.encode(pa.array(texts))
+    assert e.cutting == "" and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [e.model.encode(t).ids for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -167,9 +208,10 @@ def test_huffman_round_trip(ids, limit):
     counts = np.bincount(ids, minlength=41)
     lengths = huffman.code_lengths(counts, limit)
     assert lengths.max() <= limit and (len(ids) == 0 or sum(2.0 ** -int(n) for n in lengths if n) <= 1)
-    bits, marks = huffman.pack(ids, huffman.canonical(lengths), lengths, 16)
-    sizes = np.array([min(16, len(ids) - i) for i in range(0, len(ids), 16)], np.int64)
-    assert (huffman.unpack(bits, marks, sizes, *huffman.tables(lengths)) == ids).all()
+    for counts in (None, np.array([len(ids) // 3, 0, len(ids) - len(ids) // 3])):
+        bits, marks = huffman.pack(ids, huffman.canonical(lengths), lengths, 16, counts)
+        sizes = np.array([min(16, n - i) for n in ([len(ids)] if counts is None else counts.tolist()) for i in range(0, n, 16)], np.int64)
+        assert (huffman.unpack(bits, marks, sizes, *huffman.tables(lengths)) == ids).all()
 
 
 def test_token_files(spark, odd, empty, tmp_path):
@@ -409,7 +451,29 @@ def brute_repeats(data, window=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"cap": 0}, {"batch_bytes": 500, "parts": 3}])
+def test_suffix_sort(monkeypatch):
+    """Order and classes against sorting by the bytes, also where all hashes collide."""
+    rng = np.random.default_rng(3)
+    for letters, n in ((2, 300), (1, 40), (200, 100)):
+        data = rng.integers(0, letters, (n, 24)).astype(np.uint8)
+        data[n // 2 :] = data[: n - n // 2]
+        row, at = rng.integers(0, n, 600), rng.integers(0, 12, 600)
+        group = np.sort(rng.integers(0, 9, 600))
+        text = [data[r, p : p + 12].tobytes() for r, p in zip(row, at, strict=True)]
+        for broken in (False, True):
+            s = suffixes.Suffixes(data, 12)
+            if broken:
+                s.sums = np.zeros_like(s.sums)
+            order, kind = s.classes(row, at, group)
+            want = sorted(range(600), key=lambda i: (group[i], text[i]))
+            assert [(group[i], text[i]) for i in order] == [(group[i], text[i]) for i in want] or broken
+            both = [(group[i], text[i]) for i in order]
+            assert all((both[i] == both[i + 1]) == (kind[i] == kind[i + 1]) for i in range(599)) and len(set(both)) == len(set(kind.tolist()))
+            if not broken:
+                assert order.tolist() == want  # stable
+
+
+@pytest.mark.parametrize("options", [{}, {"cap": 0}, {"batch_bytes": 500, "parts": 3}, {"batch_bytes": 500, "block": 1}])
 def test_repeats(spark, options):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(30, 160))) for _ in range(12)]
@@ -464,8 +528,9 @@ def test_pipeline(spark, odd, empty, sf):
         if name == "language":
             assert out.count() >= 0.98 * docs.where("text RLIKE '[a-z]'").count()
         if name == "simhash":
-            want = {c for _, _, c in brute_groups([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])}
-            assert sorted(r["doc_id"] for r in out.collect()) == sorted(want)
+            have = [(r["doc_id"], shingles_of(r["text"])) for r in docs.select("doc_id", "text").collect()]
+            root = brute_components([(a, b) for i, (a, x) in enumerate(have) for b, y in have[:i] if len(x & y) >= 0.8 * len(x | y)])
+            assert sorted(r["doc_id"] for r in out.collect()) == sorted({d for d, _ in have} - set(root)) and root
         if name == "repeats":
             kept = {r[0]: r[4] for r in brute_repeats([(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()])}
             got = {r["doc_id"]: r["text"] for r in out.collect()}

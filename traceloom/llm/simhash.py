@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceloom.llm.batches import added, by_bytes, with_columns
+from traceloom.llm.buckets import complete, deal
 from traceloom.llm.components import star_components
 from traceloom.llm.store import write_table
 from traceloom.llm.xxh import xxh64_ranges
 
+U = np.uint64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -55,14 +58,14 @@ def simhashes(texts: list[bytes], words_each: int = 3, chunk: int = 20_000) -> n
     return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def with_simhash(docs: DataFrame, text: str = "text", column: str = "simhash", batch_bytes: int = 2 << 20) -> DataFrame:
+def with_simhash(docs: DataFrame, text: str = "text", column: str = "simhash", words_each: int = 3, batch_bytes: int = 2 << 20) -> DataFrame:
     """Appends the 64-bit fingerprint as a (signed) long; a text that is null or has no words gets 0."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, text, batch_bytes):
                 texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
-                yield with_columns(batch, {column: pa.array(simhashes(texts).view(np.int64))})
+                yield with_columns(batch, {column: pa.array(simhashes(texts, words_each).view(np.int64))})
 
     return docs.mapInArrow(add, added(docs, [(column, T.LongType())]))
 
@@ -123,43 +126,196 @@ def near_links(prints: DataFrame, column: str = "simhash", most: int = 3, blocks
     keys = [F.col("fp").bitwiseAND(F.lit(signed(sum(mask[i] for i in chosen)))) for chosen in combinations(range(blocks), blocks - most)]
     fps = prints.select(F.col(column).alias("fp")).distinct()
     rows = fps.select("fp", F.posexplode(F.array(*keys)).alias("tab", "key"))
-    large = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap)
-    large = large.select("tab", "key", F.ceil(F.col("n") / cap).cast("int").alias("chunks"))
-    rows = rows.join(large, ["tab", "key"], "left").withColumn("own", F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("fp"), "chunks").cast("int")))
-    spread = F.expr("CASE WHEN chunks IS NULL THEN array(struct(0 AS i, 0 AS j)) ELSE transform(sequence(0, chunks - 1), o -> struct(least(o, own) AS i, greatest(o, own) AS j)) END")
     refs = pivots(n_pivots)
-    rows = rows.select("tab", "key", "fp", F.explode(spread).alias("part")).select("tab", "key", "part.i", "part.j", "fp", F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(refs[0])))).alias("d0"))
-    rows = rows.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "d0", "fp")
+    rows = deal(rows, ["tab", "key"], F.xxhash64("fp"), cap).withColumn("d0", F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(refs[0])))))
+    rows = rows.sortWithinPartitions("tab", "key", "i", "j", "d0", "fp")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part: np.ndarray) -> pa.RecordBatch:
-            new = (np.diff(part[:, :4], axis=0, prepend=part[:1, :4] - 1) != 0).any(axis=1)
-            fp = part[:, 4]
-            a, b = linked_pairs(fp.view(np.uint64), np.cumsum(new), refs, most)
-            return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
-
-        held = np.zeros((0, 5), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("tab", "key", "i", "j", "fp")])])
-            last = np.flatnonzero((held[:, :4] != held[-1, :4]).any(axis=1)) if len(held) else []
-            if len(last):  # all but the last bucket are complete
-                yield found(np.ascontiguousarray(held[: last[-1] + 1]))
-                held = held[last[-1] + 1 :]
-        if len(held):
-            yield found(np.ascontiguousarray(held))
+        for run, (fp,) in complete(batches, ["tab", "key", "i", "j"], ["fp"]):
+            a, b = linked_pairs(fp.view(np.uint64), run, refs, most)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
     return rows.mapInArrow(link, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", most: int = 3, **options) -> DataFrame:
+def shingle_sets(texts: list[bytes], words_each: int) -> list[np.ndarray]:
+    """The different shingle hashes (uint64, sorted) of each text."""
+    parts: list[list[np.ndarray]] = [[] for _ in texts]
+    for doc, h in shingle_hashes(texts, words_each):
+        at = np.flatnonzero(np.diff(doc, prepend=-1))
+        for a, b in zip(at, np.append(at[1:], len(doc)), strict=True):
+            parts[doc[a]].append(h[a:b])
+    return [np.unique(np.concatenate(p)) if p else np.zeros(0, U) for p in parts]
+
+
+def set_prints(sets: list[np.ndarray], chunk: int = 1 << 16) -> np.ndarray:
+    """Fingerprints of sets of shingle hashes: a bit is set where over half of a set has it."""
+    out = np.zeros(len(sets), U)
+    lo = 0
+    while lo < len(sets):
+        hi, held = lo + 1, len(sets[lo])
+        while hi < len(sets) and held + len(sets[hi]) <= chunk:
+            held, hi = held + len(sets[hi]), hi + 1
+        some = [i for i in range(lo, hi) if len(sets[i])]
+        if some:
+            ones = np.zeros((len(some), 64), np.int64)
+            flat, n = np.concatenate([sets[i] for i in some]), np.array([len(sets[i]) for i in some])
+            at = np.cumsum(n) - n
+            for p in range(0, len(flat), chunk):  # of a long text, some shingles at a time
+                bits = np.unpackbits(flat[p : p + chunk].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                own = np.flatnonzero((at < p + chunk) & (at + n > p))
+                ones[own] += np.add.reduceat(bits, np.maximum(at[own] - p, 0), axis=0, dtype=np.int64)
+            out[some] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(U).ravel()
+        lo = hi
+    return out
+
+
+def band_keys(sets: list[np.ndarray], bands: int, each: int) -> np.ndarray:
+    """(texts, bands) of hashes over `each` minima of a band; sets are sorted and not empty.
+
+    The hashes of a set fall into bands x each bins by their size; a bin's value is its least hash, and an empty bin
+    takes that of the first bin that has one in an order of its own, the same for all texts.
+    """
+    bins = bands * each
+    value, filled = np.zeros((len(sets), bins), U), np.zeros((len(sets), bins), bool)
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = doc * bins + ((flat >> U(32)) * U(bins) >> U(32)).astype(np.int64)
+    at = np.flatnonzero(np.diff(cell, prepend=-1))
+    value.ravel()[cell[at]], filled.ravel()[cell[at]] = flat[at], True
+    turns = np.random.default_rng(17).permuted(np.tile(np.arange(bins), (bins, 1)), axis=1)
+    row, col = np.nonzero(~filled)
+    for turn in range(bins):
+        if not len(row):
+            break
+        donor = turns[col, turn]
+        has = filled[row, donor]
+        value[row[has], col[has]] = value[row[has], donor[has]]
+        row, col = row[~has], col[~has]
+    out = np.zeros((len(sets), bands), U)
+    for k in range(bins):
+        out[:, k % bands] = (out[:, k % bands] ^ value[:, k]) * U(0x9E3779B97F4A7C15)
+        out[:, k % bands] ^= out[:, k % bands] >> U(29)
+    return out
+
+
+def similar_pairs(sets: list[np.ndarray], fp: np.ndarray, label: np.ndarray, side: np.ndarray, both: bool, least: float, most: int, n_pivots: int = 24) -> Iterator[tuple[int, int]]:
+    """Pairs of similarity `least` that join the classes given by label; with both, only pairs of unlike sides are tried.
+
+    The table of distances to `n_pivots` of the fingerprints comes first: pairs of which a coordinate differs by
+    over `most` are discarded, then those of which the fingerprints do; the sets verify the others.
+    """
+    size = np.array([len(s) for s in sets])
+    at = np.cumsum(size) - size
+    refs = fp[np.unique(np.linspace(0, len(fp) - 1, n_pivots).astype(int))]
+    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    label = np.unique(label, return_inverse=True)[1]
+    for i in range(len(sets)):
+        apart = label[i + 1 :] != label[i]
+        if both:
+            apart &= side[i + 1 :] != side[i]
+        rest = np.flatnonzero(apart) + i + 1
+        rest = rest[(size[rest] >= least * size[i] - 1e-9) & (size[i] >= least * size[rest] - 1e-9)]
+        rest = rest[(np.abs(table[rest] - table[i]) <= most).all(axis=1)]
+        rest = rest[np.bitwise_count(fp[rest] ^ fp[i]) <= most]
+        if not len(rest):
+            continue
+        own = np.zeros(len(known), bool)
+        own[flat[at[i] : at[i] + size[i]]] = True
+        for j in rest.tolist():
+            if label[j] != label[i] and (shared := int(own[flat[at[j] : at[j] + size[j]]].sum())) >= least * (size[j] + size[i] - shared) - 1e-9:
+                label[label == label[j]] = label[i]
+                yield i, j
+
+
+def similar_groups(docs: DataFrame, id_column: str, text: str, words_each: int, least: float, keep: list[str], most: int = 24, bands: int = 16, each: int = 4, batch_bytes: int = 2 << 20, room: int = 200_000) -> DataFrame:
+    """Groups over links of a shingle similarity of `least`; see simhash_groups."""
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        for whole in batches:
+            for batch in by_bytes(whole, "t", batch_bytes):
+                yield batch, [b" ".join((t or b"").translate(LOWER).split()) for t in batch.column("t").cast(pa.binary()).to_pylist()]
+
+    def key_of(texts: list[bytes]) -> pa.Array:
+        return pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary())
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in texts_of(batches):
+            sets, keys = shingle_sets(texts, words_each), [None] * len(texts)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            if some:
+                for i, k in zip(some, band_keys([sets[i] for i in some], bands, each).view(np.int64).tolist(), strict=True):
+                    keys[i] = k
+            names = [c for c in batch.schema.names if c != "t"]
+            made = [*(batch.column(c) for c in names), key_of(texts), pa.array(set_prints(sets).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=[*names, "key", "fp", "keys"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in texts_of(batches):
+            sets = [s.view(np.int64) for s in shingle_sets(texts, words_each)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), key_of(texts), pa.array(sets, pa.list_(pa.int64()))], names=["least", "key", "set"])
+
+    kept = T.StructType([f for f in rows.schema.fields if f.name != "t"] + [T.StructField("key", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    signed = write_table(rows.mapInArrow(sign, kept), "near-keys")
+    nodes = signed.groupBy("key").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = write_table(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    buckets = nodes.select("node", "least", "key", "fp", F.posexplode("keys").alias("band", "h"))
+    shared = buckets.groupBy("band", "h").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("fp", "node").alias("first_fp")).where("first < last").drop("last")
+    met = write_table(buckets.join(shared, ["band", "h"]), "near-buckets")
+    asked = met.select("node", "least", "key").distinct()
+    some = rows.join(asked.select(F.col("least").alias("id")).distinct(), "id", "left_semi").select("id", "t").mapInArrow(spell, "least long, key binary, set array<long>")
+    sets = write_table(some.join(asked, ["least", "key"]).select("node", "set").dropDuplicates(["node"]), "near-sets")
+
+    # the distance to the first of a bucket is the coordinate of one pivot: it discards what can't be alike
+    pairs = met.where((F.col("node") != F.col("first")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= most)).select("node", "first").distinct()
+    pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("first"), F.col("set").alias("other")), "first")
+    n = F.size(F.array_intersect("set", "other"))
+    alike = pairs.where(n >= least * (F.size("set") + F.size("other") - n) - 1e-9).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    stars = write_table(alike, "near-stars")
+    label = star_components(stars)
+    left = met.join(label, "node", "left").select("band", "h", "node", "fp", F.coalesce("component", "node").alias("c"))
+    open_ = left.groupBy("band", "h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("band", "h")
+    left = left.join(open_, ["band", "h"]).join(sets, "node")
+    chunks = left.groupBy("band", "h").agg(F.ceil(F.sum(F.size("set")) / room).cast("int").alias("chunks"))
+    left = left.join(chunks, ["band", "h"]).withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    left = left.withColumn("o", F.explode(F.expr("sequence(0, chunks - 1)"))).withColumn("i", F.least("o", "own")).withColumn("j", F.greatest("o", "own"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        node, fp, c, side = (group.column(x).to_numpy() for x in ("node", "fp", "c", "own"))
+        found = list(similar_pairs([np.asarray(s.values) for s in group.column("set")], fp.view(U), c, side, group.column("i")[0] != group.column("j")[0], least, most))
+        return pa.table({"a": pa.array([int(node[a]) for a, _ in found], pa.int64()), "b": pa.array([int(node[b]) for _, b in found], pa.int64())})
+
+    more = left.select("band", "h", "i", "j", "node", "fp", "c", "own", "set").groupBy("band", "h", "i", "j").applyInArrow(compare, "a long, b long")
+    label = write_table(star_components(stars.unionByName(more)), "near-labels")
+    named = nodes.select("node", "least", "key", "fp").join(label, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    first = named.groupBy("group").agg(F.min(F.struct("least", "key")).alias("first"))
+    named = named.join(first, "group").select("key", "group", F.col("first.least").alias("component_id"), (F.col("first.key") == F.col("key")).alias("leads"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    stays = (F.col("leads") & (F.col("id") == F.col("component_id"))).alias("kept")
+    return signed.join(named, "key").select(F.col("id").alias(id_column), hexed, "component_id", "group", stays, *(F.col(f"keep_{c}").alias(c) for c in keep))
+
+
+def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words_each: int = 3, most: int = 3, least: float | None = None, keep: list[str] | None = None, **options) -> DataFrame:
     """One row per row of docs: (id, fingerprint as 16 hex digits, component_id).
 
     component_id is the smallest id reachable over links of at most `most` differing bits, itself included;
     rows of one fingerprint are one node, so copies cost nothing. Null and wordless texts share fingerprint
     zero and link like any other. Rows with a null id keep their row and take part, but are no smallest id
     (component_id is null only if all ids reached are null). An empty table gives an empty result.
+
+    With `least`, links are pairs whose sets of word shingles have that Jaccard similarity (case of ASCII letters and
+    kind of white space don't count), each verified on the sets. Fingerprints of such pairs can differ in many bits
+    (about 10 at 0.8), so candidates meet in buckets of minima of shingle hashes; fingerprints, then of the sets,
+    discard candidates through pivot distances and their own, at over 24 bits. A pair of similarity s is a
+    candidate with probability 1 - (1 - s ** 4) ** 16, 0.9998 at 0.8. Members of a bucket meet its first first, then,
+    where a bucket still has several components, each other, in groups of about `room` shingles. Texts of equal words
+    are one node, null and wordless ones too; rows with a null id have no row; the result also has group (a
+    number), kept (true for the copies of one text of smallest id of each group) and the columns named in keep.
     """
-    prints = write_table(with_simhash(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")), "t").select("id", "simhash"), "simhash")
+    if least is not None:
+        return similar_groups(docs, id_column, text, words_each, least, keep or [], **options)
+    prints = write_table(with_simhash(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")), "t", words_each=words_each).select("id", "simhash"), "simhash")
     labels = write_table(star_components(near_links(prints, most=most, **options)), "simhash-labels")
     nodes = prints.groupBy(F.col("simhash").alias("node")).agg(F.min("id").alias("least")).join(labels, "node", "left")
     nodes = nodes.withColumn("component", F.coalesce("component", "node"))
