@@ -34,6 +34,7 @@ def test_limits():
 
 def test_free_sql_only_reads(spark):
     assert api.free_sql(spark, " select ? AS a", [3]).first()[0] == 3
-    for bad in ("DELETE FROM x", "DROP TABLE x", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a"):
+    assert api.free_sql(spark, "WITH a AS (SELECT id FROM range(3)) SELECT count(*) AS n FROM a WHERE id IN (SELECT 1)").first()[0] == 1
+    for bad in ("DELETE FROM x", "DROP TABLE x", "INSERT INTO x SELECT 1", "WITH a AS (SELECT 1) INSERT INTO x SELECT * FROM a", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM (SELECT reflect('java.lang.Math', 'abs', 1))", "SELECT 1 WHERE EXISTS (SELECT * FROM parquet.`/root/testdata`)", "WITH a AS (SELECT * FROM json.`/etc/x`) SELECT * FROM a", "SELECT (SELECT max(try_reflect('a', 'b')) FROM range(3))"):
         with pytest.raises(PermissionError):
             api.free_sql(spark, bad)

@@ -4,7 +4,7 @@ import pytest
 from events import frame, payloads
 from pyspark.sql import functions as F
 
-from traceloom.functions.scalar import fnv1a64, hex_text, ipv4_text, is_private, ns_to_ms, sanitize
+from traceloom.functions.scalar import fnv1a64, hex_text, hextets, ipv4_text, ipv6_text, is_private, ns_to_ms, sanitize
 from traceloom.operators import process, project, security, viewer
 from traceloom.operators.filters import changed_credentials, http_filter, is_noise, keep, min_lifetime, ssl_filter
 from traceloom.operators.http import parse_http, remove_auth
@@ -44,6 +44,30 @@ def test_auth_headers_go(spark):
     assert out[0]["headers"] == {"host": "a"} and out[0]["path"] == "/x"
 
 
+def test_auth_headers_go_from_any_json(spark):
+    """Spaces, escapes and numbers of another writer; headers that are none; a payload that can't be read."""
+    texts = ['{"headers": {"Authorization" : "Bearer t", "Host":"a"}, "n":1.0}', '{"headers":{"X-API-KEY":"a\\u0026b","host":"a"}}', '{"headers":{"token":1.0,"host":"a","n":2.50}}', '{"headers":"x"}', '{"headers":{"token":"t"}, broken', '{"body":"b"}']
+    out = [r["data"] for r in remove_auth(frame(spark, [("http_parser", 1, "a", i + 1, t) for i, t in enumerate(texts)] + [("ssl", 1, "a", 99, texts[0])])).orderBy("timestamp_ns").collect()]
+    assert [json.loads(t) for t in out[:4]] == [{"headers": {"Host": "a"}, "n": 1.0}, {"headers": {"host": "a"}}, {"headers": {"host": "a", "n": 2.5}}, {"headers": "x"}]
+    assert json.loads(out[4]) == {} and json.loads(out[5]) == {"body": "b"} and out[6] == texts[0]
+
+
+def test_ids_are_unique(spark):
+    rows = [ssl(REQUEST, 1), ssl(REQUEST, 2), ssl(CHUNK1, 3), ssl(CHUNK2, 4), *exec_open()]
+    t = project.typed_tables(aggregate_calls(parse_http(merge_sse(frame(spark, rows, True))), "append"))
+    ids = [r["id"] for n in ("events_http", "events_sse", "events_tool_call", "events_ssl") for r in t[n].collect()]
+    assert len(ids) == 6 == len(set(ids))
+
+
+def test_sse_sessions_and_ordinary_bodies(spark):
+    df = frame(spark, [ssl(CHUNK1, 1), ssl(CHUNK2, 2)], True)
+    two = df.unionByName(df.withColumn("session_id", F.lit("s2")))
+    assert sorted(r["session_id"] for r in merge_sse(two).collect()) == ["s1", "s2"]
+    chunked = "HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n1f\r\n{\"a\":\"data: x\"}\r\n0\r\n\r\n"
+    out = merge_sse(frame(spark, [ssl(chunked, 1)], True)).collect()
+    assert [(r["source"], json.loads(r["data"])["data"], r["session_id"], r["stream_seq"]) for r in out] == [("ssl", chunked, "s1", 1)]
+
+
 def test_sse_messages(spark):
     rows = [ssl(CHUNK1, 1_234_567_900), ssl(CHUNK2, 1_234_567_910)]
     (m,) = payloads(merge_sse(frame(spark, rows)))
@@ -136,12 +160,10 @@ def test_noise_paths(spark):
     assert {r[0]: r[1] for r in df.select("p", is_noise(F.col("p"))).collect()} == paths
 
 
-@pytest.mark.parametrize(("expression", "left"), [("len>5", [1]), ("len>=1 & function=READ/RECV", [2, 3]), ("(len=3|len=9)&data~b", [1, 2, 3]), ("data=abc|uid!=7", [2]), ("latency_ms<1.5", [2]), ("nothing=1", [1, 2, 3]), ("data.type=binary", [1, 2]), (r"data=a\r\nb", [1, 2, 3]), ("is_handshake=true", [1, 2]), ("len>x", [1, 2, 3])])
+@pytest.mark.parametrize(("expression", "left"), [("len>5", [1]), ("len>=1 & function=READ/RECV", [2, 3]), ("(len=3|len=9)&data~b", [2, 3]), ("data=abc|uid!=7", [2]), ("latency_ms<1.5", [2]), ("nothing=1", [1, 2, 3]), ("data.type=binary", [1, 2]), (r"data=a\r\nb", [1, 2, 3]), ("is_handshake=true", [1, 2]), ("len>x", [1, 2, 3])])
 def test_ssl_expressions(spark, expression, left):
     rows = [ssl("abc", 1, len=3, function="READ/RECV", uid=7, latency_ms=1.0), ssl("xyz", 2, len=9, uid=7), ssl("a\u0001", 3, len=9, uid=8, latency_ms=1.0, is_handshake=True)]
-    expected = {"len>5": [1], "len>=1 & function=READ/RECV": [2, 3], "(len=3|len=9)&data~b": [2, 3], "data=abc|uid!=7": [2], "latency_ms<1.5": [2], "data.type=binary": [1, 2], "is_handshake=true": [1, 2]}.get(expression, [1, 2, 3])
-    del left
-    assert [r["timestamp_ns"] for r in ssl_filter(frame(spark, rows), [expression]).orderBy("timestamp_ns").collect()] == expected
+    assert [r["timestamp_ns"] for r in ssl_filter(frame(spark, rows), [expression]).orderBy("timestamp_ns").collect()] == left
 
 
 @pytest.mark.parametrize(("expression", "left"), [("/api", [2, 3]), ("method=get", [2, 3]), ("request.path=/api?x=1&y=2", [1, 2, 3]), ("x=1", [2, 3]), ("host=h", [2, 3]), ("response.status=200", [1, 3]), ("resp.status_text=ok", [1, 3]), ("response.server=ng", [1, 3]), ("response.body=", [1]), ("res.body=zz|x=1", [3]), ("response.X-Foo=1", [1, 2, 3])])
@@ -180,6 +202,27 @@ def test_track(spark):
     assert process.track(df).count() == len(rows)
 
 
+def test_track_follows_lives(spark):
+    """A pid that is used again after its EXIT is another process; a child started before its parent was tracked isn't one."""
+    ex = lambda pid, ppid, comm, ns: ("process", pid, comm, ns, {"event": "EXEC", "ppid": ppid, "filename": "/x"})
+    out = lambda pid, ns: ("process", pid, "x", ns, {"event": "EXIT"})
+    opened = lambda pid, ns: ("process", pid, "x", ns, {"event": "FILE_OPEN", "filepath": "/a"})
+    rows = [ex(5, 2, "early", 1), ex(2, 1, "agent", 2), ex(3, 2, "sh", 3), out(3, 4), ex(3, 1, "other", 5), opened(3, 6), ex(4, 3, "of other", 7), opened(2, 8), out(2, 9), ex(6, 2, "orphan", 10), opened(5, 11), opened(7, 12)]
+    assert sorted(r["timestamp_ns"] for r in process.track(frame(spark, rows), comms=["agent"]).collect()) == [2, 3, 4, 8, 9]
+    seeds = spark.createDataFrame([("", 7)], "session_id string, pid long")
+    assert [r["timestamp_ns"] for r in process.track(frame(spark, rows), seeds=seeds).collect()] == [12]
+
+
+def test_private_networks(spark):
+    cases = {"::1": 1, "0:0:0:0:0:0:0:1": 1, "fd00::1": 1, "FC00::": 1, "::ffff:10.0.0.1": 1, "::ffff:a00:1": 1, "::ffff:8.8.8.8": 0, "2001:db8::1": 0, "fe80::1": 0, "1:2:3": 0, "::1::2": 0, ":::1": 0, "12345::": 0, "10.0.0.1": 1, "10.0.0": 0, "172.16.0.1": 1, "172.32.0.1": 0, "": 0, "1:2:3:4:5:6:7:8:9": 0}
+    df = spark.createDataFrame([(x,) for x in cases], "ip string")
+    assert {r[0]: int(r[1]) for r in df.select("ip", is_private(F.col("ip"))).collect()} == cases
+    assert "Python" not in df.select(is_private(F.col("ip")))._jdf.queryExecution().toString()
+    texts = {"2001:db8:0:0:0:0:0:1": "2001:db8::1", "::": "::", "1:0:0:2:0:0:0:3": "1:0:0:2::3", "::1": "::1", "1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8"}
+    df = spark.createDataFrame([(x,) for x in texts], "ip string")
+    assert {r[0]: r[1] for r in df.select("ip", ipv6_text(hextets(F.col("ip")))).collect()} == texts
+
+
 def test_long_chains(spark):
     """A chain of 150 processes, and two that are each other's parent."""
     ex = lambda pid, ppid: ("process", pid, "agent" if pid == 1 else "sh", pid, {"event": "EXEC", "ppid": ppid, "filename": "/x"})
@@ -230,8 +273,11 @@ def test_viewer(spark):
     rows = [("http_parser", 1, "a", 1, {"method": "POST", "path": "/v1/messages", "message_type": "request", "body": '{"model":"m1"}'}), ("process", 1, "a", 2, {"event": "FILE_OPEN", "filepath": "/x"}), ("stdio", 1, "a", 3, {"data": '{"id":1,"method":"tools/call","params":{"name":"read"}}'}), ("tool_call", 1, "a", 4, {"tool_name": "fs.read"}), ("system", 1, "a", 5, {})]
     df = frame(spark, rows)
     assert [(r["event_kind"], r["model"]) for r in viewer.classified(df).orderBy("timestamp_ns").collect()] == [("prompt", "m1"), ("file", None), ("stdio", None), ("file", None), ("system", None)]
+    probes = [("http_parser", {"message_type": "response", "status_code": 200}, "ssl"), ("http_parser", {"message_type": "response", "usage": {"n": 1}}, "response"), ("x", {"delta": {}}, "response"), ("x", {"delta": ""}, "ssl"), ("process", {"event": "DIR_CREATE", "path": "/d"}, "process"), ("ssl", {"fd": None}, "file"), ("x", {"type": "my_system"}, "system"), ("x", {"ppid": 1}, "process"), ("http_parser", {"method": "POST", "path": "/v1/"}, "ssl"), ("sse_processor", {"sse_events": []}, "response")]
+    found = viewer.classified(frame(spark, [(s, 1, "a", i + 1, d) for i, (s, d, _) in enumerate(probes)])).orderBy("timestamp_ns").collect()
+    assert [r["event_kind"] for r in found] == [k for _, _, k in probes]
     (r,) = viewer.json_rpc(df).collect()
-    assert (r["rpc_kind"], r["tool"], r["title"]) == ("request", "read", "request read")
+    assert (r["rpc_kind"], r["tool"], r["title"]) == ("request", "read", "tools/call read")
     p = spark.createDataFrame([(1, 1, '{"a":1,"b":[1,{}]}'), (1, 2, '{"a":2,"c":"x","b":[1]}')], "pid int, t int, data string")
     r = viewer.prompt_changes(p, ["pid"], ["t"]).where("t = 2").withColumn("said", viewer.change_summary()).first()
     assert (r["added"], r["removed"], r["modified"], r["unchanged"], r["said"]) == (["c"], [], ["a"], ["b[0]"], "Added 1 fields. Modified 1 fields.")

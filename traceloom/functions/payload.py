@@ -47,3 +47,19 @@ def boolean(v: Column, path: str) -> Column:
 def sequence(v: Column, path: str) -> Column:
     """A stream sequence: a number or its text."""
     return F.trim(F.try_variant_get(v, path, "string")).try_cast("decimal(20,0)").try_cast("bigint")
+
+
+def defined(v: Column, path: str) -> Column:
+    """The path is there, be it a JSON null."""
+    return F.coalesce(F.try_variant_get(v, path, "variant").isNotNull(), F.lit(False))
+
+
+def truthy(v: Column, *paths: str) -> Column:
+    """One of the values is there and is no null, false, 0 or empty text."""
+    found = F.lit(False)
+    for path in paths:
+        kind = F.coalesce(_kind(v, path), F.lit("VOID"))
+        one = F.when(kind == "VOID", False).when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean")).when(kind == "STRING", F.try_variant_get(v, path, "string") != "")
+        one = one.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, path, "double") != 0).otherwise(True)
+        found = found | F.coalesce(one, F.lit(False))
+    return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ def is_binary(c: Column) -> Column:
 
 def hex_text(c: Column) -> Column:
     """Text as it is; binary as HEX: and its bytes."""
+    c = F.col(c) if isinstance(c, str) else c
     return F.when(is_binary(c), F.concat(F.lit("HEX:"), F.lower(F.hex(F.encode(c, "UTF-8"))))).otherwise(c)
 
 
@@ -74,33 +76,45 @@ def sanitize(raw: pd.Series) -> pd.Series:
 PRIVATE = ["127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "::1/128", "fc00::/7"]
 
 
-def _v4(ip: Column) -> Column:
-    octets = F.split(ip, r"\.")
-    return sum((octets[i].cast("bigint") * 256 ** (3 - i) for i in range(4)), F.lit(0))
-
-
-@F.pandas_udf(T.BooleanType())
-def _private6(ips: pd.Series) -> pd.Series:
-    nets = [ipaddress.ip_network(n) for n in PRIVATE]
+V4 = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}"
 
-    def one(s: str | None) -> bool:
-        try:
-            ip = ipaddress.ip_address(s)
-        except ValueError:
-            return False
-        ip = getattr(ip, "ipv4_mapped", None) or ip
-        return any(ip in n for n in nets if n.version == ip.version)
 
-    return ips.map(one).astype(bool)
-
-
-def is_private(ip: Column, v6: bool = True) -> Column:
-    """In a private network; what is no address is not. IPv4 stays in the JVM; texts with a colon go to Python."""
-    n = _v4(ip)
+def _v4(ip: Column) -> Column:
+    octets = F.split(ip, r"\.")
+    return sum((F.get(octets, F.lit(i)).try_cast("bigint") * 256 ** (3 - i) for i in range(4)), F.lit(0))
+
+
+def hextets(ip: Column) -> Column:
+    """The eight 16-bit numbers of an IPv6 address, which may end in an IPv4 one; null for other texts."""
+    low = F.lower(ip)
+    four = _v4(F.regexp_extract(low, rf":({V4})$", 1))
+    whole = F.when(low.rlike(rf":{V4}$"), F.concat(F.regexp_replace(low, rf"{V4}$", ""), F.lower(F.hex(F.shiftright(four, 16))), F.lit(":"), F.lower(F.hex(four.bitwiseAND(65535))))).otherwise(low)
+    halves = F.split(whole, "::")
+    groups = lambda half: F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    short, n = F.size(halves) == 2, F.size(left) + F.size(right)
+    sound = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(short, n < 8).otherwise((F.size(halves) == 1) & (n == 8))
+    all_ = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
+    return F.when(sound, F.transform(all_, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def ipv6_text(words: Column) -> Column:
+    """Eight 16-bit numbers as text: lower case, without leading zeros, the longest run of two or more zeros as ::."""
+    full = F.array_join(F.transform(words, lambda w: F.lower(F.hex(w))), ":")
+    run = F.lit(None).cast("string")
+    for n in range(2, 9):  # the longest, and of these the first
+        zeros = ":".join("0" * n)
+        run = F.when(full.rlike(rf"(?:^|:){zeros}(?:$|:)"), F.regexp_replace(full, rf"^(.*?)(?:^|:){zeros}(?:$|:)(.*)$", "$1::$2")).otherwise(run)
+    return F.coalesce(run, full)
+
+
+def is_private(ip: Column) -> Column:
+    """In a private network; what is no address is not. An IPv6 address that wraps an IPv4 one counts as that."""
     ranges = [(int(x.network_address), int(x.broadcast_address)) for x in map(ipaddress.ip_network, PRIVATE) if x.version == 4]
-    inside = F.lit(False)
-    for lo, hi in ranges:
-        inside = inside | n.between(lo, hi)
-    plain = ip.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
-    four = F.when(plain, inside).otherwise(F.lit(False))
-    return F.coalesce(F.when(ip.contains(":"), _private6(ip)).otherwise(four) if v6 else four, F.lit(False))
+    inside = lambda n: reduce(lambda a, b: a | b, (n.between(lo, hi) for lo, hi in ranges))
+    h = hextets(ip)
+    at = lambda i: F.get(h, F.lit(i))
+    zeros = F.forall(F.slice(h, 1, 5), lambda x: x == 0)
+    mapped = zeros & (at(5) == 65535)
+    six = F.when(mapped, inside(at(6).cast("bigint") * 65536 + at(7))).otherwise((at(0).bitwiseAND(0xFE00) == 0xFC00) | (F.forall(F.slice(h, 1, 7), lambda x: x == 0) & (at(7) == 1)))
+    return F.coalesce(F.when(ip.contains(":"), six).when(ip.rlike(f"^{V4}$"), inside(_v4(ip))), F.lit(False))

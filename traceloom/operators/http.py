@@ -12,8 +12,6 @@ METHODS = ["GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "CONNECT"
 TELLING = ["Content-Type:", "content-type:", "Host:", "host:", "User-Agent:", "user-agent:"]
 SECRET = ["authorization", "x-api-key", "x-auth-token", "bearer", "token", "x-access-token", "x-session-token", "cookie", "set-cookie"]
 
-HEADERS = "map<string,string>"
-
 
 def is_http(text: Column) -> Column:
     method = F.lit(False)
@@ -57,16 +55,21 @@ def parse_http(events: DataFrame, raw: bool = False) -> DataFrame:
     if raw:
         message["raw_data"] = F.col("__text")
     made = found.withColumn("data", F.to_json(F.struct(*(c.alias(n) for n, c in message.items())))).withColumn("source", F.lit("http_parser"))
-    made = made.withColumn("stream_seq", F.lit(0).cast("bigint")) if "stream_seq" in events.columns else made
     return events.where(~http).unionByName(made.select(*events.columns))
 
 
 def remove_auth(events: DataFrame) -> DataFrame:
-    """http_parser events without the headers that carry secrets; bodies stay as they are."""
-    headers = F.from_json(F.get_json_object("data", "$.headers"), HEADERS)
-    kept = F.map_filter(headers, lambda k, _: ~F.lower(k).isin(SECRET))
-    removed = F.to_json(kept)
-    # the headers are one flat object of strings: its text is replaced where it stands
-    old = F.to_json(headers)
-    data = F.when((F.col("source") == "http_parser") & headers.isNotNull(), F.replace("data", F.concat(F.lit('"headers":'), old), F.concat(F.lit('"headers":'), removed))).otherwise(F.col("data"))
-    return events.withColumn("data", data)
+    """http_parser events without the headers that carry secrets; bodies stay as they are.
+
+    The payload is built anew from its parsed fields, whatever its spelling. Headers that are no object stay, as
+    they name none; a payload that is no JSON object but tells of headers is dropped, as nothing can be taken out of it.
+    """
+    fields = F.from_json("data", "map<string,variant>")
+    headers = F.from_json(F.try_variant_get(F.col("__f")["headers"], "$", "string"), "map<string,variant>")
+    kept = F.map_filter(F.col("__h"), lambda k, _: ~F.lower(k).isin(SECRET))
+    redacted = F.to_json(F.map_concat(F.map_filter("__f", lambda k, _: k != "headers"), F.create_map(F.lit("headers"), F.parse_json(F.to_json(kept)))))
+    http = F.coalesce(F.col("source") == "http_parser", F.lit(False))
+    rows = events.withColumn("__f", F.when(http, fields)).withColumn("__h", F.when(http, headers))
+    unread = http & F.col("__f").isNull() & F.lower("data").contains("headers")
+    data = F.when(F.col("__h").isNotNull(), redacted).when(unread, "{}").otherwise(F.col("data"))
+    return rows.withColumn("data", data).drop("__f", "__h")

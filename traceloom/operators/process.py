@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
+from traceloom.store import write_table
 
 WINDOW_NS = 60_000_000_000
 
@@ -19,6 +20,33 @@ def dedup_opens(opens: DataFrame, by: list[str] | None = None, time: str = "time
     return runs.groupBy(*by, "__run").agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("count")).drop("__run")
 
 
+def opens_by_process(opens: DataFrame, exits: DataFrame, by: list[str], path: str = "filepath", time: str = "timestamp_ns", gap: int = WINDOW_NS) -> DataFrame:
+    """Runs of opens as dedup_opens gives them, that end with their process too, and why each ended: process_exit
+    where an EXIT comes before the pause is over, else window_expired. exits: (*by, time)."""
+    both = opens.select(*by, time, path, F.lit(0).alias("__exit")).unionByName(exits.select(*by, time, F.lit(None).cast("string").alias(path), F.lit(1).alias("__exit")))
+    order = Window.partitionBy(*by).orderBy(time, "__exit")
+    life = F.sum("__exit").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ends = F.first(F.when(F.col("__exit") == 1, F.col(time)), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    lives = both.withColumn("__life", F.coalesce(life, F.lit(0))).withColumn("__ends", ends).where("__exit = 0")
+    order = Window.partitionBy(*by, path, "__life").orderBy(time)
+    new = F.coalesce(F.col(time) - F.lag(time).over(order) > gap, F.lit(True))
+    runs = lives.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = runs.groupBy(*by, path, "__life", "__run").agg(F.min(time).alias("first_seen"), F.max(time).alias("last_seen"), F.count("*").alias("count"), F.min("__ends").alias("__ends"))
+    reason = F.when(F.col("__ends") - F.col("last_seen") <= gap, "process_exit").otherwise("window_expired")
+    return out.withColumn("reason", reason).drop("__life", "__run", "__ends")
+
+
+def exit_warnings(events: DataFrame, exits: DataFrame, second: Column, by: list[str], time: str, most: int = 30) -> DataFrame:
+    """exits with rate_limit_warning: the last active second of the process before it had over `most` events. A pid that
+    is used again starts anew, as no second from before the EXIT before counts."""
+    per = events.withColumn("__s", second).groupBy(*by, "__s").agg(F.count("*").alias("__n"), F.max(time).alias(time))
+    names = [c for c in exits.columns if c not in (*by, time)]
+    both = per.select(*by, time, (F.col("__n") > most).alias("__over"), *(F.lit(None).cast(exits.schema[c].dataType).alias(c) for c in names)).unionByName(exits.select(*by, time, F.lit(None).cast("boolean").alias("__over"), *names))
+    order = Window.partitionBy(*by).orderBy(time, F.col("__over").isNull())
+    before = F.lag("__over").over(order)
+    return both.withColumn("rate_limit_warning", F.coalesce(before, F.lit(False))).where("__over IS NULL").select(*exits.columns, "rate_limit_warning")
+
+
 def rate_limit(events: DataFrame, second: Column, by: list[str], order: list[str], most: int = 30) -> DataFrame:
     """The first `most` events of each second of a process. A row has rate_limit_warning if it is the first of its
     second and the process's last active second had more."""
@@ -57,28 +85,67 @@ def with_children(samples: DataFrame, processes: DataFrame) -> DataFrame:
     return own.unionByName(below).join(samples, ["session_id", "pid"]).groupBy("session_id", F.col("root").alias("pid")).agg(F.sum("mem_rss_kb").alias("mem_rss_kb"), F.count("*").alias("processes"))
 
 
-def track(events: DataFrame, mode: int = 0, comms: list[str] | None = None, pids: list[int] | None = None) -> DataFrame:
+def lives(events: DataFrame) -> DataFrame:
+    """Process events with life: how many EXITs of their pid came before. An EXIT belongs to the life that it ends."""
+    order = Window.partitionBy("session_id", "pid").orderBy("timestamp_ns", "stream_seq").rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn("life", F.coalesce(F.sum((F.col("__kind") == "EXIT").cast("int")).over(order), F.lit(0)))
+
+
+def tracked_lives(events: DataFrame, hit: Column, seeds: DataFrame | None = None) -> DataFrame:
+    """(session_id, pid, life, since): lives that are tracked, from when on.
+
+    A life is tracked from its first event for which `hit` holds, or its first EXEC whose parent is tracked by then;
+    processes of seeds (session_id, pid) from the beginning of their first life. An edge says: if the parent is
+    tracked by `need`, the child is from `give` on. Each round joins edges to edges twice as long, so chains of
+    any depth end after a logarithmic number of rounds, and cycles end too.
+    """
+    e = write_table(lives(events), "lives")
+    node = lambda pid, life: F.struct(F.col(pid).alias("pid"), F.col(life).alias("life"))
+    born = e.where("__kind = 'EXEC' AND ppid IS NOT NULL").select("session_id", "timestamp_ns", "stream_seq", "ppid", node("pid", "life").alias("c"))
+    # the life of the parent at that time: the EXITs of the parent's pid before
+    exits = e.where("__kind = 'EXIT'").select("session_id", F.col("pid").alias("ppid"), "timestamp_ns", "stream_seq", F.lit(None).cast("struct<pid:bigint,life:bigint>").alias("c"))
+    order = Window.partitionBy("session_id", "ppid").orderBy("timestamp_ns", "stream_seq").rowsBetween(Window.unboundedPreceding, -1)
+    edges = born.unionByName(exits).withColumn("n", F.coalesce(F.sum(F.col("c").isNull().cast("int")).over(order), F.lit(0))).where("c IS NOT NULL")
+    edges = edges.select("session_id", node("ppid", "n").alias("a"), "c", F.col("timestamp_ns").alias("need"), F.col("timestamp_ns").alias("give")).where("a <> c").distinct()
+    first = e.where(hit).groupBy("session_id", node("pid", "life").alias("c")).agg(F.min("timestamp_ns").alias("since"))
+    if seeds is not None:
+        zero = F.struct("pid", F.lit(0).cast("bigint").alias("life")).alias("c")
+        first = first.unionByName(seeds.select("session_id", zero, F.lit(-(1 << 62)).alias("since")))
+    least = lambda df: write_table(df.groupBy("session_id", "c").agg(F.min("since").alias("since")), "tracked")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.col("since").cast("decimal(38,0)"))).first())
+    reached, jump, before = least(first), write_table(edges, "edges"), None
+    while (now := mark(reached)) != before and now[0]:
+        before = now
+        met = reached.withColumnRenamed("c", "a").join(jump, ["session_id", "a"]).where("since <= need").select("session_id", "c", F.col("give").alias("since"))
+        reached = least(reached.unionByName(met))
+        next_ = jump.select("session_id", F.col("a").alias("c"), F.col("c").alias("__c"), F.col("need").alias("__need"), F.col("give").alias("__give"))
+        longer = jump.join(next_, ["session_id", "c"]).where("give <= __need").select("session_id", "a", F.col("__c").alias("c"), "need", F.col("__give").alias("give")).where("a <> c")
+        # of the edges with one need, the earliest gain
+        jump = write_table(jump.unionByName(longer).groupBy("session_id", "a", "c", "need").agg(F.min("give").alias("give")), "edges")
+    return reached.select("session_id", "c.pid", "c.life", "since")
+
+
+def track(events: DataFrame, mode: int = 0, comms: list[str] | None = None, pids: list[int] | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """Process events by tracking mode: 0 all; 1 all processes, and the files, network and credentials of tracked ones;
-    2 tracked ones only. Tracked: the given pids, processes with a given name, and all below them.
-    Names or pids turn mode 0 into 2. `session_id` separates logs, if there is one."""
-    from traceloom.operators.project import walk
-
+    2 tracked ones only. Tracked are the given pids, processes with a given name, those of seeds (session_id, pid; they ran
+    before the log), and what a tracked process starts, from then until its EXIT: a pid that is used again
+    is another process. Names, pids or seeds turn mode 0 into 2. `session_id` separates logs, if there is one."""
     comms, pids = comms or [], pids or []
-    mode = 2 if mode == 0 and (comms or pids) else mode
+    mode = 2 if mode == 0 and (comms or pids or seeds is not None) else mode
     if mode == 0:
         return events
     e = events if "session_id" in events.columns else events.withColumn("session_id", F.lit(""))
     v = P.parsed()
     kind = F.coalesce(P.text(v, "$.event"), F.lit(""))
-    nodes = e.where((F.col("source") == "process") & (kind == "EXEC")).select("session_id", "pid", P.integer(v, "$.ppid").alias("ppid"), "comm").distinct()
+    e = e.withColumn("__kind", kind).withColumn("ppid", P.integer(v, "$.ppid"))
     hit = F.col("pid").isin(pids) if pids else F.lit(False)
     hit = hit | F.col("comm").isin(comms) if comms else hit
-    seeds = e.where((F.col("source") == "process") & hit).select("session_id", "pid").distinct()
-    edges = nodes.select("session_id", F.col("ppid").alias("above"), "pid")
-    tracked = walk(seeds.withColumn("depth", F.lit(0)), edges, ["session_id"]).drop("depth")
-    marked = e.join(tracked.withColumn("__tracked", F.lit(True)), ["session_id", "pid"], "left")
-    free = (F.col("source") != "process") | (kind.isin("EXEC", "EXIT", "BASH_READLINE") if mode == 1 else F.lit(False))
-    return marked.where(free | F.coalesce("__tracked", F.lit(False))).select(*events.columns)
+    own, others = lives(e.where("source = 'process'")), e.where(F.coalesce(F.col("source") != "process", F.lit(True)))
+    found = tracked_lives(e.where("source = 'process'").select("session_id", "pid", "comm", "timestamp_ns", "stream_seq", "__kind", "ppid"), hit, seeds)
+    marked = own.join(found, ["session_id", "pid", "life"], "left")
+    free = F.col("__kind").isin("EXEC", "EXIT", "BASH_READLINE") if mode == 1 else F.lit(False)
+    kept = marked.where(free | F.coalesce(F.col("timestamp_ns") >= F.col("since"), F.lit(False)))
+    return kept.select(*events.columns).unionByName(others.select(*events.columns))
 
 
 def pair_syscalls(calls: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
 from traceloom.schema import ROUTES, TABLES
+from traceloom.store import write_table
 
-#: Ids are stream_seq * 16 + slot: unique over all tables and in order of arrival, without a shuffle.
+#: Ids are stream_seq * 16 + slot: unique over all tables and in order of arrival, without a shuffle. Events that are put
+#: together from several have no sequence; their ids are hashes of all they hold, below zero.
 SLOTS = {t: i for i, t in enumerate(["events_process", "events_tool_call", "events_system", "events_ssl", "events_http", "events_sse", "events_security"])}
 
 
@@ -57,7 +59,8 @@ def typed(events: DataFrame, table: str, boot_epoch_us: int = 0) -> DataFrame:
         rows = rows.where(~F.coalesce(F.col("data").contains('"event_type":"tool_call_start"'), F.lit(False)))
     rows = rows.withColumn("__v", P.parsed())
     slot = F.lit(SLOTS[table]) + (F.coalesce(P.integer(F.col("__v"), "$.slot"), F.lit(0)) if table == "events_security" else F.lit(0))
-    prefix = [(F.coalesce("stream_seq", F.lit(0)) * 16 + slot).alias("id"), "session_id", "timestamp_ns", "timestamp_unix_ms", event_time(boot_epoch_us).alias("event_time"), "pid", "comm"]
+    own = F.xxhash64("source", "session_id", "timestamp_ns", "pid", "comm", "data").bitwiseOR(F.lit(-(1 << 63)))
+    prefix = [F.when(F.coalesce("stream_seq", F.lit(0)) > 0, F.col("stream_seq") * 16 + slot).otherwise(own).alias("id"), "session_id", "timestamp_ns", "timestamp_unix_ms", event_time(boot_epoch_us).alias("event_time"), "pid", "comm"]
     out = rows.select(*prefix, *_columns(table, F.col("__v")), F.col("data").alias("data_json"), *([P.sequence(F.col("__v"), "$.source_stream_seq").alias("__seq"), P.string(F.col("__v"), "$.source_table").alias("__of")] if table == "events_security" else []))
     if table == "events_security":
         slots = F.create_map(*(x for t, i in SLOTS.items() for x in (F.lit(t), F.lit(i))))
@@ -83,33 +86,29 @@ def process_tree(process: DataFrame) -> DataFrame:
     return tree.join(depths(first), ["session_id", "pid"], "left").select("session_id", "pid", "ppid", "comm", "filename", "start_time", "end_time", "depth")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once and cut from its lineage: in spark.checkpoint.dir if the session has one, else on the executors."""
-    reliable = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if reliable else df.localCheckpoint()
-
-
 def walk(start: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """(*by, pid, depth): all processes at and below those of start, each at its least depth.
 
     start: (*by, pid, depth), all of one depth, by with session_id; edges: (session_id, above, pid). Each round
-    doubles the length of the edges and so the depth reached, until it finds no new process; cycles end too.
+    doubles the length of the edges and so the depth reached, until it finds no new process; cycles end too. Rounds
+    are tables in the shared folder, so lost executors cost no more than a round.
     """
-    reached = kept(start.groupBy(*by, "pid").agg(F.min("depth").alias("depth")))
-    jump, step, n = kept(edges.where("above <> pid").distinct()), 1, reached.count()
+    reached = write_table(start.groupBy(*by, "pid").agg(F.min("depth").alias("depth")), "reached")
+    jump, step, n = write_table(edges.where("above <> pid").distinct(), "jump"), 1, reached.count()
     while n:
         far = reached.withColumnRenamed("pid", "above").join(jump, ["session_id", "above"]).select(*by, "pid", (F.col("depth") + step).alias("depth"))
-        reached = kept(reached.unionByName(far).groupBy(*by, "pid").agg(F.min("depth").alias("depth")))
+        reached = write_table(reached.unionByName(far).groupBy(*by, "pid").agg(F.min("depth").alias("depth")), "reached")
         before, n = n, reached.count()
         if n == before:
             break
         next_ = jump.select("session_id", F.col("above").alias("pid"), F.col("pid").alias("__c"))
-        jump, step = kept(jump.join(next_, ["session_id", "pid"]).select("session_id", "above", F.col("__c").alias("pid")).distinct()), 2 * step
+        jump, step = write_table(jump.join(next_, ["session_id", "pid"]).select("session_id", "above", F.col("__c").alias("pid")).distinct(), "jump"), 2 * step
     return reached
 
 
 def depths(nodes: DataFrame) -> DataFrame:
     """(session_id, pid, depth); a root is a process whose parent is not known or is itself. Processes below no root have no row."""
+    nodes = write_table(nodes.select("session_id", "pid", "ppid"), "nodes")
     edges = nodes.select("session_id", F.col("ppid").alias("above"), "pid")
     known = nodes.select("session_id", F.col("pid").alias("above")).distinct()
     below = edges.where("above <> pid").join(known, ["session_id", "above"], "left_semi").select("session_id", "pid")
@@ -119,7 +118,7 @@ def depths(nodes: DataFrame) -> DataFrame:
 
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(session_id, root, pid, depth): all processes below each root pid of `roots` (session_id, pid)."""
-    edges = nodes.select("session_id", F.col("ppid").alias("above"), "pid")
+    edges = write_table(nodes.select("session_id", F.col("ppid").alias("above"), "pid"), "nodes")
     first = roots.select("session_id", F.col("pid").alias("root")).distinct()
     first = first.join(edges.where("above <> pid").withColumnRenamed("above", "root"), ["session_id", "root"]).withColumn("depth", F.lit(1))
     return walk(first, edges, ["session_id", "root"])

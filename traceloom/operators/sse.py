@@ -15,7 +15,7 @@ from traceloom.operators.fold import Fold, fold_sorted
 HEX = re.compile(r"[0-9a-fA-F]+")
 #: Nanoseconds of a connection's time slot, nanoseconds of silence that end a message, bytes that do.
 SLOT_NS, IDLE_NS, FULL = 600_000_000_000, 30_000_000_000, 50_000
-OUT = T.StructType([T.StructField(n, k) for n, k in (("stream_seq", T.LongType()), ("timestamp_ns", T.LongType()), ("timestamp_unix_ms", T.LongType()), ("source", T.StringType()), ("pid", T.LongType()), ("comm", T.StringType()), ("data", T.StringType()))])
+OUT = T.StructType([T.StructField(n, k) for n, k in (("session_id", T.StringType()), ("stream_seq", T.LongType()), ("timestamp_ns", T.LongType()), ("timestamp_unix_ms", T.LongType()), ("source", T.StringType()), ("pid", T.LongType()), ("comm", T.StringType()), ("data", T.StringType()))])
 
 
 def is_sse(text: Column) -> Column:
@@ -70,6 +70,8 @@ class Message(Fold):
     def add(self, row: dict) -> list[dict]:
         out = self.flush(timed_out=True) if self.events and row["timestamp_ns"] - self.last["timestamp_ns"] > IDLE_NS else []
         new = sse_events(row["text"])
+        if not new:  # ordinary traffic
+            return [*out, {k: row[k] for k in ("session_id", "stream_seq", "timestamp_ns", "timestamp_unix_ms", "pid", "comm", "data")} | {"source": "ssl"}]
         if all(map(is_metadata, new)):
             return out
         if not self.events:
@@ -109,28 +111,34 @@ class Message(Fold):
         }
         # a message without an end belongs to no process any more
         own = {"pid": 0, "comm": ""} if timed_out else {"pid": last["pid"], "comm": last["comm"]}
-        return [{"stream_seq": 0, "timestamp_ns": last["timestamp_ns"], "timestamp_unix_ms": last["timestamp_unix_ms"], "source": "sse_processor", **own, "data": json.dumps(data, ensure_ascii=False)}]
+        return [{"session_id": first["session_id"], "stream_seq": 0, "timestamp_ns": last["timestamp_ns"], "timestamp_unix_ms": last["timestamp_unix_ms"], "source": "sse_processor", **own, "data": json.dumps(data, ensure_ascii=False)}]
 
     def end(self) -> list[dict]:
         return self.flush(timed_out=True)
 
 
+KEYS = ["session_id", "pid", "tid", "slot"]
+
+
 def sse_input(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows for the fold, the other events). An event whose body decodes to no server-sent event is another one."""
+    """(rows for the fold, the other events): what can be server-sent events, and what can't."""
     v = P.parsed()
     text = P.text(v, "$.data")
     lines = F.transform(F.split(text, "\r\n"), lambda x: F.trim(x))
     decodes = F.exists(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike("^[0-9a-fA-F]+$") & (x != "0")) & (text.contains("event:") | text.contains("data:"))
     chosen = (F.col("source") == "ssl") & F.coalesce(is_sse(text) & decodes, F.lit(False))
-    rows = events.where(chosen).select("stream_seq", "timestamp_ns", "timestamp_unix_ms", "pid", "comm", F.coalesce(P.integer(v, "$.tid"), F.lit(0)).alias("tid"), P.text(v, "$.function").alias("function"), text.alias("text"), F.floor(F.col("timestamp_ns") / SLOT_NS).cast("bigint").alias("slot"))
+    session = F.col("session_id") if "session_id" in events.columns else F.lit(None).cast("string")
+    rows = events.where(chosen).select(session.alias("session_id"), "stream_seq", "timestamp_ns", "timestamp_unix_ms", "pid", "comm", F.coalesce(P.integer(v, "$.tid"), F.lit(0)).alias("tid"), P.text(v, "$.function").alias("function"), text.alias("text"), "data", F.floor(F.col("timestamp_ns") / SLOT_NS).cast("bigint").alias("slot"))
     return rows, events.where(~chosen)
 
 
 def merge_sse(events: DataFrame) -> DataFrame:
-    """ssl events with server-sent events become one sse_processor event a message; all others pass.
+    """ssl events with server-sent events become one sse_processor event a message; all others pass, also those whose
+    body turns out to hold no event. Sessions are kept apart.
 
     Silence is judged in event time, so a log always gives the same messages.
     """
     rows, others = sse_input(events)
-    merged = fold_sorted(rows, ["pid", "tid", "slot"], ["timestamp_ns", "stream_seq"], Message, OUT)
+    merged = fold_sorted(rows, KEYS, ["timestamp_ns", "stream_seq"], Message, OUT)
+    merged = merged if "session_id" in events.columns else merged.drop("session_id")
     return others.unionByName(merged, allowMissingColumns=True)

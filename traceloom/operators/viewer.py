@@ -15,29 +15,25 @@ from traceloom.functions import payload as P
 
 def kind(v: Column, source: str = "source") -> Column:
     """system, stdio, prompt, response, file, process or ssl; the first test that holds decides."""
-    s, event = F.col(source), F.coalesce(P.text(v, "$.event"), F.lit(""))
-    has = lambda *keys: F.coalesce(*(F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in keys)) if len(keys) == 1 else _or([F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in keys])
-    path = F.coalesce(P.text(v, "$.path"), F.lit(""))
-    prompt = has("model", "messages", "prompt", "inputs", "query") | ((P.text(v, "$.method") == "POST") & (path.contains("/v1/") | path.contains("/api/")))
-    tool = F.coalesce(P.text(v, "$.tool_name"), F.lit(""))
-    file = (s == "process") & event.isin("FILE_OPEN", "FILE_DELETE", "FILE_RENAME", "DIR_CREATE")
-    c = F.when(s == "system", "system").when(s == "stdio", "stdio").when(F.coalesce(prompt, F.lit(False)), "prompt")
-    c = c.when((P.text(v, "$.message_type") == "response") | has("completion", "choices"), "response").when(file, "file").when(s == "process", "process")
-    c = c.when(s == "ssl", "ssl").when(s == "sse_processor", "response").when((s == "tool_call") & tool.startswith("fs."), "file").when(s == "tool_call", "process")
-    return c.otherwise("ssl")
-
-
-def _or(tests: list[Column]) -> Column:
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+    name, s = F.coalesce(F.col(source), F.lit("")), F.lower(F.trim(F.coalesce(F.col(source), F.lit(""))))
+    text = lambda k: F.coalesce(P.text(v, f"$.{k}"), F.lit(""))
+    event, path, message = text("event"), text("path"), text("message_type")
+    is_file_event = event.contains("FILE_")
+    system = (s == "system") | F.lower(F.coalesce(P.string(v, "$.type"), F.lit(""))).contains("system")
+    prompt = P.truthy(v, "$.model", "$.messages", "$.prompt", "$.inputs", "$.query") | ((text("method") == "POST") & (message == "request") & (path.contains("/v1/") | path.contains("/api/")))
+    response = P.truthy(v, "$.choices", "$.completion", "$.response", "$.sse_events", "$.delta", "$.content_block") | ((message == "response") & P.truthy(v, "$.model", "$.usage"))
+    file = (name == "file") | P.defined(v, "$.fd") | text("operation").isin("open", "read", "write", "close") | is_file_event | P.defined(v, "$.filepath")
+    process = ((name == "process") & ~is_file_event) | P.defined(v, "$.exec") | P.defined(v, "$.exit") | event.isin("EXEC", "EXIT") | (P.defined(v, "$.ppid") & ~is_file_event)
+    c = F.when(system, "system").when(s == "stdio", "stdio").when(prompt, "prompt").when(response, "response").when(file, "file").when(process, "process")
+    c = c.when(F.lower(name).contains("ssl") | (name == "http_parser"), "ssl").when(s == "sse_processor", "response")
+    return c.when((s == "tool_call") & text("tool_name").startswith("fs."), "file").when(s == "tool_call", "process").otherwise("ssl")
 
 
 def model(v: Column) -> Column:
-    """The model named in a request's body or in the first started message of a stream."""
+    """The model named in a request's body, in the payload, or in the first started message of a stream that names one."""
     body = F.try_parse_json(P.text(v, "$.body"))
-    return F.coalesce(P.text(body, "$.model"), P.text(v, "$.model"), F.try_variant_get(v, "$.sse_events[0].parsed_data.message.model", "string"))
+    named = F.transform(F.try_variant_get(v, "$.sse_events", "array<variant>"), lambda x: F.try_variant_get(x, "$.parsed_data.message.model", "string"))
+    return F.coalesce(P.text(body, "$.model"), P.text(v, "$.model"), F.get(F.filter(named, lambda x: x.isNotNull()), F.lit(0)))
 
 
 def title(v: Column, source: str = "source") -> Column:
@@ -55,19 +51,42 @@ def classified(events: DataFrame) -> DataFrame:
     return events.select("*", kind(v).alias("event_kind"), model(v).alias("model"), title(v).alias("title"))
 
 
+def shortened(text: Column, limit: int = 96) -> Column:
+    """In one line, and at most `limit` characters."""
+    clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(clean) > limit, F.concat(F.substring(clean, 1, limit - 3), F.lit("..."))).otherwise(clean)
+
+
 def json_rpc(events: DataFrame) -> DataFrame:
-    """stdio events with the kind, method, tool, preview and title of the JSON-RPC message that they hold."""
-    text = P.text(P.parsed(), "$.data")
-    m = F.try_parse_json(text)
-    has = lambda k: F.try_variant_get(m, f"$.{k}", "variant").isNotNull()
-    method = P.text(m, "$.method")
-    k = F.when(m.isNull(), "text").when(method.isNotNull() & has("id"), "request").when(method.isNotNull(), "notification").when(has("result"), "response").when(has("error"), "error").otherwise("unknown")
-    tool = P.text(m, "$.params.name")
-    body = F.coalesce(P.string(m, "$.params"), P.string(m, "$.result"), P.string(m, "$.error"), text)
-    clean = F.regexp_replace(body, r"\s+", " ")
-    preview = F.when(F.length(clean) > 96, F.concat(F.substring(clean, 1, 95), F.lit("…"))).otherwise(clean)
-    rows = events.where("source = 'stdio'").select("*", k.alias("rpc_kind"), method.alias("method"), tool.alias("tool"), P.string(m, "$.id").alias("rpc_id"), preview.alias("preview"))
-    return rows.withColumn("title", F.concat_ws(" ", "rpc_kind", F.coalesce("tool", "method")))
+    """stdio events with the kind, method, id, tool, preview, title and summary of the JSON-RPC message that they hold."""
+    v = P.parsed()
+    raw = F.coalesce(P.text(v, "$.data"), F.lit(""))
+    m = F.try_parse_json(raw)
+    is_object = F.coalesce(F.schema_of_variant(m).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    filled = lambda path: F.nullif(P.text(m, path), F.lit(""))
+    method, id_, tool = filled("$.method"), F.when(~F.is_variant_null(F.try_variant_get(m, "$.id", "variant")), P.string(m, "$.id")), filled("$.params.name")
+    k = F.when(~is_object, F.when(F.trim(raw) != "", "text").otherwise("unknown")).when(method.isNotNull() & (F.coalesce(id_, F.lit("")) != ""), "request").when(method.isNotNull(), "notification")
+    k = k.when(P.defined(m, "$.result"), "response").when(P.defined(m, "$.error"), "error").otherwise("unknown")
+    rows = events.where("source = 'stdio'").withColumns({"rpc_kind": k, "method": F.when(is_object, method), "tool": tool, "rpc_id": F.when(is_object, id_)})
+    kind_, asks = F.col("rpc_kind"), F.col("rpc_kind").isin("request", "notification")
+    asked = F.when(filled("$.params.arguments.text").isNotNull(), shortened(P.text(m, "$.params.arguments.text"))).when((F.col("method") == "tools/call") & P.text(m, "$.params.name").isNotNull(), P.text(m, "$.params.name"))
+    asked = asked.when(F.col("method") == "tools/list", "list tools").when(F.col("method") == "initialize", F.coalesce(filled("$.params.clientInfo.name"), F.lit("initialize")))
+    tools = F.try_variant_get(m, "$.result.tools", "array<variant>")
+    answered = F.coalesce(shortened(P.text(m, "$.result.content[0].text")), F.concat(F.size(tools).cast("string"), F.lit(" tools")), P.text(m, "$.result.protocolVersion"))
+    preview = F.when(asks, asked).when(kind_ == "response", answered).when(kind_ == "error", shortened(P.text(m, "$.error.message"))).when(m.isNull(), shortened(raw))
+    rows = rows.withColumn("preview", preview)
+    with_id = lambda word: F.when(F.coalesce("rpc_id", F.lit("")) != "", F.concat(F.lit(f"{word} #"), F.col("rpc_id"))).otherwise(f"stdio {word}")
+    named = lambda word: F.when(F.col("method").isNotNull(), F.concat(F.lit(f"{word} "), F.col("method"))).otherwise(f"stdio {word}")
+    calls = (F.col("method") == "tools/call") & F.col("tool").isNotNull()
+    title = F.when((kind_ == "request") & calls, F.concat(F.lit("tools/call "), F.col("tool"))).when(kind_ == "request", named("request")).when(kind_ == "notification", named("notification"))
+    title = title.when(kind_ == "response", with_id("response")).when(kind_ == "error", with_id("error")).when(kind_ == "text", "stdio text").otherwise("stdio event")
+    role = F.when(P.truthy(v, "$.fd_role"), P.string(v, "$.fd_role")).when(P.defined(v, "$.fd"), F.concat(F.lit("fd "), P.string(v, "$.fd"))).otherwise("stdio")
+    head = F.concat(F.coalesce(F.nullif(F.upper(P.string(v, "$.direction")), F.lit("")), F.lit("STDIO")), F.lit(" "), role)
+    more = F.when(F.coalesce("preview", F.lit("")) != "", F.concat(F.lit(" · "), F.col("preview"))).otherwise("")
+    ask = F.concat(F.lit(" "), F.coalesce("method", F.lit("message")), F.when(calls, F.concat(F.lit(" "), F.col("tool"))).otherwise(""), F.when(F.col("preview").eqNullSafe(F.col("tool")), "").otherwise(more))
+    reply = F.concat(F.lit(" "), kind_, F.when(F.coalesce("rpc_id", F.lit("")) != "", F.concat(F.lit(" #"), F.col("rpc_id"))).otherwise(""), more)
+    rest = F.when(more != "", more).when(F.trim(raw) != "", F.concat(F.lit(" · "), shortened(raw))).otherwise("")
+    return rows.withColumn("title", title).withColumn("summary", F.concat(head, F.when(asks, ask).when(kind_.isin("response", "error"), reply).otherwise(rest)))
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from traceloom.operators.filters import http_filter, ssl_filter
 from traceloom.operators.http import parse_http, remove_auth
@@ -46,6 +47,18 @@ class Pipeline:
             sink(out)
         return out
 
+    def run_stream(self, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        """The same over streaming sources: each micro-batch is transformed and goes to all sinks. Transforms that gather
+        over time see a micro-batch alone here; streaming.stateful has those that don't."""
+        steps, sinks = chain(*self.transforms), self.sinks
+
+        def each(df: DataFrame, _: int) -> None:
+            out = steps(df)
+            for sink in sinks:
+                sink(out)
+
+        return merge(*self.sources).writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).foreachBatch(each).start()
+
 
 def ssl_chain(ssl_filters: list[str] | None = None, sse: bool = True, http: bool = True, http_filters: list[str] | None = None, redact: bool = True, raw: bool = False) -> Transform:
     """Filters first, before anything is parsed; server-sent events leave before HTTP is parsed."""

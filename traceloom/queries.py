@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
 from traceloom.operators import process, project, security, viewer
 from traceloom.operators.filters import http_filter, search, ssl_filter
-from traceloom.operators.http import parse_http, remove_auth
+from traceloom.operators.http import parse_http
 from traceloom.operators.spans import spans
 from traceloom.plans import api, views
 from traceloom.sources import adapter
@@ -166,11 +166,6 @@ def hot_files_endpoint(spark, sf):
     return api.hot_files(_one(spark, sf, "events_process", "events_tool_call"))
 
 
-@query(BASE + "SELECT session_id, event_time AS alert_time, pid, comm, alert_type, risk_level, description FROM sec WHERE alert_type IN ('sensitive_file_access', 'exfiltration_risk')")
-def exfiltration_risk(spark, sf):
-    return views.exfiltration_risk(_one(spark, sf, "events_security")).drop("evidence_json")
-
-
 @query(BASE + TIMELINE_SQL)
 def timeline(spark, sf):
     return views.timeline(adapter.tables(spark, sf)).drop("data_json")
@@ -212,12 +207,6 @@ def process_lifetimes(spark, sf):
     return process.lifetimes(adapter.table(spark, sf, "events_process"))
 
 
-@query(BASE + ", s AS (SELECT session_id, min(event_time) AS start_time, max(event_time) AS end_time FROM e GROUP BY 1) SELECT * FROM s")
-def sessions(spark, sf):
-    rows = adapter.envelopes(spark, sf).withColumn("t", project.event_time())
-    return api.sessions({"sessions": rows.groupBy("session_id").agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"))})
-
-
 @query(BASE + "SELECT session_id, 'events_security' AS source_table, id AS source_id, source_table AS target_table, source_event_id AS target_id, 'raised_by' AS link_type FROM sec")
 def event_links(spark, sf):
     return project.links(adapter.table(spark, sf, "events_security"))
@@ -319,27 +308,6 @@ def ssl_filtered(spark, sf):
     return ssl_filter(_page_events(spark, sf), ["len>45 & (data~feed | function=NONE)"]).select(F.col("timestamp_unix_ms").alias("ms"))
 
 
-@query(PAGES + "SELECT page_id AS ms, 'accept,host' AS kept FROM p")
-def auth_strip(spark, sf):
-    rows = remove_auth(parse_http(_page_events(spark, sf)))
-    keys = F.array_sort(F.map_keys(F.from_json(F.get_json_object("data", "$.headers"), "map<string,string>")))
-    return rows.select(F.col("timestamp_unix_ms").alias("ms"), F.array_join(keys, ",").alias("kept"))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN lag(text) OVER w IS NULL THEN NULL ELSE md5(lag(text) OVER w) END AS previous_md5 FROM conversations WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
-def prompt_lag(spark, sf):
-    c = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
-    return c.select("conv_id", "turn", F.md5(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("previous_md5"))
-
-
-@query("""SELECT a.conv_id, a.turn, min(u.turn) AS answered_by FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.role = 'user' AND u.turn > a.turn WHERE a.role = 'assistant' GROUP BY 1, 2""")
-def use_result_pairs(spark, sf):
-    """Each assistant turn with the next turn of its user, by one window."""
-    c = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role")
-    after = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing))
-    return c.withColumn("answered_by", after).where("role = 'assistant'").groupBy("conv_id", "turn").agg(F.min("answered_by").alias("answered_by"))
-
-
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'licensed under the apache')")
 def free_text(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
@@ -363,4 +331,6 @@ def free_sql_topk(spark, sf):
     return _free(spark, sf, "SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY 1 ORDER BY revenue DESC, l_orderkey LIMIT 20", ["lineitem"])
 
 
+from traceloom import traffic_queries  # noqa: E402, F401
+
 QUERIES, ORACLES = Q, SQL

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom.schema import ENVELOPE
 
 
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, corrupt lines). `data` keeps its JSON text. A line needs a time, a source and data."""
+    """(events, lines that are none with the error of each). `data` keeps its JSON text. A line needs a time, a source and data."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     return split_lines(lines)
 
 
 def split_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Events of lines of JSON, and the lines that are none."""
+    """Events of lines of JSON, and the lines that are none, with the error of each."""
     read = lines.select(F.col(column).alias("line"), F.from_json(column, ENVELOPE + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
-    good = F.col("e").isNotNull() & F.col("e._corrupt").isNull() & F.col("e.source").isNotNull() & F.col("e.data").isNotNull() & F.coalesce("e.timestamp_unix_ms", "e.timestamp_ns").isNotNull()
+    error = F.when(F.col("e").isNull() | F.col("e._corrupt").isNotNull(), "invalid JSON").when(F.coalesce("e.timestamp_unix_ms", "e.timestamp_ns").isNull(), "missing timestamp")
+    error = error.when(F.col("e.source").isNull(), "missing source").when(F.col("e.data").isNull(), "missing data")
     names = [x.strip().split(" ")[0] for x in ENVELOPE.split(",")]
-    return read.where(good).select(*(f"e.{n}" for n in names)), read.where(~F.coalesce(good, F.lit(False))).select("line")
+    return read.where(error.isNull()).select(*(f"e.{n}" for n in names)), read.where(error.isNotNull()).select("line", error.alias("error"))
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    """Events in order of time, with an id of source, time and place among those of both; for logs that have none."""
+    at = F.coalesce("timestamp_unix_ms", F.floor(F.col("timestamp_ns") / 1_000_000).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy("source", at).orderBy("stream_seq", "pid", "data")) - 1
+    return events.withColumn("event_id", F.concat_ws("-", "source", at.cast("string"), place.cast("string"))).orderBy("timestamp_ns", "stream_seq")
 
 
 def stream_jsonl(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
@@ -60,3 +71,16 @@ def merge(*frames: DataFrame | None) -> DataFrame:
     for f in rest:
         first = first.unionByName(f, allowMissingColumns=True)
     return first
+
+
+def demo_alerts(spark: SparkSession, now: datetime, session_id: str = "demo", pid: int = 4242, comm: str = "mock-proc") -> DataFrame:
+    """A session of three alerts, one a minute up to now, to try a view with."""
+    #: Type, risk, table and event of each.
+    samples = [("sensitive_file_access", "high", "read of a sensitive path", "events_process", 1001), ("dangerous_command", "medium", "command that may destroy data", "events_process", 1002), ("suspicious_network", "low", "unusual connection", "events_ssl", 1003)]
+    rows = []
+    for i, (kind, risk, text, table, event) in enumerate(samples):
+        at = int((now - timedelta(minutes=len(samples) - i) - datetime(1970, 1, 1)).total_seconds())
+        evidence = {"source_table": table, "event_type": "MOCK", "pid": pid + i, "comm": comm, "timestamp_ns": at * 10**9, "detail": "made up"}
+        data = {"alert_type": kind, "risk_level": risk, "description": text, "source_table": table, "source_event_id": event, "evidence": [evidence]}
+        rows.append((0, at * 10**9, at * 1000, "security", pid + i, comm, json.dumps(data), session_id))
+    return spark.createDataFrame(rows, ENVELOPE + ", session_id string")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from traceloom.functions.scalar import hex_text
+from traceloom.functions.scalar import hex_text, is_binary
 from traceloom.functions import payload as P
 from traceloom.operators.project import SLOTS, typed
 from traceloom.schema import TABLES
@@ -48,24 +49,48 @@ def fan_out(events: DataFrame, checkpoint: str, *sinks, trigger: dict | None = N
 
     def each(df: DataFrame, i: int) -> None:
         df.persist()
-        for sink in sinks:
-            sink(df, i)
-        df.unpersist()
+        try:
+            for sink in sinks:
+                sink(df, i)
+        finally:
+            df.unpersist()
 
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 seconds"})).foreachBatch(each).start()
 
 
 def log_lines(events: DataFrame) -> DataFrame:
-    """Events as lines of JSON; a payload whose `data` is binary has it as HEX."""
-    text = P.text(P.parsed(), "$.data")
-    safe = F.when(text.isNotNull() & (hex_text(text) != text), F.replace("data", F.to_json(F.struct(text.alias("data"))).substr(F.lit(2), F.length(F.to_json(F.struct(text.alias("data")))) - 2), F.concat(F.lit('"data":"'), hex_text(text), F.lit('"')))).otherwise(F.col("data"))
-    return events.withColumn("data", safe).select(F.to_json(F.struct(*events.columns)).alias("value"))
+    """Events as lines of JSON; a payload whose `data` is binary has it as HEX, built anew from its fields."""
+    fields, text = F.from_json("data", "map<string,variant>"), P.text(P.parsed(), "$.data")
+    rest = F.map_filter("__f", lambda k, _: k != "data")
+    made = F.to_json(F.map_concat(rest, F.create_map(F.lit("data"), F.parse_json(F.concat(F.lit('"'), hex_text("__t"), F.lit('"'))))))
+    rows = events.withColumn("__t", text).withColumn("__f", F.when(is_binary(text), fields))
+    rows = rows.withColumn("data", F.when(F.col("__f").isNotNull(), made).otherwise(F.col("data")))
+    return rows.select(F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def console(events: DataFrame, write: Callable[[str], object] = print) -> int:
+    """Writes events as lines, in order of time, as they come from the executors; returns how many there were."""
+    n = 0
+    for row in log_lines(events.orderBy("timestamp_ns", "stream_seq")).toLocalIterator():
+        write(row["value"])
+        n += 1
+    return n
 
 
 def write_log(events: DataFrame, path: str, per_file: int = 1_000_000) -> None:
     log_lines(events).write.mode("append").option("maxRecordsPerFile", per_file).text(path)
 
 
+def keep_logs(spark: SparkSession, root: str, most: int = 5) -> list[str]:
+    """Removes all but the `most` latest logs (folders under root, by their time); returns the names of those removed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(path) if s.isDirectory()), reverse=True)
+    for _, name in found[most:]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
+    return [name for _, name in found[most:]]
+
+
 def new_session(spark: SparkSession, pid: int, started: datetime, **columns: str) -> DataFrame:
     row = {"session_id": f"{started:%Y%m%d-%H%M%S}-{pid}", "start_time": started, "end_time": None} | dict.fromkeys(("comm_filter", "binary_path", "hostname", "kernel_version", "labels")) | columns
     return spark.createDataFrame([row], TABLES["sessions"])
