@@ -369,31 +369,64 @@ def test_embedding_groups(spark):
     want = sorted(((d[0], links[i], root.get(d[0], d[0]), d[0] is not None and root.get(d[0], d[0]) == d[0]) for i, d in enumerate(data)), key=repr)
     assert rows(embedding_dedup.embedding_groups(df)) == want == rows(embedding_dedup.embedding_groups(df, cap=9))
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
-
-
-def test_nearest(spark):
+    clashing = df.withColumns({c: F.lit(1) for c in ("v", "l", "id", "c", "n", "h", "n_links", "component_id", "kept", "part")})
+    assert rows(embedding_dedup.embedding_groups(clashing)) == want
+    # near vectors of one id and label; another vector shares the id too
+    a, b, far = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 0.0, 1.0]
+    got = embedding_dedup.embedding_groups(spark.createDataFrame([(1, a, 0), (1, b, 0), (2, a, 1), (2, far, 1), (3, b, 1)], "vec_id long, embedding array<float>, label int"))
+    assert rows(got) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (2, 0, 2, True), (3, 1, 2, False)], key=repr)
+
+
+def brute_nearest(data, k=5):
+    """The best answers of each query, over rows of its length."""
+    sound = [(d[0], np.array(d[1], float)) for d in data if d[0] is not None and d[1] is not None and all(v is not None and np.isfinite(v) for v in d[1]) and any(d[1])]
+    out = {}
+    for q, v in sound:
+        if q % 50 == 0:
+            for i, w in sound:
+                if i != q and len(w) == len(v):
+                    x, y = v / np.abs(v).max(), w / np.abs(w).max()
+                    score = x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)
+                    own = out.setdefault(q, {})
+                    own[i] = max(score, own.get(i, -2))
+    return {q: sorted(((-round(s, 12), i) for i, s in own.items()))[:k] for q, own in out.items()}
+
+
+@pytest.mark.parametrize("options", [{"lists": 12}, {"lists": 6, "parts": 4, "cap": 60, "query_cap": 5}, {}])
+def test_nearest(spark, options):
     data, df = vectors(spark, np.random.default_rng(6), n=900)
-    sound = {d[0]: np.array(d[1], float) for d in data if d[0] is not None and d[1] is not None and len(d[1]) == 16 and all(v is not None and np.isfinite(v) for v in d[1]) and any(d[1])}
-    ids = np.array(sorted(sound))
-    x = np.array([sound[i] for i in ids])
-    got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, lists=12, cap=60, query_cap=5).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert sorted(got) == [i for i in ids if i % 50 == 0]
-    hits = 0
-    for q, found in got.items():
-        score = (x * sound[q]).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt(sound[q] @ sound[q])
-        score[ids == q] = -2
-        best = ids[np.lexsort((ids, -np.round(score, 12)))[:5]]
-        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
-        assert all(abs(s - score[np.flatnonzero(ids == v)[0]]) < 1e-12 for _, v, s in found)
-        hits += len(set(best) & {v for _, v, _ in found})
-    assert hits >= 0.9 * 5 * len(got)
+    data += [(1000, [1.0, 2.0], 1), (1001, [2.0, 1.0], 1), (1050, data[20][1], 1), (1050, data[21][1], 1), (1100, [1e200 * x for x in data[22][1]], 1)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("id", "v", "cell", "score", "rank", "__q", "own")})
+    want, got = brute_nearest(data), {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], -round(r["score"], 12), r["vec_id"]))
+    assert sorted(got) == sorted(want)
+    assert all([r for r, _, _ in got[q]] == list(range(1, len(want[q]) + 1)) for q in want)
+    assert sum(len({i for _, i in want[q]} & {i for _, _, i in got[q]}) for q in want) >= 0.95 * sum(map(len, want.values()))
+    assert sum([(s, i) for _, s, i in got[q]] == want[q] for q in want) >= 0.8 * len(want)
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     few = ann.nearest(df.where("vec_id IN (0, 50, 51)"), F.col("vec_id") % 50 == 0)
     assert few.groupBy("query_id").count().where("count < 2").count() == 0
 
 
+def test_nearest_on_the_table(spark):
+    """Recall on all embeddings at sf0.1."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = df.select("vec_id", "embedding").toPandas()
+    x = np.array(data["embedding"].tolist(), np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = data["vec_id"].to_numpy()
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = x @ x[q]
+        score[q] = -2
+        hits += len(set(ids[np.lexsort((ids, -np.round(score, 12)))[:5]].tolist()) & got[ids[q]])
+    assert hits >= 0.95 * 5 * int((ids % 50 == 0).sum())
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><nav><ul><li><a href="/">Home</a></ul></nav>
@@ -451,8 +484,8 @@ def brute_repeats(data, window=50):
     return sorted(out, key=repr)
 
 
-def test_suffix_sort(monkeypatch):
-    """Order and classes against sorting by the bytes, also where all hashes collide."""
+def test_suffix_sort():
+    """Order and common lengths against sorting by the bytes, also where all hashes collide."""
     rng = np.random.default_rng(3)
     for letters, n in ((2, 300), (1, 40), (200, 100)):
         data = rng.integers(0, letters, (n, 24)).astype(np.uint8)
@@ -464,13 +497,16 @@ def test_suffix_sort(monkeypatch):
             s = suffixes.Suffixes(data, 12)
             if broken:
                 s.sums = np.zeros_like(s.sums)
-            order, kind = s.classes(row, at, group)
+            order, common = s.extensions(row, at, group)
             want = sorted(range(600), key=lambda i: (group[i], text[i]))
-            assert [(group[i], text[i]) for i in order] == [(group[i], text[i]) for i in want] or broken
-            both = [(group[i], text[i]) for i in order]
-            assert all((both[i] == both[i + 1]) == (kind[i] == kind[i + 1]) for i in range(599)) and len(set(both)) == len(set(kind.tolist()))
-            if not broken:
-                assert order.tolist() == want  # stable
+            assert [(group[i], text[i]) for i in order] == [(group[i], text[i]) for i in want]
+            for k in range(600):
+                if k and group[order[k]] == group[order[k - 1]]:
+                    x, y = text[order[k - 1]], text[order[k]]
+                    assert common[k] == next((n for n in range(12) if x[n] != y[n]), 12)
+                else:
+                    assert common[k] == -1
+            assert broken or order.tolist() == want  # stable
 
 
 @pytest.mark.parametrize("options", [{}, {"cap": 0}, {"batch_bytes": 500, "parts": 3}, {"batch_bytes": 500, "block": 1}])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,21 +136,37 @@ LONGS = pa.list_(pa.int64())
 FOUND_FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("x", LONGS), ("y", LONGS)]
 
 
+def common_runs(data: np.ndarray, group: np.ndarray) -> Callable[[int], np.ndarray]:
+    """Sorts the rows of a byte matrix inside their groups (runs of equal numbers) as suffixes; for a length, the rows that
+    share so many first bytes have one number."""
+    if not data.shape[1]:
+        return lambda _: group
+    rows = np.arange(len(data))
+    order, common = Suffixes(np.ascontiguousarray(data), data.shape[1]).extensions(rows, np.zeros(len(data), np.int64), group)
+
+    def numbers(length: int) -> np.ndarray:
+        out = np.empty(len(data), np.int64)
+        out[order] = np.cumsum(common < length)
+        return out
+
+    return numbers
+
+
 def part_of(doc: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
     """By id and text hash, so that different texts of one id are dealt out too."""
     return (mixed(mixed(doc.astype(U)) ^ th.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 16 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 16 << 20, cap: int = 4096, block: int = 32_768, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
     has an anchor, the place of its smallest gram hash, so its copies meet at the hash of that gram:
     anchors equal in gram and surroundings (two independent hashes, 128 bits; verified on the bytes within a
     batch) have all their windows in common, and only the smallest document of each such class goes on: the
-    suffixes that begin up to window - gram bytes before the anchors of a gram are merge sorted, each
-    comparison finding the common extension by binary search over polynomial prefix hashes, and neighbours
-    with `window` common bytes, verified on the bytes, are copies. Classes are formed in each batch before the
+    suffixes at the anchors of a gram are merge sorted, and so is what stands before them, read backwards; each
+    comparison finds the common extension by binary search over polynomial prefix hashes. The common lengths of
+    neighbours, verified on the bytes, tell for each place of the anchor in its window which windows are copies. Classes are formed in each batch before the
     shuffle, so a passage in any share of the documents stays one record a batch; a hot gram, with over `cap`
     different surroundings, is split by its windows and aggregated by Spark.
 
@@ -298,7 +314,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
     def compare(group: pa.Table) -> pa.Table:
-        """The suffixes that begin at most `reach` bytes before each anchor are sorted; neighbours with `window` common bytes are copies."""
+        """The suffixes at the anchors of a gram are sorted, and so are the bytes before them read backwards; neighbours in both
+        orders tell which windows are copies."""
         rows = []
         if group.num_rows:
             h, doc, th, at, lead = (group.column(c).to_numpy() for c in ("h", "doc", "th", "at", "lead"))
@@ -306,30 +323,23 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             tail = np.array([len(r) for r in raw]) - lead  # bytes from the anchor on
             # one row each, with the anchors below each other
             data = np.frombuffer(b"".join((bytes(reach - n) + r).ljust(reach + window, b"\0") for n, r in zip(lead.tolist(), raw, strict=True)), np.uint8).reshape(-1, reach + window)
-            suffixes = Suffixes(data, window)
-            most, least = np.full(len(data), -1), np.zeros(len(data), np.int64)
+            most, least = np.full(len(data), -1), np.full(len(data), reach + 1)
             by = np.lexsort((doc, h))
-            cuts = np.flatnonzero(np.diff(h[by], prepend=h[by[:1]] - 1))
-            stops, lo = np.append(cuts, len(by)), 0
+            stops, lo = np.append(np.flatnonzero(np.diff(h[by], prepend=h[by[:1]] - 1)), len(by)), 0
             while lo < len(by):  # whole grams, some thousand anchors at a time
                 hi = stops[max(np.searchsorted(stops, lo + block, side="right") - 1, np.searchsorted(stops, lo, side="right"))]
-                own = by[lo:hi]
-                n = np.maximum(np.minimum(lead[own], reach) - np.maximum(0, window - tail[own]) + 1, 0)
-                row = np.repeat(own, n)
-                shift = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.maximum(0, window - tail[own]), n)
-                # suffixes that begin `shift` bytes before the same gram can share a window; within these, documents in order
-                first = np.lexsort((doc[row], shift, h[row]))
-                row, shift = row[first], shift[first]
-                group = np.cumsum(np.append(True, (np.diff(h[row]) != 0) | (np.diff(shift) != 0))[: len(row)])
-                order, kind = suffixes.classes(row, reach - shift, group)
-                row, shift = row[order], shift[order]
-                leader = np.maximum.accumulate(np.where(np.diff(kind, prepend=0) != 0, np.arange(len(row)), 0))
-                hit = doc[row] > doc[row[leader]]
-                np.maximum.at(most, row[hit], shift[hit])
-                low = np.full(len(data), reach + 1)
-                np.minimum.at(low, row[hit], shift[hit])
-                least[own] = np.minimum(low, reach)[own]
-                lo = hi
+                own, lo = by[lo:hi], hi
+                gram = np.cumsum(np.diff(h[own], prepend=h[own[:1]] - 1) != 0)
+                after, ahead = common_runs(data[own, reach:], gram), common_runs(data[own, reach - 1 :: -1] if reach else data[own, :0], gram)
+                d, before, behind = doc[own], lead[own], tail[own]
+                for shift in range(reach + 1):  # windows that begin so many bytes before their anchor
+                    # copies have the window's bytes from the anchor on in common, and those before it
+                    key = after(window - shift) * np.int64(len(own) + 1) + ahead(shift)
+                    whole = np.flatnonzero((before >= shift) & (behind + shift >= window))
+                    order = whole[np.argsort(key[whole], kind="stable")]  # documents stay in order
+                    leader = order[np.maximum.accumulate(np.where(np.diff(key[order], prepend=-1) != 0, np.arange(len(order)), 0))]
+                    hit = own[order[d[order] > d[leader]]]
+                    most[hit], least[hit] = shift, np.minimum(least[hit], shift)
             # all windows of an anchor overlap, so what they cover is one range
             hit = np.flatnonzero(most >= 0)
             rows = list(rows_of(COVERED, part_of(doc[hit], th[hit], parts), doc[hit], th[hit], at[hit] - most[hit], at[hit] - least[hit] + window))

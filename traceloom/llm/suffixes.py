@@ -70,30 +70,25 @@ class Suffixes:
             order, width = merged, width * 2
         return order
 
-    def equal(self, row: np.ndarray, at: np.ndarray, row2: np.ndarray, at2: np.ndarray) -> np.ndarray:
-        """Whether the `reach` bytes of each pair are the same, on the bytes."""
-        out, span = np.zeros(len(row), bool), np.arange(self.reach)
-        for lo in range(0, len(row), 50_000):
-            p = slice(lo, lo + 50_000)
-            out[p] = (self.data[row[p, None], at[p, None] + span] == self.data[row2[p, None], at2[p, None] + span]).all(axis=1)
-        return out
-
-    def classes(self, row: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order, class number): sorted suffixes, where neighbours with `reach` common bytes are one class.
-
-        Every equality of hashes is verified on the bytes; a group in which one fails is sorted by its bytes.
-        """
-        order = self.sort(row, at, group)
-        a, b = order[:-1], order[1:]
-        pair = np.flatnonzero(group[a] == group[b])
-        alike = pair[self.common(row[a[pair]], at[a[pair]], row[b[pair]], at[b[pair]]) == self.reach]
-        true = self.equal(row[a[alike]], at[a[alike]], row[b[alike]], at[b[alike]])
-        new = np.ones(len(order), bool)
-        new[alike + 1] = ~true
-        for g in np.unique(group[order[alike[~true]]]):  # a collision
+    def extensions(self, row: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, common): sorted suffixes, and how many first bytes each has in common with the one before it; -1 for
+        the first of a group. Lengths that the hashes tell are verified on the bytes; a group in which one is wrong
+        is sorted by its bytes."""
+        order, span = self.sort(row, at, group), np.arange(self.reach)
+        common = np.full(len(order), -1)
+        pair = np.flatnonzero(group[order[1:]] == group[order[:-1]]) + 1
+        a, b = order[pair - 1], order[pair]
+        common[pair] = self.common(row[a], at[a], row[b], at[b])
+        wrong = []
+        for lo in range(0, len(pair), 50_000):
+            p, x, y = pair[lo : lo + 50_000], a[lo : lo + 50_000], b[lo : lo + 50_000]
+            same = self.data[row[x, None], at[x, None] + span] == self.data[row[y, None], at[y, None] + span]
+            true = np.where(same.all(axis=1), self.reach, same.argmin(axis=1))
+            wrong.append(group[order[p[true != common[p]]]])
+        for g in np.unique(np.concatenate(wrong)) if wrong else []:  # a collision
             own = np.flatnonzero(group == g)
             text = [self.data[r, p : p + self.reach].tobytes() for r, p in zip(row[own], at[own], strict=True)]
             by = sorted(range(len(own)), key=text.__getitem__)
             order[own] = own[by]
-            new[own] = [i == 0 or text[by[i]] != text[by[i - 1]] for i in range(len(by))]
-        return order, np.cumsum(new)
+            common[own[1:]] = [next((n for n, (c, d) in enumerate(zip(text[i], text[j], strict=True)) if c != d), self.reach) for i, j in zip(by, by[1:], strict=False)]
+        return order, common
