@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 
 def deal(rows: DataFrame, keys: list[str], by: Column, cap: int) -> DataFrame:
-    """Adds i and j and puts rows of (keys, i, j) in one partition.
+    """Adds i, j and own and puts rows of (keys, i, j) in one partition.
 
     Buckets of over `cap` rows are cut into chunks by `by`; each chunk meets each other (and itself) in a
-    group (i, j) of its own, so every pair of rows meets and no task gets an unbounded group.
+    group (i, j) of its own, so every pair of rows meets and no task gets an unbounded group. own: the row's chunk; in
+    a group of two chunks, rows of one chunk have met elsewhere.
     """
     large = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > cap)
     large = large.select(*keys, F.ceil(F.col("n") / cap).cast("int").alias("chunks"))
-    rows = rows.join(large, keys, "left").withColumn("own", F.when(F.col("chunks").isNotNull(), F.pmod(by, "chunks").cast("int")))
+    rows = rows.join(large, keys, "left").withColumn("own", F.coalesce(F.pmod(by, "chunks").cast("int"), F.lit(0)))
     spread = F.expr("CASE WHEN chunks IS NULL THEN array(struct(0 AS i, 0 AS j)) ELSE transform(sequence(0, chunks - 1), o -> struct(least(o, own) AS i, greatest(o, own) AS j)) END")
-    rows = rows.withColumn("part", F.explode(spread)).select("*", "part.i", "part.j").drop("part", "own", "chunks")
+    rows = rows.withColumn("part", F.explode(spread)).select("*", "part.i", "part.j").drop("part", "chunks")
     return rows.repartition(*keys, "i", "j")
 
 
