@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -84,37 +85,48 @@ def _v4(ip: Column) -> Column:
     return sum((F.get(octets, F.lit(i)).try_cast("bigint") * 256 ** (3 - i) for i in range(4)), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hextets(ip: Column) -> Column:
     """The eight 16-bit numbers of an IPv6 address, which may end in an IPv4 one; null for other texts."""
-    low = F.lower(ip)
-    four = _v4(F.regexp_extract(low, rf":({V4})$", 1))
-    whole = F.when(low.rlike(rf":{V4}$"), F.concat(F.regexp_replace(low, rf"{V4}$", ""), F.lower(F.hex(F.shiftright(four, 16))), F.lit(":"), F.lower(F.hex(four.bitwiseAND(65535))))).otherwise(low)
-    halves = F.split(whole, "::")
+    tail = lambda x: let(_v4(F.regexp_extract(x, rf":({V4})$", 1)), lambda n: F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(65535)))))
+    whole = let(F.lower(ip), lambda x: F.when(x.rlike(rf":{V4}$"), F.concat(F.regexp_replace(x, rf"{V4}$", ""), tail(x))).otherwise(x))
     groups = lambda half: F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    short, n = F.size(halves) == 2, F.size(left) + F.size(right)
-    sound = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(short, n < 8).otherwise((F.size(halves) == 1) & (n == 8))
-    all_ = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
-    return F.when(sound, F.transform(all_, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    def numbers(halves: Column, left: Column, right: Column) -> Column:
+        n = F.size(left) + F.size(right)
+        sound = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & F.when(F.size(halves) == 2, n < 8).otherwise((F.size(halves) == 1) & (n == 8))
+        all_ = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
+        return F.when(sound, F.transform(all_, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return let(F.split(whole, "::"), lambda h: let(groups(F.get(h, F.lit(0))), lambda a: let(groups(F.get(h, F.lit(1))), lambda b: numbers(h, a, b))))
 
 
 def ipv6_text(words: Column) -> Column:
     """Eight 16-bit numbers as text: lower case, without leading zeros, the longest run of two or more zeros as ::."""
-    full = F.array_join(F.transform(words, lambda w: F.lower(F.hex(w))), ":")
-    run = F.lit(None).cast("string")
-    for n in range(2, 9):  # the longest, and of these the first
-        zeros = ":".join("0" * n)
-        run = F.when(full.rlike(rf"(?:^|:){zeros}(?:$|:)"), F.regexp_replace(full, rf"^(.*?)(?:^|:){zeros}(?:$|:)(.*)$", "$1::$2")).otherwise(run)
-    return F.coalesce(run, full)
+
+    def short(full: Column) -> Column:
+        out = full
+        for n in range(2, 9):  # the longest, and of these the first
+            zeros = ":".join("0" * n)
+            out = F.when(full.rlike(rf"(?:^|:){zeros}(?:$|:)"), F.regexp_replace(full, rf"^(.*?)(?:^|:){zeros}(?:$|:)(.*)$", "$1::$2")).otherwise(out)
+        return out
+
+    return let(F.array_join(F.transform(words, lambda w: F.lower(F.hex(w))), ":"), short)
 
 
 def is_private(ip: Column) -> Column:
     """In a private network; what is no address is not. An IPv6 address that wraps an IPv4 one counts as that."""
     ranges = [(int(x.network_address), int(x.broadcast_address)) for x in map(ipaddress.ip_network, PRIVATE) if x.version == 4]
     inside = lambda n: reduce(lambda a, b: a | b, (n.between(lo, hi) for lo, hi in ranges))
-    h = hextets(ip)
-    at = lambda i: F.get(h, F.lit(i))
-    zeros = F.forall(F.slice(h, 1, 5), lambda x: x == 0)
-    mapped = zeros & (at(5) == 65535)
-    six = F.when(mapped, inside(at(6).cast("bigint") * 65536 + at(7))).otherwise((at(0).bitwiseAND(0xFE00) == 0xFC00) | (F.forall(F.slice(h, 1, 7), lambda x: x == 0) & (at(7) == 1)))
-    return F.coalesce(F.when(ip.contains(":"), six).when(ip.rlike(f"^{V4}$"), inside(_v4(ip))), F.lit(False))
+
+    def six(h: Column) -> Column:
+        at = lambda i: F.get(h, F.lit(i))
+        mapped = F.forall(F.slice(h, 1, 5), lambda x: x == 0) & (at(5) == 65535)
+        loop = F.forall(F.slice(h, 1, 7), lambda x: x == 0) & (at(7) == 1)
+        return F.when(mapped, let(at(6).cast("bigint") * 65536 + at(7), inside)).otherwise((at(0).bitwiseAND(0xFE00) == 0xFC00) | loop)
+
+    return F.coalesce(F.when(ip.contains(":"), let(hextets(ip), six)).when(ip.rlike(f"^{V4}$"), let(_v4(ip), inside)), F.lit(False))

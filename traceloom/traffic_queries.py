@@ -249,10 +249,10 @@ def viewer_options(spark, sf):
     return rows.select(*(F.array_join(x, ",").alias(x) for x in ("kinds", "models", "sources", "commands")))
 
 
-@query(TRAFFIC + "SELECT seq FROM request WHERE comm = 'agent1' AND model = 'm1' AND ms BETWEEN 3000 AND 200000 AND contains(body, left('a' || m, 1))")
+@query(TRAFFIC + "SELECT seq FROM request WHERE comm = 'agent1' AND model = 'm1' AND ms BETWEEN 3000 AND 90000000 AND contains(lower(body), 'a')")
 def tree_filtered(spark, sf):
     rows = viewer.classified(parse_http(traffic.envelopes(spark, sf)))
-    return filters.tree_filter(rows, ["prompt"], ["http_parser"], ["agent1"], ["m1"], 3000, 200_000, "a").select(F.col("stream_seq").alias("seq"))
+    return filters.tree_filter(rows, ["prompt"], ["http_parser"], ["agent1"], ["m1"], 3000, 90_000_000, "A").select(F.col("stream_seq").alias("seq"))
 
 
 @query(BASE.replace("WITH e AS", "WITH RECURSIVE e AS") + FIRST + """, walk AS (SELECT session_id, pid AS root, pid FROM firsts UNION SELECT w.session_id, w.root, n.pid FROM walk w JOIN firsts n ON n.session_id = w.session_id AND n.ppid = w.pid AND n.pid <> w.pid)
@@ -295,7 +295,7 @@ def opens_by_process(spark, sf):
     return process.opens_by_process(rows.where("event_type = 'FILE_OPEN'"), rows.where("event_type = 'EXIT'"), ["session_id", "pid"], gap=7_200_000_000_000)
 
 
-@query(BASE + """, h AS (SELECT pid, timestamp_ns // 86400000000000 AS day, count(*) AS n, max(timestamp_ns) AS at FROM proc WHERE event_type <> 'EXIT' GROUP BY 1, 2), b AS (SELECT pid, at AS timestamp_ns, n > 1 AS over_limit, 0 AS is_exit, 0 AS event_id FROM h UNION ALL SELECT pid, timestamp_ns, NULL, 1, event_id FROM proc WHERE event_type = 'EXIT'),
+@query(BASE + """, h AS (SELECT pid, timestamp_ns // 86400000000000 AS day, count(*) AS n, max(timestamp_ns) AS last_ns FROM proc WHERE event_type <> 'EXIT' GROUP BY 1, 2), b AS (SELECT pid, last_ns AS timestamp_ns, n > 1 AS over_limit, 0 AS is_exit, 0 AS event_id FROM h UNION ALL SELECT pid, timestamp_ns, NULL, 1, event_id FROM proc WHERE event_type = 'EXIT'),
   l AS (SELECT *, lag(over_limit) OVER (PARTITION BY pid ORDER BY timestamp_ns, is_exit) AS before FROM b) SELECT pid, timestamp_ns, coalesce(before, FALSE) AS rate_limit_warning FROM l WHERE is_exit = 1""")
 def exit_warnings(spark, sf):
     """By days instead of seconds, as these events are rare."""
@@ -407,8 +407,8 @@ def written_tables(spark, sf):
 # --- scalar functions ---------------------------------------------------------------------------------------------
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber * 9000 + l_orderkey < 1000 THEN (l_linenumber * 9000 + l_orderkey) || 'ms' WHEN l_linenumber * 9000 + l_orderkey < 60000 THEN printf('%.2fs', (l_linenumber * 9000 + l_orderkey) / 1000.0) ELSE printf('%dm %ds', (l_linenumber * 9000 + l_orderkey) // 60000, (l_linenumber * 9000 + l_orderkey) % 60000 // 1000) END AS took,
-  CASE WHEN l_orderkey * l_linenumber < 1024 THEN printf('%d B', l_orderkey * l_linenumber) WHEN l_orderkey * l_linenumber < 1048576 THEN printf('%.1f KB', l_orderkey * l_linenumber / 1024.0) ELSE printf('%.1f MB', l_orderkey * l_linenumber / 1048576.0) END AS size, CASE WHEN (l_linenumber & 3) = 0 THEN 'fs.read' ELSE 'fs.write' END AS tool,
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber * 9000 + l_orderkey < 1000 THEN (l_linenumber * 9000 + l_orderkey) || 'ms' WHEN l_linenumber * 9000 + l_orderkey < 60000 THEN printf('%.2fs', floor((l_linenumber * 9000 + l_orderkey) / 10.0 + 0.5) / 100) ELSE printf('%dm %ds', (l_linenumber * 9000 + l_orderkey) // 60000, (l_linenumber * 9000 + l_orderkey) % 60000 // 1000) END AS took,
+  CASE WHEN l_orderkey * l_linenumber < 1024 THEN printf('%d B', l_orderkey * l_linenumber) WHEN l_orderkey * l_linenumber < 1048576 THEN printf('%.1f KB', floor(l_orderkey * l_linenumber / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(l_orderkey * l_linenumber / 1048576.0 * 10 + 0.5) / 10) END AS size, CASE WHEN (l_linenumber & 3) = 0 THEN 'fs.read' ELSE 'fs.write' END AS tool,
   CAST(l_orderkey & 255 AS VARCHAR) || '.' || ((l_orderkey >> 8) & 255) || '.' || ((l_orderkey >> 16) & 255) || '.' || ((l_orderkey >> 24) & 255) AS ip, greatest(0, CAST(floor((l_linenumber - 3) * 1500000 / 1000000.0) AS BIGINT)) AS ms FROM lineitem""")
 def scalar_texts(spark, sf):
     """Durations, sizes, tools of open flags, addresses, milliseconds."""
@@ -417,7 +417,7 @@ def scalar_texts(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", scalar.duration_text(n * 9000 + k).alias("took"), scalar.size_text(k * n).alias("size"), scalar.file_tool(F.col("l_linenumber")).alias("tool"), scalar.ipv4_text(k).alias("ip"), scalar.ns_to_ms((n - 3) * 1_500_000).alias("ms"))
 
 
-@query("""SELECT c_custkey, printf('%x', list_reduce(list_prepend(CAST(14695981039346656037 AS UBIGINT), list_transform(string_split(c_name, ''), x -> CAST(ascii(x) AS UBIGINT))), (h, b) -> CAST((CAST(xor(h, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616 AS UBIGINT))) AS hash FROM customer""")
+@query("""SELECT c_custkey, printf('%x', list_reduce(list_prepend(CAST(14695981039346656037 AS UBIGINT), list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda h, b: CAST((CAST(xor(h, b) AS UHUGEINT) * 1099511628211) % 18446744073709551616 AS UBIGINT))) AS hash FROM customer""")
 def fnv_hashes(spark, sf):
     return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", scalar.fnv1a64("c_name").alias("hash"))
 
