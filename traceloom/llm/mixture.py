@@ -72,35 +72,58 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> None:
     p[:] = q
 
 
-def land(size: np.ndarray, p: np.ndarray, helpers: int = 14) -> None:
-    """Rounds the few fractional units left: the landing problem also lets up to `helpers` settled units, spread
-    evenly over the sizes, change sides, and takes the choice nearest to the word total, then the document total."""
-    left = np.flatnonzero((p > EPS) & (p < 1 - EPS))
-    if not len(left):
-        return
-    settled = np.setdiff1d(np.lexsort((np.arange(len(p)), size)), left, assume_unique=True)
-    settled = settled[size[settled] > 0]
-    spread = settled[np.unique(np.linspace(0, len(settled) - 1, helpers).astype(int))] if len(settled) else settled
-    units = np.concatenate([left, spread]).astype(int)
-    choices = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
-    words = np.abs(choices @ size[units].astype(float) - p[units] @ size[units])
-    count = np.abs(choices.sum(axis=1) - p[units].sum())
-    p[units] = choices[np.argmin(words + 0.02 * size[units].mean() * count)]
-
-
-def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, block: int = 2048, seed: int = 5, **options) -> DataFrame:
+def land(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> None:
+    """Rounds the few fractional units left, and no others, so that each keeps its probability.
+
+    Of the samples of two units that keep both probabilities, those that take both with a probability t are a line;
+    the landing program's cost, the expected distance from the totals, is least at one of its ends. One unit alone
+    is drawn. (More are left only by rounding; they are first moved in pairs, with the number of documents kept.)
+    """
+    left = [int(i) for i in np.flatnonzero((p > EPS) & (p < 1 - EPS))]
+    while len(left) > 2:
+        i, j = left[:2]
+        up, down = min(1 - p[i], p[j]), min(p[i], 1 - p[j])
+        move = up if rng.random() * (up + down) < down else -down
+        p[i], p[j] = p[i] + move, p[j] - move
+        left = [x for x in left if EPS < p[x] < 1 - EPS]
+    if len(left) == 2:
+        i, j = left
+        cost = lambda a, b: abs(a * size[i] + b * size[j] - p[i] * size[i] - p[j] * size[j]) + 0.02 * (size[i] + size[j]) / 2 * abs(a + b - p[i] - p[j])
+        choices = [(1, 1), (1, 0), (0, 1), (0, 0)]
+        chances = [np.maximum([t, p[i] - t, p[j] - t, 1 - p[i] - p[j] + t], 0) for t in (max(0.0, p[i] + p[j] - 1), min(p[i], p[j]))]
+        best = min(chances, key=lambda q: sum(x * cost(a, b) for x, (a, b) in zip(q, choices, strict=True)))
+        p[i], p[j] = choices[int(np.searchsorted(np.cumsum(best), rng.random() * best.sum(), side="right").clip(0, 3))]
+    elif left:
+        p[left[0]] = float(rng.random() < p[left[0]])
+    p[:] = np.round(np.where((p < EPS) | (p > 1 - EPS), np.round(p), p), 12)
+
+
+def repair(size: np.ndarray, p: np.ndarray, words: float, helpers: int = 14) -> None:
+    """Where landing misses the words by much (few documents, one of them large), settled units, up to `helpers` spread
+    evenly over the sizes, change sides: the choice nearest to the words, then to the number of documents, is taken."""
+    units = np.lexsort((np.arange(len(p)), size))
+    units = units[size[units] > 0]
+    units = units[np.unique(np.linspace(0, len(units) - 1, helpers).astype(int))] if len(units) else units
+    flips = (np.arange(1 << len(units))[:, None] >> np.arange(len(units))) & 1
+    change = flips @ ((1 - 2 * p[units]) * size[units])
+    best = flips[np.argmin(np.abs(p @ size + change - words) + 0.02 * size.mean() * flips.sum(axis=1))].astype(bool)
+    p[units[best]] = 1 - p[units[best]]
+
+
+def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, block: int = 2048, most_off: float = 0.001, seed: int = 5, **options) -> DataFrame:
     """One row per row of docs: (id, size, source_size, target, copies, taken), and the columns named in keep.
 
     size counts the words; a source's documents are wanted target / source_size times: the whole part is
     given to each, the rest by a balanced sample whose word and document totals stay those of the fractions.
-    Blocks of about `block` documents fly on their own (by id hash, so a source of any size is spread) and
+    Blocks of about `block` documents fly on their own (by the hash of id and text, so a source of any size is spread) and
     leave two fractional documents each; those meet again in blocks until a source has one block, which lands.
+    Each document keeps its probability, but where the landing misses by over `most_off` of the source's target.
     taken = copies x size, copies <= 2.
     Null and wordless texts have size 0; null sources are one source; rows that repeat are units of their own.
     Draws are seeded by block, so reruns agree. An empty table gives an empty result.
     """
     spark, keep = docs.sparkSession, keep or []
-    sized = write_table(docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), *(F.col(c).alias(f"__{c}") for c in keep)), "sizes")
+    sized = write_table(docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(id_column, text).alias("salt"), *(F.col(c).alias(f"__{c}") for c in keep)), "sizes")
     targets = source_targets(sized, **options)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("rate") + EPS)
@@ -110,11 +133,15 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sour
     schema = units.schema
 
     def fly(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.take(pa.compute.sort_indices(group, [("size", "descending"), ("id", "ascending")]))
+        group = group.take(pa.compute.sort_indices(group, [("size", "descending"), ("id", "ascending"), ("salt", "ascending")]))
         size, p = group.column("size").to_numpy(), group.column("p").to_numpy().copy()
-        flight(size, p, np.random.default_rng((seed, group.column("level")[0].as_py(), key[1].as_py(), len(p), int(size.sum()))))
-        if group.column("blocks")[0].as_py() == 1:
-            land(size, p)
+        rng = np.random.default_rng((seed, group.column("level")[0].as_py(), key[1].as_py(), len(p), int(size.sum())))
+        last, words = group.column("blocks")[0].as_py() == 1, float(p @ size)
+        flight(size, p, rng)
+        if last:
+            land(size, p, rng)
+            if abs(float(p @ size) - words) > most_off * group.column("target")[0].as_py():
+                repair(size, p, words)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p)).select(schema.names)
 
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
@@ -123,7 +150,7 @@ def mixture(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sour
         counts = left.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n"))
         counts = counts.select("of", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
         dealt = left.join(counts, left["source"].eqNullSafe(counts["of"])).drop("of")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), "blocks").cast("int")).withColumn("level", F.lit(level))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "salt", F.lit(level)), "blocks").cast("int")).withColumn("level", F.lit(level))
         path = save_table(dealt.groupBy("source", "block").applyInArrow(fly, schema), "flight")
         flown = read_table(spark, path, units)
         done.append(flown.where(~fractional))
