@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,12 +46,13 @@ def features(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return (mixed >> np.uint64(40)) % np.uint64(size), starts, np.searchsorted(ends, at[starts], side="right")
 
 
-def mixtures(texts: list[str], model: Model, rounds: int = 12, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(texts: list[str], model: Model, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """(language index or -1, its proportion) of each text.
 
     Words are the units; the likelihood of a word is that of its trigrams. EM over all languages orders them;
     of the sets of the 1, 2, ... largest, each fitted by EM again, the one of best log-likelihood less
-    half the logarithm of the number of words per language is kept (BIC).
+    half the logarithm of the number of words per language is kept (BIC). A text's set grows until a language
+    more is no gain, so texts of any number of languages end with the set that the penalty chooses.
     """
     n, k = len(texts), len(model.langs)
     best, share = np.full(n, -1), np.zeros(n)
@@ -59,39 +60,47 @@ def mixtures(texts: list[str], model: Model, rounds: int = 12, most: int = 4) ->
     if not len(starts) or not k:
         return best, share
     ll = np.add.reduceat(model.logp[codes.astype(np.int64)], starts, axis=0)
-    top = ll.max(axis=1, keepdims=True)
-    weight = np.exp(ll - top).astype(np.float32)
+    weight = np.exp(ll - ll.max(axis=1, keepdims=True)).astype(np.float32)
     at = np.flatnonzero(np.diff(doc, prepend=-1))
-    words, row = np.diff(np.append(at, len(doc))), np.cumsum(np.diff(doc, prepend=-1) != 0) - 1
+    words = np.diff(np.append(at, len(doc)))
     tiny = np.float32(1e-30)
 
-    def em(theta: np.ndarray, times: int) -> np.ndarray:
+    def em(weight: np.ndarray, words: np.ndarray, theta: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions after so many rounds, and their log-likelihood."""
+        first, row = np.cumsum(words) - words, np.repeat(np.arange(len(words)), words)
         for _ in range(times):
             part = weight * theta[row]
             part /= part.sum(axis=1, keepdims=True) + tiny
-            theta = np.add.reduceat(part, at, axis=0) / words[:, None].astype(np.float32)
-        return theta
+            theta = np.add.reduceat(part, first, axis=0) / words[:, None].astype(np.float32)
+        return theta, np.add.reduceat(np.log((weight * theta[row]).sum(axis=1) + tiny), first)
 
-    full = em(np.full((len(at), k), 1 / k, np.float32), rounds)
+    full = em(weight, words, np.full((len(at), k), 1 / k, np.float32), rounds)[0]
     order = np.argsort(-full, axis=1, kind="stable")
-    good, chosen = np.full(len(at), -np.inf), np.zeros_like(full)
-    for m in range(1, min(most, k) + 1):
-        theta = np.zeros_like(full)
-        np.put_along_axis(theta, order[:, :m], np.take_along_axis(full, order[:, :m], 1) + np.float32(1e-6), 1)
-        theta = em(theta / theta.sum(axis=1, keepdims=True), 3 if m > 1 else 0)
-        value = np.add.reduceat(np.log((weight * theta[row]).sum(axis=1) + tiny), at) - 0.5 * m * np.log(words + 1)
-        better = value > good
-        good, chosen = np.where(better, value, good), np.where(better[:, None], theta, chosen)
+    good, chosen, open_ = np.full(len(at), -np.inf), np.zeros_like(full), np.arange(len(at))
+    for m in range(1, k + 1):
+        top, theta = order[open_, :m], np.zeros((len(open_), k), np.float32)
+        np.put_along_axis(theta, top, np.take_along_axis(full[open_], top, 1) + np.float32(1e-6), 1)
+        theta, value = em(weight, words[open_], theta / theta.sum(axis=1, keepdims=True), 3 if m > 1 else 0)
+        value -= 0.5 * m * np.log(words[open_] + 1)
+        better = value > good[open_]
+        good[open_[better]], chosen[open_[better]] = value[better], theta[better]
+        weight, open_ = weight[np.repeat(better, words[open_])], open_[better]
+        if not len(open_):
+            break
     best[doc[at]], share[doc[at]] = chosen.argmax(axis=1), np.minimum(chosen.max(axis=1), 1)
     return best, share
 
 
 def fit_languages(docs: DataFrame, label: str = "lang", text: str = "text", id_column: str = "doc_id", sample_rows: int = 24_000, size: int = 1 << 16, smoothing: float = 0.05) -> Model:
-    """Trigram counts of the labelled rows, over whole texts of at most `sample_rows` of them (smallest id hashes)."""
-    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    # a sample of ids, without their texts, is at most sample_rows longs
-    ids = labelled.select(F.col(id_column).alias("__id")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows).distinct()
-    rows = labelled.join(F.broadcast(ids), labelled[id_column].eqNullSafe(ids["__id"])).select(F.col(label).alias("l"), F.col(text).alias("t"))
+    """Trigram counts of the labelled rows, over whole texts of at most `sample_rows` of them: as many of each label, those
+    of smallest id hash. Rows without an id are not taken."""
+    labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
+    n_labels = labelled.agg(F.count_distinct(label)).first()[0]
+    place = F.row_number().over(Window.partitionBy("__l").orderBy("__h", "__id"))
+    # a sample of ids, without their texts, is at most sample_rows longs; each task passes on no more than that
+    ids = labelled.select(F.col(label).alias("__l"), F.col(id_column).alias("__id"), F.xxhash64(id_column).alias("__h"))
+    ids = ids.withColumn("__n", place).where(F.col("__n") <= max(1, sample_rows // max(1, n_labels))).select("__l", "__id").distinct()
+    rows = labelled.join(F.broadcast(ids), (labelled[id_column] == ids["__id"]) & (labelled[label] == ids["__l"])).select(F.col(label).alias("l"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
