@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceloom.llm.batches import added, with_columns
+from traceloom.llm.batches import added, by_bytes, with_columns
 from traceloom.llm.store import write_table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
@@ -58,11 +60,12 @@ class Node:
     hard: bool = False  # out by its tag or role, or below such an element
     soft: bool = False  # has a class or id word of WORDS
     freed: bool = False  # holds the main element or most of the text, as an article
+    name: str = ""  # tag and generalised classes
+    holder: Node | None = None  # the block element at or above it
 
 
 @dataclass
 class Page:
-    nodes: list[Node] = field(default_factory=list)
     every: list[Node] = field(default_factory=list)
     blocks: list[tuple[str, Node]] = field(default_factory=list)
 
@@ -105,10 +108,9 @@ def settle(page: Page) -> None:
             n.soft = n.soft or n.parent.soft
             n.out = n.hard
     for t, n in kept_blocks(page):
-        up = n
-        while up:
-            up.kept += len(t)
-            up = up.parent
+        n.kept += len(t)
+    for n in reversed(page.every):
+        n.parent.kept += n.kept
 
 
 def parse(html: str) -> Page:
@@ -118,17 +120,16 @@ def parse(html: str) -> Page:
     stack, text, linked, at = [root], [], [0], 0
     links = 0
 
+    root.holder = root
+
     def end_block() -> None:
         block = " ".join("".join(text).split())
         text.clear()
         if block:
-            node = next(n for n in reversed(stack) if n.tag in BLOCK or not n.tag)
+            node = stack[-1].holder
             page.blocks.append((block, node))
-            up = node
-            while up:
-                up.chars += len(block)
-                up.link_chars += min(linked[0], len(block))
-                up = up.parent
+            node.chars += len(block)
+            node.link_chars += min(linked[0], len(block))
         linked[0] = 0
 
     def close(i: int) -> None:
@@ -182,21 +183,24 @@ def parse(html: str) -> Page:
         hard = up.hard or tag in OUT or (tag == "header" and not up.inside) or role in ROLES
         soft = tag not in ("html", "body", "main") and bool(words & WORDS)
         out = up.out or hard or soft
-        if tag in BLOCK or out != up.out:
-            holder = next(n for n in reversed(stack) if n.tag in BLOCK or not n.tag)
-            node = Node(tag, f"{holder.path}>{'.'.join([tag, *classes])}" if holder.path else ".".join([tag, *classes]), up, out, inside)
-            page.nodes.append(node)
-        else:
-            node = Node(tag, up.path, up, out, inside)
+        name = ".".join([tag, *classes])
+        held = tag in BLOCK or out != up.out
+        # a path is known by its hash: deep pages hold no long texts
+        path = hashlib.blake2b(f"{up.holder.path}>{name}".encode(errors="surrogatepass"), digest_size=8).hexdigest() if held else up.path
+        node = Node(tag, path, up, out, inside, name=name)
+        node.holder = node if tag in BLOCK else up.holder
         node.hard, node.soft = hard, soft
         page.every.append(node)
         if tag == "a":
             links += 1
-            for n in stack:
-                n.links += 1
+            node.links = 1
         if not m[3].endswith("/") or tag in BLOCK:
             stack.append(node)
     end_block()
+    for n in reversed(page.every):  # children come after their parents
+        n.parent.chars += n.chars
+        n.parent.link_chars += n.link_chars
+        n.parent.links += n.links
     settle(page)
     return page
 
@@ -226,7 +230,7 @@ def best_container(page: Page) -> tuple[str, float] | None:
     if best is None:
         return None
     up = best.parent
-    while up and up.tag not in ("", "html", "body") and (up.kept <= 1.3 * best.kept or BODY.search(up.path.rpartition(">")[2])):
+    while up and up.tag not in ("", "html", "body") and (up.kept <= 1.3 * best.kept or BODY.search(up.name)):
         if up.tag in BLOCK:
             best = up  # headings and lists beside the longest part
         up = up.parent
@@ -239,71 +243,104 @@ def best_container(page: Page) -> tuple[str, float] | None:
 
 
 def text_by(page: Page, paths: list[str]) -> str:
-    """Text of the elements of the first of these paths that has any, else of the page's own best container."""
+    """Text of the elements of the first of these paths that has any, else all text that is not out."""
     kept = kept_blocks(page)
+    own = {n.path for n in page.every}
     for path in paths:
-        found = [t for t, n in kept if _under(n, path)]
-        if found:
-            return "\n".join(found)
+        if path in own:
+            under = below(page, path)
+            found = [t for t, n in kept if under.get(id(n))]
+            if found:
+                return "\n".join(found)
     return "\n".join(t for t, _ in kept)
 
 
-def _under(node: Node, path: str) -> bool:
-    menu, up = False, node
-    while up:
-        menu |= up.tag in ("ul", "ol", "div", "table") and not up.inside and up.links > 1 and up.link_chars > 0.8 * up.chars
-        if up.path == path and up.tag:
-            return not menu
-        if not up.tag:
-            return not path and not menu
-        up = up.parent
-    return False
+def is_menu(n: Node) -> bool:
+    return n.tag in ("ul", "ol", "div", "table") and not n.inside and n.links > 1 and n.link_chars > 0.8 * n.chars
+
+
+def below(page: Page, path: str) -> dict[int, bool]:
+    """Which elements are at or below one of this path with no menu between, itself included; by their identity."""
+    under: dict[int, bool] = {}
+    for n in page.every:  # parents come first
+        under[id(n)] = not is_menu(n) if n.path == path else under.get(id(n.parent), False) and not is_menu(n)
+    return under
+
+
+def own_paths(page: Page) -> list[str]:
+    """Paths that have any text of the page."""
+    found, lists = set(), {id(n) for _, n in kept_blocks(page)}
+    for n in page.every:
+        if id(n) in lists:
+            up = n
+            while up and up.tag and not is_menu(up) and (up.path, id(up)) not in found:
+                found.add((up.path, id(up)))
+                up = up.parent
+    return sorted({p for p, _ in found})
 
 
 def host_of(url: str) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(F.col(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit(""))
 
 
-def extract_text(pages: DataFrame, html: str = "html", url: str = "url", winners: int = 16, broadcast_bytes: int = 32 << 20, salts: int = 32) -> DataFrame:
+def extract_text(pages: DataFrame, html: str = "html", url: str = "url", winners: int = 16, broadcast_bytes: int = 32 << 20, salts: int = 32, batch_bytes: int = 8 << 20) -> DataFrame:
     """Appends text and n_chars: the main text of each whole page.
 
     First pass: each page's best container gives a vote, weighted by its score's square root, to its path of
-    tags and classes (digits as #) at its host; votes are summed in Spark before any shuffle. Second pass: the
-    host's paths, of most votes first and `winners` at most, are tried on each page; a page with none of them
-    uses its own best container. The winners are broadcast if measured at under `broadcast_bytes`, else
-    joined by host and one of `salts` salts, as a host can have any share of the pages.
+    tags and classes (digits as #) at its host; votes are summed in Spark before any shuffle. Second pass: of the
+    host's paths that have text on the page, that of most votes wins; a page with none uses its own best container.
+    Paths of hosts with at most `winners` of them come to each page as a list, broadcast if measured at under
+    `broadcast_bytes`, else joined by host and one of `salts` salts, as a host can have any share of the pages. Pages of
+    hosts with more paths meet the votes by host and path, and their winner by the page's hash: no path is left out.
     Null or empty html gives an empty text and 0; null urls form one host. Rows stay as they are.
     """
     base = pages.withColumn("__host", host_of(url))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = [best_container(parse(h)) if h else None for h in batch.column("html").to_pylist()]
-            made = [batch.column("host"), pa.array([b and b[0] for b in best], pa.string()), pa.array([b[1] ** 0.5 if b else None for b in best], pa.float64())]
-            yield pa.RecordBatch.from_arrays(made, names=["host", "path", "score"])
+        for whole in batches:
+            for batch in by_bytes(whole, "html", batch_bytes):
+                best = [best_container(parse(h)) if h else None for h in batch.column("html").to_pylist()]
+                made = [batch.column("host"), pa.array([b and b[0] for b in best], pa.string()), pa.array([b[1] ** 0.5 if b else None for b in best], pa.float64())]
+                yield pa.RecordBatch.from_arrays(made, names=["host", "path", "score"])
 
     votes = base.select(F.col("__host").alias("host"), F.col(html).alias("html")).mapInArrow(score, "host string, path string, score double")
-    votes = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.sum("score").alias("votes"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc(F.round("votes", 3)), "path"))
-    ranked = votes.withColumn("place", place).where(F.col("place") <= winners)
-    paths = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("__paths")
-    chosen = write_table(ranked.groupBy(F.col("host").alias("__host")).agg(paths), "host-paths")
+    votes = write_table(votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.round(F.sum("score"), 3).alias("votes")), "host-votes")
+    many = write_table(votes.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > winners).select(F.col("host").alias("__host")), "wide-hosts")
+    paths = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "path"))), lambda x: x["path"]).alias("__paths")
+    few = votes.withColumnRenamed("host", "__host").join(many, "__host", "left_anti")
+    chosen = write_table(few.groupBy("__host").agg(paths), "host-paths")
     held = chosen.agg(F.coalesce(F.sum(F.length("__host") + F.length(F.concat_ws("", "__paths")) + 64), F.lit(0))).first()[0]
+    wide = not many.isEmpty()
+    plain = base.join(many, "__host", "left_anti") if wide else base
     if held <= broadcast_bytes:
-        joined = base.join(F.broadcast(chosen), "__host", "left")
+        joined = plain.join(F.broadcast(chosen), "__host", "left")
     else:
-        wide = chosen.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = base.withColumn("__salt", F.pmod(F.xxhash64(html, url), F.lit(salts)).cast("int")).join(wide, ["__host", "__salt"], "left")
+        salted = chosen.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = plain.withColumn("__salt", F.pmod(F.xxhash64(html, url), F.lit(salts)).cast("int")).join(salted, ["__host", "__salt"], "left")
     joined = joined.select(*pages.columns, "__paths")
+    if wide:
+        rest = base.join(many, "__host", "left_semi").withColumn("__page", F.xxhash64(html))
+
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in by_bytes(whole, "html", batch_bytes):
+                    found = [own_paths(parse(h or "")) for h in batch.column("html").to_pylist()]
+                    row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                    yield pa.RecordBatch.from_arrays([batch.column("host").take(row), batch.column("page").take(row), pa.array([p for f in found for p in f], pa.string())], names=["host", "page", "path"])
+
+        named = rest.select(F.col("__host").alias("host"), F.col("__page").alias("page"), F.col(html).alias("html")).mapInArrow(name, "host string, page long, path string").distinct()
+        won = named.join(votes, ["host", "path"]).groupBy(F.col("host").alias("__host"), F.col("page").alias("__page")).agg(F.array(F.min(F.struct((-F.col("votes")).alias("v"), "path"))["path"]).alias("__paths"))
+        joined = joined.unionByName(rest.join(won, ["__host", "__page"], "left").select(*pages.columns, "__paths"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for h, tried in zip(batch.column(html).to_pylist(), batch.column("__paths").to_pylist(), strict=True):
-                page = parse(h or "")
-                own = best_container(page)
-                texts.append(text_by(page, [*(tried or []), *([own[0]] if own else [])]))
-            yield with_columns(batch.select([c for c in batch.schema.names if c != "__paths"]), {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
+        for whole in batches:
+            for batch in by_bytes(whole, html, batch_bytes):
+                texts = []
+                for h, tried in zip(batch.column(html).to_pylist(), batch.column("__paths").to_pylist(), strict=True):
+                    page = parse(h or "")
+                    own = best_container(page)
+                    texts.append(text_by(page, [*(tried or []), *([own[0]] if own else [])]))
+                yield with_columns(batch.select([c for c in batch.schema.names if c != "__paths"]), {"text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
     return joined.mapInArrow(extract, added(pages, [("text", T.StringType()), ("n_chars", T.LongType())]))
 
