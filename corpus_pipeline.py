@@ -19,8 +19,9 @@ from traceloom.llm.store import write_table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null or without a letter, and those of which no language has half of the words."""
-    return identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    """Rejects texts that are null or without a letter; of others some language is always the likeliest, and where no row
+    has a language to learn from, all stay."""
+    return identify(docs).where((F.col("lang_pred") != UNKNOWN) | F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -326,6 +326,68 @@ def test_language(spark, odd, empty, sf):
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
 
 
+def test_mixtures_by_plain_em():
+    """Proportions and sets against a plain version over lists, up to all of seven languages."""
+    rng = np.random.default_rng(12)
+    size, langs = 1 << 12, [f"l{i}" for i in range(7)]
+    model = language.Model(langs, np.log(rng.dirichlet(np.full(7, 0.4), size) * 1e-2 + 1e-5).astype(np.float32))
+    pool = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(400)]
+    best = {w: int(np.add.reduce(model.logp[language.features([w], size)[0].astype(int)]).argmax()) for w in pool}
+    texts = []
+    for n in (1, 2, 5, 7):
+        own = [[w for w in pool if best[w] == i] for i in rng.permutation(7)[:n]]
+        texts.append(" ".join(rng.choice(o) for _ in range(150) for o in own if o))
+    found, share = language.mixtures([*texts, "", "12"], model)
+
+    def plain(text):
+        logs = [[float(sum(model.logp[int(c), i] for c in language.features([w], size)[0])) for i in range(7)] for w in text.split()]
+        like = [[np.exp(x - max(row)) for x in row] for row in logs]
+
+        def em(theta, times):
+            for _ in range(times):
+                total = [0.0] * 7
+                for row in like:
+                    part = [a * b for a, b in zip(row, theta, strict=True)]
+                    for i, x in enumerate(part):
+                        total[i] += x / sum(part)
+                theta = [x / len(like) for x in total]
+            return theta
+
+        full = em([1 / 7] * 7, 12)
+        order, kept = sorted(range(7), key=lambda i: -full[i]), None
+        for m in range(1, 8):
+            theta = [full[i] + 1e-6 if i in order[:m] else 0.0 for i in range(7)]
+            theta = em([x / sum(theta) for x in theta], 3 if m > 1 else 0)
+            value = sum(np.log(sum(a * b for a, b in zip(row, theta, strict=True))) for row in like) - 0.5 * m * np.log(len(like) + 1)
+            if kept is not None and value <= kept[0]:
+                break
+            kept = (value, theta)
+        return max(range(7), key=lambda i: kept[1][i]), max(kept[1]), sum(x > 0 for x in kept[1])
+
+    want = [plain(t) for t in texts]
+    assert [w[0] for w in want] == found[:4].tolist() and np.allclose([w[1] for w in want], share[:4], atol=2e-3)
+    assert want[3][2] > 4 and found[4:].tolist() == [-1, -1]
+
+
+def test_landing_keeps_probabilities():
+    """Settled units stay, and each fractional one is taken as often as its probability says."""
+    size, p = np.array([5, 9, 3, 7]), np.array([1.0, 0.3, 0.6, 0.0])
+    rng, total = np.random.default_rng(1), np.zeros(4)
+    for _ in range(4000):
+        q = p.copy()
+        mixture.land(size, q, rng)
+        assert set(q.tolist()) <= {0.0, 1.0} and q[0] == 1 and q[3] == 0
+        total += q
+    assert np.allclose(total / 4000, p, atol=0.03)
+
+
+def test_mixture_of_rows_without_id(spark):
+    data = [(None, " ".join(["w"] * (i % 7 + 1)) + f" {i}", "a" if i % 3 else "b") for i in range(600)]
+    got = mixture.mixture(spark.createDataFrame(data, "doc_id long, text string, source string"), keep=["source"], block=50)
+    for r in got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w")).collect():
+        assert abs(r["t"] - r["w"]) <= 0.01 * r["w"] + 5
+
+
 def test_mixed_languages():
     model = language.Model(["x", "y"], np.log(np.full((1 << 10, 2), 1e-4)).astype(np.float32))
     codes = [language.features([w], 1 << 10)[0].astype(int) for w in ("aaa bab", "ooo uou")]
@@ -446,6 +508,48 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def brute_consensus(pages):
+    """All voted paths of a host in order, tried one by one on each page."""
+    votes = {}
+    for host, html in pages:
+        own = html_text.best_container(html_text.parse(html))
+        if own:
+            votes.setdefault(host, Counter())[own[0]] += own[1] ** 0.5
+    out = []
+    for host, html in pages:
+        page = html_text.parse(html)
+        own = html_text.best_container(page)
+        ranked = [p for p, _ in sorted(votes.get(host, {}).items(), key=lambda x: (-round(x[1], 3), x[0]))]
+        out.append(html_text.text_by(html_text.parse(html), [*ranked, *([own[0]] if own else [])]))
+    return out
+
+
+def test_html_votes_of_many_paths(spark):
+    """A host with more paths than come as a list, against trying them all."""
+    rng = random.Random(5)
+    pages = []
+    for i in range(60):
+        kind = rng.randrange(25)
+        name = "".join("abcdefghij"[int(c)] for c in str(kind))
+        body = "".join(f"<p>Sentence {i} {j} of the long text of this page.</p>" for j in range(rng.randrange(1, 6)))
+        side = "".join(f"<p>Other {i} {j}</p>" for j in range(rng.randrange(4)))
+        pages.append(("h.example" if i % 4 else "o.example", f'<html><body><div class="k{name}">{body}</div><div class="s{"abc"[i % 3]}">{side}</div></body></html>'))
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", t) for i, (h, t) in enumerate(pages)], "page_id long, url string, html string")
+    want = brute_consensus(pages)
+    for winners in (16, 3, 1000):
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(df, winners=winners).collect()}
+        assert [got[i] for i in range(len(pages))] == want
+
+
+def test_html_of_deep_and_long_pages():
+    deep = "<div class='a1'>" * 20_000 + "<p>text at the bottom</p>" + "</div>" * 20_000
+    page = html_text.parse(deep)
+    assert html_text.text_by(page, [html_text.best_container(page)[0]]) == "text at the bottom"
+    long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(30_000)) + "</article>"
+    page = html_text.parse(long)
+    assert html_text.text_by(page, [html_text.best_container(page)[0]]).count("\n") == 29_999
+
+
 def test_class_words_of_wrappers():
     """Class words of wrappers, states and headings cut no article; those of comments and asides still do."""
     body = "<h1>Title</h1><p>A paragraph of the article, long enough to win.</p><p>And one more paragraph of it.</p>"

@@ -157,7 +157,7 @@ def part_of(doc: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(mixed(doc.astype(U)) ^ th.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 16 << 20, cap: int = 4096, block: int = 32_768, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 8 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
@@ -188,13 +188,13 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         data = np.frombuffer(b"".join(raw) + bytes(window), np.uint8)
         size = np.array([len(t) for t in raw])
         base, out = np.cumsum(size) - size, np.zeros(len(doc), bool)
-        for lo in range(0, len(doc), 50_000):
-            d, a, d2, a2 = (x[lo : lo + 50_000] for x in (doc, at, doc2, at2))
+        for lo in range(0, len(doc), 4096):
+            d, a, d2, a2 = (x[lo : lo + 4096] for x in (doc, at, doc2, at2))
             left, right = np.minimum(a, reach), np.minimum(size[d] - a, window)
             span = np.arange(-reach, window)
             outside = (span < -left[:, None]) | (span >= right[:, None])
             same = data[np.maximum((base[d] + a)[:, None] + span, 0)] == data[np.maximum((base[d2] + a2)[:, None] + span, 0)]
-            out[lo : lo + 50_000] = (same | outside).all(axis=1) & (left == np.minimum(a2, reach)) & (right == np.minimum(size[d2] - a2, window))
+            out[lo : lo + 4096] = (same | outside).all(axis=1) & (left == np.minimum(a2, reach)) & (right == np.minimum(size[d2] - a2, window))
         return out
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,7 +87,7 @@ class Encoder:
     Pieces and words are remembered up to about `held` bytes; then the memory starts anew.
     """
 
-    def __init__(self, path: str, held: int = 112 << 20):
+    def __init__(self, path: str, held: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.model.no_truncation()

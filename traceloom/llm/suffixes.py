@@ -80,8 +80,8 @@ class Suffixes:
         a, b = order[pair - 1], order[pair]
         common[pair] = self.common(row[a], at[a], row[b], at[b])
         wrong = []
-        for lo in range(0, len(pair), 50_000):
-            p, x, y = pair[lo : lo + 50_000], a[lo : lo + 50_000], b[lo : lo + 50_000]
+        for lo in range(0, len(pair), 4096):
+            p, x, y = pair[lo : lo + 4096], a[lo : lo + 4096], b[lo : lo + 4096]
             same = self.data[row[x, None], at[x, None] + span] == self.data[row[y, None], at[y, None] + span]
             true = np.where(same.all(axis=1), self.reach, same.argmin(axis=1))
             wrong.append(group[order[p[true != common[p]]]])
