@@ -1,12 +1,14 @@
 import json
 
 from events import frame
-from test_transforms import CHUNK1, CHUNK2, ssl
+from test_transforms import CHUNK1, CHUNK2, result, ssl, use
 
 from traceloom.operators.spans import spans
-from traceloom.operators.sse import merge_sse
+from traceloom.operators.http import parse_http
+from traceloom.operators.sse import OUT, merge_sse
+from traceloom.plans.chains import Pipeline
 from traceloom.streaming.sink import read_tables, stream_tables
-from traceloom.streaming.stateful import stream_spans, stream_sse
+from traceloom.streaming.stateful import late_rows, open_folds, stream_spans, stream_sse, stream_tool_uses
 
 
 DAY = 86_400_000_000_000
@@ -30,6 +32,38 @@ def test_streamed_messages_are_those_of_the_batch(spark, tmp_path):
     assert [json.loads(r["data"]) for r in got] == [json.loads(r["data"]) for r in want] and len(got) == 1
 
 
+def test_open_folds_end_after_the_stream(spark, tmp_path):
+    """A message without its end stays open in the state; it is read out afterwards. Two micro-batches, one row late."""
+    rows = [ssl(CHUNK1, DAY + 1), ssl(CHUNK1, 2 * DAY), ssl(CHUNK1, 5)]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        frame(spark, part).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema(frame(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    query = stream_sse(source).writeStream.format("memory").queryName("open").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    given = spark.table("open").count()
+    left = open_folds(spark, str(tmp_path / "cp"), OUT)
+    assert given + left.count() == 2 and late_rows(query) == 1
+    assert {r["pid"] for r in left.collect()} == {0}
+
+
+def test_pipeline_over_a_stream(spark, tmp_path):
+    df, got = frame(spark, [ssl("GET /x HTTP/1.1\r\nHost: a\r\n\r\n", 1), ssl("plain", 2)]), []
+    pipe = Pipeline([as_stream(spark, df, str(tmp_path / "in"))]).with_transforms(parse_http).with_sinks(lambda d: got.extend(r["source"] for r in d.collect()))
+    pipe.run_stream(str(tmp_path / "cp"), {"availableNow": True}).awaitTermination()
+    assert sorted(got) == ["http_parser", "ssl"]
+
+
+def test_streamed_tool_uses(spark, tmp_path):
+    """A use with its result, and one without, which comes as a timeout once the watermark is past it."""
+    s = 1_000_000_000
+    rows = [use(DAY, "t1"), result(DAY + 2 * s, "t1"), use(DAY + 3 * s, "t2"), use(DAY + 900 * s, "t3"), result(DAY + 900 * s, "x"), use(DAY + 1800 * s, "t4"), result(DAY + 1800 * s, "x")]
+    for i, part in enumerate((rows[:3], rows[3:5], rows[5:])):
+        frame(spark, part, True).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    source = spark.readStream.schema(frame(spark, rows, True).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = {r["tool_use_id"]: r["status"] for r in drain(stream_tool_uses(source), "uses").collect()}
+    assert got["t1"] == "success" and got["t2"] == "timeout"
+
+
 def test_streamed_spans_are_those_of_the_batch(spark, tmp_path):
     ex = lambda ns: ("process", 1, "a", ns, {"event": "EXEC", "filename": "/x", "full_command": "x"})
     df = frame(spark, [ex(DAY + 1), ex(DAY + 5_000_000)], True)

@@ -8,7 +8,7 @@ from traceloom.functions.scalar import fnv1a64, hex_text, hextets, ipv4_text, ip
 from traceloom.operators import process, project, security, viewer
 from traceloom.operators.filters import changed_credentials, http_filter, is_noise, keep, min_lifetime, ssl_filter
 from traceloom.operators.http import parse_http, remove_auth
-from traceloom.operators.spans import aggregate_calls, spans
+from traceloom.operators.spans import EXTRACTORS, Extractor, aggregate_calls, spans, used
 from traceloom.operators.sse import merge_sse
 from traceloom.operators.tooluse import correlate, tool_uses
 from traceloom.plans.chains import Pipeline, ssl_chain, trace_chain
@@ -106,6 +106,27 @@ def test_spans_split_after_a_minute_and_a_pause(spark):
     assert sum(r["calls"] for r in found) == len(rows)
 
 
+def test_own_extractors_and_limits(spark):
+    """More kinds of tool uses, and other pauses, without touching the operator."""
+    deleted = Extractor("process", lambda f: F.when((f("event") == "FILE_DELETE") & (f("size", raw=True) > 5), used(F.lit("fs.delete"), f("filepath"), F.lit("x"))), "size bigint")
+    event = lambda ns, size: ("process", 1, "a", ns, {"event": "FILE_DELETE", "filepath": "/x", "size": size})
+    df = frame(spark, [event(1, 9), event(2_000_000_000, 9), event(3, 2), *exec_open()])
+    found = spans(df, [*EXTRACTORS, deleted], idle_ns=5_000_000_000).where("tool_name = 'fs.delete'").collect()
+    assert [(r["calls"], r["key_field"]) for r in found] == [(2, "/x")]
+    assert spans(df, [deleted]).count() == 2
+    assert aggregate_calls(df, "replace", [deleted]).where("source = 'process'").count() == 3
+
+
+def test_columns_by_kind(spark):
+    """A column holds a value only in events of its kind."""
+    everything = {"filepath": "/f", "flags": 1, "oldpath": "/o", "newpath": "/n", "path": "/p", "mode": 7, "ip": "1.1.1.1", "port": 70000, "family": 2, "command": "ls"}
+    kinds = ["FILE_OPEN", "FILE_RENAME", "DIR_CREATE", "NET_CONNECT", "BASH_READLINE", "EXEC"]
+    rows = project.typed(frame(spark, [("process", 1, "a", i + 1, {"event": k, **everything}) for i, k in enumerate(kinds)], True), "events_process").orderBy("timestamp_ns").collect()
+    names = ["filepath", "filepath2", "file_flags", "net_ip", "net_port", "net_family", "dir_mode", "bash_command"]
+    want = [{"filepath": "/f", "file_flags": 1}, {"filepath": "/o", "filepath2": "/n"}, {"filepath2": "/p", "dir_mode": 7}, {"net_ip": "1.1.1.1", "net_port": 70000, "net_family": 2}, {"bash_command": "ls"}, {}]
+    assert [{n: r[n] for n in names if r[n] is not None} for r in rows] == want
+
+
 def use(ns, *ids):
     return ("http_parser", 100, "claude", ns, {"message_type": "response", "body": json.dumps({"content": [{"type": "tool_use", "id": i, "name": "Read", "input": {"p": 1}} for i in ids]})})
 

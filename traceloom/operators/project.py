@@ -21,13 +21,14 @@ def event_time(boot_epoch_us: int = 0) -> Column:
 
 
 def _columns(table: str, v: Column) -> list[Column]:
-    path2 = F.coalesce(P.string(v, "$.newpath"), P.string(v, "$.path"))
+    event = P.string(v, "$.event")
+    of = lambda kinds, c: F.when(event.isin(*kinds.split()), c)
     made = {
         "events_process": {
-            "event_type": P.string(v, "$.event"), "ppid": P.integer(v, "$.ppid"), "exit_code": P.integer(v, "$.exit_code", "int"), "duration_ms": P.integer(v, "$.duration_ms"),
-            "filename": P.string(v, "$.filename"), "full_command": P.string(v, "$.full_command"), "filepath": F.coalesce(P.string(v, "$.filepath"), P.string(v, "$.oldpath")),
-            "filepath2": path2, "file_flags": P.integer(v, "$.flags", "int"), "net_ip": P.string(v, "$.ip"), "net_port": P.unsigned16(v, "$.port"),
-            "net_family": P.integer(v, "$.family", "int"), "dir_mode": P.integer(v, "$.mode", "int"), "bash_command": P.string(v, "$.command"),
+            "event_type": event, "ppid": P.integer(v, "$.ppid"), "exit_code": P.integer(v, "$.exit_code", "int"), "duration_ms": P.integer(v, "$.duration_ms"), "filename": P.string(v, "$.filename"), "full_command": P.string(v, "$.full_command"),
+            "filepath": of("FILE_OPEN FILE_DELETE", P.string(v, "$.filepath")).when(event == "FILE_RENAME", P.string(v, "$.oldpath")), "filepath2": of("FILE_RENAME", P.string(v, "$.newpath")).when(event == "DIR_CREATE", P.string(v, "$.path")),
+            "file_flags": of("FILE_OPEN FILE_DELETE", P.integer(v, "$.flags", "int")), "net_ip": of("NET_CONNECT", P.string(v, "$.ip")), "net_port": of("NET_CONNECT", P.integer(v, "$.port", "int")),
+            "net_family": of("NET_CONNECT", P.integer(v, "$.family", "int")), "dir_mode": of("DIR_CREATE", P.integer(v, "$.mode", "int")), "bash_command": of("BASH_READLINE", P.string(v, "$.command")),
         },
         "events_tool_call": {
             "tool_event_type": P.string(v, "$.event_type"), "tool_name": P.string(v, "$.tool_name"), "tool_status": P.string(v, "$.status"), "tool_reason": P.string(v, "$.reason"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,32 +22,65 @@ SPAN = T.StructType([T.StructField(n, k) for n, k in (("session_id", T.StringTyp
 FIELDS = "event string, filename string, full_command string, filepath string, flags bigint, message_type string, method string, path string, tid bigint, headers map<string,string>"
 
 
-def _used(c: str) -> Column:
+@dataclass(frozen=True)
+class Extractor:
+    """Which events of a source are uses of a tool: `use` gets a getter of the payload's fields (texts, "" where absent;
+    raw=True for the value itself) and gives what `used` makes, or null. fields: more fields that it reads, as a schema."""
+
+    source: str
+    use: Callable[[Callable[..., Column]], Column]
+    fields: str = ""
+
+
+def used(tool: Column, key: Column, args: Column, tid: Column | None = None, at_once: bool = False) -> Column:
+    """A use of a tool on a thing; at_once: it is over at once."""
+    return F.struct(tool.alias("tool_name"), key.alias("key_field"), (F.lit(0).cast("bigint") if tid is None else tid).alias("tid"), args.alias("args_summary"), F.lit(at_once).alias("at_once"))
+
+
+def _executed(f: Callable[..., Column]) -> Column:
+    args = F.coalesce(F.nullif(f("full_command"), F.lit("")), f("filename"))
+    return F.when((f("event") == "EXEC") & (f("filename") != ""), used(F.lit("proc.exec"), f("filename"), args, at_once=True))
+
+
+def _opened(f: Callable[..., Column]) -> Column:
+    flags = F.coalesce(f("flags", raw=True), F.lit(0).cast("bigint"))
+    return F.when((f("event") == "FILE_OPEN") & (f("filepath") != "") & ~is_noise(f("filepath")), used(file_tool(flags), f("filepath"), F.format_string("path=%s flags=%d", f("filepath"), flags)))
+
+
+def _requested(f: Callable[..., Column]) -> Column:
+    host = F.coalesce(f("headers", raw=True)["host"], F.lit(""))
+    args = F.concat(F.lit("method="), f("method"), F.lit(" host="), host, F.lit(" path="), f("path"))
+    return F.when((f("message_type") == "request") & (F.concat(host, f("path")) != ""), used(F.lit("net.http"), F.concat(host, f("path")), args, F.coalesce(f("tid", raw=True), F.lit(0).cast("bigint"))))
+
+
+#: What counts as a use of a tool; pass a longer list to calls, spans or aggregate_calls for more.
+EXTRACTORS = [Extractor("process", _executed), Extractor("process", _opened), Extractor("http_parser", _requested)]
+
+
+def _fields(extractors: list[Extractor]) -> str:
+    return ", ".join([FIELDS, *(x.fields for x in extractors if x.fields)])
+
+
+def _used(c: str, extractors: list[Extractor]) -> Column:
     """The use of a tool in an event whose payload's fields are in column c, else null."""
-    f = lambda name: F.coalesce(F.col(f"{c}.{name}"), F.lit(""))
-    zero, is_process = F.lit(0).cast("bigint"), F.col("source") == "process"
-    key = F.concat(F.coalesce(F.col(f"{c}.headers.host"), F.lit("")), f("path"))
-    row = lambda tool, key, tid: F.struct(tool.alias("tool_name"), key.alias("key_field"), tid.alias("tid"))
-    call = F.when(is_process & (f("event") == "EXEC") & (f("filename") != ""), row(F.lit("proc.exec"), f("filename"), zero))
-    call = call.when(is_process & (f("event") == "FILE_OPEN") & (f("filepath") != "") & ~is_noise(f("filepath")), row(file_tool(F.coalesce(F.col(f"{c}.flags"), zero)), f("filepath"), zero))
-    return call.when((F.col("source") == "http_parser") & (f("message_type") == "request") & (key != ""), row(F.lit("net.http"), key, F.coalesce(F.col(f"{c}.tid"), zero)))
+    f = lambda name, raw=False: F.col(f"{c}.{name}") if raw else F.coalesce(F.col(f"{c}.{name}").cast("string"), F.lit(""))
+    return F.coalesce(*(F.when(F.col("source") == x.source, x.use(f)) for x in extractors))
 
 
-def calls(events: DataFrame) -> DataFrame:
-    """The tool uses in a log: EXEC, opens of files that are no noise, HTTP requests. One row each."""
+def calls(events: DataFrame, extractors: list[Extractor] | None = None) -> DataFrame:
+    """The tool uses in a log: EXEC, opens of files that are no noise, HTTP requests, or what else extractors tell. One row each."""
+    extractors = extractors or EXTRACTORS
     session = F.col("session_id") if "session_id" in events.columns else F.lit(None).cast("string")
-    e = events.where(F.col("source").isin("process", "http_parser")).select(session.alias("session_id"), "timestamp_ns", "stream_seq", "pid", "comm", "source", F.from_json("data", FIELDS).alias("p"))
-    e = e.withColumn("c", F.explode(F.array_compact(F.array(_used("p")))))
-    tool, f = F.col("c.tool_name"), lambda name: F.coalesce(F.col(f"p.{name}"), F.lit(""))
-    args = F.when(tool == "proc.exec", F.coalesce(F.nullif(f("full_command"), F.lit("")), f("filename"))).when(tool == "net.http", F.concat(F.lit("method="), f("method"), F.lit(" host="), F.coalesce(F.col("p.headers.host"), F.lit("")), F.lit(" path="), f("path")))
-    args = args.otherwise(F.format_string("path=%s flags=%d", f("filepath"), F.coalesce("p.flags", F.lit(0))))
-    return e.select("session_id", "timestamp_ns", "stream_seq", "pid", "comm", "c.*", args.alias("args_summary"), (tool == "proc.exec").alias("at_once"))
+    e = events.where(F.col("source").isin(*{x.source for x in extractors})).select(session.alias("session_id"), "timestamp_ns", "stream_seq", "pid", "comm", "source", F.from_json("data", _fields(extractors)).alias("p"))
+    e = e.withColumn("c", F.explode(F.array_compact(F.array(_used("p", extractors)))))
+    return e.select("session_id", "timestamp_ns", "stream_seq", "pid", "comm", "c.tool_name", "c.key_field", "c.tid", "c.args_summary", "c.at_once")
 
 
 class Span(Fold):
-    def __init__(self, key: tuple):
+    def __init__(self, key: tuple, idle_ns: int = IDLE_NS, most_ns: int = MOST_NS):
         super().__init__(key)
         self.open: dict | None = None
+        self.idle_ns, self.most_ns = idle_ns, most_ns
 
     def _close(self, status: str, reason: str) -> list[dict]:
         span, self.open = self.open, None
@@ -51,9 +88,9 @@ class Span(Fold):
 
     def add(self, row: dict) -> list[dict]:
         now, out = row["timestamp_ns"], []
-        if self.open and (row["at_once"] or now - self.open["end_ns"] > IDLE_NS):
+        if self.open and (row["at_once"] or now - self.open["end_ns"] > self.idle_ns):
             out = self._close("timeout", "idle_gap")
-        elif self.open and now > self.open["start_ns"] + MOST_NS:
+        elif self.open and now > self.open["start_ns"] + self.most_ns:
             out = self._close("timeout", "max_span")
         if not self.open:
             self.open = {k: row[k] for k in (*KEYS, "comm", "args_summary")} | {"start_ns": now, "end_ns": now, "calls": 0}
@@ -64,9 +101,9 @@ class Span(Fold):
         return self._close("timeout", "flush")
 
 
-def spans(events: DataFrame) -> DataFrame:
-    """A row a span. A pause of over 1 s of event time ends it, or over 60 s since its start; an EXEC is one at once."""
-    folded = fold_sorted(calls(events), KEYS, ["timestamp_ns", "stream_seq"], Span, SPAN)
+def spans(events: DataFrame, extractors: list[Extractor] | None = None, idle_ns: int = IDLE_NS, most_ns: int = MOST_NS) -> DataFrame:
+    """A row a span. A pause of over idle_ns (1 s) of event time ends it, or over most_ns (60 s) since its start; an EXEC is one at once."""
+    folded = fold_sorted(calls(events, extractors), KEYS, ["timestamp_ns", "stream_seq"], partial(Span, idle_ns=idle_ns, most_ns=most_ns), SPAN)
     return folded.withColumn("duration_ms", ns_to_ms(F.col("end_ns") - F.col("start_ns"))).withColumn("args_hash", fnv1a64("args_summary"))
 
 
@@ -80,13 +117,14 @@ def span_events(found: DataFrame) -> DataFrame:
     return rows.select("session_id", F.lit(0).cast("bigint").alias("stream_seq"), F.col("__e.at").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("timestamp_unix_ms"), F.lit("tool_call").alias("source"), "pid", "comm", "__e.data")
 
 
-def aggregate_calls(events: DataFrame, mode: str = "replace") -> DataFrame:
+def aggregate_calls(events: DataFrame, mode: str = "replace", extractors: list[Extractor] | None = None, **limits: int) -> DataFrame:
     """spans_only: the spans' events alone; replace: instead of the events that they come from; append: beside all."""
-    made = span_events(spans(events))
+    made = span_events(spans(events, extractors, **limits))
     made = made if "session_id" in events.columns else made.drop("session_id")
     if mode == "spans_only":
         return made
     if mode == "append":
         return events.unionByName(made)
-    others = events.withColumn("__p", F.from_json("data", FIELDS)).where(_used("__p").isNull()).drop("__p")
+    extractors = extractors or EXTRACTORS
+    others = events.withColumn("__p", F.from_json("data", _fields(extractors))).where(_used("__p", extractors).isNull()).drop("__p")
     return others.unionByName(made)

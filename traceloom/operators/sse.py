@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,12 +64,13 @@ def is_metadata(event: dict) -> bool:
 class Message(Fold):
     """A connection's slot: events gather until message_stop, error, a full buffer or 30 s of silence."""
 
-    def __init__(self, key: tuple):
+    def __init__(self, key: tuple, idle_ns: int = IDLE_NS, full: int = FULL):
         super().__init__(key)
         self.events: list[dict] = []
+        self.idle_ns, self.full = idle_ns, full
 
     def add(self, row: dict) -> list[dict]:
-        out = self.flush(timed_out=True) if self.events and row["timestamp_ns"] - self.last["timestamp_ns"] > IDLE_NS else []
+        out = self.flush(timed_out=True) if self.events and row["timestamp_ns"] - self.last["timestamp_ns"] > self.idle_ns else []
         new = sse_events(row["text"])
         if not new:  # ordinary traffic
             return [*out, {k: row[k] for k in ("session_id", "stream_seq", "timestamp_ns", "timestamp_unix_ms", "pid", "comm", "data")} | {"source": "ssl"}]
@@ -88,7 +90,7 @@ class Message(Fold):
             message = parsed.get("message") if event["event"] == "message_start" else None
             if not self.id and isinstance(message, dict) and isinstance(message.get("id"), str):
                 self.id = message["id"]
-        if any(e["event"] in ("message_stop", "error") for e in new) or max(len(self.text.encode()), len(self.json.encode())) > FULL:
+        if any(e["event"] in ("message_stop", "error") for e in new) or max(len(self.text.encode()), len(self.json.encode())) > self.full:
             out += self.flush()
         return out
 
@@ -132,13 +134,13 @@ def sse_input(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, events.where(~chosen)
 
 
-def merge_sse(events: DataFrame) -> DataFrame:
+def merge_sse(events: DataFrame, idle_ns: int = IDLE_NS, full: int = FULL) -> DataFrame:
     """ssl events with server-sent events become one sse_processor event a message; all others pass, also those whose
     body turns out to hold no event. Sessions are kept apart.
 
     Silence is judged in event time, so a log always gives the same messages.
     """
     rows, others = sse_input(events)
-    merged = fold_sorted(rows, KEYS, ["timestamp_ns", "stream_seq"], Message, OUT)
+    merged = fold_sorted(rows, KEYS, ["timestamp_ns", "stream_seq"], partial(Message, idle_ns=idle_ns, full=full), OUT)
     merged = merged if "session_id" in events.columns else merged.drop("session_id")
     return others.unionByName(merged, allowMissingColumns=True)

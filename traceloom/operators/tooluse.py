@@ -44,8 +44,8 @@ def activities(events: DataFrame) -> DataFrame:
     return rows.select(_session(events).alias("session_id"), F.struct(F.col("timestamp_ns"), kind.alias("event_type"), F.col("pid"), F.col("comm"), F.when(kind != "EXEC", path).alias("filepath"), P.text(v, "$.full_command").alias("command")).alias("activity"))
 
 
-def tool_uses(events: DataFrame, bucket_ns: int = 10_000_000_000) -> DataFrame:
-    """A row a tool use: status success with its first result from then on, else timeout after 30 s.
+def tool_uses(events: DataFrame, bucket_ns: int = 10_000_000_000, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+    """A row a tool use: status success with its first result from then on, else timeout after timeout_ms (30 s).
 
     An id that is used again in its session starts anew. Activities are those of the session from the answer to
     the result (or timeout): an equi-join on slots of time, so neither side meets in whole.
@@ -57,20 +57,20 @@ def tool_uses(events: DataFrame, bucket_ns: int = 10_000_000_000) -> DataFrame:
     met = u.join(r, (F.col("session_id") == F.col("s2")) & (F.col("tool_use_id") == F.col("u2")) & (F.col("end_ns") >= F.col("start_ns")) & (F.col("next_ns").isNull() | (F.col("end_ns") < F.col("next_ns"))), "left")
     keys = ["session_id", "tool_use_id", "tool_name", "tool_input", "pid", "comm", "start_ns"]
     met = met.groupBy(*keys).agg(F.min(F.struct("end_ns", "result_summary")).alias("r")).select(*keys, "r.end_ns", "r.result_summary")
-    late = F.col("end_ns").isNull() | (F.col("end_ns") - F.col("start_ns") > TIMEOUT_MS * 1_000_000)
-    met = met.withColumn("status", F.when(late, "timeout").otherwise("success")).withColumn("until", F.when(late, F.col("start_ns") + TIMEOUT_MS * 1_000_000).otherwise(F.col("end_ns")))
+    late = F.col("end_ns").isNull() | (F.col("end_ns") - F.col("start_ns") > timeout_ms * 1_000_000)
+    met = met.withColumn("status", F.when(late, "timeout").otherwise("success")).withColumn("until", F.when(late, F.col("start_ns") + timeout_ms * 1_000_000).otherwise(F.col("end_ns")))
     slot = lambda c: F.floor(F.col(c) / bucket_ns)
     a = activities(events).withColumn("slot", F.floor(F.col("activity.timestamp_ns") / bucket_ns)).withColumnRenamed("session_id", "s3")
     open_slots = met.select("session_id", "tool_use_id", "start_ns", "until", F.explode(F.sequence(slot("start_ns"), slot("until"))).alias("slot2"))
     during = open_slots.join(a, (F.col("session_id") == F.col("s3")) & (F.col("slot") == F.col("slot2")) & F.col("activity.timestamp_ns").between(F.col("start_ns"), F.col("until")))
     during = during.groupBy("session_id", "tool_use_id", "start_ns").agg(F.array_sort(F.collect_list("activity")).alias("os_activities"))
     out = met.join(during, ["session_id", "tool_use_id", "start_ns"], "left")
-    return out.withColumn("duration_ms", F.when(F.col("status") == "timeout", F.lit(TIMEOUT_MS).cast("bigint")).otherwise(ns_to_ms(F.col("end_ns") - F.col("start_ns")))).drop("until", "end_ns")
+    return out.withColumn("duration_ms", F.when(F.col("status") == "timeout", F.lit(timeout_ms).cast("bigint")).otherwise(ns_to_ms(F.col("end_ns") - F.col("start_ns")))).drop("until", "end_ns")
 
 
-def correlate(events: DataFrame) -> DataFrame:
+def correlate(events: DataFrame, **limits: int) -> DataFrame:
     """All events, and a tool_call_complete event for each tool use."""
-    found = tool_uses(events)
+    found = tool_uses(events, **limits)
     names = ["tool_use_id", "tool_name", "tool_input", "result_summary", "status", "duration_ms", "os_activities"]
     data = F.to_json(F.struct(F.lit("tool_call_complete").alias("event_type"), *names))
     made = found.select("session_id", F.lit(0).cast("bigint").alias("stream_seq"), F.col("start_ns").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("timestamp_unix_ms"), F.lit("tool_call").alias("source"), "pid", "comm", data.alias("data"))

@@ -59,3 +59,8 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Removes a table of this module that no later plan reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes all intermediate tables under the session's shared folder; call it when no result is read any more."""
+    drop_table(spark, f"{shared_dir(spark).rstrip('/')}/traceloom")

@@ -91,7 +91,7 @@ def stream_rate_limit(events: DataFrame, delay: str = "1 minute", most: int = 30
 
 def stream_tool_uses(events: DataFrame, delay: str = "1 minute", within: str = "30 seconds") -> DataFrame:
     """Tool uses and their results as they meet, by a stream-stream join within the timeout; a use without a result comes
-    with nulls once the watermark is past it. events: envelopes with session_id."""
+    with nulls once the watermark, that of the slower of uses and results, is past it. events: envelopes with session_id."""
     at = lambda c: F.timestamp_micros(F.floor(F.col(c) / 1000).cast("bigint"))
     u = tooluse.uses(events).withColumn("start", at("start_ns")).withWatermark("start", delay)
     r = tooluse.results(events).withColumnsRenamed({"session_id": "s2", "tool_use_id": "u2"}).withColumn("end", at("end_ns")).withWatermark("end", delay)

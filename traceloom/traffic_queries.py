@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -11,12 +12,13 @@ from traceloom.functions import payload as P
 from traceloom.functions import scalar
 from traceloom.operators import filters, process, project, security, tooluse, viewer
 from traceloom.operators.http import parse_http, remove_auth
+from traceloom.operators.spans import spans
 from traceloom.operators.sse import merge_sse
 from traceloom.plans import api, views
 from traceloom.queries import BASE, FIRST, query
 from traceloom.sources import adapter, logs, traffic
 from traceloom.store import new_path
-from traceloom.streaming import sink
+from traceloom.streaming import sink, stateful
 
 # --- SQL of the traffic -------------------------------------------------------------------------------------------
 
@@ -404,6 +406,41 @@ def written_tables(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("table_name", "session_id").agg(F.count("*").alias("n"))
 
 
+def _as_stream(spark, df: DataFrame) -> DataFrame:
+    path = new_path(spark, "stream")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query(TRAFFIC + "SELECT session_id, pid, comm, sse_connection_id, sse_duration_ns, sse_event_count, m AS text_content FROM sse")
+def streamed_messages(spark, sf):
+    """The messages of sse_table, from a stream: folds live in the state store."""
+    made = stateful.stream_sse(_as_stream(spark, traffic.envelopes(spark, sf))).where("source = 'sse_processor'")
+    name = f"messages_{uuid.uuid4().hex}"
+    made.writeStream.format("memory").queryName(name).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    rows = project.typed(spark.table(name), "events_sse")
+    return rows.select("session_id", "pid", "comm", "sse_connection_id", "sse_duration_ns", "sse_event_count", F.get_json_object("data_json", "$.text_content").alias("text_content"))
+
+
+@query(BASE + "SELECT table_name, session_id, count(*) AS n FROM (SELECT 'events_process' AS table_name, session_id FROM proc UNION ALL SELECT 'events_tool_call', session_id FROM tool UNION ALL SELECT 'events_system', session_id FROM sys) GROUP BY 1, 2")
+def streamed_tables(spark, sf):
+    """Typed tables written by a stream's micro-batches, and read back."""
+    path = new_path(spark, "tables")
+    sink.stream_tables(_as_stream(spark, adapter.envelopes(spark, sf)), path, new_path(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
+    read = sink.read_tables(spark, path)
+    parts = [read[t].select(F.lit(t).alias("table_name"), "session_id") for t in ("events_process", "events_tool_call", "events_system")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("table_name", "session_id").agg(F.count("*").alias("n"))
+
+
+@query(BASE + """, o AS (SELECT session_id, pid, filepath, timestamp_ns, CASE WHEN timestamp_ns - lag(timestamp_ns) OVER w <= 21600000000000 THEN 0 ELSE 1 END AS new FROM proc WHERE event_type = 'FILE_OPEN' WINDOW w AS (PARTITION BY session_id, pid, filepath ORDER BY timestamp_ns, event_id)),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY session_id, pid, filepath ORDER BY timestamp_ns ROWS UNBOUNDED PRECEDING) AS run, max(timestamp_ns) OVER (PARTITION BY session_id, pid, filepath) AS last_ns FROM o)
+  SELECT session_id, pid, filepath AS key_field, min(timestamp_ns) AS start_ns, max(timestamp_ns) AS end_ns, count(*) AS calls, CASE WHEN max(timestamp_ns) = max(last_ns) THEN 'flush' ELSE 'idle_gap' END AS reason, (max(timestamp_ns) - min(timestamp_ns)) // 1000000 AS duration_ms FROM r GROUP BY session_id, pid, filepath, run""")
+def tool_span_runs(spark, sf):
+    """Spans of several calls: a pause of six hours ends one here, as these events are rare."""
+    found = spans(adapter.envelopes(spark, sf), idle_ns=21_600_000_000_000, most_ns=1 << 62).where("tool_name = 'fs.read'")
+    return found.select("session_id", "pid", "key_field", "start_ns", "end_ns", "calls", "reason", "duration_ms")
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------
 
 
