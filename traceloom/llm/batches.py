@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
 
 def added(df: DataFrame, fields: list[tuple[str, T.DataType]]) -> T.StructType:
     """Schema of df with fields appended; a column of df with such a name gives way."""
@@ -28,6 +32,14 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system, as several tasks' workers and a JVM share an executor's."""
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
 
 
 def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:

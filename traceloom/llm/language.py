@@ -95,17 +95,19 @@ def fit_languages(docs: DataFrame, label: str = "lang", text: str = "text", id_c
     """Trigram counts of the labelled rows, over whole texts of at most `sample_rows` of them: as many of each label, those
     of smallest id hash. Rows without an id are not taken."""
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
-    n_labels = labelled.agg(F.count_distinct(label)).first()[0]
-    place = F.row_number().over(Window.partitionBy("__l").orderBy("__h", "__id"))
-    # a sample of ids, without their texts, is at most sample_rows longs; each task passes on no more than that
-    ids = labelled.select(F.col(label).alias("__l"), F.col(id_column).alias("__id"), F.xxhash64(id_column).alias("__h"))
-    ids = ids.withColumn("__n", place).where(F.col("__n") <= max(1, sample_rows // max(1, n_labels))).select("__l", "__id").distinct()
+    counts = labelled.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__c"))  # a row per label
+    each = max(1, sample_rows // max(1, counts.count()))
+    # a cut of the hash leaves few more than are wanted of each label, before any row moves; ranks leave just as many
+    ids = labelled.select(F.col(label).alias("__l"), F.col(id_column).alias("__id"), F.xxhash64(id_column).alias("__h")).join(counts, "__l")
+    ids = ids.where(F.pmod("__h", F.lit(1 << 30)) * F.col("__c").cast("double") < F.lit((1.2 * each + 100) * (1 << 30)))
+    place = F.row_number().over(Window.partitionBy("__l").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h", "__id"))
+    ids = ids.withColumn("__n", place).where(F.col("__n") <= each).select("__l", "__id").distinct()
     rows = labelled.join(F.broadcast(ids), (labelled[id_column] == ids["__id"]) & (labelled[label] == ids["__l"])).select(F.col(label).alias("l"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in by_bytes(whole, "t", 1 << 20):
+            for batch in by_bytes(whole, "t", 1 << 18):
                 langs = batch.column("l").to_pylist()
                 for lang in set(langs):
                     texts = [t for x, t in zip(langs, batch.column("t").to_pylist(), strict=True) if x == lang]
@@ -123,7 +125,7 @@ def fit_languages(docs: DataFrame, label: str = "lang", text: str = "text", id_c
     return Model(langs, np.log((counts + smoothing) / (counts.sum(axis=0, keepdims=True) + smoothing * size)).astype(np.float32))
 
 
-def predict_languages(docs: DataFrame, model: Model, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
+def predict_languages(docs: DataFrame, model: Model, text: str = "text", batch_bytes: int = 1 << 18) -> DataFrame:
     """Appends lang_pred and score (the share of the words in that language, 0 to 1) from the whole text alone.
 
     Texts that are null or have no letter, and all texts if no language was learned, get `und` and 0.

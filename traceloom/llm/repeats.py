@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from traceloom.llm.batches import by_bytes
+from traceloom.llm.batches import by_bytes, give_back
 from traceloom.llm.store import write_table
 from traceloom.llm.suffixes import Suffixes
 
@@ -73,7 +73,7 @@ def sampled(ends: np.ndarray, prefix: Prefix, size: int, window: int, gram: int)
     return at, value[at]
 
 
-def anchors_of(texts: list[bytes], window: int, gram: int, chunk: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors_of(texts: list[bytes], window: int, gram: int, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Document, place, gram hash and hash of the surroundings of each anchor, some documents at a time; longer texts come in overlapping pieces."""
     reach = window - gram
     group, held = [], 0
@@ -157,7 +157,7 @@ def part_of(doc: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(mixed(doc.astype(U)) ^ th.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 4 << 20, part_bytes: int = 8 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 2 << 20, part_bytes: int = 8 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
@@ -267,6 +267,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 start = np.flatnonzero(np.diff(run, prepend=-1))
                 several = (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start))[run]
                 rows += rows_of(ASKED, part_of(doc[several], th[several], parts), doc[several], th[several], at[several], h[several])
+        give_back()
         return table(rows, FOUND_FIELDS)
 
     found = write_table(slim.mapInArrow(sample, sample_schema).groupBy("bucket").applyInArrow(meet, FOUND), "repeats")

@@ -228,7 +228,7 @@ def similar_pairs(sets: list[np.ndarray], fp: np.ndarray, label: np.ndarray, sid
                 yield i, j
 
 
-def similar_groups(docs: DataFrame, id_column: str, text: str, words_each: int, least: float, keep: list[str], most: int = 24, bands: int = 16, each: int = 4, batch_bytes: int = 2 << 20, room: int = 200_000) -> DataFrame:
+def similar_groups(docs: DataFrame, id_column: str, text: str, words_each: int, least: float, keep: list[str], most: int = 24, bands: int = 16, each: int = 4, batch_bytes: int = 1 << 20, room: int = 200_000) -> DataFrame:
     """Groups over links of a shingle similarity of `least`; see simhash_groups."""
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("t"), *(F.col(c).alias(f"keep_{c}") for c in keep))
 
