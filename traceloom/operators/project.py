@@ -61,7 +61,7 @@ def typed(events: DataFrame, table: str, boot_epoch_us: int = 0) -> DataFrame:
     rows = rows.withColumn("__v", P.parsed())
     slot = F.lit(SLOTS[table]) + (F.coalesce(P.integer(F.col("__v"), "$.slot"), F.lit(0)) if table == "events_security" else F.lit(0))
     own = F.xxhash64("source", "session_id", "timestamp_ns", "pid", "comm", "data").bitwiseOR(F.lit(-(1 << 63)))
-    prefix = [F.when(F.coalesce("stream_seq", F.lit(0)) > 0, F.col("stream_seq") * 16 + slot).otherwise(own).alias("id"), "session_id", "timestamp_ns", "timestamp_unix_ms", event_time(boot_epoch_us).alias("event_time"), "pid", "comm"]
+    prefix = [F.when(F.col("stream_seq").isNotNull(), F.col("stream_seq") * 16 + slot).otherwise(own).alias("id"), "session_id", "timestamp_ns", "timestamp_unix_ms", event_time(boot_epoch_us).alias("event_time"), "pid", "comm"]
     out = rows.select(*prefix, *_columns(table, F.col("__v")), F.col("data").alias("data_json"), *([P.sequence(F.col("__v"), "$.source_stream_seq").alias("__seq"), P.string(F.col("__v"), "$.source_table").alias("__of")] if table == "events_security" else []))
     if table == "events_security":
         slots = F.create_map(*(x for t, i in SLOTS.items() for x in (F.lit(t), F.lit(i))))

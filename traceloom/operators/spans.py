@@ -114,7 +114,7 @@ def span_events(found: DataFrame) -> DataFrame:
     end = F.to_json(F.struct(F.lit("tool_call_end").alias("event_type"), *(c.alias(n) for n, c in common.items()), F.col("status"), F.col("reason"), F.col("duration_ms")))
     both = F.explode(F.array(F.struct(F.col("start_ns").alias("at"), begin.alias("data")), F.struct(F.col("end_ns").alias("at"), end.alias("data"))))
     rows = found.withColumn("__e", both)
-    return rows.select("session_id", F.lit(0).cast("bigint").alias("stream_seq"), F.col("__e.at").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("timestamp_unix_ms"), F.lit("tool_call").alias("source"), "pid", "comm", "__e.data")
+    return rows.select("session_id", F.lit(None).cast("bigint").alias("stream_seq"), F.col("__e.at").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("timestamp_unix_ms"), F.lit("tool_call").alias("source"), "pid", "comm", "__e.data")
 
 
 def aggregate_calls(events: DataFrame, mode: str = "replace", extractors: list[Extractor] | None = None, **limits: int) -> DataFrame:

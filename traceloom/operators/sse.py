@@ -113,7 +113,7 @@ class Message(Fold):
         }
         # a message without an end belongs to no process any more
         own = {"pid": 0, "comm": ""} if timed_out else {"pid": last["pid"], "comm": last["comm"]}
-        return [{"session_id": first["session_id"], "stream_seq": 0, "timestamp_ns": last["timestamp_ns"], "timestamp_unix_ms": last["timestamp_unix_ms"], "source": "sse_processor", **own, "data": json.dumps(data, ensure_ascii=False)}]
+        return [{"session_id": first["session_id"], "stream_seq": None, "timestamp_ns": last["timestamp_ns"], "timestamp_unix_ms": last["timestamp_unix_ms"], "source": "sse_processor", **own, "data": json.dumps(data, ensure_ascii=False)}]
 
     def end(self) -> list[dict]:
         return self.flush(timed_out=True)

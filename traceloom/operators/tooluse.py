@@ -73,5 +73,5 @@ def correlate(events: DataFrame, **limits: int) -> DataFrame:
     found = tool_uses(events, **limits)
     names = ["tool_use_id", "tool_name", "tool_input", "result_summary", "status", "duration_ms", "os_activities"]
     data = F.to_json(F.struct(F.lit("tool_call_complete").alias("event_type"), *names))
-    made = found.select("session_id", F.lit(0).cast("bigint").alias("stream_seq"), F.col("start_ns").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("timestamp_unix_ms"), F.lit("tool_call").alias("source"), "pid", "comm", data.alias("data"))
+    made = found.select("session_id", F.lit(None).cast("bigint").alias("stream_seq"), F.col("start_ns").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("timestamp_unix_ms"), F.lit("tool_call").alias("source"), "pid", "comm", data.alias("data"))
     return events.unionByName(made.select(*events.columns))

@@ -82,5 +82,5 @@ def demo_alerts(spark: SparkSession, now: datetime, session_id: str = "demo", pi
         at = int((now - timedelta(minutes=len(samples) - i) - datetime(1970, 1, 1)).total_seconds())
         evidence = {"source_table": table, "event_type": "MOCK", "pid": pid + i, "comm": comm, "timestamp_ns": at * 10**9, "detail": "made up"}
         data = {"alert_type": kind, "risk_level": risk, "description": text, "source_table": table, "source_event_id": event, "evidence": [evidence]}
-        rows.append((0, at * 10**9, at * 1000, "security", pid + i, comm, json.dumps(data), session_id))
+        rows.append((None, at * 10**9, at * 1000, "security", pid + i, comm, json.dumps(data), session_id))
     return spark.createDataFrame(rows, ENVELOPE + ", session_id string")

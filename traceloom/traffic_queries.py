@@ -292,7 +292,7 @@ def memory_with_children(spark, sf):
     (SELECT min(x.timestamp_ns) FROM proc x WHERE x.session_id = p.session_id AND x.pid = p.pid AND x.event_type = 'EXIT' AND x.timestamp_ns >= p.timestamp_ns) AS ends FROM proc p WHERE p.event_type = 'FILE_OPEN'),
   n AS (SELECT *, CASE WHEN timestamp_ns - lag(timestamp_ns) OVER w <= 7200000000000 THEN 0 ELSE 1 END AS new FROM o WINDOW w AS (PARTITION BY session_id, pid, filepath, life ORDER BY timestamp_ns)), r AS (SELECT *, sum(new) OVER (PARTITION BY session_id, pid, filepath, life ORDER BY timestamp_ns ROWS UNBOUNDED PRECEDING) AS run FROM n)
   SELECT session_id, pid, filepath, min(timestamp_ns) AS first_seen, max(timestamp_ns) AS last_seen, count(*) AS count, CASE WHEN min(ends) - max(timestamp_ns) <= 7200000000000 THEN 'process_exit' ELSE 'window_expired' END AS reason FROM r GROUP BY session_id, pid, filepath, life, run""")
-def opens_by_process(spark, sf):
+def process_opens(spark, sf):
     rows = adapter.table(spark, sf, "events_process")
     return process.opens_by_process(rows.where("event_type = 'FILE_OPEN'"), rows.where("event_type = 'EXIT'"), ["session_id", "pid"], gap=7_200_000_000_000)
 
