@@ -88,7 +88,7 @@ def plain_ftrl(rows, size, r, rounds):
     for _ in range(rounds):
         for text, y in rows:
             _, at, x = quality.features([text], size)
-            pairs = [*zip(at.tolist(), x.tolist(), strict=True), (size, r.bias)]
+            pairs = [*zip(at.tolist(), x.astype(np.float32).tolist(), strict=True), (size, float(np.float32(r.bias)))]
             w = {i: weight(i) for i, _ in pairs}
             p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
             for i, v in pairs:

@@ -17,6 +17,7 @@ from traceloom.llm.batches import added, by_bytes, with_columns
 from traceloom.llm.language import held_out, letters
 from traceloom.llm.store import write_table
 
+BLOCK = 4096
 SPACE, LETTER, DIGIT, MARK = range(4)
 GAP = re.compile(r"\s")
 
@@ -156,13 +157,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col
     return rows.join(F.broadcast(taken), ["__id", "__t"]).dropDuplicates(["__id", "__t"]).select("place", "y", F.coalesce("t", F.lit("")).alias("t"))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = 24_000, size: int = 1 << 20, shards: int = 8, rounds: int = 4, rates: Rates = Rates()) -> np.ndarray:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = 24_000, size: int = 1 << 18, shards: int = 8, rounds: int = 4, rates: Rates = Rates()) -> np.ndarray:
     """Weights of `size` hashed features, then of the bias.
 
     Learned from whole texts of at most `sample_rows` labelled rows (see labelled_sample). Their features are written
     once; each round, every one of `shards` shards runs through its rows in order of their hashes, from the state that the
-    round before left, and what the shards add to the state is summed by Spark. The state (two numbers a feature) is
-    all that reaches the driver. Shards go by hash, so any number of tasks gives the same weights. Without labelled rows all
+    round before left, and what the shards add to the state is summed by Spark in blocks. The state (two numbers a feature)
+    is all that reaches the driver. Shards go by hash, so any number of tasks gives the same weights. Without labelled rows all
     weights are zero.
     """
     spark = docs.sparkSession
@@ -172,43 +173,46 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
             for batch in by_bytes(whole, "t", 1 << 18):
                 doc, at, x = features(batch.column("t").to_pylist(), size)
                 ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(a)) for a in (at.astype(np.int32), x)]
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(a)) for a in (at.astype(np.int32), x.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("y"), *lists], names=["place", "y", "at", "x"])
 
     sample = labelled_sample(docs, labels, sample_rows, id_column, text, quality)
-    table = write_table(sample.mapInArrow(make, "place long, y double, at array<int>, x array<double>"), "quality-sample")
+    table = write_table(sample.mapInArrow(make, "place long, y double, at array<int>, x array<float>"), "quality-sample")
     dealt = table.withColumn("shard", F.pmod(F.hash("place"), F.lit(shards))).repartition("shard").sortWithinPartitions("shard", "place")
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    blocks = -(-(size + 1) // BLOCK)
+    state = np.zeros((2, blocks * BLOCK))
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast((z, n))
+        held = spark.sparkContext.broadcast(state)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, state = None, (np.zeros(0), np.zeros(0))
+            now, own = None, np.zeros((2, 0))
 
             def gained() -> pa.RecordBatch:
-                change = [a - b for a, b in zip(state, held.value, strict=True)]
-                at = np.flatnonzero((change[0] != 0) | (change[1] != 0))
-                return pa.RecordBatch.from_arrays([pa.array(at), pa.array(change[0][at]), pa.array(change[1][at])], names=["f", "z", "n"])
+                gain = (own - held.value).reshape(2, blocks, BLOCK)
+                some = np.flatnonzero(gain.any(axis=(0, 2)))
+                lists = [pa.array(list(gain[i, some]), pa.list_(pa.float64())) for i in range(2)]
+                return pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), now, np.int32)), *lists], names=["block", "shard", "z", "n"])
 
             for batch in batches:
                 for shard, y, at, x in zip(batch.column("shard").to_pylist(), batch.column("y").to_pylist(), batch.column("at"), batch.column("x"), strict=True):
                     if shard != now:
                         if now is not None:
                             yield gained()
-                        now, state = shard, tuple(a.copy() for a in held.value)
-                    own = np.append(at.values.to_numpy(), size)
-                    learn(*state, own, np.append(x.values.to_numpy(), rates.bias), y, rates)
+                        now, own = shard, held.value.copy()
+                    learn(own[0], own[1], np.append(at.values.to_numpy(), size), np.append(x.values.to_numpy(), np.float32(rates.bias)).astype(np.float64), y, rates)
             if now is not None:
                 yield gained()
 
-        # a shard's sums in the order of shards, as sums of doubles hang on it
-        gains = dealt.mapInArrow(run, "f long, z double, n double").groupBy("f").agg(F.sort_array(F.collect_list(F.struct("z", "n"))).alias("g"))
-        gains = gains.select("f", F.aggregate("g", F.lit(0.0), lambda a, b: a + b["z"]).alias("z"), F.aggregate("g", F.lit(0.0), lambda a, b: a + b["n"]).alias("n")).toArrow()  # size + 1 rows at most
-        at = gains.column("f").to_numpy()
-        z[at] += gains.column("z").to_numpy()
-        n[at] += gains.column("n").to_numpy()
+        # gains of a block in the order of shards, as sums of doubles hang on it: `shards` rows a block
+        gains = dealt.mapInArrow(run, "block long, shard int, z array<double>, n array<double>").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "z", "n"))).alias("g"))
+        total = [F.aggregate(F.slice("g", 2, shards), F.get("g", F.lit(0))[c], lambda a, b, c=c: F.zip_with(a, b[c], lambda x, y: x + y)).alias(c) for c in ("z", "n")]
+        state = state.copy()
+        for r in write_table(gains.select("block", *total), "quality-gains").toArrow().to_pylist():  # two numbers a feature
+            at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
+            state[0, at] += r["z"]
+            state[1, at] += r["n"]
         held.unpersist()
-    return weights(z, n, rates)
+    return weights(state[0, : size + 1], state[1, : size + 1], rates)
 
 
 def score_quality(docs: DataFrame, w: np.ndarray, text: str = "text", batch_bytes: int = 1 << 18, rates: Rates = Rates()) -> DataFrame:
