@@ -205,7 +205,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
 
         # gains of a block in the order of shards, as sums of doubles hang on it: `shards` rows a block
         gains = dealt.mapInArrow(run, "block long, shard int, z array<double>, n array<double>").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("shard", "z", "n"))).alias("g"))
-        total = [F.aggregate(F.slice("g", 2, shards), F.get("g", F.lit(0))[c], lambda a, b, c=c: F.zip_with(a, b[c], lambda x, y: x + y)).alias(c) for c in ("z", "n")]
+        total = [F.aggregate(F.slice(f"g.{c}", 2, shards), F.get(f"g.{c}", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias(c) for c in ("z", "n")]
         state = state.copy()
         for r in write_table(gains.select("block", *total), "quality-gains").toArrow().to_pylist():  # two numbers a feature
             at = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK)
