@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,40 +88,78 @@ def timeline(t: Tables, session_id: str | None = None, source: str | None = None
     return _of(rows, session_id).orderBy(F.desc("event_time"), "id").limit(parse_limit(limit, 1000))
 
 
-#: Functions that call into the JVM by name.
-CALLS = {"reflect", "java_method", "try_reflect"}
+#: What a statement may consist of, as parsed and as analysed; anything else is refused.
+PARSED = set("""Project Filter Join LateralJoin Aggregate Sort GlobalLimit LocalLimit Offset Union Intersect Except Distinct Window Generate Pivot Unpivot Sample SubqueryAlias OneRowRelation LocalRelation
+  UnresolvedRelation UnresolvedInlineTable UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith UnresolvedHaving UnresolvedHint UnresolvedSubqueryAlias WithWindowDefinition""".split())
+ANALYSED = set("""Project Filter Join LateralJoin Aggregate Sort GlobalLimit LocalLimit Offset Union Intersect Except Distinct Deduplicate Window Generate Pivot Unpivot Expand Sample SubqueryAlias OneRowRelation LocalRelation
+  Range ResolvedHint WithCTE CTERelationDef CTERelationRef""".split())
+#: Table functions that make rows of their arguments alone.
+TABLE_FUNCTIONS = set("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple variant_explode variant_explode_outer".split())
+#: Built-in functions that call into the JVM by name or tell of files, users and the host.
+CALLS = set("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length current_user user session_user from_avro to_avro from_protobuf to_protobuf".split())
 
 
-def _nodes(spark: SparkSession, plan) -> Iterator:  # noqa: ANN001
-    """All plans and expressions of a parsed statement, those of subqueries and WITH too."""
+def _nodes(spark: SparkSession, plan, known: Callable[[str, object], bool]) -> Iterator[tuple[str, object, bool]]:  # noqa: ANN001
+    """Name, node and whether it is a plan, of all plans and expressions of a statement, those of subqueries and WITH too;
+    below a relation that is known by name nothing is looked at."""
     kind = lambda name: spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.{name}")
     logical, query = kind("plans.logical.LogicalPlan"), kind("expressions.PlanExpression")
     todo = [plan]
     while todo:
         node = todo.pop()
-        yield node
-        lists = [node.children(), node.innerChildren()] + ([node.expressions()] if logical.isInstance(node) else [])
+        name, is_plan = node.getClass().getSimpleName(), logical.isInstance(node)
+        if is_plan and known(name, node):
+            continue
+        yield name, node, is_plan
+        lists = [node.children(), node.innerChildren()] + ([node.expressions()] if is_plan else [])
         todo += [x.apply(i) for x in lists for i in range(x.size())]
         if query.isInstance(node):
             todo.append(node.plan())
 
 
+def _refuse(why: str) -> None:
+    raise PermissionError(why)
+
+
+def _check_parsed(spark: SparkSession, plan) -> None:  # noqa: ANN001
+    builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    for name, node, is_plan in _nodes(spark, plan, lambda *_: False):
+        if "UnresolvedIdentifier" in name or name in ("NamedParameter", "IdentifierClause"):
+            _refuse("names must stand in the statement itself")
+        if is_plan and name not in PARSED:
+            _refuse(f"{name} is not allowed")
+        parts = [node.nameParts().apply(i) for i in range(node.nameParts().size())] if name == "UnresolvedFunction" else []
+        if name == "UnresolvedFunction" and (len(parts) > 1 or parts[0].lower() in CALLS or not builtin.functionExists(identifier(parts[0].lower()))):
+            _refuse(f"function {'.'.join(parts)} is not allowed")
+        if name == "UnresolvedTableValuedFunction" and (node.name().size() > 1 or node.name().apply(0).lower() not in TABLE_FUNCTIONS):
+            _refuse("this table function is not allowed")
+        if name == "UnresolvedRelation":
+            parts = [node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size())]
+            if node.isStreaming() or (len(parts) > 1 and not spark.catalog.tableExists(".".join(f"`{x.replace('`', '``')}`" for x in parts))):
+                _refuse("only known tables can be read")
+
+
+def _registered(name: str, node) -> bool:  # noqa: ANN001
+    """A view, or a relation that the catalog holds as a table."""
+    return name == "View" or (name == "LogicalRelation" and node.catalogTable().isDefined()) or name == "HiveTableRelation"
+
+
 def free_sql(spark: SparkSession, sql: str, params: list | None = None) -> DataFrame:
-    """A single SELECT or WITH, with ? for params; what would write, command, call into the JVM, or read anything but
-    tables and views known by name is refused before it runs: by the nodes of the parsed statement, not by its text."""
+    """A single SELECT or WITH, with ? for params, over views and tables known by name.
+
+    What a statement may consist of is listed, first as it is parsed (nothing is resolved or run before that), then as it is
+    analysed: relational operators, built-in functions that only compute, and registered relations. Anything else is
+    refused: scripts of TRANSFORM, names made by IDENTIFIER, files read by path, user-defined functions, calls into the JVM.
+    """
     if not re.match(r"\s*(SELECT|WITH)\b", sql, re.I):
         raise PermissionError("only SELECT and WITH are allowed")
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    for node in _nodes(spark, parsed):
-        name = node.getClass().getSimpleName()
-        if command.isInstance(node) or name.endswith(("Command", "Statement")):
-            raise PermissionError("only reading is allowed")
-        if name == "UnresolvedFunction" and node.nameParts().last().lower() in CALLS:
-            raise PermissionError("this function is not allowed")
-        if name == "UnresolvedRelation" and node.multipartIdentifier().size() > 1 and not spark.catalog.tableExists(".".join(f"`{node.multipartIdentifier().apply(i)}`" for i in range(node.multipartIdentifier().size()))):
-            raise PermissionError("only known tables can be read")
-    return spark.sql(sql, args=params or [])
+    _check_parsed(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+    out = spark.sql(sql, args=params or [])
+    for name, _, is_plan in _nodes(spark, out._jdf.queryExecution().analyzed(), _registered):
+        if (is_plan and name not in ANALYSED) or name.endswith("UDF") or "Reflect" in name or name == "PythonUDAF":
+            _refuse(f"{name} is not allowed")
+    return out
 
 
 def register(t: Tables) -> None:
