@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
+from traceloom.operators.trees import climbed, linked
 from traceloom.store import write_table
 
 WINDOW_NS = 60_000_000_000
@@ -77,12 +78,12 @@ def cpu_percent(samples: DataFrame, by: list[str], time_s: Column, jiffies: str,
 
 
 def with_children(samples: DataFrame, processes: DataFrame) -> DataFrame:
-    """Resident memory of each process with all below it. processes: (session_id, pid, ppid); samples: (session_id, pid, mem_rss_kb)."""
-    from traceloom.operators.project import descendants
-
-    below = descendants(processes, processes).select("session_id", "root", "pid")
-    own = processes.select("session_id", F.col("pid").alias("root"), "pid")
-    return own.unionByName(below).join(samples, ["session_id", "pid"]).groupBy("session_id", F.col("root").alias("pid")).agg(F.sum("mem_rss_kb").alias("mem_rss_kb"), F.count("*").alias("processes"))
+    """Resident memory of each process with all below it, where any of those has a sample. processes: (session_id, pid, ppid);
+    samples: (session_id, pid, mem_rss_kb). Sums climb the tree by doubling; links along a circle of parents don't count."""
+    own = samples.groupBy("session_id", "pid").agg(F.sum("mem_rss_kb").alias("mem_rss_kb"), F.count("*").alias("processes"))
+    links = linked(processes.join(own, ["session_id", "pid"], "left"), ["session_id"], keep=("mem_rss_kb", "processes"))
+    found = climbed(links, ["session_id"], {"mem_rss_kb": "sum", "processes": "sum"}).where("processes IS NOT NULL")
+    return found.select("session_id", F.col("node").alias("pid"), "mem_rss_kb", "processes")
 
 
 def lives(events: DataFrame) -> DataFrame:
@@ -96,8 +97,9 @@ def tracked_lives(events: DataFrame, hit: Column, seeds: DataFrame | None = None
 
     A life is tracked from its first event for which `hit` holds, or its first EXEC whose parent is tracked by then;
     processes of seeds (session_id, pid) from the beginning of their first life. An edge says: if the parent is
-    tracked by `need`, the child is from `give` on. Each round joins edges to edges twice as long, so chains of
-    any depth end after a logarithmic number of rounds, and cycles end too.
+    tracked by `need`, the child is from `give` on. Round k holds the edges of exactly 2^k steps, about one for each EXEC,
+    and ends when it reaches nothing new or earlier: what a longer path reaches first, a path of 2^k to 2^(k+1) steps would
+    have, too. So chains of any depth end after a logarithmic number of rounds, and cycles end too.
     """
     e = write_table(lives(events), "lives")
     node = lambda pid, life: F.struct(F.col(pid).alias("pid"), F.col(life).alias("life"))
@@ -111,17 +113,19 @@ def tracked_lives(events: DataFrame, hit: Column, seeds: DataFrame | None = None
     if seeds is not None:
         zero = F.struct("pid", F.lit(0).cast("bigint").alias("life")).alias("c")
         first = first.unionByName(seeds.select("session_id", zero, F.lit(-(1 << 62)).alias("since")))
-    least = lambda df: write_table(df.groupBy("session_id", "c").agg(F.min("since").alias("since")), "tracked")
+    least = lambda df: df.groupBy("session_id", "c").agg(F.min("since").alias("since"))
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.col("since").cast("decimal(38,0)"))).first())
-    reached, jump, before = least(first), write_table(edges, "edges"), None
+    reached, jump, before = write_table(least(first), "tracked"), write_table(edges, "edges"), None
     while (now := mark(reached)) != before and now[0]:
         before = now
-        met = reached.withColumnRenamed("c", "a").join(jump, ["session_id", "a"]).where("since <= need").select("session_id", "c", F.col("give").alias("since"))
-        reached = least(reached.unionByName(met))
-        next_ = jump.select("session_id", F.col("a").alias("c"), F.col("c").alias("__c"), F.col("need").alias("__need"), F.col("give").alias("__give"))
-        longer = jump.join(next_, ["session_id", "c"]).where("give <= __need").select("session_id", "a", F.col("__c").alias("c"), "need", F.col("__give").alias("give")).where("a <> c")
-        # of the edges with one need, the earliest gain
-        jump = write_table(jump.unionByName(longer).groupBy("session_id", "a", "c", "need").agg(F.min("give").alias("give")), "edges")
+        for _ in range(2):
+            met = reached.withColumnRenamed("c", "a").join(jump, ["session_id", "a"]).where("since <= need").select("session_id", "c", F.col("give").alias("since"))
+            reached = least(reached.unionByName(met))
+            next_ = jump.select("session_id", F.col("a").alias("c"), F.col("c").alias("__c"), F.col("need").alias("__need"), F.col("give").alias("__give"))
+            longer = jump.join(next_, ["session_id", "c"]).where("give <= __need").select("session_id", "a", F.col("__c").alias("c"), "need", F.col("__give").alias("give")).where("a <> c")
+            # of the edges with one need the earliest gain, and of those with one gain the latest need
+            jump = longer.groupBy("session_id", "a", "c", "need").agg(F.min("give").alias("give")).groupBy("session_id", "a", "c", "give").agg(F.max("need").alias("need"))
+        reached, jump = write_table(reached, "tracked"), write_table(jump, "edges")
     return reached.select("session_id", "c.pid", "c.life", "since")
 
 

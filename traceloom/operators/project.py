@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
+from traceloom.operators.trees import climbed, linked
 from traceloom.schema import ROUTES, TABLES
 from traceloom.store import write_table
 
@@ -91,30 +92,31 @@ def walk(start: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """(*by, pid, depth): all processes at and below those of start, each at its least depth.
 
     start: (*by, pid, depth), all of one depth, by with session_id; edges: (session_id, above, pid). Each round
-    doubles the length of the edges and so the depth reached, until it finds no new process; cycles end too. Rounds
-    are tables in the shared folder, so lost executors cost no more than a round.
+    doubles the length of the edges and so the depth reached, until it finds no new process; cycles end too. Two rounds
+    are planned together and written to the shared folder, so lost executors cost no more than those.
     """
     reached = write_table(start.groupBy(*by, "pid").agg(F.min("depth").alias("depth")), "reached")
     jump, step, n = write_table(edges.where("above <> pid").distinct(), "jump"), 1, reached.count()
     while n:
-        far = reached.withColumnRenamed("pid", "above").join(jump, ["session_id", "above"]).select(*by, "pid", (F.col("depth") + step).alias("depth"))
-        reached = write_table(reached.unionByName(far).groupBy(*by, "pid").agg(F.min("depth").alias("depth")), "reached")
+        longer = [jump]
+        for _ in range(2):
+            next_ = longer[-1].select("session_id", F.col("above").alias("pid"), F.col("pid").alias("__c"))
+            longer.append(longer[-1].join(next_, ["session_id", "pid"]).select("session_id", "above", F.col("__c").alias("pid")).distinct())
+        for edge in longer[:2]:
+            far = reached.withColumnRenamed("pid", "above").join(edge, ["session_id", "above"]).select(*by, "pid", (F.col("depth") + step).alias("depth"))
+            reached, step = reached.unionByName(far).groupBy(*by, "pid").agg(F.min("depth").alias("depth")), 2 * step
+        reached = write_table(reached, "reached")
         before, n = n, reached.count()
         if n == before:
             break
-        next_ = jump.select("session_id", F.col("above").alias("pid"), F.col("pid").alias("__c"))
-        jump, step = write_table(jump.join(next_, ["session_id", "pid"]).select("session_id", "above", F.col("__c").alias("pid")).distinct(), "jump"), 2 * step
+        jump = write_table(longer[2], "jump")
     return reached
 
 
 def depths(nodes: DataFrame) -> DataFrame:
     """(session_id, pid, depth); a root is a process whose parent is not known or is itself. Processes below no root have no row."""
-    nodes = write_table(nodes.select("session_id", "pid", "ppid"), "nodes")
-    edges = nodes.select("session_id", F.col("ppid").alias("above"), "pid")
-    known = nodes.select("session_id", F.col("pid").alias("above")).distinct()
-    below = edges.where("above <> pid").join(known, ["session_id", "above"], "left_semi").select("session_id", "pid")
-    roots = nodes.select("session_id", "pid").join(below, ["session_id", "pid"], "left_anti")
-    return walk(roots.withColumn("depth", F.lit(0)), edges, ["session_id"])
+    found = climbed(linked(nodes.select("session_id", "pid", "ppid"), ["session_id"]), ["session_id"])
+    return found.where("depth IS NOT NULL").select("session_id", F.col("node").alias("pid"), "depth")
 
 
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:

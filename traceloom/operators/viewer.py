@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceloom.functions import payload as P
+from traceloom.operators.ranks import row_numbers
+from traceloom.operators.trees import climbed, linked
+from traceloom.store import write_table
 
 
 def kind(v: Column, source: str = "source") -> Column:
@@ -36,14 +39,33 @@ def model(v: Column) -> Column:
     return F.coalesce(P.text(body, "$.model"), P.text(v, "$.model"), F.get(F.filter(named, lambda x: x.isNotNull()), F.lit(0)))
 
 
+def prompt_title(v: Column) -> Column:
+    """`METHOD model`: the model that the body names, else the payload."""
+    named = lambda x, path: F.nullif(P.string(x, path), F.lit(""))
+    body = F.try_parse_json(P.text(v, "$.body"))
+    return F.concat(F.coalesce(named(v, "$.method"), F.lit("POST")), F.lit(" "), F.coalesce(named(body, "$.model"), named(v, "$.model"), F.lit("AI Request")))
+
+
+def response_title(v: Column) -> Column:
+    """The model that the first started message of a stream names, else the payload's."""
+    events = F.transform(F.try_variant_get(v, "$.sse_events", "array<variant>"), lambda x: F.try_variant_get(x, "$.parsed_data.message.model", "string"))
+    return F.coalesce(F.get(F.filter(events, lambda x: x.isNotNull() & (x != "")), F.lit(0)), F.nullif(P.string(v, "$.model"), F.lit("")), F.lit("AI Response"))
+
+
 def title(v: Column, source: str = "source") -> Column:
-    event = F.coalesce(P.text(v, "$.event"), F.lit(""))
-    filled = lambda path: F.nullif(P.string(v, path), F.lit(""))
-    file = F.concat_ws(" ", event, F.coalesce(filled("$.filepath"), filled("$.oldpath"), filled("$.path"), F.lit("unknown")))
-    process = F.concat_ws(" ", event, F.coalesce(filled("$.full_command"), filled("$.filename"), filled("$.comm"), F.lit("")))
-    http = F.concat_ws(" ", filled("$.method"), filled("$.path"), filled("$.status_code"), filled("$.status_text"))
-    s = F.col(source)
-    return F.trim(F.when(event.rlike("^(FILE_|DIR_)"), file).when(s == "process", process).when(s == "http_parser", http).when(s == "tool_call", F.concat_ws(" ", filled("$.tool_name"), filled("$.key_field"))).otherwise(F.coalesce(filled("$.function"), s)))
+    """The title of an event, by its kind: `METHOD host/path (status)`, `operation path` or `event: file`.
+
+    Prompts and responses are titled by their own rules (prompt_title, response_title), stdio messages by json_rpc.
+    """
+    filled = lambda *paths: F.coalesce(*(F.nullif(P.string(v, f"$.{p}"), F.lit("")) for p in paths))
+    tool, k = F.col(source) == "tool_call", kind(v, source)
+    status = F.when(P.truthy(v, "$.status_code"), F.concat(F.lit(" ("), P.string(v, "$.status_code"), F.lit(")"))).otherwise("")
+    web = F.concat(F.coalesce(filled("method"), F.lit("UNKNOWN")), F.lit(" "), F.coalesce(filled("host", "headers.host"), F.lit("unknown")), F.coalesce(filled("path"), F.lit("/")), status)
+    used = F.coalesce(filled("tool_name", "event_type"), F.lit("tool_call"))
+    file = F.concat(F.when(tool, used).otherwise(F.coalesce(filled("operation", "event"), F.lit("file op"))), F.lit(" "), F.coalesce(filled("path", "filepath", "key_field"), F.lit("unknown")))
+    what, of = F.when(tool, used).otherwise(F.coalesce(filled("event"), F.lit("process"))), filled("filename", "key_field")
+    process = F.when(of.isNotNull(), F.concat(what, F.lit(": "), of)).otherwise(F.concat(what, F.lit(" event")))
+    return F.when(k == "file", file).when(k == "process", process).when(k == "prompt", prompt_title(v)).when(k == "response", response_title(v)).when(k == "ssl", web).otherwise(F.concat(F.col(source), F.lit(" event")))
 
 
 def classified(events: DataFrame) -> DataFrame:
@@ -190,10 +212,51 @@ def timeline_groups(events: DataFrame, since_ms: int | None = None, until_ms: in
 
 def tree_matches(tree: DataFrame, hits: DataFrame) -> DataFrame:
     """The nodes of a process tree that match or have a match below. tree: (session_id, pid, ppid); hits: (session_id, pid)."""
-    from traceloom.operators.project import descendants
+    hit = hits.select("session_id", "pid").distinct().withColumn("hit", F.lit(1))
+    links = linked(tree.select("session_id", "pid", "ppid").join(hit, ["session_id", "pid"], "left"), ["session_id"], keep=("hit",))
+    found = climbed(links, ["session_id"], {"hit": "max"}).where("hit = 1").select("session_id", F.col("node").alias("pid"))
+    return tree.join(found, ["session_id", "pid"], "left_semi")
 
-    below = descendants(tree, tree).join(hits, ["session_id", "pid"], "left_semi").select("session_id", F.col("root").alias("pid"))
-    return tree.join(below.unionByName(hits.select("session_id", "pid")).distinct(), ["session_id", "pid"], "left_semi")
+
+def shown_processes(events: DataFrame) -> DataFrame:
+    """(session_id, pid, ppid, comm, first, since_ms, depth): a row for each process that a tree of events shows.
+
+    comm is that of its first event; ppid the last that its process events name, and a parent only where it is shown too;
+    since_ms the time of the earliest event of the process and all below it. depth is null below a circle of parents.
+    events: envelopes with session_id; those of the system, of TLS and of HTTP are not shown.
+    """
+    e = _shown(events)
+    named = F.max(F.when((F.col("source") == "process") & (F.col("__ppid") != 0), F.struct("timestamp_ns", "stream_seq", "__ppid")))["__ppid"]
+    first = F.min(F.struct("timestamp_ns", "stream_seq", "comm"))
+    nodes = e.groupBy("session_id", "pid").agg(named.alias("ppid"), first.alias("first"), F.min("at_ms").alias("since_ms"))
+    nodes = write_table(nodes.withColumn("comm", F.coalesce(F.nullif(F.col("first.comm"), F.lit("")), F.lit("unknown"))), "processes")
+    found = climbed(linked(nodes, ["session_id"], keep=("since_ms",)), ["session_id"], {"since_ms": "min"}).withColumnRenamed("node", "pid")
+    return nodes.drop("since_ms").join(found, ["session_id", "pid"]).select("session_id", "pid", "ppid", "comm", F.struct("first.timestamp_ns", "first.stream_seq").alias("first"), "since_ms", "depth")
+
+
+def _shown(events: DataFrame) -> DataFrame:
+    v = P.parsed()
+    system = (F.lower(F.trim("source")) == "system") | F.lower(F.trim(F.coalesce(P.string(v, "$.type"), F.lit("")))).contains("system")
+    keep = ~F.coalesce(system, F.lit(False)) & ~F.coalesce(F.lower(F.trim("source")).isin("ssl", "http_parser"), F.lit(False)) & F.col("pid").isNotNull()
+    at = F.coalesce("timestamp_unix_ms", F.floor(F.col("timestamp_ns") / 1_000_000).cast("bigint"))
+    return events.where(keep).select("session_id", "pid", "comm", "source", "timestamp_ns", "stream_seq", at.alias("at_ms"), title(v).alias("title"), P.integer(v, "$.ppid").alias("__ppid"))
+
+
+def process_timeline(events: DataFrame) -> DataFrame:
+    """(session_id, pid, place, item, at_ms, stream_seq, child, title): the timeline of each process, its events and its
+    children mixed, a child at the earliest time of all below it; and that of each session, pid null, of the processes at the top.
+
+    At one time events come before children, and both in order of arrival. As many rows as there are events and processes, so
+    the tree is put together from them by child. Places are counted by ranges, so a process may hold most events.
+    """
+    shown = write_table(shown_processes(events), "shown")
+    own = _shown(events).select("session_id", "pid", F.lit("event").alias("item"), "at_ms", "timestamp_ns", "stream_seq", F.lit(None).cast("bigint").alias("child"), "title")
+    known = shown.select("session_id", F.col("pid").alias("ppid")).withColumn("__known", F.lit(True))
+    below = shown.join(known, ["session_id", "ppid"], "left").withColumn("__up", F.when(F.col("__known") & (F.col("ppid") != F.col("pid")), F.col("ppid")))
+    child = below.select("session_id", F.col("__up").alias("pid"), F.lit("process").alias("item"), F.col("since_ms").alias("at_ms"), F.col("first.timestamp_ns").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("stream_seq"), F.col("pid").alias("child"), F.col("comm").alias("title"), F.col("first.stream_seq").alias("__seq"))
+    items = own.withColumn("__seq", F.col("stream_seq")).unionByName(child)
+    order = ["at_ms", "item", "timestamp_ns", "__seq", "child", "title"]
+    return row_numbers(items, ["session_id", "pid"], order, "place").select("session_id", "pid", "place", "item", "at_ms", "stream_seq", "child", "title")
 
 
 def evidence(security: DataFrame) -> DataFrame:

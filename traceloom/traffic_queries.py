@@ -201,10 +201,43 @@ def viewer_models(spark, sf):
     return rows.groupBy("source", "model").agg(F.count("*").alias("n"))
 
 
-@query(TRAFFIC + "SELECT seq, 'POST /v1/messages?turn=' || turn AS title FROM request UNION ALL SELECT seq, '200 OK' FROM answer UNION ALL SELECT seq, 'FILE_OPEN ' || path FROM opened UNION ALL SELECT seq, 'CRED_CHANGE' FROM cred")
+@query(TRAFFIC + """SELECT seq, 'http_parser' AS source, 'POST ' || model AS title FROM request UNION ALL SELECT seq, 'http_parser', 'UNKNOWN unknown/ (200)' FROM answer UNION ALL SELECT seq, 'process', 'FILE_OPEN ' || path FROM opened
+  UNION ALL SELECT seq, 'process', 'CRED_CHANGE event' FROM cred UNION ALL SELECT seq, 'stdio', 'stdio event' FROM c WHERE role = 'system' UNION ALL SELECT NULL, 'sse_processor', model FROM c WHERE role = 'assistant' AND conv_id % 2 = 1
+  UNION ALL SELECT seq + 1, 'ssl', 'UNKNOWN unknown/' FROM c WHERE role = 'user'""")
 def viewer_titles(spark, sf):
-    rows = viewer.classified(parse_http(traffic.envelopes(spark, sf))).where("source IN ('http_parser', 'process')")
-    return rows.select(F.col("stream_seq").alias("seq"), "title")
+    """The titles of parsed traffic: prompts and responses by their model, other events by what they hold."""
+    rows = viewer.classified(parse_http(merge_sse(traffic.envelopes(spark, sf))))
+    return rows.select(F.col("stream_seq").alias("seq"), "source", "title")
+
+
+@query(BASE + """SELECT event_id AS seq, CASE WHEN kind = 'click' THEN CASE WHEN k % 4 < 2 THEN ['fs.read', 'fs.write'][k % 4 + 1] || ' /data/f' || (k % 20) ELSE ['proc.exec', 'net.http'][k % 4 - 1] || ': /data/f' || (k % 20) END
+  WHEN kind = 'view' THEN CASE WHEN k % 10 = 0 THEN 'FILE_DELETE' ELSE 'FILE_OPEN' END || ' /data/f' || (k % 20) WHEN kind = 'purchase' THEN 'NET_CONNECT event' WHEN kind = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'EXEC: /usr/bin/tool' ELSE 'EXIT event' END ELSE 'system event' END AS title FROM e""")
+def viewer_event_titles(spark, sf):
+    """The titles of tool calls, file, process and system events."""
+    return viewer.classified(adapter.envelopes(spark, sf)).select(F.col("stream_seq").alias("seq"), "title")
+
+
+#: The shown processes of the events: the parent of each by its last EXEC, and the earliest time of all below it.
+SHOWN = """, shown AS (SELECT event_id, session_id, pid, timestamp_ns, epoch_ms(event_time) AS ms, kind, comm, CASE WHEN kind = 'signup' AND event_id % 2 = 0 THEN pid - (k % 3 + 1) * 10 END AS ppid FROM e WHERE kind <> 'error'),
+  nodes AS (SELECT session_id, pid, arg_max(ppid, (timestamp_ns, event_id)) FILTER (WHERE ppid IS NOT NULL) AS ppid, arg_min(comm, (timestamp_ns, event_id)) AS comm, min((timestamp_ns, event_id)) AS first, min(ms) AS own_ms FROM shown GROUP BY 1, 2),
+  up AS (SELECT n.* REPLACE (p.pid AS ppid) FROM nodes n LEFT JOIN nodes p ON p.session_id = n.session_id AND p.pid = n.ppid AND p.pid <> n.pid),
+  below AS (SELECT session_id, pid AS root, pid, own_ms FROM up UNION ALL SELECT b.session_id, b.root, u.pid, u.own_ms FROM below b JOIN up u ON u.session_id = b.session_id AND u.ppid = b.pid),
+  since AS (SELECT session_id, root AS pid, min(own_ms) AS since_ms FROM below GROUP BY 1, 2) """
+
+
+@query(BASE.replace("WITH e AS", "WITH RECURSIVE e AS") + SHOWN + """, items AS (SELECT session_id, pid, 0 AS later, ms AS at_ms, timestamp_ns AS ns, event_id AS seq, event_id AS stream_seq, CAST(NULL AS BIGINT) AS child FROM shown
+    UNION ALL SELECT u.session_id, u.ppid, 1, s.since_ms, first[1], first[2], NULL, u.pid FROM up u JOIN since s ON s.session_id = u.session_id AND s.pid = u.pid)
+  SELECT session_id, pid, row_number() OVER (PARTITION BY session_id, pid ORDER BY at_ms, later, ns, seq) AS place, CASE later WHEN 0 THEN 'event' ELSE 'process' END AS item, at_ms, stream_seq, child FROM items""")
+def process_timeline(spark, sf):
+    """The process tree with the mixed timeline of each process, and the processes at the top (pid null)."""
+    return viewer.process_timeline(adapter.envelopes(spark, sf)).drop("title")
+
+
+@query(BASE.replace("WITH e AS", "WITH RECURSIVE e AS") + SHOWN + """, deep AS (SELECT session_id, pid, 0 AS depth FROM up WHERE ppid IS NULL UNION ALL SELECT d.session_id, u.pid, d.depth + 1 FROM deep d JOIN up u ON u.session_id = d.session_id AND u.ppid = d.pid)
+  SELECT n.session_id, n.pid, n.ppid, n.comm, s.since_ms, d.depth FROM nodes n JOIN since s USING (session_id, pid) JOIN deep d USING (session_id, pid)""")
+def shown_processes(spark, sf):
+    """The processes of the viewer's tree: parent, name, depth, and the earliest time of all below each."""
+    return viewer.shown_processes(adapter.envelopes(spark, sf)).drop("first")
 
 
 PROMPTS = """WITH p AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS m, turn % 4 = 0 AS extra FROM conversations WHERE role = 'user'), q AS (SELECT *, lag(turn) OVER w AS before, lag(m) OVER w AS m0, lag(extra) OVER w AS extra0 FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
