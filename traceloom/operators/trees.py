@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from traceloom.store import write_table
 
 #: How a value of a node takes in those of the nodes below it.
-FOLDS = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def linked(nodes: DataFrame, by: list[str], node: str = "pid", parent: str = "ppid", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -23,16 +23,17 @@ def linked(nodes: DataFrame, by: list[str], node: str = "pid", parent: str = "pp
 
 
 def _round(table: DataFrame, by: list[str], values: dict[str, str]) -> DataFrame:
+    """Values first go up by the pointers, which then double; both work on rows dealt by node."""
+    if values:
+        own = [F.lit(True).alias("__own"), *by, "node", "up", "steps", *values]
+        given = table.where("up IS NOT NULL").select(F.lit(False).alias("__own"), *by, F.col("up").alias("node"), F.lit(None).cast(table.schema["up"].dataType).alias("up"), F.lit(0).alias("steps"), *values)
+        at_own = [F.max(F.when(F.col("__own"), F.col(c))).alias(c) for c in ("up", "steps")]
+        table = table.select(*own).unionByName(given).groupBy(*by, "node").agg(*at_own, *(FOLDS[f](v).alias(v) for v, f in values.items()))
     far = table.select(*by, F.col("node").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"))
-    moved = table.join(far, [*by, "up"], "left").select(*by, "node", F.col("__up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), *values)
-    if not values:
-        return moved
-    gained = table.where("up IS NOT NULL").groupBy(*by, F.col("up").alias("node")).agg(*(FOLDS[f][0](v).alias(f"__{v}") for v, f in values.items()))
-    folded = [F.when(F.col(v).isNull(), F.col(f"__{v}")).when(F.col(f"__{v}").isNull(), F.col(v)).otherwise(FOLDS[f][1](F.col(v), F.col(f"__{v}"))).alias(v) for v, f in values.items()]
-    return moved.join(gained, [*by, "node"], "left").select(*by, "node", "up", "steps", *folded)
+    return table.join(far, [*by, "up"], "left").select(*by, "node", F.col("__up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), *values)
 
 
-def climbed(links: DataFrame, by: list[str], values: dict[str, str] | None = None, at_once: int = 2) -> DataFrame:
+def climbed(links: DataFrame, by: list[str], values: dict[str, str] | None = None, at_once: int | None = None) -> DataFrame:
     """(*by, node, depth, *values): the number of steps to a node without `up`, and each value folded over the node and
     all below it. values: column -> sum, min or max; nulls count as absent.
 
@@ -41,6 +42,7 @@ def climbed(links: DataFrame, by: list[str], values: dict[str, str] | None = Non
     planned together and then written, so lost executors cost no more than those.
     """
     values = values or {}
+    at_once = at_once or (1 if values else 2)
     table = write_table(links.select(*by, "node", "up", F.col("up").isNotNull().cast("int").alias("steps"), *values), "climb")
     count = lambda t: t.agg(F.count("*"), F.count("up")).first()
     (n, open_), reach, now = count(table), 1, table

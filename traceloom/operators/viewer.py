@@ -225,7 +225,10 @@ def shown_processes(events: DataFrame) -> DataFrame:
     since_ms the time of the earliest event of the process and all below it. depth is null below a circle of parents.
     events: envelopes with session_id; those of the system, of TLS and of HTTP are not shown.
     """
-    e = _shown(events)
+    return _processes(write_table(_shown(events).drop("title"), "shown"))
+
+
+def _processes(e: DataFrame) -> DataFrame:
     named = F.max(F.when((F.col("source") == "process") & (F.col("__ppid") != 0), F.struct("timestamp_ns", "stream_seq", "__ppid")))["__ppid"]
     first = F.min(F.struct("timestamp_ns", "stream_seq", "comm"))
     nodes = e.groupBy("session_id", "pid").agg(named.alias("ppid"), first.alias("first"), F.min("at_ms").alias("since_ms"))
@@ -249,8 +252,9 @@ def process_timeline(events: DataFrame) -> DataFrame:
     At one time events come before children, and both in order of arrival. As many rows as there are events and processes, so
     the tree is put together from them by child. Places are counted by ranges, so a process may hold most events.
     """
-    shown = write_table(shown_processes(events), "shown")
-    own = _shown(events).select("session_id", "pid", F.lit("event").alias("item"), "at_ms", "timestamp_ns", "stream_seq", F.lit(None).cast("bigint").alias("child"), "title")
+    e = write_table(_shown(events), "shown")
+    shown = write_table(_processes(e), "processes")
+    own = e.select("session_id", "pid", F.lit("event").alias("item"), "at_ms", "timestamp_ns", "stream_seq", F.lit(None).cast("bigint").alias("child"), "title")
     known = shown.select("session_id", F.col("pid").alias("ppid")).withColumn("__known", F.lit(True))
     below = shown.join(known, ["session_id", "ppid"], "left").withColumn("__up", F.when(F.col("__known") & (F.col("ppid") != F.col("pid")), F.col("ppid")))
     child = below.select("session_id", F.col("__up").alias("pid"), F.lit("process").alias("item"), F.col("since_ms").alias("at_ms"), F.col("first.timestamp_ns").alias("timestamp_ns"), F.lit(None).cast("bigint").alias("stream_seq"), F.col("pid").alias("child"), F.col("comm").alias("title"), F.col("first.stream_seq").alias("__seq"))

@@ -38,7 +38,7 @@ def tool_call_stats(t: Tables, session_id: str | None = None) -> DataFrame:
 def tool_call_latency(t: Tables, session_id: str | None = None) -> DataFrame:
     rows = _of(t["events_tool_call"].where("duration_ms IS NOT NULL"), session_id)
     d = "duration_ms"
-    out = rows.groupBy("session_id", "tool_name").agg(*views._quantiles(d), F.round(F.avg(d), 6).alias("avg_ms"), F.min(d).alias("min_ms"), F.max(d).alias("max_ms"), F.count("*").alias("sample_count"))
+    out = views.with_quantiles(rows, ["session_id", "tool_name"], d, F.round(F.avg(d), 6).alias("avg_ms"), F.min(d).alias("min_ms"), F.max(d).alias("max_ms"), F.count("*").alias("sample_count"))
     return out.orderBy(F.desc("p99_ms"), "session_id", "tool_name")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.operators.ranks import percentiles
+
 Tables = dict[str, DataFrame]
 #: Short name of each event table, in the order of a timeline.
 SOURCES = {"process": "events_process", "tool_call": "events_tool_call", "system": "events_system", "ssl": "events_ssl", "http": "events_http", "sse": "events_sse", "security": "events_security"}
@@ -28,15 +30,19 @@ def session_overview(t: Tables, corrected: bool = True) -> DataFrame:
     return out.withColumn("duration_us", span)
 
 
-def _quantiles(column: str) -> list:
-    return [F.round(F.percentile(column, F.lit(p)), 6).alias(f"p{n}_ms") for n, p in ((50, 0.5), (95, 0.95), (99, 0.99))]
+def with_quantiles(rows: DataFrame, by: list[str], column: str, *aggregates: Column) -> DataFrame:
+    """Aggregates of each group, and p50_ms, p95_ms, p99_ms of a column by ranks: no task holds a group's values."""
+    found = percentiles(rows, by, column, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    found = found.select(*(F.col(c).alias(f"__{c}") for c in by), *(F.round(f"p{n}", 6).alias(f"p{n}_ms") for n in (50, 95, 99)))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return rows.groupBy(*by).agg(*aggregates).join(found, on, "left").drop(*(f"__{c}" for c in by))
 
 
 def tool_call_stats(t: Tables) -> DataFrame:
     ok = F.count_if(F.col("tool_status") == "success")
-    return t["events_tool_call"].groupBy("session_id", "tool_name").agg(
-        F.count("*").alias("call_count"), ok.alias("success_count"), F.count_if(F.col("tool_status") == "timeout").alias("timeout_count"),
-        F.round(ok * F.lit(100.0).cast("double") / F.count("*"), 2).alias("success_rate_pct"), *_quantiles("duration_ms"), F.sum("tool_bytes").alias("total_bytes"),
+    return with_quantiles(
+        t["events_tool_call"], ["session_id", "tool_name"], "duration_ms", F.count("*").alias("call_count"), ok.alias("success_count"), F.count_if(F.col("tool_status") == "timeout").alias("timeout_count"),
+        F.round(ok * F.lit(100.0).cast("double") / F.count("*"), 2).alias("success_rate_pct"), F.sum("tool_bytes").alias("total_bytes"),
     )
 
 
