@@ -10,7 +10,7 @@ from traceloom.operators.filters import changed_credentials, http_filter, is_noi
 from traceloom.operators.http import parse_http, remove_auth
 from traceloom.operators.spans import EXTRACTORS, Extractor, aggregate_calls, spans, used
 from traceloom.operators.sse import merge_sse
-from traceloom.operators.tooluse import correlate, tool_uses
+from traceloom.operators.tooluse import correlate, summary, tool_uses
 from traceloom.plans.chains import Pipeline, ssl_chain, trace_chain
 from traceloom.sources.logs import app_log, split_lines, synthetic
 
@@ -147,6 +147,14 @@ def test_tool_use_lifecycle(spark):
     assert out.count() == len(rows) + 2
 
 
+@pytest.mark.parametrize("text", ["a" * 200, "a" * 201, "é" * 100, "é" * 101, "a" + "é" * 100, "a" + "你" * 80, "aa" + "你" * 80, "a" * 199 + "😀" + "b" * 9, "x" * 198 + "😀", "x" * 199 + "\ufffd" * 3, ""])
+def test_summaries_are_cut_at_bytes(spark, text):
+    raw = text.encode()
+    whole = raw[:200].decode("utf-8", "ignore")
+    want = text if len(raw) <= 200 else whole + "\ufffd" * (200 - len(whole.encode())) + "..."
+    assert spark.createDataFrame([(text,)], "s string").select(summary(F.col("s"))).first()[0] == want
+
+
 def test_tool_use_without_result_or_activity(spark):
     found = tool_uses(frame(spark, [use(1_000_000, "t1"), ("http_parser", 1, "c", 2, {"message_type": "response", "body": "text"})], True)).collect()
     assert len(found) == 1 and found[0]["status"] == "timeout" and found[0]["duration_ms"] == 30_000 and found[0]["os_activities"] is None

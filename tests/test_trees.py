@@ -224,3 +224,29 @@ def test_depths_of_a_tree_of_any_shape(spark):
     df = spark.createDataFrame(rows, "session_id string, pid long, ppid long")
     depth = plain_tree({i: p for _, i, p in rows})[0]
     assert {r["pid"]: r["depth"] for r in project.depths(df).collect()} == depth
+
+
+# --- spans --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_spans_are_those_of_the_fold(spark, seed):
+    """Calls in bursts that last long, pauses of any kind, and calls that are over at once, against one call after another."""
+    from functools import partial
+
+    from traceloom.operators.fold import fold_sorted
+    from traceloom.operators.spans import EXTRACTORS, KEYS, SPAN, Extractor, Span, calls, spans, used
+
+    rng, rows, now = random.Random(seed), [], 0
+    for _ in range(400):
+        now += rng.choice([0, 1, 40, 90, 100, 101, 130, 200])
+        kind = rng.choice(["FILE_OPEN"] * 6 + ["EXEC", "TOUCH"])
+        rows.append(("process", rng.choice([1, 1, 1, 2]), rng.choice("ab"), now + 1, {"event": kind, "filepath": rng.choice(["/x", "/x", "/y"]), "filename": "/bin/z", "flags": 0}))
+    once = Extractor("process", lambda f: F.when(f("event") == "TOUCH", used(F.lit("fs.read"), f("filepath"), F.lit("t"), at_once=True)))
+    df, kinds = frame(spark, rows, seed % 2 == 0), [*EXTRACTORS, once]
+    for idle, most in ((100, 300), (250, 1000), (10**15, 777), (10**15, 1 << 62)):
+        names = [f.name for f in SPAN.fields]
+        got = spans(df, kinds, idle, most).select(*names)
+        want = fold_sorted(calls(df, kinds), KEYS, ["timestamp_ns", "stream_seq"], partial(Span, idle_ns=idle, most_ns=most), SPAN).select(*names)
+        rows_of = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+        assert rows_of(got) == rows_of(want)

@@ -22,6 +22,10 @@ class Fold:
     def end(self) -> list[dict]:
         return []
 
+    def idle(self) -> list[dict]:
+        """What a pause alone ends, in a stream; at the end of a log it is `end`."""
+        return self.end()
+
 
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], make: Callable[[tuple], Fold], schema: StructType) -> DataFrame:
     """Folds each key's rows in order. One shuffle by key; the sort spills, so a key of any size fits."""

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traceloom.functions.scalar import file_tool, fnv1a64, ns_to_ms
 from traceloom.operators.filters import is_noise
-from traceloom.operators.fold import Fold, fold_sorted
+from traceloom.operators.fold import Fold
+from traceloom.store import write_table
 
 IDLE_NS, MOST_NS = 1_000_000_000, 60_000_000_000
 KEYS = ["session_id", "pid", "tid", "tool_name", "key_field"]
@@ -77,6 +78,8 @@ def calls(events: DataFrame, extractors: list[Extractor] | None = None) -> DataF
 
 
 class Span(Fold):
+    """The calls of a key, one after another, as a stream sees them; over a whole log `spans` gives the same."""
+
     def __init__(self, key: tuple, idle_ns: int = IDLE_NS, most_ns: int = MOST_NS):
         super().__init__(key)
         self.open: dict | None = None
@@ -100,11 +103,62 @@ class Span(Fold):
     def end(self) -> list[dict]:
         return self._close("timeout", "flush")
 
+    def idle(self) -> list[dict]:
+        return self._close("timeout", "idle_gap")
+
+
+def _split(long: DataFrame, most_ns: int) -> DataFrame:
+    """(island, n): the first calls of the spans of each island, but its first one. long: (island, n, timestamp_ns), n in order.
+
+    From each call a pointer leads to the first call over most_ns later, where the next span would start if one started
+    here; the starts are those that pointers reach from call 1. Pointers double and starts with them, so as many
+    rounds are needed as the number of spans has digits.
+    """
+    calls = long.select("island", "n", F.col("timestamp_ns").alias("at"), F.lit(0).alias("ask"))
+    asks = long.select("island", "n", (F.col("timestamp_ns") + most_ns).alias("at"), F.lit(1).alias("ask"))
+    after = Window.partitionBy("island").orderBy(F.desc("at"), F.desc("ask"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    next_ = F.last(F.when(F.col("ask") == 0, F.col("n")), ignorenulls=True).over(after)
+    jump = write_table(calls.unionByName(asks).withColumn("next", next_).where("ask = 1 AND next IS NOT NULL").select("island", "n", "next"), "span-jumps")
+    starts = write_table(jump.where("n = 1").select("island", F.col("next").alias("n")), "span-starts")
+    while True:
+        jump = write_table(jump.join(jump.select("island", F.col("n").alias("next"), F.col("next").alias("__far")), ["island", "next"]).select("island", "n", F.col("__far").alias("next")), "span-jumps")
+        # with the pointers of 2^k spans, from call 1 and from the starts known
+        here = starts.unionByName(jump.where("n = 1").select("island", "n"))
+        more = write_table(here.join(jump, ["island", "n"]).select("island", F.col("next").alias("n")), "span-starts")
+        if more.isEmpty():
+            return starts
+        starts = starts.unionByName(more)
+
 
 def spans(events: DataFrame, extractors: list[Extractor] | None = None, idle_ns: int = IDLE_NS, most_ns: int = MOST_NS) -> DataFrame:
-    """A row a span. A pause of over idle_ns (1 s) of event time ends it, or over most_ns (60 s) since its start; an EXEC is one at once."""
-    folded = fold_sorted(calls(events, extractors), KEYS, ["timestamp_ns", "stream_seq"], partial(Span, idle_ns=idle_ns, most_ns=most_ns), SPAN)
-    return folded.withColumn("duration_ms", ns_to_ms(F.col("end_ns") - F.col("start_ns"))).withColumn("args_hash", fnv1a64("args_summary"))
+    """A row a span. A pause of over idle_ns (1 s) of event time ends it, or over most_ns (60 s) since its start; an EXEC is one at once.
+
+    Pauses cut a key's calls into islands by a window; only islands that last over most_ns are searched for the starts of
+    further spans.
+    """
+    order = Window.partitionBy(*KEYS).orderBy("timestamp_ns", "stream_seq")
+    new = F.col("at_once") | F.coalesce(F.lag("at_once").over(order) | (F.col("timestamp_ns") - F.lag("timestamp_ns").over(order) > idle_ns), F.lit(True))
+    cut = calls(events, extractors).withColumn("__new", new.cast("int")).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    table = write_table(cut, "calls")
+    own = [*KEYS, "__island"]
+    lasts = table.groupBy(*own).agg((F.max("timestamp_ns") - F.min("timestamp_ns")).alias("__ns")).where(F.col("__ns") > most_ns).drop("__ns")
+    long = write_table(lasts.select(*(F.col(c).alias(f"k_{c}") for c in own), F.monotonically_increasing_id().alias("island")), "long-islands")
+    numbered = table.withColumn("__span", F.lit(0))
+    if not long.isEmpty():
+        same = reduce(lambda a, b: a & b, [table[c].eqNullSafe(long[f"k_{c}"]) for c in own])
+        place = F.row_number().over(Window.partitionBy("island").orderBy("timestamp_ns", "stream_seq"))
+        rows = write_table(table.join(long, same).withColumn("n", place).select(*table.columns, "island", "n"), "long-calls")
+        starts = _split(rows.select("island", "n", "timestamp_ns"), most_ns).withColumn("__start", F.lit(1))
+        upto = Window.partitionBy("island").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.join(starts, ["island", "n"], "left").withColumn("__span", F.sum(F.coalesce("__start", F.lit(0))).over(upto))
+        numbered = table.join(long, same, "left_anti").withColumn("__span", F.lit(0).cast("bigint")).unionByName(rows.select(*table.columns, "__span"))
+    first = F.min(F.struct("timestamp_ns", "stream_seq", "comm", "args_summary"))
+    found = numbered.groupBy(*own, "__span").agg(first.alias("f"), F.max("timestamp_ns").alias("end_ns"), F.count("*").alias("calls"), F.max("at_once").alias("__once"))
+    after = F.lead("__island").over(Window.partitionBy(*KEYS).orderBy("__island", "__span"))
+    reason = F.when(F.col("__once"), "exec").when(after == F.col("__island"), "max_span").when(after.isNotNull(), "idle_gap").otherwise("flush")
+    found = found.select(*KEYS, "f.comm", "f.args_summary", F.col("f.timestamp_ns").alias("start_ns"), "end_ns", "calls", F.when(F.col("__once"), "success").otherwise("timeout").alias("status"), reason.alias("reason"))
+    found = found.select(*(f.name for f in SPAN.fields))
+    return found.withColumn("duration_ms", ns_to_ms(F.col("end_ns") - F.col("start_ns"))).withColumn("args_hash", fnv1a64("args_summary"))
 
 
 def span_events(found: DataFrame) -> DataFrame:

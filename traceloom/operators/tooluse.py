@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
@@ -15,6 +15,14 @@ def _session(events: DataFrame):
     return F.col("session_id") if "session_id" in events.columns else F.lit("").alias("session_id")
 
 
+def summary(text: Column, most: int = 200) -> Column:
+    """A text of over `most` bytes cut there, with three dots; each byte of a character that the cut breaks is a U+FFFD."""
+    cut = F.substring(F.encode(text, "utf-8"), 1, most).cast("string")
+    whole = F.when(F.is_valid_utf8(cut), cut).otherwise(F.regexp_replace(F.make_valid_utf8(cut), "(?s).$", ""))
+    broken = F.repeat(F.lit("\ufffd"), (F.lit(most) - F.octet_length(whole)).cast("int"))
+    return F.when(F.octet_length(text) > most, F.concat(whole, broken, F.lit("..."))).otherwise(text)
+
+
 def uses(events: DataFrame) -> DataFrame:
     """(session_id, tool_use_id, tool_name, tool_input, pid, comm, start_ns) of the tool_use blocks of responses."""
     body = F.try_parse_json(P.text(P.parsed(), "$.body"))
@@ -32,8 +40,7 @@ def results(events: DataFrame) -> DataFrame:
     rows = rows.select(_session(events).alias("session_id"), F.col("timestamp_ns").alias("end_ns"), F.explode(messages).alias("m")).where("m.role = 'user'")
     rows = rows.select("session_id", "end_ns", F.explode(F.from_json("m.content", "array<struct<type:string,tool_use_id:string,content:string>>")).alias("b"))
     first = F.coalesce(F.get_json_object("b.content", "$[0].text"), F.col("b.content"))
-    short = F.when(F.length(first) > 200, F.concat(F.substring(first, 1, 200), F.lit("..."))).otherwise(first)
-    return rows.where("b.type = 'tool_result' AND b.tool_use_id <> ''").select("session_id", F.col("b.tool_use_id").alias("tool_use_id"), "end_ns", short.alias("result_summary"))
+    return rows.where("b.type = 'tool_result' AND b.tool_use_id <> ''").select("session_id", F.col("b.tool_use_id").alias("tool_use_id"), "end_ns", summary(first).alias("result_summary"))
 
 
 def activities(events: DataFrame) -> DataFrame:
@@ -45,7 +52,7 @@ def activities(events: DataFrame) -> DataFrame:
 
 
 def tool_uses(events: DataFrame, bucket_ns: int = 10_000_000_000, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
-    """A row a tool use: status success with its first result from then on, else timeout after timeout_ms (30 s).
+    """A row a tool use: status success with its first result from then on, else timeout after timeout_ms (30 s), without a result.
 
     An id that is used again in its session starts anew. Activities are those of the session from the answer to
     the result (or timeout): an equi-join on slots of time, so neither side meets in whole.
@@ -58,7 +65,7 @@ def tool_uses(events: DataFrame, bucket_ns: int = 10_000_000_000, timeout_ms: in
     keys = ["session_id", "tool_use_id", "tool_name", "tool_input", "pid", "comm", "start_ns"]
     met = met.groupBy(*keys).agg(F.min(F.struct("end_ns", "result_summary")).alias("r")).select(*keys, "r.end_ns", "r.result_summary")
     late = F.col("end_ns").isNull() | (F.col("end_ns") - F.col("start_ns") > timeout_ms * 1_000_000)
-    met = met.withColumn("status", F.when(late, "timeout").otherwise("success")).withColumn("until", F.when(late, F.col("start_ns") + timeout_ms * 1_000_000).otherwise(F.col("end_ns")))
+    met = met.withColumn("status", F.when(late, "timeout").otherwise("success")).withColumn("result_summary", F.when(~late, F.col("result_summary"))).withColumn("until", F.when(late, F.col("start_ns") + timeout_ms * 1_000_000).otherwise(F.col("end_ns")))
     slot = lambda c: F.floor(F.col(c) / bucket_ns)
     a = activities(events).withColumn("slot", F.floor(F.col("activity.timestamp_ns") / bucket_ns)).withColumnRenamed("session_id", "s3")
     open_slots = met.select("session_id", "tool_use_id", "start_ns", "until", F.explode(F.sequence(slot("start_ns"), slot("until"))).alias("slot2"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -15,10 +14,10 @@ from traceloom.operators.http import parse_http, remove_auth
 from traceloom.operators.spans import spans
 from traceloom.operators.sse import merge_sse
 from traceloom.plans import api, views
-from traceloom.queries import BASE, FIRST, query
+from traceloom.queries import BASE, FIRST, SQL, query
 from traceloom.sources import adapter, logs, traffic
 from traceloom.store import new_path
-from traceloom.streaming import sink, stateful
+from traceloom.streaming import ordered, sink
 
 # --- SQL of the traffic -------------------------------------------------------------------------------------------
 
@@ -405,19 +404,6 @@ def app_log(spark, sf):
     return logs.app_log(c.select(line.alias("value"))).select(F.col("time").cast("timestamp_ntz").alias("time"), "level", "message")
 
 
-@query("""SELECT 2 * i + 1 + a AS seq, CASE WHEN a = 1 THEN 'response' ELSE 'request' END AS message_type, CASE WHEN a = 0 THEN '/item/' || i END AS path, CASE WHEN a = 1 THEN 200 END AS status FROM range(7) r(i), range(2) s(a)""")
-def made_up_events(spark, sf):
-    v = P.parsed()
-    rows = parse_http(logs.synthetic(spark, 7))
-    return rows.select(F.col("stream_seq").alias("seq"), P.text(v, "$.message_type").alias("message_type"), P.text(v, "$.path").alias("path"), P.integer(v, "$.status_code", "int").alias("status"))
-
-
-@query("""SELECT * FROM (VALUES ('sensitive_file_access', 'high', 'events_process', 1001, 4242, TIMESTAMP '2024-01-01 11:57:00'), ('dangerous_command', 'medium', 'events_process', 1002, 4243, TIMESTAMP '2024-01-01 11:58:00'), ('suspicious_network', 'low', 'events_ssl', 1003, 4244, TIMESTAMP '2024-01-01 11:59:00')) t(alert_type, risk_level, source_table, source_event_id, pid, event_time)""")
-def demo_alerts(spark, sf):
-    rows = project.typed(logs.demo_alerts(spark, datetime(2024, 1, 1, 12)), "events_security")
-    return rows.select("alert_type", "risk_level", "source_table", F.col("source_event_id").cast("int").alias("source_event_id"), F.col("pid").cast("int").alias("pid"), "event_time")
-
-
 @query(TRAFFIC + "SELECT own_seq AS seq, CASE WHEN role = 'user' AND own_seq > seq THEN 'HEX:' || lower(hex(encode('plain ' || m || chr(1)))) END AS text FROM ssl")
 def log_lines(spark, sf):
     """Payloads that hold a control character are written as HEX."""
@@ -445,16 +431,67 @@ def _as_stream(spark, df: DataFrame) -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
+def _ended(events: DataFrame) -> DataFrame:
+    """events and, a day after each session's last one, a row that ends it."""
+    last = events.groupBy("session_id").agg((F.max("timestamp_ns") + 86_400_000_000_000).alias("timestamp_ns"))
+    return events.unionByName(last.withColumns({"source": F.lit("control"), "data": F.lit("{}")}), allowMissingColumns=True)
+
+
+def _drained(made: DataFrame) -> DataFrame:
+    """What a stream gives, written batch by batch, and read back."""
+    spark = made.sparkSession
+    path = new_path(spark, "streamed")
+    made.limit(0).sparkSession.createDataFrame([], made.schema).write.parquet(f"{path}/batch=-1")
+    writer = made.writeStream.option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True)
+    writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch={i}")).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(path).select(*made.columns)
+
+
+ENDS = "source = 'control'"
+
+
 @query(TRAFFIC + "SELECT session_id, pid, comm, sse_connection_id, sse_duration_ns, sse_event_count, m AS text_content FROM sse")
 def streamed_messages(spark, sf):
-    """The messages of sse_table, from a stream: folds live in the state store."""
-    made = stateful.stream_sse(_as_stream(spark, traffic.envelopes(spark, sf))).where("source = 'sse_processor'")
-    name = f"messages_{uuid.uuid4().hex}"
-    made.writeStream.format("memory").queryName(name).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    rows = project.typed(spark.table(name), "events_sse")
+    """The messages of sse_table, from a stream that a control row ends."""
+    stream = _as_stream(spark, _ended(traffic.envelopes(spark, sf)))
+    rows = project.typed(_drained(ordered.stream_messages(stream, ends=F.expr(ENDS))), "events_sse")
     return rows.select("session_id", "pid", "comm", "sse_connection_id", "sse_duration_ns", "sse_event_count", F.get_json_object("data_json", "$.text_content").alias("text_content"))
 
 
+@query(SQL["track"])
+def streamed_tracking(spark, sf):
+    """`track` over a stream."""
+    stream = _as_stream(spark, _ended(adapter.envelopes(spark, sf).where("source = 'process'")))
+    return _drained(ordered.stream_track(stream, 2, ["c1"], ends=F.expr(ENDS))).select(F.col("stream_seq").alias("seq"))
+
+
+@query(SQL["process_opens"])
+def streamed_opens(spark, sf):
+    """`process_opens` over a stream."""
+    stream = _as_stream(spark, _ended(adapter.envelopes(spark, sf).where("source = 'process'")))
+    return _drained(ordered.stream_opens(stream, 7_200_000_000_000, ends=F.expr(ENDS)))
+
+
+@query(BASE + """, h AS (SELECT event_id, session_id, pid, event_type, timestamp_ns, timestamp_ns // 1000000000 AS second, coalesce(sum(CASE event_type WHEN 'EXIT' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, pid ORDER BY timestamp_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life
+    FROM proc WHERE event_type IN ('FILE_OPEN', 'EXIT')),
+  n AS (SELECT *, row_number() OVER (PARTITION BY session_id, pid, life, second ORDER BY timestamp_ns, event_id) AS n FROM h WHERE event_type = 'FILE_OPEN'),
+  c AS (SELECT session_id, pid, life, second, count(*) > 1 AS over_limit, lag(count(*) > 1) OVER (PARTITION BY session_id, pid, life ORDER BY second) AS before FROM n GROUP BY 1, 2, 3, 4)
+  SELECT n.event_id AS seq, n.n = 1 AND coalesce(c.before, FALSE) AS rate_limit_warning FROM n JOIN c USING (session_id, pid, life, second) WHERE n.n <= 1
+  UNION ALL SELECT h.event_id, coalesce((SELECT arg_max(c.over_limit, c.second) FROM c WHERE c.session_id = h.session_id AND c.pid = h.pid AND c.life = h.life), FALSE) FROM h WHERE h.event_type = 'EXIT'""")
+def streamed_limits(spark, sf):
+    """Opens under a limit of one a second and process, and EXITs, over a stream."""
+    stream = _as_stream(spark, _ended(adapter.envelopes(spark, sf).where("source = 'process'")))
+    return _drained(ordered.stream_limits(stream, 1, ends=F.expr(ENDS))).select(F.col("stream_seq").alias("seq"), "rate_limit_warning")
+
+
+@query(SQL["tool_uses"])
+def streamed_tool_calls(spark, sf):
+    """`tool_uses` over a stream, with what the system did meanwhile."""
+    stream = _as_stream(spark, _ended(parse_http(traffic.envelopes(spark, sf))))
+    found = _drained(ordered.stream_tool_calls(stream, ends=F.expr(ENDS)))
+    return found.select("session_id", "tool_use_id", "tool_name", "pid", "comm", "start_ns", "status", "duration_ms", "result_summary", F.coalesce(F.size("os_activities"), F.lit(0)).cast("long").alias("activities"))
+
+
 @query(BASE + "SELECT table_name, session_id, count(*) AS n FROM (SELECT 'events_process' AS table_name, session_id FROM proc UNION ALL SELECT 'events_tool_call', session_id FROM tool UNION ALL SELECT 'events_system', session_id FROM sys) GROUP BY 1, 2")
 def streamed_tables(spark, sf):
     """Typed tables written by a stream's micro-batches, and read back."""
@@ -474,6 +511,17 @@ def tool_span_runs(spark, sf):
     return found.select("session_id", "pid", "key_field", "start_ns", "end_ns", "calls", "reason", "duration_ms")
 
 
+@query(BASE.replace("WITH e AS", "WITH RECURSIVE e AS") + """, o AS (SELECT session_id, pid, filepath, timestamp_ns AS ts, row_number() OVER (PARTITION BY session_id, pid, filepath ORDER BY timestamp_ns, event_id) AS n FROM proc WHERE event_type = 'FILE_OPEN'),
+  f AS (SELECT *, ts AS start_ns, 0 AS cut FROM o WHERE n = 1 UNION ALL SELECT o.*, CASE WHEN o.ts - f.ts > 864000000000000 OR o.ts > f.start_ns + 1296000000000000 THEN o.ts ELSE f.start_ns END, CASE WHEN o.ts - f.ts > 864000000000000 THEN 1 WHEN o.ts > f.start_ns + 1296000000000000 THEN 2 ELSE 0 END
+    FROM f JOIN o ON o.session_id = f.session_id AND o.pid = f.pid AND o.filepath = f.filepath AND o.n = f.n + 1),
+  s AS (SELECT session_id, pid, filepath, start_ns, max(ts) AS end_ns, count(*) AS calls, max(cut) AS cut, max(n) AS n FROM f GROUP BY 1, 2, 3, 4)
+  SELECT session_id, pid, filepath AS key_field, start_ns, end_ns, calls, CASE lead(cut) OVER (PARTITION BY session_id, pid, filepath ORDER BY n) WHEN 1 THEN 'idle_gap' WHEN 2 THEN 'max_span' ELSE 'flush' END AS reason FROM s""")
+def tool_span_splits(spark, sf):
+    """Spans that last too long are split: pauses of ten days and spans of fifteen here, as these events are rare."""
+    found = spans(adapter.envelopes(spark, sf), idle_ns=864_000_000_000_000, most_ns=1_296_000_000_000_000).where("tool_name = 'fs.read'")
+    return found.select("session_id", "pid", "key_field", "start_ns", "end_ns", "calls", "reason")
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------
 
 
