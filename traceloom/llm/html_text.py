@@ -22,9 +22,11 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Words of these that hardly ever name what holds an article: it is theirs only where the page has no other text.
+SURE = frozenset("comment comments commentlist respond reply replies disqus cookie cookies consent gdpr newsletter breadcrumb breadcrumbs crumbs pagination pager adsense advertisement".split())
 #: Elements that are no article text; a header inside an article is its heading and stays.
-OUT = frozenset("head nav footer aside form button select option datalist dialog menu svg canvas object audio video".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+OUT = frozenset("head nav footer aside button select option datalist dialog menu svg canvas object audio video".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
 #: Words of class and id names that tell menus, headers, footers, sidebars, notices, adverts, forms and comments.
 WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion promoted nav navbar navigation navi menu menubar breadcrumb breadcrumbs crumbs"
@@ -33,6 +35,8 @@ WORDS = frozenset(
     " recommended recommendations toolbar pagination pager skip".split()
 )
 CONTENT = frozenset("article main".split())
+#: A page's article has this much text at least, where that of an element in doubt is held against it.
+SOME = 80
 #: Before or after such a word (no-sidebar, comments-open) a class name tells the layout or state of a page, not what its element is.
 BEFORE, AFTER = frozenset("no not has have with without hide show is".split()), frozenset("open closed enabled disabled".split())
 #: With such a word, a wrapper (content-sidebar-wrap) holds the article too, and a header (post-header) its heading.
@@ -42,6 +46,8 @@ WRAP = frozenset("wrap wrapper layout container".split())
 BODY = re.compile(r"\b(?:article|body|content|entry|main|post|story|text)\b")
 #: An open element of the key ends where one of the values begins.
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "option": frozenset(["option"])}
+CLOSES = {tag: [k for k, by in CLOSED_BY.items() if tag in by] for tag in BLOCK | {"option"}}
+LEAVES = frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table ul ol dl blockquote figure figcaption".split())
 SCOPE = frozenset("table ul ol dl div article section main body aside nav footer header form blockquote td th".split())
 
 
@@ -58,10 +64,14 @@ class Node:
     links: int = 0
     kept: int = 0
     hard: bool = False  # out by its tag or role, or below such an element
-    soft: bool = False  # has a class or id word of WORDS
-    freed: bool = False  # holds the main element or most of the text, as an article
+    soft: bool = False  # a form, or has a class or id word of WORDS
+    sure: bool = False  # has one of SURE
+    freed: bool = False  # holds the main element or most of the text
     name: str = ""  # tag and generalised classes
     holder: Node | None = None  # the block element at or above it
+    case: Node | None = None  # the element at or above it that is no mere part of a text
+    clean: int = 0  # characters that are no link, below no hard or soft element under it
+    story: int = 0  # those of them in an element that is named as an article
 
 
 @dataclass
@@ -93,14 +103,17 @@ def told(name: list[str]) -> set[str]:
 
 
 def settle(page: Page) -> None:
-    """Decides what is out: class words don't cut an element that holds main, or an article with most of the text;
-    if they would cut all text of the page, they cut none, and only lower the score."""
+    """Decides what is out. Class words and forms are doubts, not proofs: an element in doubt stays where the elements of its
+    name hold most of the page's text and little is left without them, so builders' containers, layouts and page-wide forms
+    stay, while long comments beside an article go. Elements that hold main, or an article with most of the text, stay.
+    If all text of the page would go, none does, and doubts only lower the score."""
     plain = sum(len(t) for t, n in page.blocks if not n.hard)
     for n in page.every:
         if n.tag == "main" or (n.tag == "article" and not n.soft and 2 * n.chars > plain):
             up = None if n.hard else n
             while up and not up.freed:
                 up.freed, up = True, up.parent
+    free(page)
     for n in page.every:
         n.out = n.hard or n.parent.out or (n.soft and not n.freed)
     if not kept_blocks(page):
@@ -113,14 +126,64 @@ def settle(page: Page) -> None:
         n.parent.kept += n.kept
 
 
+def free(page: Page) -> None:
+    """Frees elements in doubt, outer ones first, by what they hold and what is left without them."""
+    if not any(n.soft and not n.freed and not n.hard for n in page.every):
+        return
+    root = page.every[0]
+    while root.parent:
+        root = root.parent
+    whole: dict[int, int] = {}  # characters that are no link, of all below an element
+    for t, n in page.blocks:
+        if not n.hard:
+            own = len(t) * (n.chars - n.link_chars) // max(1, n.chars)
+            n.clean += own
+            whole[id(n)] = whole.get(id(n), 0) + own
+    for n in reversed(page.every):
+        whole[id(n.parent)] = whole.get(id(n.parent), 0) + whole.get(id(n), 0)
+        n.story = n.clean if n.tag in CONTENT or BODY.search(n.name) else n.story
+        if not n.hard and (n.freed or not n.soft):
+            n.parent.clean += n.clean
+            n.parent.story += n.story
+    total = whole.get(id(root), 0)
+    held: dict[str, int] = {}  # by name, of the outermost elements of that name
+    open_: dict[str, int] = {}
+    way: list[Node] = []
+    for n in page.every:
+        while way and way[-1] is not n.parent:
+            open_[way.pop().name] -= 1
+        if not open_.get(n.name):
+            held[n.name] = held.get(n.name, 0) + whole.get(id(n), 0)
+        open_[n.name] = open_.get(n.name, 0) + 1
+        way.append(n)
+    # what lies outside of an element in doubt: its own page, and what the elements around it that were freed hold
+    around: dict[int, tuple[int, int]] = {id(root): (root.clean, root.story)}
+    shut: set[int] = set()
+    for n in page.every:
+        if n.hard or id(n.parent) in shut:
+            shut.add(id(n))
+            continue
+        clean, story = around[id(n.parent)]
+        around[id(n)] = (clean, story)
+        if n.soft and not n.freed:
+            left = clean > 0 if n.sure else story >= SOME or 4 * clean > total
+            if 2 * held[n.name] > total and not left:
+                n.freed = True
+                around[id(n)] = (clean + n.clean, story + n.story)
+            else:
+                shut.add(id(n))
+
+
 def parse(html: str) -> Page:
     """Blocks of text in page order, each with the element that holds it; markup, scripts and comments are gone."""
     page = Page()
     root = Node("", "", None, False, False)
     stack, text, linked, at = [root], [], [0], 0
     links = 0
+    places: dict[str, list[int]] = {}  # of the open elements of a tag on the stack
+    scopes = [0]
 
-    root.holder = root
+    root.holder = root.case = root
 
     def end_block() -> None:
         block = " ".join("".join(text).split())
@@ -134,8 +197,12 @@ def parse(html: str) -> Page:
 
     def close(i: int) -> None:
         nonlocal links
-        links -= sum(n.tag == "a" for n in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            tag = stack.pop().tag
+            places[tag].pop()
+            links -= tag == "a"
+            if tag in SCOPE:
+                scopes.pop()
 
     while at < len(html):
         m = TOKEN.search(html, at)
@@ -154,12 +221,8 @@ def parse(html: str) -> Page:
         if tag in BLOCK:
             end_block()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag not in SCOPE and stack[i].tag in SCOPE:
-                    break
+            if places.get(tag) and (tag in SCOPE or places[tag][-1] > scopes[-1]):
+                close(places[tag][-1])
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -170,18 +233,15 @@ def parse(html: str) -> Page:
         if tag in VOID:
             text.append(" ")
             continue
-        if tag in BLOCK or tag == "option":
-            for i in range(len(stack) - 1, 0, -1):
-                if tag in CLOSED_BY.get(stack[i].tag, ()):
-                    close(i)
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+        if tag in CLOSES:
+            last = max((places[k][-1] for k in CLOSES[tag] if places.get(k)), default=0)
+            if last and last >= scopes[-1]:
+                close(last)
         up = stack[-1]
         classes, words, role = names(m[3]) if "=" in m[3] else ([], set(), "")
         inside = up.inside or tag in CONTENT or role in ("main", "article")
         hard = up.hard or tag in OUT or (tag == "header" and not up.inside) or role in ROLES
-        soft = tag not in ("html", "body", "main") and bool(words & WORDS)
+        soft = tag not in ("html", "body", "main") and (bool(words & WORDS) or tag == "form" or role == "form")
         out = up.out or hard or soft
         name = ".".join([tag, *classes])
         held = tag in BLOCK or out != up.out
@@ -189,13 +249,17 @@ def parse(html: str) -> Page:
         path = hashlib.blake2b(f"{up.holder.path}>{name}".encode(errors="surrogatepass"), digest_size=8).hexdigest() if held else up.path
         node = Node(tag, path, up, out, inside, name=name)
         node.holder = node if tag in BLOCK else up.holder
-        node.hard, node.soft = hard, soft
+        node.case = up.case if tag in LEAVES else node
+        node.hard, node.soft, node.sure = hard, soft, bool(words & SURE)
         page.every.append(node)
         if tag == "a":
             links += 1
             node.links = 1
         if not m[3].endswith("/") or tag in BLOCK:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
+            if tag in SCOPE:
+                scopes.append(len(stack) - 1)
     end_block()
     for n in reversed(page.every):  # children come after their parents
         n.parent.chars += n.chars
@@ -209,16 +273,11 @@ def kept_blocks(page: Page) -> list[tuple[str, Node]]:
     return [(t, n) for t, n in page.blocks if not n.out]
 
 
-LEAVES = frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table ul ol dl blockquote figure figcaption".split())
-
-
 def best_container(page: Page) -> tuple[str, float] | None:
     """Path and score of the element that holds most text: a block counts for its container, and half for the one above."""
     best = None
     for t, n in kept_blocks(page):
-        own = n
-        while own.parent and own.tag in LEAVES:
-            own = own.parent
+        own = n.case
         plain = len(t) * (1 - n.link_chars / max(1, n.chars)) * (0.1 if n.soft and not n.freed else 1)
         for share in (1.0, 0.5):
             own.score += plain * share
