@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.llm import codebooks, hard_negatives, quality
+from traceloom.llm import ann, codebooks, hard_negatives, quality
 
 VECTOR = "vec_id long, embedding array<double>, label int"
 
@@ -271,3 +271,47 @@ def test_codes_of_huge_numbers_and_none(spark):
     got = codebooks.encode_vectors(spark.createDataFrame(rows, VECTOR), parts=2, entries=1).collect()
     assert len(got) == 3 and max(r["error"] for r in got) == max(r["label_error"] for r in got) == (1 << 63) - 1
     assert codebooks.encode_vectors(spark.createDataFrame([], VECTOR)).collect() == []
+
+
+# --- op6 at the size of its own index -------------------------------------------------------------------------------
+
+
+def full_index(dim, lists=1024, parts=256):
+    rng = np.random.default_rng(1)
+    return ann.Index(np.eye(dim), ann.unit(rng.normal(size=(lists, dim))), rng.normal(size=(parts, dim)) * 0.1, 8, np.arange(4), rng.normal(size=(4, dim)), np.zeros(4, np.int64)), rng
+
+
+def test_cells_in_order_are_those_of_plain_distances():
+    index, rng = full_index(12, 30, 7)
+    x = ann.unit(rng.normal(size=(50, 12)))
+    centres = (index.centroids[:, None] + index.residuals[None]).reshape(-1, 12)
+    far = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+    assert np.array_equal(index.order(x, 9), np.argsort(far, axis=1, kind="stable")[:, :9])
+    cells = rng.integers(len(centres), size=(50, 5))
+    assert np.array_equal(index.places(x, cells), np.take_along_axis(np.argsort(np.argsort(far, axis=1), axis=1), cells, 1))
+
+
+def test_full_index_fits_in_bounded_memory():
+    """1024 lists of 256 parts at 768 dimensions: ordering cells and finding the number of probes."""
+    import tracemalloc
+
+    index, rng = full_index(768)
+    x = ann.unit(rng.normal(size=(64, 768)))
+    tracemalloc.start()
+    assert index.order(x, 8).shape == (64, 8)
+    assert index.places(x[:16], rng.integers(1024 * 256, size=(16, 5))).shape == (16, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20
+
+
+def test_fit_takes_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2048, 768))
+    tracemalloc.start()
+    index = ann.fit(np.arange(2048), x, 1024, 256, 5, 0.97, 1, rounds=2, trials=100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 1 <= index.probes <= 1024 * 256 and peak < 300 << 20

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,33 @@ class Index:
         near = 2 * rest @ self.residuals.T - (self.residuals**2).sum(axis=1)
         return own * len(self.residuals) + near.argmax(axis=1)
 
+    @cached_property
+    def norms(self) -> np.ndarray:
+        """Squared lengths of all centres: |c|^2 + |r|^2 + 2 c.r, one number a cell."""
+        own = (self.centroids**2).sum(axis=1)[:, None] + (self.residuals**2).sum(axis=1)[None]
+        return own + 2 * self.centroids @ self.residuals.T
+
+    def distances(self, x: np.ndarray, cells: int = 1 << 21) -> Iterator[tuple[int, np.ndarray]]:
+        """First row and distances to all centres (but for the rows' own lengths), for as many rows at a time as make about `cells` numbers."""
+        step = max(1, cells // self.norms.size)
+        for lo in range(0, len(x), step):
+            some = x[lo : lo + step]
+            yield lo, (self.norms[None] - 2 * (some @ self.centroids.T)[:, :, None] - 2 * (some @ self.residuals.T)[:, None, :]).reshape(len(some), -1)
+
     def order(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n cells of nearest centre, nearest first."""
-        norm = ((self.centroids[:, None] + self.residuals[None]) ** 2).sum(axis=2)
-        out = np.empty((len(x), min(n, norm.size)), np.int64)
-        for lo in range(0, len(x), 256):
-            some = x[lo : lo + 256]
-            far = (norm[None] - 2 * (some @ self.centroids.T)[:, :, None] - 2 * (some @ self.residuals.T)[:, None, :]).reshape(len(some), -1)
+        out = np.empty((len(x), min(n, self.norms.size)), np.int64)
+        for lo, far in self.distances(x):
             first = np.argpartition(far, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
-            out[lo : lo + 256] = np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, 1), axis=1, kind="stable"), 1)
+            out[lo : lo + len(far)] = np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, 1), axis=1, kind="stable"), 1)
+        return out
+
+    def places(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells are nearer to each row than those of its row of `cells`."""
+        out = np.empty(cells.shape, np.int64)
+        for lo, far in self.distances(x):
+            for i, row in enumerate(far, lo):
+                out[i] = np.searchsorted(np.sort(row), row[cells[i]])
         return out
 
 
@@ -95,9 +114,7 @@ def fit(ids: np.ndarray, x: np.ndarray, lists: int, parts: int, k: int, recall:
     near = x[asked] @ x.T
     near[np.arange(len(asked)), asked] = -2
     best = np.argsort(-near, axis=1)[:, : max(1, min(k, len(x) - 1))]
-    n = len(centroids) * len(residuals)
-    place = np.argsort(index.order(x[asked], n), axis=1)
-    needed = np.sort(np.take_along_axis(place, cells[best], axis=1).ravel()) + 1
+    needed = np.sort(index.places(x[asked], cells[best]).ravel()) + 1
     probes = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))])
     return Index(rotation, centroids, residuals, probes, ids, x, cells)
 
