@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +22,9 @@ MIX = U(0x9E3779B97F4A7C15)
 BASES = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 VALUES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) for seed in (101, 202)]
 
-FOUND = "kind int, part int, doc array<long>, th array<long>, x array<long>, y array<long>"
+FOUND = "kind int, part int, doc array<long>, th array<long>, x array<long>, y array<long>, z array<long>"
 COVERED, AROUND, ASKED = 1, 2, 3  # x to y is covered; all windows with the anchor at x are; compare the windows with the anchor at x, of hash y
+HOT = 4  # as ASKED, but its class may have more records: the surroundings are in z
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -120,12 +121,17 @@ def merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], begin[first], reached[last] - shift[first]
 
 
-def rows_of(kind: int, part: np.ndarray, doc: np.ndarray, th: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[dict]:
+def identity(text: bytes) -> int:
+    """What tells apart the texts that share an id: 64 bits."""
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def rows_of(kind: int, part: np.ndarray, doc: np.ndarray, th: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray = np.zeros(0, np.int64)) -> Iterator[dict]:
     order = np.lexsort((x, doc, part))
     cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
     for a, b in zip(cuts, cuts[1:], strict=False):
         at = order[a:b]
-        yield {"kind": kind, "part": int(part[at[0]]), "doc": doc[at], "th": th[at], "x": x[at], "y": y[at] if len(y) else y}
+        yield {"kind": kind, "part": int(part[at[0]]), "doc": doc[at], "th": th[at], "x": x[at], "y": y[at] if len(y) else y, "z": z[at] if len(z) else z}
 
 
 def table(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -133,7 +139,7 @@ def table(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
 
 
 LONGS = pa.list_(pa.int64())
-FOUND_FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("x", LONGS), ("y", LONGS)]
+FOUND_FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("x", LONGS), ("y", LONGS), ("z", LONGS)]
 
 
 def common_runs(data: np.ndarray, group: np.ndarray) -> Callable[[int], np.ndarray]:
@@ -157,7 +163,7 @@ def part_of(doc: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(mixed(doc.astype(U)) ^ th.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 2 << 20, part_bytes: int = 8 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 2 << 20, part_bytes: int = 8 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False, hot_rows: int = 1 << 20, look_at: int = 64, salts: int = 64, same_id: int = 4096) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
@@ -167,8 +173,11 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     suffixes at the anchors of a gram are merge sorted, and so is what stands before them, read backwards; each
     comparison finds the common extension by binary search over polynomial prefix hashes. The common lengths of
     neighbours, verified on the bytes, tell for each place of the anchor in its window which windows are copies. Classes are formed in each batch before the
-    shuffle, so a passage in any share of the documents stays one record a batch; a hot gram, with over `cap`
-    different surroundings, is split by its windows and aggregated by Spark.
+    shuffle, so a passage in any share of the documents stays one record a batch. Anchors meet in buckets of their grams;
+    the anchors of one document in `look_at` are counted first, and grams that would bring over `hot_rows` anchors
+    together are dealt by their surroundings and one of `salts` salts instead, and meet again as the classes that are
+    left. A gram with over `cap` different surroundings is split by its windows and aggregated by Spark. Rows that repeat
+    an id over `same_id` times are worked on once for each different text, and get its result by a join.
 
     Null texts count as empty; texts shorter than a window stay whole. Rows with a null id keep their text and
     take part in nothing; rows with one id are one document for "smaller" and each gets its own result; the
@@ -182,6 +191,22 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         held = slim.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // part_bytes))
     buckets = 2 * parts  # of anchors; a bucket sends each part a few rows at most
+    often = write_table(slim.groupBy(F.col("id").alias("__o")).count().where(F.col("count") > same_id).select("__o"), "repeated-ids")
+    if not often.isEmpty():
+        return _repeated(docs, often, id_column, text, lambda d: drop_repeats(d, id_column, text, window, gram, parts, batch_bytes, part_bytes, cap, block, as_text, hot_rows, look_at, salts, 1 << 62))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "t", batch_bytes // 8):
+                raw = [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
+                for _, _, h, _ in anchors_of(raw, window, gram):
+                    some, n = np.unique(h.view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], names=["h", "n"])
+
+    few_docs = slim.where(F.pmod(F.xxhash64("id"), F.lit(look_at)) == 0)
+    counts = few_docs.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * look_at > hot_rows)
+    # at most one gram for each hot_rows anchors of the table
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in counts.select("h").collect()], np.int64).view(U)))
 
     def alike(raw: list[bytes], doc: np.ndarray, at: np.ndarray, doc2: np.ndarray, at2: np.ndarray) -> np.ndarray:
         """Whether the surroundings of each pair of anchors are the same, on the bytes."""
@@ -203,7 +228,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         def made() -> list[pa.RecordBatch]:
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             own, raw = np.array(ids, np.int64)[order], [texts[i] for i in order]
-            th = np.array([zlib.crc32(t) for t in raw], np.int64)
+            th = np.array([identity(t) for t in raw], np.int64)
             found = list(anchors_of(raw, window, gram)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))]
             doc, at, h, around = (np.concatenate(c) for c in zip(*found, strict=True))
             both = mixed(h) ^ around
@@ -216,15 +241,18 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             known[some[~alike(raw, doc[some], at[some], doc[of], at[of])]] = False  # a collision is no copy
             by = np.lexsort((at[known], doc[known]))
             d, lo, hi = merged(doc[known][by], np.maximum(at[known][by] - reach, 0), at[known][by] + window)
-            rows = [r | {"bucket": r["part"]} for r in rows_of(COVERED, part_of(own[d], th[d], parts), own[d], th[d], lo, hi)]
+            rows = [r | {"bucket": r["part"], "salt": 0} for r in rows_of(COVERED, part_of(own[d], th[d], parts), own[d], th[d], lo, hi)]
             doc, at, h, around = doc[~known], at[~known], h[~known], around[~known]
-            bucket = (h >> U(1)) % U(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.append(np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1)), len(order))
+            is_hot = np.isin(h, hot.value)
+            bucket = np.where(is_hot, mixed(h ^ around), h >> U(1)) % U(buckets)
+            # hot grams go by themselves, and a batch to one salt
+            lot = np.where(is_hot, 1 + int(mixed(np.array([th.sum()]).astype(U))[0] % U(salts)), 0)
+            order = np.lexsort((doc, lot, bucket))
+            cuts = np.append(np.flatnonzero((np.diff(bucket[order].astype(np.int64), prepend=-1) != 0) | (np.diff(lot[order], prepend=-1) != 0)), len(order))
             for a, b in zip(cuts, cuts[1:], strict=False):
                 some = order[a:b]
                 first = np.flatnonzero(np.diff(doc[some], prepend=-1))
-                rows.append({"kind": 0, "bucket": int(bucket[some[0]]), "doc": own[doc[some[first]]], "th": th[doc[some[first]]], "n": np.diff(np.append(first, len(some))), "x": at[some], "y": h[some].view(np.int64), "z": around[some].view(np.int64)})
+                rows.append({"kind": 0, "bucket": int(bucket[some[0]]), "salt": int(lot[some[0]]), "doc": own[doc[some[first]]], "th": th[doc[some[first]]], "n": np.diff(np.append(first, len(some))), "x": at[some], "y": h[some].view(np.int64), "z": around[some].view(np.int64)})
             return table(rows, SAMPLE_FIELDS).to_batches()
 
         for whole in batches:
@@ -238,22 +266,23 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         if ids:
             yield from made()
 
-    sample_schema = "bucket int, kind int, part int, doc array<long>, th array<long>, n array<int>, x array<int>, y array<long>, z array<long>"
-    SAMPLE_FIELDS = [("bucket", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("n", pa.list_(pa.int32())), ("x", pa.list_(pa.int32())), ("y", LONGS), ("z", LONGS)]
+    sample_schema = "bucket int, salt int, kind int, part int, doc array<long>, th array<long>, n array<int>, x array<int>, y array<long>, z array<long>"
+    SAMPLE_FIELDS = [("bucket", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("n", pa.list_(pa.int32())), ("x", pa.list_(pa.int32())), ("y", LONGS), ("z", LONGS)]
 
     def meet(group: pa.Table) -> pa.Table:
         known = group.filter(pa.compute.not_equal(group.column("kind"), 0))
         rows = [{k: v for k, v in r.items() if k in ("kind", "part", "doc", "th", "x", "y")} for r in known.to_pylist()]
         group = group.filter(pa.compute.equal(group.column("kind"), 0))
+        salted = group.num_rows > 0 and group.column("salt")[0].as_py() > 0
         if group.num_rows:
             flat = lambda c: np.concatenate([x.values.to_numpy() for x in group.column(c)])
             n = flat("n")
             doc, th, at, h, around = np.repeat(flat("doc"), n), np.repeat(flat("th"), n), flat("x"), flat("y"), flat("z")
-            # only grams of at least two documents matter
             order = np.argsort(h, kind="stable")
-            run = np.cumsum(np.diff(h[order], prepend=h[order[0]] - 1) != 0) - 1
-            count = np.bincount(run)
-            order = order[count[run] > 1]
+            if not salted:  # only grams of at least two documents matter
+                run = np.cumsum(np.diff(h[order], prepend=h[order[0]] - 1) != 0) - 1
+                count = np.bincount(run)
+                order = order[count[run] > 1]
             order = order[np.lexsort((doc[order], around[order], h[order]))]
             if len(order):
                 doc, th, at, h, around = doc[order], th[order], at[order].astype(np.int64), h[order], around[order]
@@ -262,7 +291,10 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 later = doc > doc[leader]
                 rows += rows_of(AROUND, part_of(doc[later], th[later], parts), doc[later], th[later], at[later], np.zeros(0, np.int64))
                 keep = ~later
-                doc, th, at, h = doc[keep], th[keep], at[keep], h[keep]
+                doc, th, at, h, around = doc[keep], th[keep], at[keep], h[keep], around[keep]
+                if salted:  # the leaders of this salt
+                    rows += rows_of(HOT, ((mixed(h.view(U) ^ around.view(U)) % U(buckets)).astype(np.int64)), doc, th, at, h, around)
+                    return table(rows, FOUND_FIELDS)
                 run = np.cumsum(np.diff(h, prepend=h[0] - 1) != 0) - 1
                 start = np.flatnonzero(np.diff(run, prepend=-1))
                 several = (np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start))[run]
@@ -270,13 +302,29 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         give_back()
         return table(rows, FOUND_FIELDS)
 
-    found = write_table(slim.mapInArrow(sample, sample_schema).groupBy("bucket").applyInArrow(meet, FOUND), "repeats")
+    def again(group: pa.Table) -> pa.Table:
+        """The leaders of all salts: the smallest document of a class is asked, the others are marked."""
+        doc, th, at, h, around = (np.concatenate([v.values.to_numpy() for v in group.column(c)]) for c in ("doc", "th", "x", "y", "z"))
+        order = np.lexsort((doc, around, h))
+        doc, th, at, h, around = doc[order], th[order], at[order], h[order], around[order]
+        first = np.append(True, (np.diff(h) != 0) | (np.diff(around) != 0))
+        leader = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        later = doc > doc[leader]
+        rows = list(rows_of(AROUND, part_of(doc[later], th[later], parts), doc[later], th[later], at[later], np.zeros(0, np.int64)))
+        rows += rows_of(ASKED, part_of(doc[~later], th[~later], parts), doc[~later], th[~later], at[~later], h[~later])
+        return table(rows, FOUND_FIELDS)
+
+    found = write_table(slim.mapInArrow(sample, sample_schema).groupBy("bucket", "salt").applyInArrow(meet, FOUND), "repeats")
+    if len(hot.value):
+        left = write_table(found.where(F.col("kind") == HOT).groupBy("part").applyInArrow(again, FOUND), "repeats-of-hot-grams")
+        found = found.where(F.col("kind") != HOT).unionByName(left)
+
     def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if "th" in batch.schema.names:
                 th = batch.column("th").to_numpy()
             else:
-                th = np.array([zlib.crc32(t or b"") for t in batch.column("__t").cast(pa.binary()).to_pylist()], np.int64)
+                th = np.array([identity(t or b"") for t in batch.column("__t").cast(pa.binary()).to_pylist()], np.int64)
             own = part_of(batch.column("__id").to_numpy(), th, parts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*batch.schema.names, "__part"])
 
@@ -292,7 +340,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             spans = {(int(doc[by[a]]), int(th[by[a]])): by[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
             done = set()
             for d, t in zip(texts.column("__id").to_pylist(), texts.column("__t").cast(pa.binary()).to_pylist(), strict=True):
-                if t is None or (key := (d, zlib.crc32(t))) in done or key not in spans:
+                if t is None or (key := (d, identity(t))) in done or key not in spans:
                     continue
                 done.add(key)
                 for i in spans[key]:
@@ -361,8 +409,10 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     bucket = F.pmod("h", F.lit(buckets)).cast("int").alias("bucket")
     few = near.join(many, "h", "left_anti").select(bucket, "h", "doc", "th", "at", "lead", "ctx").groupBy("bucket").applyInArrow(compare, FOUND)
     wide = near.join(many, "h", "left_semi").select("h", "doc", "th", "at", "lead", "ctx").mapInArrow(expand, "w binary, doc long, th long, x long")
-    wide = wide.join(wide.groupBy("w").agg(F.min("doc").alias("m")), "w").where("doc > m").withColumn("__id", F.col("doc"))
-    wide = dealt(wide).select(F.lit(COVERED).alias("kind"), F.col("__part").alias("part"), F.array("doc").alias("doc"), F.array("th").alias("th"), F.array("x").alias("x"), F.array(F.col("x") + window).alias("y"))
+    # a table, so that a window of most rows meets its smallest document in a join that Spark can split
+    firsts = write_table(wide.groupBy("w").agg(F.min("doc").alias("m"), F.max("doc").alias("last")).where("m < last").select("w", "m"), "first-windows")
+    wide = wide.join(firsts, "w").where("doc > m").withColumn("__id", F.col("doc"))
+    wide = dealt(wide).select(F.lit(COVERED).alias("kind"), F.col("__part").alias("part"), F.array("doc").alias("doc"), F.array("th").alias("th"), F.array("x").alias("x"), F.array(F.col("x") + window).alias("y"), F.array().cast("array<bigint>").alias("z"))
     covered = write_table(few.unionByName(wide), "covered")
     marks = found.where(F.col("kind") != ASKED).unionByName(covered).select("kind", F.col("part").alias("__part"), "doc", "th", "x", "y")
 
@@ -390,7 +440,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         for d, t in zip(texts.column("__id").to_pylist(), texts.column("__t").cast(pa.binary()).to_pylist(), strict=True):
             t = t or b""
             kept, n_spans = t, 0
-            if d is not None and (own := spans.get((d, zlib.crc32(t)))):
+            if d is not None and (own := spans.get((d, identity(t)))):
                 depth = np.bincount(own[0], minlength=len(t) + 1)[: len(t) + 1] - np.bincount(np.minimum(own[1], len(t)), minlength=len(t) + 1)
                 gone = np.cumsum(depth)[:-1] > 0
                 n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
@@ -411,6 +461,21 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return marked.unionByName(whole.where("__id IS NULL").mapInArrow(alone, out))
 
 
+def _repeated(docs: DataFrame, often: DataFrame, id_column: str, text: str, drop: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows whose ids repeat often: each different text of an id once, its result joined to all rows that hold it."""
+    of_id = F.col(id_column).cast("long") == F.col("__o")
+    many, rest = docs.join(often, of_id, "left_semi"), docs.join(often, of_id, "left_anti")
+    once = many.select(F.col(id_column).cast("long").alias(id_column), text).distinct()
+    slim = rest.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias(id_column), text)
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    done = write_table(drop(slim.unionByName(once)), "results-once")
+    own = [c for c in docs.columns if c.lower() not in made]
+    results = done.select(F.col(id_column).alias("__i"), F.xxhash64(text).alias("__h"), F.col(text).alias("__x"), *made).dropDuplicates(["__i", "__h", "__x"])
+    same = (F.col(id_column).cast("long") == F.col("__i")) & (F.xxhash64(text) == F.col("__h")) & F.col(text).eqNullSafe(F.col("__x"))
+    joined = docs.where(F.col(id_column).isNotNull()).select(*own).join(results, same).select(*own, *made)
+    return joined.unionByName(drop(docs.where(F.col(id_column).isNull())).select(*own, *made))
+
+
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
