@@ -613,7 +613,7 @@ def test_suffix_sort():
             assert broken or order.tolist() == want  # stable
 
 
-@pytest.mark.parametrize("options", [{}, {"cap": 0}, {"batch_bytes": 500, "parts": 3}, {"batch_bytes": 500, "block": 1}, {"hot_rows": 0, "look_at": 1, "salts": 3, "batch_bytes": 500}, {"hot_rows": 12, "look_at": 1, "batch_bytes": 300}, {"same_id": 1}, {"same_id": 2, "cap": 0}])
+@pytest.mark.parametrize("options", [{}, {"cap": 0}, {"batch_bytes": 500, "parts": 3}, {"batch_bytes": 500, "block": 1}, {"hot_rows": 0, "look_at": 1, "salts": 3, "batch_bytes": 500}, {"hot_rows": 12, "look_at": 1, "batch_bytes": 300}, {"same_id": 1}, {"same_id": 2, "cap": 0}, {"seed": -1, "batch_bytes": 300}, {"seed": 5}])
 def test_repeats(spark, options):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(30, 160))) for _ in range(12)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,9 @@ from traceloom.llm.suffixes import Suffixes
 
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
-#: Odd bases of the two hashes, and a value for each byte under each of them.
-BASES = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
-VALUES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) for seed in (101, 202)]
-
-FOUND = "kind int, part int, doc array<long>, th array<long>, x array<long>, y array<long>, z array<long>"
+FOUND = "kind int, part int, doc array<long>, th array<long>, x array<long>, y array<long>, z array<long>, w array<long>"
 COVERED, AROUND, ASKED = 1, 2, 3  # x to y is covered; all windows with the anchor at x are; compare the windows with the anchor at x, of hash y
+VERIFY = 5  # the bytes from x to y are those of the other row of key z
 HOT = 4  # as ASKED, but its class may have more records: the surroundings are in z
 
 
@@ -32,17 +30,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
+@lru_cache(maxsize=8)
+def family(which: int, seed: int) -> tuple[int, np.ndarray]:
+    """An odd base, and a value for each byte, of one of the two hashes; a seed below 0 makes the second one blind to bytes, for tests."""
+    rng = np.random.default_rng((which, abs(seed)))
+    base, values = int(rng.integers(1 << 32, 1 << 63)) * 2 + 1, rng.integers(1, 2**63, 256, dtype=np.uint64)
+    return base, np.ones(256, U) if which and seed < 0 else values
+
+
 class Prefix:
     """Polynomial hashes, modulo 2**64, of all ranges of a buffer."""
 
-    def __init__(self, data: np.ndarray, which: int):
-        base = np.full(len(data) + 1, BASES[which], U)
+    def __init__(self, data: np.ndarray, which: int, seed: int = 0):
+        odd, values = family(which, seed)
+        base = np.full(len(data) + 1, U(odd), U)
         base[0] = 1
-        inverse = np.full(len(data) + 1, U(pow(int(BASES[which]), -1, 2**64)), U)
+        inverse = np.full(len(data) + 1, U(pow(odd, -1, 2**64)), U)
         inverse[0] = 1
         self.down = np.multiply.accumulate(inverse)
         self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(VALUES[which][data] * np.multiply.accumulate(base)[:-1], out=self.sums[1:])
+        np.cumsum(values[data] * np.multiply.accumulate(base)[:-1], out=self.sums[1:])
 
     def of(self, begin: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[begin]) * self.down[begin])
@@ -74,7 +81,7 @@ def sampled(ends: np.ndarray, prefix: Prefix, size: int, window: int, gram: int)
     return at, value[at]
 
 
-def anchors_of(texts: list[bytes], window: int, gram: int, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def anchors_of(texts: list[bytes], window: int, gram: int, chunk: int = 1 << 18, seed: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Document, place, gram hash and hash of the surroundings of each anchor, some documents at a time; longer texts come in overlapping pieces."""
     reach = window - gram
     group, held = [], 0
@@ -94,7 +101,7 @@ def anchors_of(texts: list[bytes], window: int, gram: int, chunk: int = 1 << 18)
         data = np.frombuffer(b"".join(p[2] for p in group), np.uint8)
         sizes = np.array([len(p[2]) for p in group])
         end = np.cumsum(sizes)
-        one, two = Prefix(data, 0), Prefix(data, 1)
+        one, two = Prefix(data, 0, seed), Prefix(data, 1, seed)
         at, h = sampled(np.repeat(end, sizes), one, len(data), window, gram)
         own = np.searchsorted(end, at, side="right")
         begin = (end - sizes)[own]
@@ -126,12 +133,12 @@ def identity(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def rows_of(kind: int, part: np.ndarray, doc: np.ndarray, th: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray = np.zeros(0, np.int64)) -> Iterator[dict]:
+def rows_of(kind: int, part: np.ndarray, doc: np.ndarray, th: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray = np.zeros(0, np.int64), w: np.ndarray = np.zeros(0, np.int64)) -> Iterator[dict]:
     order = np.lexsort((x, doc, part))
     cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
     for a, b in zip(cuts, cuts[1:], strict=False):
         at = order[a:b]
-        yield {"kind": kind, "part": int(part[at[0]]), "doc": doc[at], "th": th[at], "x": x[at], "y": y[at] if len(y) else y, "z": z[at] if len(z) else z}
+        yield {"kind": kind, "part": int(part[at[0]]), "doc": doc[at], "th": th[at], "x": x[at], "y": y[at] if len(y) else y, "z": z[at] if len(z) else z, "w": w[at] if len(w) else w}
 
 
 def table(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -139,7 +146,7 @@ def table(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
 
 
 LONGS = pa.list_(pa.int64())
-FOUND_FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("x", LONGS), ("y", LONGS), ("z", LONGS)]
+FOUND_FIELDS = [("kind", pa.int32()), ("part", pa.int32()), ("doc", LONGS), ("th", LONGS), ("x", LONGS), ("y", LONGS), ("z", LONGS), ("w", LONGS)]
 
 
 def common_runs(data: np.ndarray, group: np.ndarray) -> Callable[[int], np.ndarray]:
@@ -163,13 +170,14 @@ def part_of(doc: np.ndarray, th: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(mixed(doc.astype(U)) ^ th.astype(U)) % U(parts)).astype(np.int64)
 
 
-def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 2 << 20, part_bytes: int = 8 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False, hot_rows: int = 1 << 20, look_at: int = 64, salts: int = 64, same_id: int = 4096) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", window: int = 50, gram: int = 20, parts: int | None = None, batch_bytes: int = 2 << 20, part_bytes: int = 8 << 20, cap: int = 4096, block: int = 8192, as_text: bool = False, hot_rows: int = 1 << 20, look_at: int = 64, salts: int = 64, same_id: int = 4096, seed: int = 0) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay).
 
     A byte goes if a `window`-byte string that covers it also starts in a document of smaller id. Each window
     has an anchor, the place of its smallest gram hash, so its copies meet at the hash of that gram:
-    anchors equal in gram and surroundings (two independent hashes, 128 bits; verified on the bytes within a
-    batch) have all their windows in common, and only the smallest document of each such class goes on: the
+    anchors equal in gram and surroundings (two 64-bit hashes) have all their windows in common, which is verified: in a
+    batch on the bytes, across batches by 128-bit digests of the whole run of bytes that neighbouring anchors share with
+    one document, and if any differ, all is done anew with other hashes. Only the smallest document of each such class goes on: the
     suffixes at the anchors of a gram are merge sorted, and so is what stands before them, read backwards; each
     comparison finds the common extension by binary search over polynomial prefix hashes. The common lengths of
     neighbours, verified on the bytes, tell for each place of the anchor in its window which windows are copies. Classes are formed in each batch before the
@@ -193,13 +201,13 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     buckets = 2 * parts  # of anchors; a bucket sends each part a few rows at most
     often = write_table(slim.groupBy(F.col("id").alias("__o")).count().where(F.col("count") > same_id).select("__o"), "repeated-ids")
     if not often.isEmpty():
-        return _repeated(docs, often, id_column, text, lambda d: drop_repeats(d, id_column, text, window, gram, parts, batch_bytes, part_bytes, cap, block, as_text, hot_rows, look_at, salts, 1 << 62))
+        return _repeated(docs, often, id_column, text, lambda d: drop_repeats(d, id_column, text, window, gram, parts, batch_bytes, part_bytes, cap, block, as_text, hot_rows, look_at, salts, 1 << 62, seed))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "t", batch_bytes // 8):
                 raw = [t or b"" for t in batch.column("t").cast(pa.binary()).to_pylist()]
-                for _, _, h, _ in anchors_of(raw, window, gram):
+                for _, _, h, _ in anchors_of(raw, window, gram, seed=seed):
                     some, n = np.unique(h.view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], names=["h", "n"])
 
@@ -229,7 +237,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             own, raw = np.array(ids, np.int64)[order], [texts[i] for i in order]
             th = np.array([identity(t) for t in raw], np.int64)
-            found = list(anchors_of(raw, window, gram)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))]
+            found = list(anchors_of(raw, window, gram, seed=seed)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))]
             doc, at, h, around = (np.concatenate(c) for c in zip(*found, strict=True))
             both = mixed(h) ^ around
             order = np.argsort(both, kind="stable")  # documents are in order of id
@@ -289,7 +297,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 first = np.append(True, (np.diff(h) != 0) | (np.diff(around) != 0))
                 leader = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
                 later = doc > doc[leader]
-                rows += rows_of(AROUND, part_of(doc[later], th[later], parts), doc[later], th[later], at[later], np.zeros(0, np.int64))
+                of = leader[later]
+                rows += rows_of(AROUND, part_of(doc[later], th[later], parts), doc[later], th[later], at[later], doc[of], th[of], at[of])
                 keep = ~later
                 doc, th, at, h, around = doc[keep], th[keep], at[keep], h[keep], around[keep]
                 if salted:  # the leaders of this salt
@@ -310,7 +319,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         first = np.append(True, (np.diff(h) != 0) | (np.diff(around) != 0))
         leader = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
         later = doc > doc[leader]
-        rows = list(rows_of(AROUND, part_of(doc[later], th[later], parts), doc[later], th[later], at[later], np.zeros(0, np.int64)))
+        of = leader[later]
+        rows = list(rows_of(AROUND, part_of(doc[later], th[later], parts), doc[later], th[later], at[later], doc[of], th[of], at[of]))
         rows += rows_of(ASKED, part_of(doc[~later], th[~later], parts), doc[~later], th[~later], at[~later], h[~later])
         return table(rows, FOUND_FIELDS)
 
@@ -319,6 +329,24 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         left = write_table(found.where(F.col("kind") == HOT).groupBy("part").applyInArrow(again, FOUND), "repeats-of-hot-grams")
         found = found.where(F.col("kind") != HOT).unionByName(left)
 
+    def runs(group: pa.Table) -> pa.Table:
+        """Neighbouring anchors that share their surroundings with one document at one distance make a run; both its sides are to be digested."""
+        doc, th, at, doc2, th2, at2 = (np.concatenate([v.values.to_numpy() for v in group.column(c)]) for c in ("doc", "th", "x", "y", "z", "w"))
+        by = np.lexsort((at, at - at2, th2, doc2, th, doc))
+        doc, th, at, doc2, th2, at2 = (c[by] for c in (doc, th, at, doc2, th2, at2))
+        other = np.any([np.diff(c, prepend=c[:1] - 1) != 0 for c in (doc, th, doc2, th2, at - at2)], axis=0)
+        first = np.flatnonzero(other | (np.diff(at, prepend=at[:1]) > window))
+        last = np.append(first[1:], len(doc)) - 1
+        lo = np.maximum(at[first] - reach, 0)
+        lo2 = at2[first] - (at[first] - lo)
+        key = mixed(mixed(mixed(mixed(mixed(doc[first].astype(U)) ^ th[first].astype(U)) ^ lo.astype(U)) ^ doc2[first].astype(U)) ^ (lo2 + seed).astype(U)).view(np.int64)
+        rows = list(rows_of(VERIFY, part_of(doc[first], th[first], parts), doc[first], th[first], lo, at[last] + window, key))
+        rows += rows_of(VERIFY, part_of(doc2[first], th2[first], parts), doc2[first], th2[first], lo2, at2[last] + window, key)
+        return table(rows, FOUND_FIELDS)
+
+    with_leaders = found.where(F.col("kind") == AROUND).groupBy("part").applyInArrow(runs, FOUND)
+    checks = write_table(with_leaders, "runs")
+
     def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if "th" in batch.schema.names:
@@ -334,7 +362,8 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     def look(texts: pa.Table, asked: pa.Table) -> pa.Table:
         out = {"h": [], "doc": [], "th": [], "at": [], "lead": [], "ctx": []}
         if texts.num_rows and asked.num_rows:
-            doc, th, x, y = (np.concatenate([v.values.to_numpy() for v in asked.column(c)]) for c in ("doc", "th", "x", "y"))
+            doc, th, x, y, z = (np.concatenate([v.values.to_numpy() for v in asked.column(c)]) for c in ("doc", "th", "x", "y", "z"))
+            kind = np.repeat(asked.column("kind").to_numpy(), [len(v) for v in asked.column("doc")])
             by = np.lexsort((x, th, doc))
             cuts = np.append(np.flatnonzero(np.append(True, (np.diff(doc[by]) != 0) | (np.diff(th[by]) != 0))), len(by))
             spans = {(int(doc[by[a]]), int(th[by[a]])): by[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
@@ -346,14 +375,21 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                 for i in spans[key]:
                     p = int(x[i])
                     lo = max(0, p - reach)
-                    for name, v in zip(out, (int(y[i]), d, key[1], p, p - lo, t[lo : p + window]), strict=True):
+                    row = (int(y[i]), d, key[1], p, p - lo, t[lo : p + window])
+                    if kind[i] == VERIFY:
+                        row = (int(z[i]), d, key[1], p, -1, hashlib.blake2b(t[p : int(y[i])], digest_size=16).digest())
+                    for name, v in zip(out, row, strict=True):
                         out[name].append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.table({n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
 
-    asked = found.where(F.col("kind") == ASKED).select(F.col("part").alias("__part"), "doc", "th", "x", "y")
+    # z is filled up where it is not used, so that rows of both kinds can be put together
+    asked = found.where(F.col("kind") == ASKED).withColumn("z", F.col("y")).unionByName(checks).select("kind", F.col("part").alias("__part"), "doc", "th", "x", "y", "z")
     texts = dealt(slim.select(F.col("id").alias("__id"), F.col("t").alias("__t")))
-    near = write_table(texts.groupBy("__part").cogroup(asked.groupBy("__part")).applyInArrow(look, "h long, doc long, th long, at long, lead int, ctx binary"), "surroundings")
+    seen = write_table(texts.groupBy("__part").cogroup(asked.groupBy("__part")).applyInArrow(look, "h long, doc long, th long, at long, lead int, ctx binary"), "surroundings")
+    if not seen.where("lead < 0").groupBy("h").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("a <> b").isEmpty():
+        return drop_repeats(docs, id_column, text, window, gram, parts, batch_bytes, part_bytes, cap, block, as_text, hot_rows, look_at, salts, same_id, seed + 1)
+    near = seen.where("lead >= 0")
     many = write_table(near.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > cap).select("h"), "many")
 
     def windows_of(lead: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +448,7 @@ def drop_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     # a table, so that a window of most rows meets its smallest document in a join that Spark can split
     firsts = write_table(wide.groupBy("w").agg(F.min("doc").alias("m"), F.max("doc").alias("last")).where("m < last").select("w", "m"), "first-windows")
     wide = wide.join(firsts, "w").where("doc > m").withColumn("__id", F.col("doc"))
-    wide = dealt(wide).select(F.lit(COVERED).alias("kind"), F.col("__part").alias("part"), F.array("doc").alias("doc"), F.array("th").alias("th"), F.array("x").alias("x"), F.array(F.col("x") + window).alias("y"), F.array().cast("array<bigint>").alias("z"))
+    wide = dealt(wide).select(F.lit(COVERED).alias("kind"), F.col("__part").alias("part"), F.array("doc").alias("doc"), F.array("th").alias("th"), F.array("x").alias("x"), F.array(F.col("x") + window).alias("y"), F.array().cast("array<bigint>").alias("z"), F.array().cast("array<bigint>").alias("w"))
     covered = write_table(few.unionByName(wide), "covered")
     marks = found.where(F.col("kind") != ASKED).unionByName(covered).select("kind", F.col("part").alias("__part"), "doc", "th", "x", "y")
 
