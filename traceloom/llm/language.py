@@ -93,16 +93,18 @@ def mixtures(texts: list[str], model: Model, rounds: int = 12) -> tuple[np.ndarr
 
 def fit_languages(docs: DataFrame, label: str = "lang", text: str = "text", id_column: str = "doc_id", sample_rows: int = 24_000, size: int = 1 << 16, smoothing: float = 0.05) -> Model:
     """Trigram counts of the labelled rows, over whole texts of at most `sample_rows` of them: as many of each label, those
-    of smallest id hash. Rows without an id are not taken."""
+    of smallest id hash; equal rows count once. Rows without an id are not taken. The model is labels x size floats, which the
+    driver and each worker hold: with over a thousand labels take a smaller `size`."""
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull())
     counts = labelled.groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("__c"))  # a row per label
     each = max(1, sample_rows // max(1, counts.count()))
     # a cut of the hash leaves few more than are wanted of each label, before any row moves; ranks leave just as many
-    ids = labelled.select(F.col(label).alias("__l"), F.col(id_column).alias("__id"), F.xxhash64(id_column).alias("__h")).join(counts, "__l")
-    ids = ids.where(F.pmod("__h", F.lit(1 << 30)) * F.col("__c").cast("double") < F.lit((1.2 * each + 100) * (1 << 30)))
-    place = F.row_number().over(Window.partitionBy("__l").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h", "__id"))
-    ids = ids.withColumn("__n", place).where(F.col("__n") <= each).select("__l", "__id").distinct()
-    rows = labelled.join(F.broadcast(ids), (labelled[id_column] == ids["__id"]) & (labelled[label] == ids["__l"])).select(F.col(label).alias("l"), F.col(text).alias("t"))
+    keyed = labelled.select(F.col(label).alias("__l"), F.col(id_column).alias("__id"), F.xxhash64(id_column).alias("__h"), F.xxhash64(text, F.lit(1)).alias("__t"), F.col(text).alias("t"))
+    ids = keyed.drop("t").join(counts, "__l")
+    ids = ids.where(F.pmod("__h", F.lit(1 << 30)) * F.col("__c").cast("double") < F.lit((1.2 * each + 100) * (1 << 30))).drop("__c").distinct()
+    place = F.row_number().over(Window.partitionBy("__l").orderBy(F.pmod("__h", F.lit(1 << 30)), "__h", "__id", "__t"))
+    ids = ids.withColumn("__n", place).where(F.col("__n") <= each).select("__l", "__id", "__t")  # sample_rows at most
+    rows = keyed.join(F.broadcast(ids), ["__l", "__id", "__t"]).dropDuplicates(["__l", "__id", "__t"]).select(F.col("__l").alias("l"), "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

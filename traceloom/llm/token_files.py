@@ -16,7 +16,8 @@ from traceloom.llm.store import new_path, write_table
 from traceloom.llm.subwords import WORDS, encoder
 
 BLOCKS = "part long, start long, n long, doc_ids array<long>, n_tokens array<long>, checkpoints array<long>, bits binary"
-MOST_PARTS = 1 << 20
+#: Ranges of ids that are sorted at once; Spark's range sampler still takes over a hundred rows for each.
+MOST_PARTS = 1 << 13
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ def write_token_files(docs: DataFrame, path: str, id_column: str = "doc_id", tex
     order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("h")]
     rows = encoded.where("ids IS NOT NULL").select("doc_id", "n", F.xxhash64("ids").alias("h"), "ids")
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").option("maxRecordsPerFile", max(1, part_ids // block_ids)).parquet(f"{path}/blocks")
     per_part = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n"))
     base = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # over a row per part
     per_part.select("part", base.alias("base")).write.parquet(f"{path}/parts")
@@ -114,7 +115,7 @@ def read_token_files(spark: SparkSession, path: str, step: int = 256) -> DataFra
     parts = spark.read.schema("part long, base long").parquet(f"{path}/parts").toArrow()  # MOST_PARTS rows at most
     base = np.zeros(int(max(parts.column("part").to_pylist(), default=0)) + 1, np.int64)
     base[parts.column("part").to_numpy()] = parts.column("base").to_numpy()
-    held = spark.sparkContext.broadcast((lengths, base))  # vocabulary bytes, and 8 MB at most
+    held = spark.sparkContext.broadcast((lengths, base))  # vocabulary bytes, and 64 KB at most
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, base = tables(held.value[0]), held.value[1]
