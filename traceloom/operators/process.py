@@ -37,6 +37,13 @@ def opens_by_process(opens: DataFrame, exits: DataFrame, by: list[str], path: st
     return out.withColumn("reason", reason).drop("__life", "__run", "__ends")
 
 
+def without_thread_exits(events: DataFrame) -> DataFrame:
+    """EXITs that name a thread other than the process's first one are ends of threads, and go."""
+    v = P.parsed()
+    of_thread = (F.col("source") == "process") & (P.text(v, "$.event") == "EXIT") & (P.integer(v, "$.tid") != F.col("pid"))
+    return events.where(~F.coalesce(of_thread, F.lit(False)))
+
+
 def exit_warnings(events: DataFrame, exits: DataFrame, second: Column, by: list[str], time: str, most: int = 30) -> DataFrame:
     """exits with rate_limit_warning: the last active second of the process before it had over `most` events. A pid that
     is used again starts anew, as no second from before the EXIT before counts."""

@@ -10,9 +10,12 @@ from traceloom.operators.trees import climbed, linked
 from traceloom.schema import ROUTES, TABLES
 from traceloom.store import write_table
 
-#: Ids are stream_seq * 16 + slot: unique over all tables and in order of arrival, without a shuffle. Events that are put
-#: together from several have no sequence; their ids are hashes of all they hold, below zero.
+#: Ids are stream_seq * 16 + slot: unique over all tables and in order of arrival, without a shuffle; an alert of a known rule has
+#: the rule's slot, whichever rules are chosen. Events that are put together from several have no sequence, and own rules
+#: have no slot; their ids are hashes of all they hold, below zero.
 SLOTS = {t: i for i, t in enumerate(["events_process", "events_tool_call", "events_system", "events_ssl", "events_http", "events_sse", "events_security"])}
+#: The slots of the known rules, after those of the tables.
+RULE_SLOTS = {name: len(SLOTS) - 1 + i for i, name in enumerate(["sensitive_file_access", "dangerous_command", "credential_change", "suspicious_network"])}
 
 
 def event_time(boot_epoch_us: int = 0) -> Column:
@@ -60,9 +63,11 @@ def typed(events: DataFrame, table: str, boot_epoch_us: int = 0) -> DataFrame:
     if table == "events_tool_call":
         rows = rows.where(~F.coalesce(F.col("data").contains('"event_type":"tool_call_start"'), F.lit(False)))
     rows = rows.withColumn("__v", P.parsed())
-    slot = F.lit(SLOTS[table]) + (F.coalesce(P.integer(F.col("__v"), "$.slot"), F.lit(0)) if table == "events_security" else F.lit(0))
+    slot = F.lit(SLOTS[table])
+    if table == "events_security":
+        slot = F.create_map(*(x for name, i in RULE_SLOTS.items() for x in (F.lit(name), F.lit(i))))[P.string(F.col("__v"), "$.alert_type")]
     own = F.xxhash64("source", "session_id", "timestamp_ns", "pid", "comm", "data").bitwiseOR(F.lit(-(1 << 63)))
-    prefix = [F.when(F.col("stream_seq").isNotNull(), F.col("stream_seq") * 16 + slot).otherwise(own).alias("id"), "session_id", "timestamp_ns", "timestamp_unix_ms", event_time(boot_epoch_us).alias("event_time"), "pid", "comm"]
+    prefix = [F.coalesce(F.col("stream_seq") * 16 + slot, own).alias("id"), "session_id", "timestamp_ns", "timestamp_unix_ms", event_time(boot_epoch_us).alias("event_time"), "pid", "comm"]
     out = rows.select(*prefix, *_columns(table, F.col("__v")), F.col("data").alias("data_json"), *([P.sequence(F.col("__v"), "$.source_stream_seq").alias("__seq"), P.string(F.col("__v"), "$.source_table").alias("__of")] if table == "events_security" else []))
     if table == "events_security":
         slots = F.create_map(*(x for t, i in SLOTS.items() for x in (F.lit(t), F.lit(i))))

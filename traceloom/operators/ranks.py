@@ -18,6 +18,7 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], amount: Column,
     ranged = df.withColumn("__a", amount).repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id())
     table = write_table(ranged, "ranges")
     totals = table.groupBy(*by, "__part").agg(F.sum("__a").alias("__t"))
+    # without a key: over one number a part
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.withColumn("__before", F.sum("__t").over(earlier)).where("__before IS NOT NULL")
     before = before.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__p"), "__before")

@@ -78,10 +78,10 @@ def alerts(events: DataFrame, chosen: list[Rule] | None = None) -> DataFrame:
     base = events.where("source = 'process'").withColumn("__v", payload.parsed())
     comm = F.coalesce("comm", F.lit(""))
     details = base.select("*", *(rule.detail(F.col("__v")).alias(f"__d{i}") for i, rule in enumerate(chosen)))
-    hits = F.array_compact(F.array(*(F.when(F.col(f"__d{i}").isNotNull(), F.struct(F.lit(i).alias("slot"), F.lit(r.name).alias("alert_type"), F.lit(r.risk).alias("risk_level"), r.description(comm, F.col(f"__d{i}")).alias("description"), F.col(f"__d{i}").alias("detail"))) for i, r in enumerate(chosen))))
+    hits = F.array_compact(F.array(*(F.when(F.col(f"__d{i}").isNotNull(), F.struct(F.lit(r.name).alias("alert_type"), F.lit(r.risk).alias("risk_level"), r.description(comm, F.col(f"__d{i}")).alias("description"), F.col(f"__d{i}").alias("detail"))) for i, r in enumerate(chosen))))
     found = details.withColumn("__hit", F.explode(hits))
     evidence = F.array(F.struct(F.lit("events_process").alias("source_table"), _event(F.col("__v")).alias("event_type"), F.col("pid"), F.col("comm"), F.col("timestamp_ns"), F.when(F.col("__hit.detail") != "", F.col("__hit.detail")).alias("detail")))
-    data = F.to_json(F.struct("__hit.alert_type", "__hit.risk_level", "__hit.description", F.lit("events_process").alias("source_table"), F.col("stream_seq").cast("string").alias("source_stream_seq"), evidence.alias("evidence"), F.col("__hit.slot").alias("slot")))
+    data = F.to_json(F.struct("__hit.alert_type", "__hit.risk_level", "__hit.description", F.lit("events_process").alias("source_table"), F.col("stream_seq").cast("string").alias("source_stream_seq"), evidence.alias("evidence")))
     return found.withColumn("data", data).withColumn("source", F.lit("security")).select(*events.columns)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from traceloom.functions import payload as P
 from traceloom.operators.ranks import row_numbers
+from traceloom.operators.textual import prompt_diff
 from traceloom.operators.trees import climbed, linked
 from traceloom.store import write_table
 
@@ -154,10 +154,12 @@ def prompt_changes(prompts: DataFrame, by: list[str], order: list[str], text: st
     return rows.select(*prompts.columns, "previous", *(c.alias(n) for n, c in made.items()))
 
 
-@F.pandas_udf(T.StringType())
-def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Changed lines with three lines of context."""
-    return pd.Series(["\n".join(list(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), lineterm="", n=3))[2:]) for a, b in zip(old, new, strict=True)])
+def prompt_diffs(prompts: DataFrame, by: list[str], order: list[str], text: str = "data") -> DataFrame:
+    """Each prompt but the first of its process with the lines that differ from the one before: payloads whose body, or who
+    themselves, hold messages, as blocks of their roles."""
+    before = F.lag(text).over(Window.partitionBy(*by).orderBy(*order))
+    rows = prompts.withColumn("__before", before).where("__before IS NOT NULL")
+    return rows.withColumn("diff", prompt_diff("__before", text)).drop("__before")
 
 
 def change_summary(c: dict[str, Column] | None = None) -> Column:
@@ -165,27 +167,6 @@ def change_summary(c: dict[str, Column] | None = None) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" ", part("added", "Added"), part("removed", "Removed"), part("modified", "Modified")), F.lit("")), F.lit("No changes."))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_json(texts: pd.Series) -> pd.Series:
-    """The JSON values that stand one after another in a text; what is none is skipped to the next brace."""
-    decoder = json.JSONDecoder()
-
-    def one(text: str | None) -> list[str]:
-        out, at = [], 0
-        while text and 0 <= at < len(text):
-            while at < len(text) and text[at] not in "{[":
-                at += 1
-            try:
-                _, end = decoder.raw_decode(text, at)
-                out.append(text[at:end])
-                at = end
-            except ValueError:
-                at += 1
-        return out
-
-    return texts.map(one)
-
-
 def options(events: DataFrame) -> DataFrame:
     """What there is to choose from, sorted, in one row."""
     sets = {"kinds": "event_kind", "models": "model", "sources": "source", "commands": "comm"}

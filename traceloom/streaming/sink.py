@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,27 +13,62 @@ from pyspark.sql.streaming import StreamingQuery
 from traceloom.functions.scalar import hex_text, is_binary
 from traceloom.functions import payload as P
 from traceloom.operators.project import SLOTS, typed
+from traceloom.operators.ranks import row_numbers
 from traceloom.schema import TABLES
+from traceloom.store import write_table
 
+BATCH = "batch_id bigint, last_id bigint"
 
-def write_tables(events: DataFrame, path: str, batch_id: int = 0, tables: list[str] | None = None) -> None:
+
+def write_tables(events: DataFrame, path: str, batch_id: int = 0, tables: list[str] | None = None, dense: bool = False) -> None:
     """Appends each table's rows under path/<table>/batch=<id>/session_id=<id>; a batch that is written again replaces
-    itself, and path/_batches gets its id last, so readers can tell complete batches."""
+    itself, and path/_batches gets its id last, so readers can tell complete batches.
+
+    dense: ids are 1, 2, 3 ... over all tables and batches, in the order of the sparse ones; path/_batches holds how far
+    each batch came, a batch begins after those of smaller id, and one that is written again gets the same ids.
+    """
     spark = events.sparkSession
     events = events.persist()
     try:
-        for table in tables or list(SLOTS):
-            typed(events, table).write.mode("overwrite").partitionBy("session_id").parquet(f"{path}/{table}/batch={batch_id}")
-        spark.createDataFrame([(batch_id,)], "batch_id bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/_batches/batch={batch_id}")
+        made, last = {t: typed(events, t) for t in tables or list(SLOTS)}, None
+        if dense:
+            before = _batches(spark, path).where(F.col("batch_id") < batch_id).agg(F.max("last_id")).first()[0] or 0
+            made, last = dense_ids(made, before)
+        for table, rows in made.items():
+            rows.write.mode("overwrite").partitionBy("session_id").parquet(f"{path}/{table}/batch={batch_id}")
+        spark.createDataFrame([(batch_id, last)], BATCH).coalesce(1).write.mode("overwrite").parquet(f"{path}/_batches/batch={batch_id}")
     finally:
         events.unpersist()
 
 
-def read_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    """A row per complete batch; none if there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_batches")
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(BATCH).parquet(f"{path}/_batches") if there else spark.createDataFrame([], BATCH)
+
+
+def dense_ids(tables: dict[str, DataFrame], before: int = 0) -> tuple[dict[str, DataFrame], int]:
+    """The tables with ids before + 1, before + 2, ... in order of time and id, and the last of them; rows that share an id share the new
+    one. Numbers come from counts by ranges, so no task holds all ids. Links of alerts follow where their event is among the tables."""
+    keys = reduce(DataFrame.unionByName, [t.select("id", "timestamp_ns") for t in tables.values()]).groupBy("id").agg(F.min("timestamp_ns").alias("at"))
+    numbers = write_table(row_numbers(keys, [], ["at", "id"], "n").select("id", (F.col("n") + before).alias("__new")), "dense-ids")
+    last = numbers.agg(F.max("__new")).first()[0] or before
+    out = {}
+    for name, t in tables.items():
+        rows = t.join(numbers, "id").withColumn("id", F.col("__new")).drop("__new")
+        if "source_event_id" in t.columns:
+            of = numbers.select(F.col("id").alias("source_event_id"), F.col("__new").alias("__of"))
+            rows = rows.join(of, "source_event_id", "left").withColumn("source_event_id", F.coalesce("__of", "source_event_id")).drop("__of")
+        out[name] = rows.select(*t.columns)
+    return out, last
+
+
+def read_tables(spark: SparkSession, path: str, tables: list[str] | None = None) -> dict[str, DataFrame]:
     """The rows of complete batches; Spark prunes sessions and batches by their folders."""
-    done = spark.read.schema("batch_id bigint").parquet(f"{path}/_batches").select(F.col("batch_id").alias("batch")).distinct()
+    done = _batches(spark, path).select(F.col("batch_id").alias("batch")).distinct()
     out = {}
-    for table in SLOTS:
+    for table in tables or list(SLOTS):
         rows = spark.read.schema(f"{TABLES[table]}, batch bigint").option("basePath", f"{path}/{table}").parquet(f"{path}/{table}")
         out[table] = rows.join(F.broadcast(done), "batch", "left_semi").drop("batch")  # a row per batch
     return out

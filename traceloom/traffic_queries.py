@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
 from traceloom.functions import scalar
-from traceloom.operators import filters, process, project, security, tooluse, viewer
+from traceloom.operators import filters, process, project, security, textual, tooluse, viewer
 from traceloom.operators.http import parse_http, remove_auth
 from traceloom.operators.spans import spans
 from traceloom.operators.sse import merge_sse
 from traceloom.plans import api, views
 from traceloom.queries import BASE, FIRST, SQL, query
-from traceloom.sources import adapter, logs, traffic
-from traceloom.store import new_path
+from traceloom.sources import adapter, logs, records, traffic
+from traceloom.store import new_path, write_table
 from traceloom.streaming import ordered, sink
 
 # --- SQL of the traffic -------------------------------------------------------------------------------------------
@@ -127,7 +128,7 @@ def sensitive_file_access(spark, sf):
 def credential_change(spark, sf):
     chosen = [r for r in security.rules() if r.name == "credential_change"]
     rows = project.typed(security.alerts(traffic.envelopes(spark, sf), chosen), "events_security")
-    return rows.withColumn("id", F.col("id") + 2).select(*ALERT.split(", "))  # the only rule chosen has slot 0
+    return rows.select(*ALERT.split(", "))
 
 
 @query(TRAFFIC + "SELECT session_id, event_time AS alert_time, pid, comm, alert_type, risk_level, description FROM alert WHERE alert_type = 'sensitive_file_access' AND session_id = 'v4'")
@@ -262,12 +263,37 @@ def prompt_lag(spark, sf):
     return viewer.prompt_changes(c, ["conv_id"], ["turn"]).select("conv_id", "turn", F.get_json_object("previous", "$.m").alias("previous"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS m FROM conversations) SELECT conv_id, turn, 0 AS at, '{"t":' || turn || '}' AS part FROM c UNION ALL SELECT conv_id, turn, 1, '["' || m || '"]' FROM c UNION ALL SELECT conv_id, turn, 2, '{"z":{}}' FROM c""")
+@query("""WITH c AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS m FROM conversations) SELECT conv_id, turn, 0 AS at, '{"t":' || turn || ',"s":"}{"}' AS part FROM c UNION ALL SELECT conv_id, turn, 1, '{"m":"\\q' || m || '",}' FROM c UNION ALL SELECT conv_id, turn, 2, '{"z":{}}' FROM c WHERE turn % 2 = 0
+  UNION ALL SELECT conv_id, turn, 2, '{}' FROM c WHERE turn % 2 = 1""")
 def json_parts(spark, sf):
-    """JSON values that stand one after another in a text with other things between."""
+    """Objects that stand one after another in a text with other things between, unsound ones too; a closing brace too many
+    (odd turns) makes the next object's inner one the first at depth 0."""
     c = spark.read.parquet(f"{sf}/conversations.parquet")
-    text = F.concat(F.lit('x {"t":'), F.col("turn").cast("string"), F.lit('}["'), F.md5(F.coalesce("text", F.lit(""))), F.lit('"] } {"z":{}} y'))
-    return c.select("conv_id", "turn", F.posexplode(viewer.split_json(text)).alias("at", "part"))
+    text = F.concat(F.lit('x {"t":'), F.col("turn").cast("string"), F.lit(',"s":"}{"} [1] {"m":"\\q'), F.md5(F.coalesce("text", F.lit(""))), F.lit('",}'), F.when(F.col("turn") % 2 == 1, " } ").otherwise(" "), F.lit('{"z":{}} y'))
+    return c.select("conv_id", "turn", F.posexplode(textual.json_chunks(text)).alias("at", "part"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS m FROM conversations) SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '[/f/' || turn || ']' || chr(10) || repeat('─', 5 + length(CAST(turn AS VARCHAR))) || chr(10) || m WHEN 1 THEN '=== PART 1 ===' || chr(10) || m || chr(10) || chr(10) || '=== PART 2 ===' || chr(10) || '[/g]' || chr(10) || '────' || chr(10) || 'a' || chr(10) || m
+  WHEN 2 THEN '{' || chr(10) || '  "n": ' || turn || ',' || chr(10) || '  "m": "' || m || '"' || chr(10) || '}' ELSE 'no json ' || m END AS content FROM c""")
+def json_contents(spark, sf):
+    """What is read of JSON that is sound, comes in parts, is damaged, or is none."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("m", F.md5(F.coalesce("text", F.lit(""))))
+    turn, m = F.col("turn").cast("string"), F.col("m")
+    sound = F.concat(F.lit('{"file_path":"/f/'), turn, F.lit('","content":" '), m, F.lit(' "}'))
+    parts = F.concat(F.lit('{"content":"'), m, F.lit('"}{"content":"a\\n'), m, F.lit('","file_path":"\\/g","x":"\\q"}'))
+    plain = F.concat(F.lit('{"n":'), turn, F.lit('.0,"m":"'), m, F.lit('"}'))
+    kind = F.col("turn") % 4
+    return c.select("conv_id", "turn", textual.json_content(F.when(kind == 0, sound).when(kind == 1, parts).when(kind == 2, plain).otherwise(F.concat(F.lit("no json "), m))).alias("content"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, md5(coalesce(text, '')) AS m, lag(md5(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS m0, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS t0 FROM conversations WHERE role = 'user')
+  SELECT conv_id, turn, array_to_string(['  [0] SYSTEM:', '  be brief', '  ---', '  be brief', '  ---', '  [1] USER:', '- ' || m0, '+ ' || m, ''], chr(10)) AS diff FROM c WHERE t0 IS NOT NULL AND m <> m0""")
+def prompt_diffs(spark, sf):
+    """Each user's turn as a prompt of two messages, against the one before, where they differ."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'")
+    said = F.concat(F.lit('{"messages":[{"role":"system","content":"be brief"},{"role":"user","content":[{"type":"text","text":"'), F.md5(F.coalesce("text", F.lit(""))), F.lit('"},{"type":"image"}]}]}'))
+    found = viewer.prompt_diffs(c.select("conv_id", "turn", F.to_json(F.struct(said.alias("body"))).alias("data")), ["conv_id"], ["turn"])
+    return found.where(F.col("diff").contains("- ")).select("conv_id", "turn", "diff")
 
 
 @query(TRAFFIC + """, k AS (SELECT 'ssl' AS source, ms FROM c WHERE role = 'user' UNION ALL SELECT 'http_parser', ms FROM http UNION ALL SELECT 'stdio', ms FROM c WHERE role = 'system')
@@ -404,6 +430,31 @@ def app_log(spark, sf):
     return logs.app_log(c.select(line.alias("value"))).select(F.col("time").cast("timestamp_ntz").alias("time"), "level", "message")
 
 
+@query(BASE + """SELECT timestamp_ns, pid, comm, event_type AS event, filepath, net_ip AS ip, net_port AS port, ppid, filename, full_command, exit_code, CASE event_type WHEN 'FILE_OPEN' THEN 0 WHEN 'FILE_DELETE' THEN 0 END AS flags FROM proc""")
+def record_events(spark, sf):
+    """Process events as binary records of a capture, decoded again."""
+    e = adapter.table(spark, sf, "events_process")
+
+    def number(c: F.Column, size: int) -> F.Column:
+        text = F.lpad(F.hex(F.coalesce(c, F.lit(0)).cast("bigint")), 2 * size, "0")
+        return F.concat(*(F.substring(text, 2 * (size - i) - 1, 2) for i in range(size)))
+
+    field = lambda c, size: F.rpad(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), 2 * size, "0")
+    kind = F.col("event_type")
+    code = F.when(kind.isin("EXEC", "EXIT"), 0).when(kind == "NET_CONNECT", 4).otherwise(2)
+    path = F.concat(field(F.coalesce("filepath", "filename"), 127), F.lit("00" * 5), number(F.lit(0), 4), number(F.when(kind == "FILE_DELETE", 2).otherwise(0), 4), F.lit("00" * 116))
+    address = F.concat(*(F.lpad(F.hex(F.split("net_ip", "[.]")[i].cast("bigint")), 2, "0") for i in range(4)))
+    net = F.concat(number(F.col("net_family"), 2), number(F.col("net_port"), 2), address, F.lit("00" * 248))
+    head = [number(code, 4), number(F.col("pid"), 4), number(F.col("ppid"), 4), number(F.col("exit_code"), 4), number(F.lit(0), 8), number(F.col("timestamp_ns"), 8), field(F.col("comm"), 16), field(F.col("full_command"), 256)]
+    raw = F.unhex(F.concat(*head, F.when(kind == "NET_CONNECT", net).otherwise(path), F.when(kind == "EXIT", "01").otherwise("00"), F.lit("00" * 7)))
+    rows, v = records.decode_process(write_table(e.select(raw.alias("value")), "records")), P.parsed()
+    of = lambda name, c: F.when(P.text(v, "$.event").isin(*name.split()), c)
+    return rows.select(
+        "timestamp_ns", "pid", "comm", P.text(v, "$.event").alias("event"), P.text(v, "$.filepath").alias("filepath"), P.text(v, "$.ip").alias("ip"), P.integer(v, "$.port", "int").alias("port"), of("EXEC", P.integer(v, "$.ppid")).alias("ppid"),
+        P.text(v, "$.filename").alias("filename"), P.text(v, "$.full_command").alias("full_command"), P.integer(v, "$.exit_code", "int").alias("exit_code"), P.integer(v, "$.flags", "int").alias("flags"),
+    )
+
+
 @query(TRAFFIC + "SELECT own_seq AS seq, CASE WHEN role = 'user' AND own_seq > seq THEN 'HEX:' || lower(hex(encode('plain ' || m || chr(1)))) END AS text FROM ssl")
 def log_lines(spark, sf):
     """Payloads that hold a control character are written as HEX."""
@@ -425,6 +476,21 @@ def written_tables(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("table_name", "session_id").agg(F.count("*").alias("n"))
 
 
+@query(BASE + """, r AS (SELECT id, session_id, timestamp_ns, event_id % 2 AS batch FROM proc UNION ALL SELECT t.id, t.session_id, e.timestamp_ns, e.event_id % 2 FROM tool t JOIN e ON t.id = e.event_id * 16 + 1 UNION ALL SELECT s.id, s.session_id, e.timestamp_ns, e.event_id % 2 FROM sys s JOIN e ON s.id = e.event_id * 16 + 2
+    UNION ALL SELECT s.id, s.session_id, e.timestamp_ns, e.event_id % 2 FROM sec s JOIN e ON s.source_event_id = e.event_id * 16),
+  n AS (SELECT id AS old_id, session_id, row_number() OVER (ORDER BY batch, timestamp_ns, id) AS id FROM r) SELECT n.id, n.session_id, (SELECT m.id FROM sec JOIN n m ON m.old_id = sec.source_event_id WHERE sec.id = n.old_id) AS of_id FROM n""")
+def dense_ids(spark, sf):
+    """Ids from one sequence over all tables, in two batches, the second of them written twice; alerts name the new id of their event."""
+    path, e = new_path(spark, "tables"), adapter.envelopes(spark, sf)
+    e = security.analyze(e)
+    for batch in (0, 1, 1):
+        sink.write_tables(e.where(F.col("stream_seq") % 2 == batch), path, batch, ["events_process", "events_tool_call", "events_system", "events_security"], dense=True)
+    read = sink.read_tables(spark, path, ["events_process", "events_tool_call", "events_system", "events_security"])
+    none = F.lit(None).cast("bigint")
+    parts = [read[t].select("id", "session_id", (F.col("source_event_id") if t == "events_security" else none).alias("of_id")) for t in ("events_process", "events_tool_call", "events_system", "events_security")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _as_stream(spark, df: DataFrame) -> DataFrame:
     path = new_path(spark, "stream")
     df.write.parquet(path)
@@ -550,6 +616,19 @@ def private_addresses(spark, sf):
     return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", ip.alias("ip")).withColumn("private", scalar.is_private(F.col("ip")))
 
 
+@query("""WITH n AS (SELECT s_suppkey, (s_suppkey * 40503001) % 16777216 AS n FROM supplier), o AS (SELECT s_suppkey, [10, 127, 172, 192, 169, 8][s_suppkey % 6 + 1] AS a, CASE s_suppkey % 6 WHEN 3 THEN 167 + n // 65536 % 3 WHEN 4 THEN 253 + n // 65536 % 3 WHEN 2 THEN n // 65536 % 40 ELSE n // 65536 END AS b, n // 256 % 256 AS c, n % 256 AS d FROM n)
+  SELECT s_suppkey, a || '.' || b || '.' || c || '.' || d AS ip, a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) AS private FROM o""")
+def private_networks(spark, sf):
+    """Addresses in and beside the private networks; SQL decides by their numbers."""
+    key = F.col("s_suppkey").cast("bigint")
+    n, kind = F.pmod(key * 40503001, F.lit(16777216)), F.col("s_suppkey") % 6
+    b = F.floor(n / 65536)
+    b = F.when(kind == 3, b % 3 + 167).when(kind == 4, b % 3 + 253).when(kind == 2, b % 40).otherwise(b)
+    a = F.element_at(F.array(*map(F.lit, [10, 127, 172, 192, 169, 8])), (kind + 1).cast("int"))
+    ip = F.concat_ws(".", *(x.cast("bigint").cast("string") for x in (a, b, F.floor(n / 256) % 256, n % 256)))
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", ip.alias("ip")).withColumn("private", scalar.is_private(F.col("ip")))
+
+
 # --- endpoints for one session ------------------------------------------------------------------------------------
 
 
