@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
-from traceloom.functions.scalar import ns_to_ms
+from traceloom.functions.scalar import let, ns_to_ms
 
 TIMEOUT_MS = 30_000
 
@@ -17,10 +17,14 @@ def _session(events: DataFrame):
 
 def summary(text: Column, most: int = 200) -> Column:
     """A text of over `most` bytes cut there, with three dots; each byte of a character that the cut breaks is a U+FFFD."""
-    cut = F.substring(F.encode(text, "utf-8"), 1, most).cast("string")
-    whole = F.when(F.is_valid_utf8(cut), cut).otherwise(F.regexp_replace(F.make_valid_utf8(cut), "(?s).$", ""))
-    broken = F.repeat(F.lit("\ufffd"), (F.lit(most) - F.octet_length(whole)).cast("int"))
-    return F.when(F.octet_length(text) > most, F.concat(whole, broken, F.lit("..."))).otherwise(text)
+
+    def shortened(t: Column) -> Column:
+        return let(F.substring(F.encode(t, "utf-8"), 1, most).cast("string"), lambda c: let(F.when(F.is_valid_utf8(c), c).otherwise(F.regexp_replace(F.make_valid_utf8(c), "(?s).$", "")), ended))
+
+    def ended(whole: Column) -> Column:
+        return F.concat(whole, F.repeat(F.lit("\ufffd"), (F.lit(most) - F.octet_length(whole)).cast("int")), F.lit("..."))
+
+    return let(text, lambda t: F.when(F.octet_length(t) > most, shortened(t)).otherwise(t))
 
 
 def uses(events: DataFrame) -> DataFrame:
