@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
 from traceloom.functions.scalar import let, ns_to_ms
+from traceloom.store import write_table
 
 TIMEOUT_MS = 30_000
 
@@ -61,6 +62,9 @@ def tool_uses(events: DataFrame, bucket_ns: int = 10_000_000_000, timeout_ms: in
     An id that is used again in its session starts anew. Activities are those of the session from the answer to
     the result (or timeout): an equi-join on slots of time, so neither side meets in whole.
     """
+    # answers, results and activities are read from one table: what made the events is not worked out three times
+    needed = [c for c in ("session_id", "source", "pid", "comm", "timestamp_ns", "stream_seq", "data") if c in events.columns]
+    events = write_table(events.where(F.col("source").isin("http_parser", "process")).select(*needed), "tool-events")
     u = uses(events)
     again = Window.partitionBy("session_id", "tool_use_id").orderBy("start_ns")
     u = u.withColumn("next_ns", F.lead("start_ns").over(again))
