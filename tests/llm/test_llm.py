@@ -439,6 +439,27 @@ def test_embedding_groups(spark):
     assert rows(got) == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (2, 0, 2, True), (3, 1, 2, False)], key=repr)
 
 
+@pytest.mark.parametrize("rows_a_label", [1_000, 30_000, 3_000_000])
+def test_layout_keeps_recall_as_hashes_grow(rows_a_label):
+    """The tables chosen find pairs of just the least cosine, of other vectors than those the chance was measured on."""
+    tables, hashes = embedding_dedup.layout(6, rows_a_label, 0.93, 3, 2e-5, 7)
+    assert 128**hashes >= 8 * rows_a_label and (hashes == 2 or 128 ** (hashes - 1) < 8 * rows_a_label)
+    rng = np.random.default_rng(99)
+    x, z = rng.standard_normal((2, 1500, 50))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (embedding_dedup.probes(v, tables, hashes, 3, 7) for v in (x, 0.93 * x + np.sqrt(1 - 0.93**2) * z))
+    same = a[:, :, :, None] == b[:, :, None, :]
+    same[:, :, 1:, 1:] = False
+    assert same.any(axis=(1, 2, 3)).mean() >= 0.999
+
+
+def test_embedding_groups_with_more_hashes(spark):
+    _, df = vectors(spark, np.random.default_rng(6))
+    assert rows(embedding_dedup.embedding_groups(df, hashes=4)) == rows(embedding_dedup.embedding_groups(df, hashes=2, tables=12))
+
+
 def brute_nearest(data, k=5):
     """The best answers of each query, over rows of its length."""
     sound = [(d[0], np.array(d[1], float)) for d in data if d[0] is not None and d[1] is not None and all(v is not None and np.isfinite(v) for v in d[1]) and any(d[1])]

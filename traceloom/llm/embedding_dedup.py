@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +21,10 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of rows whose length is a power of two."""
     n, h = x.shape[1], 1
     while h < n:
-        y = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
-        h *= 2
+        y, z = x.reshape(len(x), n // (2 * h), 2, h), np.empty((len(x), n // (2 * h), 2, h), x.dtype)
+        np.add(y[:, :, 0], y[:, :, 1], out=z[:, :, 0])
+        np.subtract(y[:, :, 0], y[:, :, 1], out=z[:, :, 1])
+        x, h = z.reshape(len(x), n), 2 * h
     return x
 
 
@@ -32,7 +35,7 @@ def probes(x: np.ndarray, tables: int, hashes: int, extra: int, seed: int) -> np
     """
     rows, dim = x.shape
     size = 1 << max(1, (dim - 1).bit_length())
-    padded = np.zeros((rows, size))
+    padded = np.zeros((rows, size), np.float32)  # a bucket needs no more; links are verified in double precision
     padded[:, :dim] = x
     rng, alts = np.random.default_rng((seed, size)), min(3, 2 * size)
     out = np.empty((rows, tables, 1 + extra), np.int64)
@@ -41,7 +44,7 @@ def probes(x: np.ndarray, tables: int, hashes: int, extra: int, seed: int) -> np
         for k in range(hashes):
             y = padded
             for _ in range(3):
-                y = hadamard(y * rng.choice([-1.0, 1.0], size)) / np.sqrt(size)
+                y = hadamard(y * (rng.choice([-1.0, 1.0], size) / np.sqrt(size)).astype(np.float32))
             y = np.concatenate([y, -y], axis=1)
             order = np.argpartition(-y, alts - 1, axis=1)[:, :alts]
             height = np.take_along_axis(y, order, 1)
@@ -59,8 +62,39 @@ def probes(x: np.ndarray, tables: int, hashes: int, extra: int, seed: int) -> np
     return out
 
 
+@functools.cache
+def layout(bits: int, rows: int, least: float, extra: int, miss: float, seed: int, hashes: int | None = None, tables: int | None = None) -> tuple[int, int]:
+    """(tables, hashes) for vectors of up to 2 ** bits components, of which a label has `rows`.
+
+    As many hashes, two at least, as give eight buckets a row, and as many tables as leave a pair of cosine `least` apart
+    with a chance of `miss` at most; the chance to meet in one table is measured on made-up pairs of just that cosine.
+    """
+    size = 1 << bits
+    if hashes is None:
+        hashes = 2
+        while (2 * size) ** hashes < 8 * rows and (2 * size) ** (hashes + 1) < 1 << 62:
+            hashes += 1
+    if tables is None:
+        rng = np.random.default_rng((seed, bits))
+        n = max(200, min(2000, (1 << 18) >> bits))
+        x, z = rng.standard_normal((2, n, size))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+        near = least * x + np.sqrt(max(0.0, 1 - least * least)) * z
+        a, b = (probes(v, 8, hashes, extra, seed) for v in (x, near))
+        same = a[:, :, :, None] == b[:, :, None, :]
+        same[:, :, 1:, 1:] = False
+        chance = same.any(axis=(2, 3)).mean()
+        tables = max(1, math.ceil(math.log(miss) / math.log(1 - min(max(chance, 1e-3), 0.999))))
+    return tables, hashes
+
+
 def meeting(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first (table, key) at which the pairs a, b meet: in the own bucket of one of them at least."""
+    if len(a) > 16_384:
+        parts = [meeting(keys, a[lo : lo + 16_384], b[lo : lo + 16_384]) for lo in range(0, len(a), 16_384)]
+        return np.concatenate([t for t, _ in parts]), np.concatenate([k for _, k in parts])
     same = keys[a][:, :, :, None] == keys[b][:, :, None, :]
     same[:, :, 1:, 1:] = False
     key = np.where(same, keys[a][:, :, :, None], np.iinfo(np.int64).max).reshape(len(a), keys.shape[1], -1).min(axis=2)
@@ -118,20 +152,21 @@ def joined(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
     return label
 
 
-def embedding_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, tables: int = 10, hashes: int = 2, extra: int = 3, cap: int = 8192, seed: int = 7) -> DataFrame:
+def embedding_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, tables: int | None = None, hashes: int | None = None, extra: int = 3, miss: float = 2e-5, cap: int = 8192, seed: int = 7) -> DataFrame:
     """One row per row of vectors: (id, n_links, component_id, kept).
 
     Rows link when their labels are equal and not null and the cosine, in double precision, is `least` or more.
-    Equal vectors of a label are one class, so copies are counted and not paired; classes meet in `tables`
-    tables of `hashes` cross-polytope hashes each, in the own bucket and `extra` probed ones. Buckets with company get
-    the vectors, candidates are verified there, and a link counts in the first bucket in which its two classes meet;
+    Equal vectors of a label are one class, so copies are counted and not paired; classes meet in tables of
+    cross-polytope hashes, in the own bucket and `extra` probed ones. The hashes of a table grow with the classes of the largest
+    label, so that buckets stay nearly empty but for neighbours, and the tables with them, so that a link of cosine `least` is missed
+    with a chance of `miss`; both can be given (see `layout`; counted for each power of two that holds a vector). Buckets with
+    company get the vectors, candidates are verified there, and a link counts in the first bucket in which its two classes meet;
     so no link is false or counted twice, and no row per pair leaves a task. Hot buckets are dealt out as chunk pairs.
-    For more rows a label raise `hashes` (buckets: (2 x dimension) ** hashes) and `tables` with it.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors
     of different length or rows with a null label or id: n_links 0, component_id their own id. kept is false
     for a null id. Rows that repeat an id count as vectors of their own. An empty table gives an empty result.
     """
-    if extra > 2 * hashes:
+    if extra > 2 * (hashes or 2):
         raise ValueError("extra is at most twice hashes")
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l"))
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -140,6 +175,10 @@ def embedding_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str
     classes = good.groupBy("h", "l", "v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = write_table(classes.withColumn("c", F.monotonically_increasing_id()), "vectors")
 
+    bits = F.length(F.bin(F.size("v") - 1))
+    most = classes.groupBy("l", bits.alias("bits")).agg(F.count("*").alias("n")).groupBy("bits").agg(F.max("n").alias("n")).collect()  # a row per power of two
+    layouts = {r["bits"]: layout(r["bits"], r["n"], least, extra, miss, seed, hashes, tables) for r in most}
+
     def sized(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of each length of vector, and their vectors times a power of two."""
         sizes = pc.list_value_length(column).to_numpy()
@@ -151,7 +190,7 @@ def embedding_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in sized(batch.column("v")):
-                key = probes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes, extra, seed)
+                key = probes(x / np.linalg.norm(x, axis=1, keepdims=True), *layouts[max(1, (x.shape[1] - 1).bit_length())], extra, seed)
                 part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([part.column("l1"), part.column("l2"), part.column("c"), pa.array(list(key.reshape(len(at), -1)), pa.list_(pa.int64()))], names=["l1", "l2", "c", "keys"])
 
@@ -175,7 +214,7 @@ def embedding_groups(vectors: DataFrame, id_column: str = "vec_id", vector: str
                 some = part.take(pa.array(at))
                 own = {c: some.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*groups, "c", "n", "probed", "own"]}
                 run = np.cumsum(np.any([np.diff(own[c], prepend=own[c][:1] - 1) != 0 for c in groups], axis=0))
-                keys = some.column("keys").flatten().to_numpy().reshape(len(at), tables, 1 + extra)
+                keys = some.column("keys").flatten().to_numpy().reshape(len(at), -1, 1 + extra)
                 size, m, label = np.sqrt((x * x).sum(axis=1)), np.zeros(len(at), np.int64), np.arange(len(at))
                 for a, b in close_pairs(x, size, run, own["probed"], own["own"], (own["i"] != own["j"]).astype(np.int64), least):
                     label = joined(len(at), a, b, label)
