@@ -255,6 +255,11 @@ def test_packing(spark, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_parts_with_ids_are_bounded_by_bytes(odd):
+    pieces = packing.token_pieces(odd, 64, "doc_id", "text", subwords.BYTES, 0, True, part_bytes=3 * 64 * 4).groupBy("part").count().collect()
+    assert len(pieces) > 1 and max(r["count"] for r in pieces) <= 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=200))
 def test_best_two_fit(sizes):

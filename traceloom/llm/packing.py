@@ -83,10 +83,12 @@ def places(patterns: list[tuple[list[int], int]], room: int) -> dict[int, tuple[
     return {n: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for n, r in runs.items()}
 
 
-def token_pieces(docs: DataFrame, room: int, id_column: str, text: str, model_path: str, end_id: int, with_ids: bool, batch_bytes: int = 4 << 20, part_pieces: int = 1 << 16) -> DataFrame:
+def token_pieces(docs: DataFrame, room: int, id_column: str, text: str, model_path: str, end_id: int, with_ids: bool, batch_bytes: int = 4 << 20, part_pieces: int = 1 << 16, part_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], part): a document's ids and the end id, cut into pieces of `room`
     ids if there are more; the first piece has the rest of the division. A part is a run of about `part_pieces`
-    pieces of a task."""
+    pieces of a task; with ids, of so few that `part_bytes` hold them at full length."""
+    if with_ids:
+        part_pieces = max(1, min(part_pieces, part_bytes // (4 * room)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, held = encoder(model_path), TaskContext.get().partitionId() << 24, 0
