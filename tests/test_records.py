@@ -95,6 +95,16 @@ def test_dense_ids_stay_when_a_batch_is_written_again(spark, tmp_path):
     assert a.count() == 10 and a.where("pid <> p").count() == 0
 
 
+def test_dense_ids_are_not_sent_through_the_driver(spark):
+    """The numbers have a row per event, so no join of theirs is a broadcast, however small their file is."""
+    events = security.analyze(frame(spark, [("process", i, "a", i + 1, {"event": "CRED_CHANGE"}) for i in range(20)], True))
+    made, last = sink.dense_ids({t: project.typed(events, t) for t in ("events_process", "events_security")})
+    assert last == 40 and sorted(r["id"] for t in made.values() for r in t.collect()) == list(range(1, 41))
+    for t in made.values():
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # --- texts --------------------------------------------------------------------------------------------------------
 
 

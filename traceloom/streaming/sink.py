@@ -50,15 +50,16 @@ def _batches(spark: SparkSession, path: str) -> DataFrame:
 
 def dense_ids(tables: dict[str, DataFrame], before: int = 0) -> tuple[dict[str, DataFrame], int]:
     """The tables with ids before + 1, before + 2, ... in order of time and id, and the last of them; rows that share an id share the new
-    one. Numbers come from counts by ranges, so no task holds all ids. Links of alerts follow where their event is among the tables."""
+    one. Numbers come from counts by ranges, so no task holds all ids. Links of alerts follow where their event is among the tables.
+    The numbers have a row per event and a small file, which Spark would take for small enough to broadcast: all joins are merged."""
     keys = reduce(DataFrame.unionByName, [t.select("id", "timestamp_ns") for t in tables.values()]).groupBy("id").agg(F.min("timestamp_ns").alias("at"))
     numbers = write_table(row_numbers(keys, [], ["at", "id"], "n").select("id", (F.col("n") + before).alias("__new")), "dense-ids")
     last = numbers.agg(F.max("__new")).first()[0] or before
-    out = {}
+    numbers, out = numbers.hint("merge"), {}
     for name, t in tables.items():
         rows = t.join(numbers, "id").withColumn("id", F.col("__new")).drop("__new")
         if "source_event_id" in t.columns:
-            of = numbers.select(F.col("id").alias("source_event_id"), F.col("__new").alias("__of"))
+            of = numbers.select(F.col("id").alias("source_event_id"), F.col("__new").alias("__of")).hint("merge")
             rows = rows.join(of, "source_event_id", "left").withColumn("source_event_id", F.coalesce("__of", "source_event_id")).drop("__of")
         out[name] = rows.select(*t.columns)
     return out, last
