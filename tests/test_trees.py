@@ -250,3 +250,59 @@ def test_spans_are_those_of_the_fold(spark, seed):
         want = fold_sorted(calls(df, kinds), KEYS, ["timestamp_ns", "stream_seq"], partial(Span, idle_ns=idle, most_ns=most), SPAN).select(*names)
         rows_of = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
         assert rows_of(got) == rows_of(want)
+
+
+def steps_below(parents):
+    """(root, pid) -> least number of steps, by walking down from each root."""
+    children = defaultdict(list)
+    for n, p in parents.items():
+        if p != n:
+            children[p].append(n)
+    found = {}
+    for root in {*parents, *parents.values()}:
+        depth, level = 0, [root]
+        while level:
+            depth, level = depth + 1, [c for n in level for c in children[n] if (root, c) not in found]
+            found |= {(root, c): depth for c in level}
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_descendants(spark, seed, monkeypatch):
+    """Trees, circles and parents that are no nodes; arrays and tasks of a few."""
+    monkeypatch.setattr(project, "BLOCK", 4)
+    monkeypatch.setattr(project, "PAIRS", 50)
+    rng = random.Random(seed)
+    parents = {n: rng.randrange(max(n - 4, -2), n) for n in range(1, 60)} | {n: rng.randrange(100, 140) for n in range(100, 130)}
+    nodes = spark.createDataFrame([("s", n, p) for n, p in parents.items()], "session_id string, pid bigint, ppid bigint")
+    roots = spark.createDataFrame([("s", n) for n in {*parents, *parents.values(), 999}], "session_id string, pid bigint")
+    got = {(r["root"], r["pid"]): r["depth"] for r in project.descendants(nodes, roots).collect()}
+    assert got == steps_below(parents) and project.descendants(nodes, roots).count() == len(got)
+
+
+def test_descendants_with_several_parents(spark):
+    nodes = spark.createDataFrame([("s", 2, 1), ("s", 3, 2), ("s", 3, 1), ("s", 4, 3)], "session_id string, pid bigint, ppid bigint")
+    got = sorted((r["root"], r["pid"], r["depth"]) for r in project.descendants(nodes, nodes.select("session_id", "pid").unionByName(nodes.limit(1).selectExpr("session_id", "1L AS pid"))).collect())
+    assert got == [(1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 3, 1), (2, 4, 2), (3, 4, 1)]
+
+
+def test_descendants_shuffle_no_pairs(spark):
+    """A chain of 1500 has 1124250 pairs; before, each was shuffled and written. Every table that is written stays far below."""
+    nodes = spark.range(1, 1500).selectExpr("'s' AS session_id", "id AS pid", "id - 1 AS ppid")
+    sent = []
+    written = project.write_table
+
+    def seen(df, label):
+        out = written(df, label)
+        sent.append(out.count())
+        return out
+
+    project.write_table = seen
+    try:
+        found = project.descendants(nodes, spark.range(1500).selectExpr("'s' AS session_id", "id AS pid"))
+    finally:
+        project.write_table = written
+    assert found.count() == 1500 * 1499 // 2 and max(sent) <= 1500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("Generate explode(slice")
+    assert "Exchange" not in plan[:made] and "BroadcastExchange" not in plan[made:].split("SortMergeJoin")[0]

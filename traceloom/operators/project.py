@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import payload as P
-from traceloom.operators.trees import climbed, linked
+from traceloom.operators.trees import climbed, linked, preorder
 from traceloom.schema import ROUTES, TABLES
 from traceloom.store import write_table
 
@@ -16,6 +16,10 @@ from traceloom.store import write_table
 SLOTS = {t: i for i, t in enumerate(["events_process", "events_tool_call", "events_system", "events_ssl", "events_http", "events_sse", "events_security"])}
 #: The slots of the known rules, after those of the tables.
 RULE_SLOTS = {name: len(SLOTS) - 1 + i for i, name in enumerate(["sensitive_file_access", "dangerous_command", "credential_change", "suspicious_network"])}
+#: Neighbours of a tree that `descendants` keeps in one array, and copies of each array, between which the roots above it are dealt.
+BLOCK, COPIES = 512, 8
+#: Pairs that a task of `descendants` makes, about, while there are fewer than so many tasks.
+PAIRS, TASKS = 1 << 18, 4096
 
 
 def event_time(boot_epoch_us: int = 0) -> Column:
@@ -83,11 +87,15 @@ def typed_tables(events: DataFrame, boot_epoch_us: int = 0) -> dict[str, DataFra
     return tables
 
 
+def first_execs(process: DataFrame) -> DataFrame:
+    """First EXEC of each process of a session."""
+    order = Window.partitionBy("session_id", "pid").orderBy("timestamp_ns", "id")
+    return process.where("event_type = 'EXEC'").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
 def process_tree(process: DataFrame) -> DataFrame:
     """First EXEC of each process of a session, the end of its life, and its depth below the topmost known parent."""
-    order = Window.partitionBy("session_id", "pid").orderBy("timestamp_ns", "id")
-    first = process.where("event_type = 'EXEC'").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    first = first.select("session_id", "pid", "ppid", "comm", "filename", F.col("event_time").alias("start_time"))
+    first = first_execs(process).select("session_id", "pid", "ppid", "comm", "filename", F.col("event_time").alias("start_time"))
     ends = process.where("event_type = 'EXIT'").groupBy("session_id", "pid").agg(F.max("event_time").alias("end_time"))
     tree = first.join(ends, ["session_id", "pid"], "left")
     return tree.join(depths(first), ["session_id", "pid"], "left").select("session_id", "pid", "ppid", "comm", "filename", "start_time", "end_time", "depth")
@@ -125,11 +133,46 @@ def depths(nodes: DataFrame) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(session_id, root, pid, depth): all processes below each root pid of `roots` (session_id, pid)."""
-    edges = write_table(nodes.select("session_id", F.col("ppid").alias("above"), "pid"), "nodes")
+    """(session_id, root, pid, depth): all processes below each root pid of `roots` (session_id, pid), each at its least depth.
+
+    Trees are laid out so that all below a root are neighbours (trees.preorder), and cut into arrays of BLOCK neighbours.
+    A root meets the arrays that it reaches into, and each task makes its pairs from those: what is shuffled is a row
+    for each root and array, never a pair. What leads into a circle of parents is walked, round by round; so is all,
+    where a process stands in `nodes` with several parents.
+    """
+    edges = write_table(nodes.select("session_id", F.col("ppid").alias("above"), "pid").where("above <> pid").distinct(), "nodes")
     first = roots.select("session_id", F.col("pid").alias("root")).distinct()
-    first = first.join(edges.where("above <> pid").withColumnRenamed("above", "root"), ["session_id", "root"]).withColumn("depth", F.lit(1))
-    return walk(first, edges, ["session_id", "root"])
+    if edges.groupBy("session_id", "pid").count().where("count > 1").limit(1).count():
+        return _walked(first, edges)
+    own = edges.select("session_id", F.col("pid").alias("node"), F.col("above").alias("up"))
+    tops = edges.select("session_id", F.col("above").alias("node")).distinct().join(own, ["session_id", "node"], "left_anti")
+    placed = write_table(preorder(write_table(own.unionByName(tops.withColumn("up", F.lit(None).cast("bigint"))), "links"), ["session_id"]), "placed")
+    rest = edges.join(placed.select("session_id", F.col("node").alias("pid")), ["session_id", "pid"], "left_anti")
+    found = _neighbours(first, placed)
+    return found.unionByName(_walked(first, write_table(rest, "circles"))) if rest.limit(1).count() else found
+
+
+def _walked(first: DataFrame, edges: DataFrame) -> DataFrame:
+    start = first.join(edges.withColumnRenamed("above", "root"), ["session_id", "root"]).withColumn("depth", F.lit(1))
+    return walk(start, edges, ["session_id", "root"])
+
+
+def _neighbours(first: DataFrame, placed: DataFrame) -> DataFrame:
+    """The pairs of roots and what lies below them in placed trees. The number of tasks goes by that of the pairs, as rows to be
+    shuffled are few and Spark would put them into few tasks."""
+    keys = ["session_id", "top", "block", "copy"]
+    tasks = min(TASKS, (placed.agg(F.sum(F.col("size") - 1)).first()[0] or 0) // PAIRS + 1)
+    items = F.array_sort(F.collect_list(F.struct("place", "node", "depth"))).alias("items")
+    blocks = placed.withColumn("block", F.floor(F.col("place") / BLOCK)).groupBy("session_id", "top", "block").agg(items)
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).repartition(tasks, *keys)
+    from_, to = F.col("place") + 1, F.col("place") + F.col("size") - 1
+    roots = first.join(placed.where("size > 1").withColumnRenamed("node", "root"), ["session_id", "root"])
+    roots = roots.select("session_id", "top", "root", F.col("depth").alias("__depth"), from_.alias("__from"), to.alias("__to"), F.pmod("place", F.lit(COPIES)).cast("int").alias("copy"), F.explode(F.sequence(F.floor(from_ / BLOCK), F.floor(to / BLOCK))).alias("block"))
+    met = roots.repartition(tasks, *keys).join(blocks.hint("merge"), keys)
+    start = F.greatest("__from", F.col("block") * BLOCK)
+    length = F.least("__to", F.col("block") * BLOCK + BLOCK - 1) - start + 1
+    part = F.slice("items", (start - F.col("block") * BLOCK + 1).cast("int"), length.cast("int"))
+    return met.select("session_id", "root", "__depth", F.explode(part).alias("x")).select("session_id", "root", F.col("x.node").alias("pid"), (F.col("x.depth") - F.col("__depth")).alias("depth"))
 
 
 def links(security: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceloom.operators.ranks import running_sum
 from traceloom.store import write_table
 
 #: How a value of a node takes in those of the nodes below it.
@@ -57,3 +58,27 @@ def climbed(links: DataFrame, by: list[str], values: dict[str, str] | None = Non
         sums = climbed(cut, by, values, at_once).drop("depth")
         return now.select(*by, "node", F.when(F.col("up").isNull(), F.col("steps")).alias("depth")).join(sums, [*by, "node"])
     return now.select(*by, "node", F.when(F.col("up").isNull(), F.col("steps")).alias("depth"), *values)
+
+
+def preorder(links: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, node, top, depth, place, size): a node and all below it are `size` neighbours of their tree, from `place` on; top is
+    the tree's node without `up`, at place 0. Nodes that lead into a circle have no row. links: (*by, node, up), each node once.
+
+    A node's place is that of its parent, plus 1, plus the sizes of the siblings before it; so it is a sum along the way to
+    the top, by pointers that double.
+    """
+    sized = climbed(links.withColumn("size", F.lit(1).cast("bigint")), by, {"size": "sum"}).where("depth IS NOT NULL")
+    sized = write_table(sized.join(links.select(*by, "node", "up"), [*by, "node"]), "sizes")
+    below = running_sum(sized.where("up IS NOT NULL"), [*by, "up"], ["node"], F.col("size"), "__upto")
+    none = F.lit(None).cast(sized.schema["node"].dataType)
+    now = below.select(*by, "node", "up", none.alias("top"), (F.col("__upto") - F.col("size") + 1).alias("place"))
+    now = now.unionByName(sized.where("up IS NULL").select(*by, "node", "up", F.col("node").alias("top"), F.lit(0).cast("bigint").alias("place")))
+    now = write_table(now, "places")
+    while now.where("up IS NOT NULL").limit(1).count():
+        for _ in range(2):
+            far = now.select(*by, F.col("node").alias("up"), F.col("up").alias("__up"), F.col("top").alias("__top"), F.col("place").alias("__place"))
+            met = now.where("up IS NOT NULL").join(far, [*by, "up"])
+            met = met.select(*by, "node", F.col("__up").alias("up"), F.col("__top").alias("top"), (F.col("place") + F.col("__place")).alias("place"))
+            now = met.unionByName(now.where("up IS NULL"))
+        now = write_table(now, "places")
+    return now.drop("up").join(sized.drop("up"), [*by, "node"]).select(*by, "node", "top", "depth", "place", "size")

@@ -12,6 +12,7 @@ from traceloom.operators.http import parse_http
 from traceloom.operators.spans import spans
 from traceloom.plans import api, views
 from traceloom.sources import adapter
+from traceloom.store import write_table
 
 # --- SQL of the adapter -------------------------------------------------------------------------------------------
 
@@ -251,7 +252,7 @@ def tool_spans(spark, sf):
 @query(BASE + FIRST + """, walk AS (SELECT session_id, pid AS root, pid, 0 AS depth FROM firsts UNION ALL SELECT w.session_id, w.root, n.pid, w.depth + 1 FROM walk w JOIN firsts n ON n.session_id = w.session_id AND n.ppid = w.pid AND n.pid <> w.pid)
   SELECT session_id, root, pid, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1, 2, 3""")
 def descendants(spark, sf):
-    nodes = project.process_tree(adapter.table(spark, sf, "events_process")).select("session_id", "pid", "ppid")
+    nodes = write_table(project.first_execs(adapter.table(spark, sf, "events_process")).select("session_id", "pid", "ppid"), "first-execs")
     return project.descendants(nodes, nodes)
 
 
