@@ -2,7 +2,9 @@
 
 import json
 import random
+import tracemalloc
 
+import pandas as pd
 import pytest
 from events import frame
 from pyspark.sql import functions as F
@@ -126,3 +128,71 @@ def test_folds_by_the_clock(spark, tmp_path):
             break
     query.stop()
     assert [(r["key_field"], r["reason"]) for r in found] == [("/x", "idle_gap")]
+
+
+class States(dict):
+    """A session's states, as dicts."""
+
+    def getMapState(self, name, *_):
+        states = self.setdefault(name, {})
+
+        class Map:
+            getValue, containsKey = staticmethod(lambda k: states[k]), staticmethod(lambda k: k in states)
+            updateValue, removeKey, iterator = staticmethod(states.__setitem__), staticmethod(states.pop), staticmethod(lambda: iter(states.items()))
+
+        return Map
+
+    def getValueState(self, name, *_):
+        class Value:
+            exists, get = staticmethod(lambda: name in self), staticmethod(lambda: self.get(name))
+            update, clear = staticmethod(lambda v: self.__setitem__(name, v)), staticmethod(lambda: self.pop(name, None))
+
+        return Value
+
+    def getListState(self, name, *_):
+        rows = self.setdefault(name, [])
+
+        class Waiting:
+            get, clear, appendValue = staticmethod(lambda: iter(list(rows))), staticmethod(rows.clear), staticmethod(rows.append)
+
+        return Waiting
+
+    def registerTimer(self, ms):
+        pass
+
+
+class Echo(ordered.Machine):
+    def feed(self, row):
+        return [row]
+
+
+def test_a_large_session_is_not_held_in_whole():
+    """120,000 rows of a session in shuffled frames, in three micro-batches: they come in order, and a task's memory stays small."""
+    rng = random.Random(1)
+    times = list(range(120_000))
+    rng.shuffle(times)
+    names = ["timestamp_ns", "stream_seq", "data"]
+
+    def frames(part):
+        for at in range(0, len(part), 2000):
+            yield pd.DataFrame({"timestamp_ns": [t * S for t in part[at : at + 2000]], "stream_seq": 1, "data": [f"{t:0>300}" for t in part[at : at + 2000]], "at__": 0, "bucket__": 0, "end__": False})
+
+    end = pd.DataFrame({"timestamp_ns": [0], "stream_seq": [None], "data": [None], "at__": 0, "bucket__": 0, "end__": True})
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: self.ms})()
+    found, states = [], States()
+    processor = ordered.InOrder(Echo, names, names[:2], True, names[:2])
+    processor.init(states)
+    tracemalloc.start()
+    for i, (ms, more) in enumerate(((-1, []), (50_000_000, []), (50_000_000, [end]))):
+        clock.ms = ms
+        # what is late does not come: parts hold times that the watermark has not passed
+        part = [t for t in times if (t <= 60_000 if i == 0 else t > 60_000 and t % 2 == i - 1)]
+        tracemalloc.reset_peak()
+        for frame_ in processor.handleInputRows(("s",), iter([*frames(part), *more]), clock):
+            assert len(frame_) <= 10_000
+            found += [t // S for t in frame_["timestamp_ns"].astype("int64")]
+        kept = sum(len(v[0]) for v in states["pages"].values()) if "pages" in states else 0
+        assert tracemalloc.get_traced_memory()[1] - kept < 50e6
+        assert len(found) == [0, 50_001, 120_000][i]
+    tracemalloc.stop()
+    assert found == sorted(times) and not states.get("pages")

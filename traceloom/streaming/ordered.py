@@ -7,8 +7,10 @@ watermark has passed them, so any order of arrival within the delay gives the re
 
 from __future__ import annotations
 
+import heapq
 import json
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -32,6 +34,8 @@ from traceloom.operators.sse import OUT, Message, sse_input
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HELPERS = ["at__", "bucket__", "end__"]
+#: Rows of a session that a task holds at once, of a page of those that it puts aside, and of what it gives at once.
+HELD, PAGE, GIVEN = 10_000, 256, 10_000
 
 
 class Cells:
@@ -84,52 +88,119 @@ class Machine:
         return []
 
 
+class Run:
+    """Rows in order, in pages of the state from `first` up to `end`; one page at a time is read."""
+
+    def __init__(self, pages, first: int, end: int, last: int):  # noqa: ANN001
+        self.pages, self.first, self.end, self.last = pages, first, end, last
+        self.rows: list[dict] = []  # the page that is read, from its end
+        self.taken = False
+
+    def head(self) -> dict | None:
+        if not self.rows and self.first < self.end:
+            self.rows = pickle.loads(zlib.decompress(self.pages.getValue((self.first,))[0]))[::-1]
+        return self.rows[-1] if self.rows else None
+
+    def take(self) -> None:
+        self.rows.pop()
+        self.taken = bool(self.rows)
+        if not self.rows:
+            self.pages.removeKey((self.first,))
+            self.first += 1
+
+    def save(self) -> None:
+        if self.taken:
+            self.pages.updateValue((self.first,), (zlib.compress(pickle.dumps(self.rows[::-1]), 1),))
+
+
 class InOrder(StatefulProcessor):
+    """Rows of a session are sorted in parts of HELD at most, which are put aside in the state as runs, and come back merged: however
+    many there are, a task holds one part, and a page of each run."""
+
     def __init__(self, make: Callable[[Cells], Machine], names: list[str], order: list[str], by_event_time: bool, whole: list[str]):
         self.make, self.names, self.order, self.by_event_time, self.whole = make, names, order, by_event_time, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "rows binary")
+        self.pages = handle.getMapState("pages", "page bigint", "rows binary")
+        self.runs = handle.getValueState("runs", "runs binary")  # (first page, page after the last, latest time) of each
         self.state = handle.getMapState("cells", "key string", "value binary")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, ANN201, N802, N803
-        frame = pd.concat(list(rows))
-        ended = bool(frame["end__"].any())
-        frame = frame[~frame["end__"].astype(bool)].drop(columns=HELPERS)
-        made = frame.astype(object).where(frame.notna(), None).to_dict("records")
-        for row in made:  # whole numbers come as floats where some are null
-            row.update({c: int(row[c]) for c in self.whole if row[c] is not None})
-        yield self.go(made, timerValues, ended)
+        runs, ended, held = self._runs(), False, []
+        for frame in rows:
+            ended |= bool(frame["end__"].any())
+            frame = frame[~frame["end__"].astype(bool)].drop(columns=HELPERS)
+            made = frame.astype(object).where(frame.notna(), None).to_dict("records")
+            for row in made:  # whole numbers come as floats where some are null
+                row.update({c: int(row[c]) for c in self.whole if row[c] is not None})
+            held += made
+            while len(held) >= HELD:
+                self._put(runs, held[:HELD])
+                held = held[HELD:]
+        if held:
+            self._put(runs, held)
+        del held
+        yield from self.go(runs, timerValues, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, ANN201, N802, N803
-        yield self.go([], timerValues, False)
+        yield from self.go(self._runs(), timerValues, False)
+
+    def _runs(self) -> list[Run]:
+        known = self.runs.get() if self.runs.exists() else None
+        return [Run(self.pages, *run) for run in pickle.loads(known[0])] if known else []
 
-    def go(self, rows: list[dict], timers, ended: bool) -> pd.DataFrame:  # noqa: ANN001
+    def _key(self, row: dict) -> tuple:
+        return tuple((row[c] is None, row[c]) for c in self.order)
+
+    def _put(self, runs: list[Run], rows: list[dict]) -> None:
+        rows.sort(key=self._key)
+        first = end = max((run.end for run in runs), default=0)
+        for at in range(0, len(rows), PAGE):
+            self.pages.updateValue((end,), (zlib.compress(pickle.dumps(rows[at : at + PAGE]), 1),))
+            end += 1
+        runs.append(Run(self.pages, first, end, max(r["timestamp_ns"] for r in rows)))
+
+    def go(self, runs: list[Run], timers, ended: bool) -> Iterator[pd.DataFrame]:  # noqa: ANN001
         """Feeds the rows that no row to come can stand before, and sets the next timer."""
         now = timers.getCurrentWatermarkInMs() if self.by_event_time else timers.getCurrentProcessingTimeInMs()
-        rows = [r for (blob,) in self.waiting.get() for r in pickle.loads(blob)] + rows
-        done = [r for r in rows if ended or not self.by_event_time or r["timestamp_ns"] // 1000 <= now * 1000]
-        later = [r for r in rows if not ended and self.by_event_time and r["timestamp_ns"] // 1000 > now * 1000]
         machine, out = self.make(Cells(self.state)), []
-        for row in sorted(done, key=lambda r: tuple((r[c] is None, r[c]) for c in self.order)):
+        heads = [(self._key(run.head()), i) for i, run in enumerate(runs)]
+        heapq.heapify(heads)
+        while heads:
+            run = runs[heads[0][1]]
+            row = run.head()
+            if not ended and self.by_event_time and row["timestamp_ns"] // 1000 > now * 1000:
+                break
+            run.take()
+            if run.head() is None:
+                heapq.heappop(heads)
+            else:
+                heapq.heapreplace(heads, (self._key(run.head()), heads[0][1]))
             out += machine.feed(row if self.by_event_time else row | {"clock__": now * 1_000_000})
+            if len(out) >= GIVEN:
+                yield pd.DataFrame(out, columns=self.names)
+                out = []
         out += machine.end() if ended else machine.until(now * 1_000_000)
         machine.cells.save()
-        self.waiting.clear()
+        later = [run for run in runs if run.head() is not None]
+        for run in later:
+            run.save()
         if later:
-            self.waiting.appendValue((pickle.dumps(later),))
-        next_ = [max(r["timestamp_ns"] for r in later)] if later else []
+            self.runs.update((pickle.dumps([(run.first, run.end, run.last) for run in later]),))
+        else:
+            self.runs.clear()
+        next_ = [max(run.last for run in later)] if later else []
         next_ += [machine.due()] if machine.due() is not None else []
         for ns in next_:
             self.handle.registerTimer(max(ns // 1_000_000 + 1, now + 1))
-        return pd.DataFrame(out, columns=self.names)
+        yield pd.DataFrame(out, columns=self.names)
 
 
 def in_order(rows: DataFrame, make: Callable[[Cells], Machine], schema: StructType | str, by: list[str] | None = None, buckets: int = 32, order: tuple[str, ...] = ("timestamp_ns", "stream_seq"), delay: str = "1 minute", time: str = "event") -> DataFrame:
     """Runs a machine over a stream. rows: session_id, timestamp_ns, the columns of `order` and what the machine reads, and end__ (names end in underscores, as the rows come as named tuples).
 
-    by: a machine sees the rows of a session whose keys share one of `buckets` buckets; without it, all of a session.
+    order: begins with timestamp_ns. by: a machine sees the rows of a session whose keys share one of `buckets` buckets; without it, all of a session.
     time "event": in order of time, by the watermark; "processing": as they come, in order inside a micro-batch, and
     what is idle ends by the clock. The state store is set to RocksDB, which such states need.
     """
