@@ -5,6 +5,7 @@ import pytest
 
 from traceloom.plans import api
 from traceloom.queries import ORACLES, QUERIES
+from traceloom.sources import traffic
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -75,3 +76,10 @@ def test_free_sql_reads_views_of_any_plan(spark):
     spark.range(3).mapInArrow(lambda batches: batches, "id long").createOrReplaceTempView("made")
     spark.sql("CREATE OR REPLACE TEMP VIEW over AS SELECT id FROM made WHERE id > 0")
     assert api.free_sql(spark, "SELECT count(*) AS n FROM over WHERE id < ?", [2]).first()[0] == 1
+
+
+def test_traffic_is_put_together_once(spark, sf):
+    """Messages are folded in Python before; no plan over the traced traffic folds them again."""
+    seen = traffic.traced(spark, sf)
+    assert "MapInArrow" not in seen._jdf.queryExecution().executedPlan().toString()
+    assert seen.where("source = 'sse_processor'").count() > 0

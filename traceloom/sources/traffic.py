@@ -10,6 +10,7 @@ from traceloom.operators.project import SLOTS, typed
 from traceloom.operators.security import alerts
 from traceloom.operators.sse import merge_sse
 from traceloom.operators.tooluse import correlate
+from traceloom.store import write_table
 
 END = "\r\n"
 
@@ -58,9 +59,11 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The traffic after the chain of an observer: messages, HTTP, tool uses, alerts."""
+    """The traffic after the chain of an observer: messages, HTTP, tool uses, alerts. Messages are put together once, and HTTP
+    is parsed once: what reads them twice reads a table."""
     e = envelopes(spark, sf_dir)
-    return correlate(parse_http(merge_sse(e))).unionByName(alerts(e))
+    messages = write_table(merge_sse(e), "messages")
+    return correlate(write_table(parse_http(messages), "traffic")).unionByName(alerts(e))
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
